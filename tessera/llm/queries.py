@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_windows, entropy_mix, exact_dedup, host_reputation, sentencepiece_table, toxicity
+from . import chat_windows, entropy_mix, exact_dedup, host_reputation, ngram_join, sentencepiece_table, toxicity
 from .common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,6 +55,11 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(load(spark, sf_dir, "documents"))
 
 
+@query()
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(load(spark, sf_dir, "documents"))
+
+
 @query()
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = entropy_mix.mix(load(spark, sf_dir, "documents"))
