@@ -155,7 +155,7 @@ def mix(
     id_col: str = "doc_id",
     source_col: str = "source",
     text_col: str = "text",
-    block_rows: int = 20_000,
+    block_rows: int = 1_000,
 ) -> DataFrame:
     """One row per document: doc_id, size, source, source_size, target, rate, copies, taken."""
     sized = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size")))
