@@ -14,7 +14,8 @@ group of copies is one digest by then, because grouping pre-aggregates before th
 Defined results: null text counts as empty, and all empty texts are equal; white space runs
 ``[\\x20\\x09-\\x0D]+`` count as one space; of equal texts the row with the smallest id stays
 (a snapshot's row before any incoming one); a row repeated with its id is one more row of
-its group; an empty table gives an empty result.
+its group; a row without an id stays only where its whole group has none; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -231,7 +232,7 @@ def exact_dedup(docs: DataFrame, is_snapshot: Column | None = None, id_col: str
         "doc_id",
         F.coalesce("g.keep_id", "doc_id").alias("keep_id"),
         F.coalesce("g.group_size", F.lit(1)).cast("long").alias("group_size"),
-        (F.coalesce("g.keep_id", "doc_id") == F.col("doc_id")).alias("kept"),
+        F.coalesce("g.keep_id", "doc_id").eqNullSafe(F.col("doc_id")).alias("kept"),
         F.col("digest").alias("text_sha256"),
     )
 

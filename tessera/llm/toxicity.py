@@ -27,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -208,18 +208,24 @@ def fit(
     return Model(index, w, bias)
 
 
-def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score) of every whole text."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    kind = docs.schema[id_col].dataType.simpleString()
+def score_column(spark: SparkSession, model: Model, text: Column) -> Column:
+    """Score of a text column, in Arrow batches."""
+    sent = spark.sparkContext.broadcast(model)
 
-    def run(batches):
+    @F.pandas_udf("double")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         features, m = Features(), sent.value
-        for pdf in batches:
-            raw = np.array([m.raw(*features.of_text(t)) for t in pdf["text"]])
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": 1.0 / (1.0 + np.exp(-np.clip(raw, -40, 40)))})
+        for texts in batches:
+            raw = np.array([m.raw(*features.of_text(t)) for t in texts], float)
+            yield pd.Series(1.0 / (1.0 + np.exp(-np.clip(raw, -40, 40))))
+
+    return run(text)
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, f"doc_id {kind}, score double")
+
+def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, score) of every whole text."""
+    value = score_column(docs.sparkSession, model, F.col(text_col).cast("string"))
+    return docs.select(F.col(id_col).alias("doc_id"), value.alias("score"))
 
 
 def held_out(doc_id: Column) -> Column:
