@@ -1,4 +1,6 @@
 """Registered queries and the SQL that must agree with them."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from tessera.plans import drafts, quotas, rewards, sources  # noqa: F401
+from tessera.plans.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
