@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_windows, entropy_mix, exact_dedup, host_reputation, ngram_join, sentencepiece_table, toxicity
+from . import chat_windows, entropy_mix, exact_dedup, host_reputation, ngram_join, sentencepiece_table, suffix_dedup, toxicity
 from .common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +41,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(load(spark, sf_dir, "documents"))
+
+
 @query(
     r"""
     with d as (
