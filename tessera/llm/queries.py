@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_windows, entropy_mix, exact_dedup, host_reputation, ngram_join, sentencepiece_table, suffix_dedup, toxicity
+from . import chat_windows, entropy_mix, exact_dedup, host_reputation, line_templates, ngram_join, sentencepiece_table, suffix_dedup, toxicity
 from .common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +27,11 @@ def query(sql: str | None = None):
     return add
 
 
+@query()
+def op2_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_templates.drop_recurring(load(spark, sf_dir, "documents"))
+
+
 def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
     learn = labels.where(~toxicity.held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").alias("label"))
     return toxicity.fit(docs, learn)
