@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_windows, entropy_mix, exact_dedup, host_reputation, line_templates, ngram_join, sentencepiece_table, suffix_dedup, toxicity
+from . import chat_windows, entropy_mix, exact_dedup, host_reputation, image_copies, line_templates, ngram_join, sentencepiece_table, suffix_dedup, toxicity
 from .common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +27,17 @@ def query(sql: str | None = None):
     return add
 
 
+@query()
+def op1_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No standard table has media, so the picture of every embedding is drawn from its vector; the rows
+    whose id is divisible by 100 are the queries, and show an edited copy of the picture of row id + 50."""
+    rows = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    shown = rows.select((F.col("id") - 50).alias("id"), F.col("embedding").alias("other")).where("id % 100 = 0")
+    pictures = image_copies.draw(rows.join(shown, "id", "left").select("id", F.coalesce("other", "embedding").alias("of")))
+    found = image_copies.find_copies(pictures, F.col("id") % 100 == 0)
+    return found.withColumnRenamed("id", "vec_id")
+
+
 @query()
 def op2_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_templates.drop_recurring(load(spark, sf_dir, "documents"))
