@@ -13,8 +13,10 @@ similarity is 0.8 or more.  No link between different texts is lost:
    shingles, a link needs ``need = ceil(0.8 n)`` common ones, so two linked sets share at least l
    among the first ``n - need + l`` of each.  Every document picks its l from 1 to ``max_match``: the
    prefix grows while the estimated cost of its postings and of the candidates that could
-   still match l times falls.  A pair is a candidate when it shares min(l, l') emitted shingles.
-   Shingles whose documents all lie in one component produce nothing.
+   still match l times falls.  A pair is a candidate when it shares k = min(l, l') shingles among the
+   first ``n - common + k`` of either, where ``common`` is what a link of these two sizes must share.
+   Shingles whose documents all lie in one component produce nothing; before pairs are made, a few
+   rounds tie components together over one hub per shingle, which is linear in the postings.
 4. Candidates are verified on their whole sets; links of both passes give the components.
 
 Defined results: null or white-space text has an empty set, links with nothing and is its own
@@ -49,39 +51,29 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(33))
 
 
-class Shingler:
+def shingle(text: str | None) -> np.ndarray:
     """Whole text -> sorted array of distinct 64-bit shingle hashes."""
-
-    def __init__(self, max_words: int = 500_000):
-        self.max_words, self.words = max_words, {}
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        if not words:
-            return np.zeros(0, np.uint64)
-        table = self.words
-        try:
-            ids = [table[w] for w in words]
-        except KeyError:
-            if len(table) > self.max_words:
-                table.clear()
-            for w in set(words):
-                if w not in table:
-                    table[w] = xxhash.xxh64_intdigest(w)
-            ids = [table[w] for w in words]
-        h = np.array(ids, np.uint64)
-        width = min(WORDS, len(h))
-        out = np.full(len(h) - width + 1, width, np.uint64)
-        for i in range(width):
-            out += h[i : len(h) - width + 1 + i] * _PLACE[i]
-        return np.unique(mix(out))
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    width = min(WORDS, len(h))
+    n = len(h) - width + 1
+    out = np.full(n, width, np.uint64)
+    for i in range(width):
+        out += h[i : n + i] * _PLACE[i]
+    out = mix(out)
+    out.sort()
+    return out[np.append(True, out[1:] != out[:-1])]
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     """DEN * |a & b| >= NUM * |a | b| for sorted distinct arrays."""
     if not len(a) or not len(b) or DEN * min(len(a), len(b)) < NUM * max(len(a), len(b)):
         return False
-    common = len(a) + len(b) - len(np.union1d(a, b))
+    both = np.concatenate((a, b))
+    both.sort(kind="stable")  # two sorted runs: a merge
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
     return DEN * common >= NUM * (len(a) + len(b) - common)
 
 
@@ -100,7 +92,7 @@ def profile(docs: DataFrame) -> DataFrame:
     """Rows of documents (chunk null) and, once per task, of its part of the sketch (doc_id null)."""
 
     def run(batches):
-        shingle, part = Shingler(), TaskContext.get().partitionId()
+        part = TaskContext.get().partitionId()
         counts, pending, held = np.zeros(SKETCH, np.int64), [], 0
         for pdf in batches:
             rows = []
@@ -164,7 +156,7 @@ def _joinable(table: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
     return F.broadcast(table) if table.limit(max_bytes // 40 + 1).count() <= max_bytes // 40 else table
 
 
-def leader_links(docs: DataFrame, reps: DataFrame, bucket_rows: int = 2000, leaders: int = 6) -> DataFrame:
+def leader_links(docs: DataFrame, reps: DataFrame, bucket_rows: int = 500, leaders: int = 32) -> DataFrame:
     """True links (u, v) among ``reps`` (rep, n, k1, k2) whose min-hash keys agree."""
     keys = reps.where("n > 0").select("rep", "n", F.explode(F.array("k1", "k2")).alias("k"))
     shared = keys.groupBy("k").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
@@ -178,19 +170,25 @@ def leader_links(docs: DataFrame, reps: DataFrame, bucket_rows: int = 2000, lead
     met = met.repartition("k", "salt").sortWithinPartitions("k", "salt", "rep")
 
     def run(batches):
-        shingle, here, heads = Shingler(), None, []
+        here, heads, root = None, [], []
         for pdf in batches:
             out = []
             for k, salt, rep, text in zip(pdf["k"], pdf["salt"], pdf["rep"], pdf["text"]):
                 if (k, salt) != here:
-                    here, heads = (k, salt), []
-                s = shingle(text)
-                tied = next((h for h, t in heads if h == rep or similar(s, t)), None)
-                if tied is None:
-                    if len(heads) < leaders:
-                        heads.append((rep, s))
-                elif tied != rep:
-                    out.append((rep, tied))
+                    here, heads, root = (k, salt), [], []
+                s, tied = shingle(text), set()
+                for i, (head, t) in enumerate(heads):
+                    # leaders that are tied to each other already count once
+                    if root[i] not in tied and (head == rep or similar(s, t)):
+                        tied.add(root[i])
+                        if head != rep:
+                            out.append((rep, head))
+                if not tied and len(heads) < leaders:
+                    root.append(len(heads))
+                    heads.append((rep, s))
+                elif len(tied) > 1:
+                    first = min(tied)
+                    root = [first if r in tied else r for r in root]
             yield pd.DataFrame(out, columns=["u", "v"]).astype("int64")
 
     return met.mapInPandas(run, "u long, v long")
@@ -209,19 +207,19 @@ def choose_match(order_cost: np.ndarray, n: int, max_match: int) -> int:
     return int(np.argmin(postings + postings / match * (4 + n / 16) + 4 * match)) + 1
 
 
-def prefixes(docs: DataFrame, places: DataFrame, classes: np.ndarray, max_match: int) -> DataFrame:
-    """(token, rep, comp, n, l): the prefix of every representative.
+def prefixes(docs: DataFrame, members: DataFrame, classes: np.ndarray, max_match: int) -> DataFrame:
+    """(token, rep, comp, n, l, at): the prefix of every representative, ``at`` counting its tokens from 0.
 
-    ``places`` has (doc_id, rep, comp) of the documents that are not a representative alone in its component.
+    ``members`` has (doc_id, rep, comp) of the documents that are not a representative alone in its component.
     """
     sent = docs.sparkSession.sparkContext.broadcast(classes)  # SKETCH bytes
 
     def run(batches):
-        shingle, cls = Shingler(), sent.value
+        cls = sent.value
         load = np.exp2(np.arange(256) / 8.0) - 1.0
         floor = np.median(load[cls])  # what chance puts into a cell
         for pdf in batches:
-            tokens, reps, comps, sizes, matches = [], [], [], [], []
+            tokens, reps, comps, sizes, matches, places = [], [], [], [], [], []
             for rep, comp, text in zip(pdf["doc_id"], pdf["comp"], pdf["text"]):
                 s = shingle(text)
                 n = len(s)
@@ -235,27 +233,74 @@ def prefixes(docs: DataFrame, places: DataFrame, classes: np.ndarray, max_match:
                 tokens.append(take.view(np.int64))
                 for column, value in ((reps, rep), (comps, comp), (sizes, n), (matches, match)):
                     column.append(np.full(len(take), value, np.int64))
+                places.append(np.arange(len(take)))
             if tokens:
-                yield pd.DataFrame({k: np.concatenate(v) for k, v in (("token", tokens), ("rep", reps), ("comp", comps), ("n", sizes), ("l", matches))}).astype({"n": "int32", "l": "int32"})
+                columns = (("token", tokens), ("rep", reps), ("comp", comps), ("n", sizes), ("l", matches), ("at", places))
+                yield pd.DataFrame({k: np.concatenate(v) for k, v in columns}).astype({"n": "int32", "l": "int32", "at": "int32"})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.join(_joinable(places), "doc_id", "left").where("rep is null or rep = doc_id")
+    rows = rows.join(_joinable(members), "doc_id", "left").where("rep is null or rep = doc_id")
     rows = rows.select("doc_id", F.coalesce("comp", "doc_id").alias("comp"), "text")
-    return rows.mapInPandas(run, "token long, rep long, comp long, n int, l int")
+    return rows.mapInPandas(run, "token long, rep long, comp long, n int, l int, at int")
+
+
+def across(rows: DataFrame) -> DataFrame:
+    """Rows of shingles whose documents lie in more than one component."""
+    wide = rows.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("token")
+    return rows.join(wide, "token", "left_semi")
+
+
+def hub_pairs(rows: DataFrame, turn: int) -> DataFrame:
+    """(a, b, ca, cb): of every shingle one document of each component with one common hub; linear in the rows."""
+    key = F.xxhash64(F.lit(turn), "rep")
+    one = rows.groupBy("token", "comp").agg(F.min(F.struct(key.alias("h"), "rep", "n")).alias("r"))
+    hub = one.groupBy("token").agg(F.min(F.struct("r.h", "r.rep", "r.n", "comp")).alias("hub"))
+    met = one.join(hub, "token").where(f"comp <> hub.comp and {DEN} * least(r.n, hub.n) >= {NUM} * greatest(r.n, hub.n)")
+    return met.select(
+        F.least("r.rep", "hub.rep").alias("a"), F.greatest("r.rep", "hub.rep").alias("b"), F.col("comp").alias("ca"), F.col("hub.comp").alias("cb")
+    ).dropDuplicates(["a", "b"])
 
 
-def candidates(emitted: DataFrame) -> DataFrame:
-    """(a, b) of different components that share min(l, l') emitted shingles and may be long enough."""
-    across = emitted.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("token")
-    rows = materialize(emitted.join(across, "token", "left_semi"))
-    a, b = (rows.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "comp", "n", "l")]) for s in "ab")
-    pairs = a.join(b, "token").where(
+def candidates(rows: DataFrame, carried: int = 64) -> DataFrame:
+    """(a, b) of different components that share enough of the shingles that ``prefixes`` gave them.
+
+    A row carries its document's other shared shingles where they are ``carried`` at most; a pair of such
+    documents is made once, at its first common shingle, and only if it has as many as it needs.
+    Other pairs are made at every common shingle.  Keys are 32 bits of the shingles on either side,
+    so a collision can add a candidate and never hides one.
+    """
+    flat = rows.select("rep", "comp", "n", "l", "at", F.hash("token").alias("key"))
+    short = flat.groupBy("rep").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") <= carried).select("rep")
+    lists = flat.join(short, "rep", "left_semi").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("at", "key"))).alias("p"))
+    lists = lists.select("rep", F.col("p.key").alias("keys"), F.col("p.at").alias("ats"))
+    flat = flat.join(lists, "rep", "left").withColumn("i", F.expr("size(filter(ats, x -> x < at))"))
+    a, b = (flat.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "comp", "n", "l", "at", "keys", "ats", "i")]) for s in "ab")
+    # for two given sizes the prefixes are shorter: what a link of these sizes has in common is known
+    common, want = f"cast(ceil({NUM} * cast(n_a + n_b as bigint) / {NUM + DEN}) as int)", "least(l_a, l_b)"
+    inside = {s: f"n_{s} - {common} + {want}" for s in "ab"}
+    first = "not arrays_overlap(slice(keys_a, 1, i_a), slice(keys_b, 1, i_b))"
+    shared = ", ".join(f"slice(keys_{s}, 1, size(filter(ats_{s}, x -> x < {inside[s]})))" for s in "ab")
+    pairs = a.join(b, "key").where(
         f"rep_a < rep_b and comp_a <> comp_b and {DEN} * least(n_a, n_b) >= {NUM} * greatest(n_a, n_b)"
+        f" and at_a < {inside['a']} and at_b < {inside['b']}"
+        f" and (keys_a is null or keys_b is null or ({first} and size(array_intersect({shared})) >= {want}))"
     )
-    return (
-        pairs.groupBy("rep_a", "rep_b").agg(F.count(F.lit(1)).alias("met"), F.first(F.least("l_a", "l_b")).alias("want"))
-        .where("met >= want").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
-    )
+    return pairs.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
+
+
+def tie_hubs(docs: DataFrame, rows: DataFrame, rounds: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Rows with the components that hub pairs tie together, and the links found."""
+    found = []
+    for turn in range(rounds):
+        pairs = materialize(hub_pairs(rows, turn))
+        links = materialize(verify(docs, pairs.select("a", "b")))
+        tied = pairs.join(links.select(F.col("u").alias("a"), F.col("v").alias("b")), ["a", "b"])
+        if tied.limit(1).count() == 0:
+            break
+        found.append(links)
+        comps = components(tied, "ca", "cb").select(F.col("node").alias("comp"), F.col("component").alias("_c"))
+        rows = materialize(across(rows.join(_joinable(comps), "comp", "left").withColumn("comp", F.coalesce("_c", "comp")).drop("_c")))
+    return rows, found
 
 
 def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -266,7 +311,7 @@ def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
 
     def run(batches):
-        shingle, last, kept = Shingler(), None, None
+        last, kept = None, None
         for pdf in batches:
             hit = []
             for a, ta, tb in zip(pdf["a"], pdf["ta"], pdf["tb"]):
@@ -278,7 +323,7 @@ def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.mapInPandas(run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_match: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_match: int = 16, hub_rounds: int = 2) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     profiled = materialize(profile(docs))
@@ -294,9 +339,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     placed = copies.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "rep", F.coalesce("component", "rep").alias("comp"))
     alone = comp.join(copies.select(F.col("doc_id").alias("node")), "node", "left_anti").select(F.col("node").alias("doc_id"), F.col("node").alias("rep"), F.col("component").alias("comp"))
     places = materialize(placed.unionByName(alone).distinct())
-    pairs = materialize(candidates(prefixes(docs, places, classes, max_match)))
-    second = verify(docs, pairs)
-    links = materialize(first.unionByName(second).distinct())
+    rows_across, tied = tie_hubs(docs, materialize(across(prefixes(docs, places, classes, max_match))), hub_rounds)
+    links = first.unionByName(verify(docs, materialize(candidates(rows_across))))
+    for more in tied:
+        links = links.unionByName(more)
+    links = materialize(links.distinct())
     final = components(links).withColumnRenamed("node", "rep")
     of = rows.join(copies.distinct(), "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id")).join(final, "rep", "left")
     return of.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
