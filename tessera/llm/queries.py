@@ -76,7 +76,23 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(load(spark, sf_dir, "documents"))
 
 
-@query()
+@query(
+    r"""
+    with recursive w as (
+      select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents
+    ),
+    s as (
+      select distinct doc_id, array_to_string(ws[i:i + 4], ' ') as g
+      from (select doc_id, ws, unnest(generate_series(1, greatest(len(ws) - 4, 1))) as i from w where len(ws) > 0)
+    ),
+    n as (select doc_id, count(*) as n from s group by 1),
+    common as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+    link as (select x, y from common join n a on a.doc_id = x join n b on b.doc_id = y where 100 * c >= 80 * (a.n + b.n - c)),
+    both_ways as (select x, y from link union select y, x from link),
+    reach as (select doc_id, doc_id as r from documents union select reach.doc_id, y from reach join both_ways on x = r)
+    select doc_id, coalesce(any_value(n.n), 0) as n_shingles, min(r) as component_id from reach left join n using (doc_id) group by doc_id
+    """
+)
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(load(spark, sf_dir, "documents"))
 
