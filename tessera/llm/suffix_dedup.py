@@ -15,7 +15,7 @@ A byte goes if a ``MATCH``-byte string that covers it also starts in a document
    cut finer by a second, independent minimiser first, so what meets in a task stays small.
 5. Windows decided against a document are merged to intervals, and the rest of its bytes is kept.
 
-Pieces are told apart by a 64-bit hash beside the minimiser; what suffixes share is compared byte by byte.
+Pieces are told apart by hashes beside the minimiser; what suffixes share is compared byte by byte.
 
 Defined results: null text is empty; texts shorter than ``MATCH`` bytes keep all; rows that share an
 id never remove each other's bytes; a row without an id neither removes nor loses any; texts of any
@@ -79,18 +79,41 @@ def pieces(data: np.ndarray, lengths: np.ndarray, seed: int = 0) -> tuple[np.nda
         return np.zeros(0, _U), none, none, none
     least = sliding_min(gram_hashes(data, GRAM, seed), MATCH - GRAM + 1)
     n, ends = len(least), np.cumsum(lengths)
-    text = np.repeat(np.arange(len(lengths)), lengths)[:n]
-    whole = np.arange(n) + MATCH <= ends[text]  # windows that lie in one text
-    cut = np.append(True, (least[1:] != least[:-1]) | (text[1:] != text[:-1]) | (whole[1:] != whole[:-1]))
+    cut = np.empty(n, bool)
+    cut[0] = True
+    np.not_equal(least[1:], least[:-1], out=cut[1:])
+    for edge in (ends - lengths, ends - MATCH + 1):  # where texts start, and where windows begin to leave them
+        cut[edge[(edge >= 0) & (edge < n)]] = True
     start = np.flatnonzero(cut)
     size = np.diff(np.append(start, n))
     if (size > RUN).any():
         parts = -(-size // RUN)
         within = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
         start, size = np.repeat(start, parts) + within * RUN, np.minimum(RUN, np.repeat(size, parts) - within * RUN)
-    ok = whole[start]
-    start, size = start[ok], size[ok]
-    return least[start], text[start], start, size
+    text = np.searchsorted(ends, start, side="right")
+    ok = start + MATCH <= ends[text]  # windows that lie in one text
+    start, size, text = start[ok], size[ok], text[ok]
+    return least[start], text, start, size
+
+
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def piece_marks(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Cheap hashes that tell the pieces of one minimiser apart, from running sums of byte times power."""
+    n = len(data)
+    if len(_POWERS.get(0, ())) < n + 1:
+        base, inverse = np.array([0x9FB21C651E98DF25], _U), np.array([pow(0x9FB21C651E98DF25, -1, 1 << 64)], _U)
+        for k, step in enumerate((base, inverse)):
+            powers = np.full(n + 1, step[0], _U)
+            powers[0] = 1
+            _POWERS[k] = np.multiply.accumulate(powers)
+    sums = np.zeros(n + 1, _U)
+    np.cumsum((data.astype(_U) + _U(1)) * _POWERS[0][:n], out=sums[1:])
+    end = start + size + MATCH - 1
+    out = (sums[end] - sums[start]) * _POWERS[1][start] + size.astype(_U)
+    out = (out ^ (out >> _U(31))) * _U(0xFF51AFD7ED558CCD)
+    return out ^ (out >> _U(33))
 
 
 def piece_hashes(data: bytes, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -98,7 +121,7 @@ def piece_hashes(data: bytes, start: np.ndarray, size: np.ndarray) -> np.ndarray
     return np.fromiter((xx(data[s : s + n + MATCH - 1]) for s, n in zip(start.tolist(), size.tolist())), _U, len(start))
 
 
-def _texts(batches, bound: int = 2 << 20):
+def _texts(batches, bound: int = 1 << 20):
     """(ids, row keys, texts end to end, lengths) of groups of rows with about ``bound`` bytes."""
     ids, keys, texts, held = [], [], [], 0
     for pdf in batches:
@@ -163,10 +186,11 @@ def piece_lists(docs: DataFrame, buckets: int) -> DataFrame:
             return pd.DataFrame(rows, columns=["bucket", "least", "piece", "many"])
 
         for ids, _, data, lengths in _texts(batches):
-            least, text, start, size = pieces(np.frombuffer(data, np.uint8), lengths)
-            store.append((_named(least, buckets), piece_hashes(data, start, size), ids[text]))
+            arr = np.frombuffer(data, np.uint8)
+            least, text, start, size = pieces(arr, lengths)
+            store.append((_named(least, buckets), piece_marks(arr, start, size), ids[text]))
             held += len(start)
-            if held > 1_500_000:
+            if held > 400_000:
                 yield flush()
                 store, held = [], 0
         if held:
@@ -373,7 +397,7 @@ def decided_pieces(distinct: DataFrame, block: int = 1 << 20) -> DataFrame:
 
 
 def removals(found: DataFrame) -> DataFrame:
-    """(doc_id, row, cuts): intervals [start, end) of each document that an earlier one has."""
+    """(doc_id, row, cuts): maximal intervals [start, end) of each document that an earlier one has, as int32 pairs."""
     sums = found.groupBy("least", "piece").agg(
         F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.first("content", ignorenulls=True).alias("content"), F.max("windows").alias("windows")
     )
@@ -388,20 +412,26 @@ def removals(found: DataFrame) -> DataFrame:
     cuts = F.filter(F.arrays_zip("offset", "count", "owner"), lambda r: r["owner"] < F.col("doc_id"))
     spans = F.transform(cuts, lambda r: F.struct((F.col("start") + r["offset"]).alias("a"), (F.col("start") + r["offset"] + r["count"] + (MATCH - 1)).alias("b")))
     rows = hits.select("doc_id", "row", spans.alias("cuts")).where(F.size("cuts") > 0)
-    return rows.groupBy("doc_id", "row").agg(F.flatten(F.collect_list("cuts")).alias("cuts"))  # at most a document's length
+    # at most a document's length; a and b as one number, so that a list is flat
+    rows = rows.select("doc_id", "row", F.transform("cuts", lambda c: F.shiftleft(c["a"].cast("long"), 32) + c["b"]).alias("cuts"))
+    rows = rows.groupBy("doc_id", "row").agg(F.flatten(F.collect_list("cuts")).alias("cuts"))
+
+    def run(batches):
+        for pdf in batches:
+            yield pdf.assign(cuts=[merge(np.asarray(c, np.int64)).tobytes() for c in pdf["cuts"]])
+
+    return rows.mapInPandas(run, "doc_id long, row long, cuts binary")
 
 
-def merge(cuts: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for a, b in sorted(cuts):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+def merge(cuts: np.ndarray) -> np.ndarray:
+    """Maximal intervals (a, b), one after another, from numbers a << 32 | b."""
+    cuts = np.sort(cuts)
+    start, end = cuts >> 32, np.maximum.accumulate(cuts & 0xFFFFFFFF)
+    first = np.flatnonzero(np.append(True, start[1:] > end[:-1]))
+    return np.stack([start[first], end[np.append(first[1:], len(cuts)) - 1]], axis=1).astype(np.int32)
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", hot_pieces: int = 2000, bucket_bytes: int = 32 << 20, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", hot_pieces: int = 300, bucket_bytes: int = 8 << 20, with_text: bool = False) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the kept bytes if wanted."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     marked = docs.select("doc_id", F.sha2("text", 256).alias("sha"), F.xxhash64("text").alias("row"), F.octet_length("text").cast("long").alias("n"))
@@ -422,14 +452,14 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     return _finish(docs, materialize(removals(found)), copies, with_text)
 
 
-def _small(table: DataFrame, row_bytes: int, max_bytes: int = 64 << 20) -> DataFrame:
+def _small(table: DataFrame, row_bytes: int, max_bytes: int = 32 << 20) -> DataFrame:
     n = max_bytes // row_bytes
     return F.broadcast(table) if table.limit(n + 1).count() <= n else table
 
 
 def _finish(docs: DataFrame, cuts: DataFrame, copies: DataFrame, with_text: bool) -> DataFrame:
-    size = cuts.agg(F.coalesce(F.sum(F.size("cuts") * 8 + 40), F.lit(0))).first()[0]
-    cuts = F.broadcast(cuts) if size <= 64 << 20 else cuts
+    size = cuts.agg(F.coalesce(F.sum(F.octet_length("cuts") + 64), F.lit(0))).first()[0]
+    cuts = F.broadcast(cuts) if size <= 32 << 20 else cuts
     rows = docs.join(cuts, ["doc_id", "row"], "left").join(_small(copies.withColumn("copy", F.lit(True)), 48), ["doc_id", "row"], "left")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
 
@@ -441,7 +471,7 @@ def _finish(docs: DataFrame, cuts: DataFrame, copies: DataFrame, with_text: bool
                 if copy is True or copy == True:  # noqa: E712  pandas may hand over a numpy bool
                     merged = [(0, len(data))]
                 else:
-                    merged = merge([(s["a"], s["b"]) for s in spans]) if spans is not None else []
+                    merged = np.frombuffer(spans, np.int32).reshape(-1, 2).tolist() if spans is not None else []
                 kept, at = [], 0
                 for a, b in merged:
                     kept.append(data[at:a])
