@@ -21,10 +21,11 @@ from __future__ import annotations
 
 import struct
 import zlib
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -32,7 +33,7 @@ from .common import materialize
 BITS = 128
 PATCH = 9  # tests lie inside this radius
 MARGIN = 12
-TURNS = 30
+TURNS = 36  # a quarter turn is a whole number of steps
 LEVELS = 3
 STEP = 0.75
 
@@ -207,6 +208,18 @@ def corners(images: DataFrame, per_level: int = 14) -> DataFrame:
     return rows.mapInPandas(run, _CORNERS)
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """Arrow batches of a few media rows, so that a worker holds a few images at a time."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _tables(reps: DataFrame, name: str) -> DataFrame:
     """A row per corner and table: (table, word), the descriptor, its place."""
     some = reps.where("n > 0")
@@ -231,7 +244,10 @@ def matches(queries: DataFrame, index: DataFrame, *, max_distance: int = 10, min
     few = queries.limit(20_001).count() <= 20_000  # at most 20,000 * 42 corners * 4 tables: bounded
     far = " + ".join(f"bit_count(q_w{i} ^ r_w{i})" for i in range(4))
     hit = r.join(F.broadcast(q) if few else q, ["table", "word"]).where(f"q <> r and {far} <= {int(max_distance)}")
-    hit = hit.dropDuplicates(["q", "q_k", "r", "r_k"])
+    # pairs with fewer matches than they need cast no votes; a pair has at most a match per pair of corners
+    places = [f"{i}_{g}" for i in "qr" for g in "kxyst"]
+    pairs = hit.groupBy("q", "r").agg(F.collect_set(F.struct(*places)).alias("m")).where(F.size("m") >= min_inliers)
+    hit = pairs.select("q", "r", F.explode("m").alias("m")).select("q", "r", "m.*")
     turn, scale = F.col("r_t") - F.col("q_t"), F.pow(F.lit(2.0), F.col("r_s") - F.col("q_s"))
     dx = F.col("r_x") - scale * (F.cos(turn) * F.col("q_x") - F.sin(turn) * F.col("q_y"))
     dy = F.col("r_y") - scale * (F.sin(turn) * F.col("q_x") + F.cos(turn) * F.col("q_y"))
@@ -256,7 +272,8 @@ def find_copies(images: DataFrame, is_query: Column, *, id_col: str = "id", imag
     """
     marked = images.select(F.col(id_col).cast("long").alias("id"), F.col(image_col).alias("image"), is_query.alias("is_query"))
     flags = marked.select("id", F.coalesce("is_query", F.lit(False)).alias("is_query"), F.coalesce(F.sha2("image", 256), F.lit("none")).alias("sha"))
-    found = materialize(corners(marked.select("id", "image")))
+    with batches_of(images.sparkSession, 200):
+        found = materialize(corners(marked.select("id", "image")))
     rows = materialize(flags.join(found.groupBy("sha").agg(F.min("id").alias("image_class"), F.first("n").alias("n_corners")), "sha"))
     reps = materialize(found.join(rows.select(F.col("image_class").alias("id"), "sha").distinct(), ["id", "sha"]).dropDuplicates(["id", "sha"]))
     asked = rows.where("is_query").select(F.col("image_class").alias("id")).distinct()
@@ -271,10 +288,10 @@ def find_copies(images: DataFrame, is_query: Column, *, id_col: str = "id", imag
 
 
 def picture(vector: np.ndarray, side: int = 96) -> np.ndarray:
-    """A picture of soft textures that a vector determines."""
+    """A picture of textures that a vector determines."""
     rnd = np.random.default_rng(np.frombuffer(np.ascontiguousarray(vector, np.float32).tobytes(), np.uint32))
     img = np.full((side, side), 128.0)
-    for cells, strength in ((6, 60.0), (12, 45.0), (24, 30.0)):
+    for cells, strength in ((12, 40.0), (24, 50.0), (48, 50.0)):
         img += strength * _resize(rnd.normal(size=(cells, cells)), side / cells)
     return np.clip(img, 0, 255)
 
