@@ -21,6 +21,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MAX_RULES = 1000
 
@@ -70,8 +72,8 @@ def _strength(groups: DataFrame) -> DataFrame:
         F.coalesce(F.sum("n"), F.lit(0)).alias("tot_n"),
         F.coalesce(F.sum("bad"), F.lit(0)).alias("tot_bad"),
         F.count(F.lit(1)).alias("g"),
-        F.coalesce(F.sum(F.col("n") * F.col("n")), F.lit(0)).alias("n2"),
-        F.coalesce(F.sum(F.col("bad") * F.col("bad") / F.col("n")), F.lit(0.0)).alias("b2"),
+        F.coalesce(F.sum(F.col("n").cast("double") * F.col("n")), F.lit(0.0)).alias("n2"),
+        F.coalesce(F.sum(F.col("bad").cast("double") * F.col("bad") / F.col("n")), F.lit(0.0)).alias("b2"),
     ).select("*", ((F.col("tot_bad") + 1.0) / (F.col("tot_n") + 2.0)).alias("p"))
     pq = F.col("p") * (1.0 - F.col("p"))
     spread = F.col("b2") - 2.0 * F.col("p") * F.col("tot_bad") + F.col("p") * F.col("p") * F.col("tot_n")
@@ -88,6 +90,7 @@ def host_posteriors(outcomes: DataFrame, hosts: DataFrame, *, z: float = 1.645)
     sizes follow the number of hosts, not of pages.
     """
     counts = outcomes.where(F.col("bad").isNotNull()).groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("bad").cast("long")).alias("bad"))
+    counts = materialize(counts)
     named = hosts.select("host").distinct().withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
     table = named.join(counts, "host", "left").fillna(0, ["n", "bad"])
     labelled = counts.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
@@ -95,13 +98,10 @@ def host_posteriors(outcomes: DataFrame, hosts: DataFrame, *, z: float = 1.645)
     for level in ("suffix", "domain"):
         per[level] = labelled.groupBy(level).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     per["host"] = counts
-    fits = {
-        level: _strength(per[level]).select(F.col("p").alias(f"p_{level}"), F.col("kappa").alias(f"k_{level}"))
-        for level in ("suffix", "domain", "host")
-    }
-    # three one-row tables: a scalar each, not a product of rows
-    for level, one in fits.items():
-        table = table.join(F.broadcast(one), F.lit(True), "left")
+    # two numbers of each level come to the driver
+    for level in ("suffix", "domain", "host"):
+        fit = _strength(per[level]).first()
+        table = table.withColumns({f"p_{level}": F.lit(fit.p), f"k_{level}": F.lit(fit.kappa)})
     for level in ("suffix", "domain"):
         table = table.join(per[level].select(level, F.col("n").alias(f"n_{level}"), F.col("bad").alias(f"b_{level}")), level, "left")
     table = table.fillna(0, ["n_suffix", "b_suffix", "n_domain", "b_domain"])
