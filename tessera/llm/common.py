@@ -55,7 +55,3 @@ def word_count(col):
     """Number of runs of non-white-space characters; null counts 0."""
     return F.coalesce(F.regexp_count(col, F.lit(f"[^{WS}]+")), F.lit(0)).cast("long")
 
-
-def file_bytes(df: DataFrame) -> int:
-    """Size of the files below a plan, by the optimizer's own statistics."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, word_count
+from .common import discard, materialize, word_count
 
 FIXED = 1 << 20  # fixed-point unit of the dual's sums
 
@@ -119,12 +119,13 @@ def newton_rates(docs: DataFrame, targets: DataFrame, cap: float = 2.0, toleranc
         inside = (low.isNull() | (step > low)) & (high.isNull() | (step < high))
         moved = F.when(F.coalesce(inside, F.lit(False)), step).otherwise(middle)
         stop = F.col("s.done") | F.col("value").isNull() | near | (moved == F.col("lam"))
-        state = materialize(
+        last, state = state, materialize(
             joined.select(
                 F.col("s.source").alias("source"), "target", "source_size", "docs",
                 F.when(stop, F.col("lam")).otherwise(moved).alias("lam"), low.alias("low"), high.alias("high"), stop.alias("done"),
             )
         )
+        discard(last)
         if not state.where(~F.col("done")).limit(1).count():
             break
     return state.select("source", "lam")
