@@ -9,6 +9,7 @@ same behind Structured Streaming: every micro-batch of arriving sources is one c
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Mapping
 
 import pandas as pd
@@ -68,14 +69,17 @@ def fill_batch(spark: SparkSession, sources: DataFrame, quota: DataFrame, accept
     rejected = files.read_jsonl(spark, rejected_path, REJECTED)
     slots = quotas.planned_slots(accepted, quota, concurrency)
     batch = quotas.assign(jn.remaining(sources, accepted, rejected), slots, order)
-    # the calls are paid for: their results are kept before two sinks read them
-    called = generate(batch, provider).persist()
+    # the calls are paid for: their results are written to the shared folder before two sinks read them
+    called = generate(batch, provider)
+    path = f"{files.shared_folder(spark)}/calls/{uuid.uuid4().hex}"
+    called.write.parquet(path)
+    called = spark.read.schema(called.schema).parquet(path)
     n = called.count()
     if n:
         good, bad = outcomes(called)
         files.append_jsonl(good, accepted_path)
         files.append_jsonl(bad, rejected_path)
-    called.unpersist()
+    files.remove(spark, path)
     return n
 
 
