@@ -198,7 +198,7 @@ def fit(
                     out.append((doc_id, -1, at.tolist(), delta[at].tolist()))
             yield pd.DataFrame(out, columns=["doc_id", "label", "cols", "vals"])
 
-    rows = sample.mapInPandas(project, "doc_id long, label int, cols array<int>, vals array<double>")
+    rows = materialize(sample.mapInPandas(project, "doc_id long, label int, cols array<int>, vals array<double>"))
     learnt = rows.where("label >= 0").collect()
     swaps = rows.where("label < 0 and size(cols) > 0").orderBy("doc_id", "cols", "vals").limit(max_pairs).collect()
     learnt.sort(key=lambda r: (r.doc_id, r.label, r.cols, r.vals))
