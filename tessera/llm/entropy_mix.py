@@ -93,7 +93,7 @@ def newton_rates(docs: DataFrame, targets: DataFrame, cap: float = 2.0, toleranc
     start = targets.select(
         "source", "target", "source_size", "docs",
         F.lit(0.0).alias("lam"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"),
-        F.lit(False).alias("done"),
+        (F.col("target") >= F.col("source_size") * F.lit(float(cap))).alias("done"),  # all at the cap: no lambda to find
     )
     state = materialize(start)
     for _ in range(max_steps):
