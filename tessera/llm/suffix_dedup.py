@@ -143,6 +143,16 @@ def _texts(batches, bound: int = 1 << 20):
 # --- which minimisers are shared -----------------------------------------------------------------
 
 
+def _grouped(key: np.ndarray, *then: np.ndarray) -> np.ndarray:
+    """Order by key, then by the other columns; most keys stand alone, and only the rest is sorted again."""
+    order = np.argsort(key)
+    same = key[order][1:] == key[order][:-1]
+    again = np.flatnonzero(np.append(same, False) | np.append(False, same))
+    rows = order[again]
+    order[again] = rows[np.lexsort((*[t[rows] for t in reversed(then)], key[rows]))]
+    return order
+
+
 def _bucket(least: np.ndarray, buckets: int) -> np.ndarray:
     return ((least >> _U(40)) * _U(buckets)) >> _U(24)
 
@@ -171,7 +181,7 @@ def piece_lists(docs: DataFrame, buckets: int) -> DataFrame:
 
         def flush():
             key, piece, doc = (np.concatenate(x) for x in zip(*store))
-            order = np.lexsort((doc, piece, key))
+            order = _grouped(key, piece, doc)
             key, piece, doc = key[order], piece[order], doc[order]
             first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (piece[1:] != piece[:-1])))
             last = np.append(first[1:], len(key)) - 1
@@ -207,7 +217,7 @@ def shared_minimisers(lists: DataFrame, hot_pieces: int) -> DataFrame:
         key = np.concatenate([_unpack(x, 5) for x in pdf["least"]])
         piece = np.concatenate([_unpack(x, 6) for x in pdf["piece"]])
         many = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=len(x) // 5).astype(bool) for m, x in zip(pdf["many"], pdf["least"])])
-        order = np.lexsort((piece, key))
+        order = _grouped(key, piece)
         key, piece, many = key[order], piece[order], many[order]
         cut = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         rows = np.diff(np.append(cut, len(key)))
@@ -257,7 +267,9 @@ def _occurrences(docs: DataFrame, buckets: int, lookup) -> DataFrame:
             piece[several] = piece_hashes(data, start[several], size[several]) | _U(1)
             content = np.full(len(name), None, object)
             where = np.flatnonzero(several)
-            _, one = np.unique(np.stack([name[where], piece[where]]), axis=1, return_index=True) if len(where) else (None, where)
+            where = where[_grouped(name[where], piece[where])]
+            one = np.ones(len(where), bool)
+            one[1:] = (name[where][1:] != name[where][:-1]) | (piece[where][1:] != piece[where][:-1])
             for w in where[one].tolist():
                 content[w] = data[start[w] : start[w] + size[w] + MATCH - 1]
             base = np.cumsum(lengths) - lengths
@@ -361,7 +373,7 @@ def decide(groups: list[tuple[list[bytes], list[int]]]) -> list[list[np.ndarray]
 _DECIDED = "least long, piece long, offset array<int>, count array<int>, owner array<long>"
 
 
-def decided_pieces(distinct: DataFrame, block: int = 1 << 20) -> DataFrame:
+def decided_pieces(distinct: DataFrame, block: int = 1 << 19) -> DataFrame:
     """Windows of distinct pieces (least, piece, content, doc_id) and the smallest id that has each."""
     rows = distinct.select("least", "piece", "content", "doc_id").repartition("least").sortWithinPartitions("least", "piece")
 
