@@ -25,6 +25,7 @@ from .common import materialize
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MAX_RULES = 1000
+MAX_HOSTS = 200_000  # rows of a broadcast table of hosts, about 100 bytes each
 
 #: Second-level labels that registries use as public suffixes.
 SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "net", "org")
@@ -137,7 +138,9 @@ def filter_urls(
     key = F.col(id_col) if outcome_key is None else outcome_key
     rows = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), key.alias("_key"))
     known = rows.select("host", "_key").join(outcomes.select(F.col("key").alias("_key"), "bad"), "_key").select("host", "bad")
-    posts = host_posteriors(known, rows, z=z)
+    posts = materialize(host_posteriors(known, rows, z=z))
+    if posts.limit(MAX_HOSTS + 1).count() <= MAX_HOSTS:  # a bounded table need not move the pages of a hot host
+        posts = F.broadcast(posts)
     rule, ruled = match_rule(F.col("host"), F.col("path"), rules)
     judged = F.when(F.col("post_low") > F.lit(float(max_bad)), "block").otherwise("allow")
     return rows.join(posts, "host", "left").select(
