@@ -21,14 +21,13 @@ from __future__ import annotations
 
 import struct
 import zlib
-from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import batches_of, materialize
 
 BITS = 128
 PATCH = 9  # tests lie inside this radius
@@ -208,18 +207,6 @@ def corners(images: DataFrame, per_level: int = 14) -> DataFrame:
     return rows.mapInPandas(run, _CORNERS)
 
 
-@contextmanager
-def batches_of(spark: SparkSession, rows: int):
-    """Arrow batches of a few media rows, so that a worker holds a few images at a time."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def _tables(reps: DataFrame, name: str) -> DataFrame:
     """A row per corner and table: (table, word), the descriptor, its place."""
     some = reps.where("n > 0")

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import batches_of, materialize
 from .lyndon_sort import sort_strings
 
 MATCH = 50
@@ -121,7 +121,7 @@ def piece_hashes(data: bytes, start: np.ndarray, size: np.ndarray) -> np.ndarray
     return np.fromiter((xx(data[s : s + n + MATCH - 1]) for s, n in zip(start.tolist(), size.tolist())), _U, len(start))
 
 
-def _texts(batches, bound: int = 1 << 20):
+def _texts(batches, bound: int = 1 << 19):
     """(ids, row keys, texts end to end, lengths) of groups of rows with about ``bound`` bytes."""
     ids, keys, texts, held = [], [], [], 0
     for pdf in batches:
@@ -200,7 +200,7 @@ def piece_lists(docs: DataFrame, buckets: int) -> DataFrame:
             least, text, start, size = pieces(arr, lengths)
             store.append((_named(least, buckets), piece_marks(arr, start, size), ids[text]))
             held += len(start)
-            if held > 400_000:
+            if held > 200_000:
                 yield flush()
                 store, held = [], 0
         if held:
@@ -305,7 +305,9 @@ def occurrences(docs: DataFrame, shared: DataFrame, buckets: int, max_bytes: int
             def of(name):
                 if not len(known):
                     return np.full(len(name), -1)
-                at = np.minimum(np.searchsorted(known, name), len(known) - 1)
+                order = np.argsort(name)  # sorted needles walk the table instead of jumping through it
+                at = np.empty(len(name), np.int64)
+                at[order] = np.minimum(np.searchsorted(known, name[order]), len(known) - 1)
                 return np.where(known[at] == name, kind[at], -1)
 
             return of
@@ -459,9 +461,11 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     copies = marked.join(groups.where("first < last").select("sha", "first"), "sha").where("doc_id > first").select("doc_id", "row").distinct()
     copies = materialize(copies)
     rest = docs.where("doc_id is not null").join(_small(copies, 48), ["doc_id", "row"], "left_anti")
-    shared = materialize(shared_minimisers(piece_lists(rest, buckets), hot_pieces))
-    found = materialize(occurrences(rest, shared, buckets))
-    return _finish(docs, materialize(removals(found)), copies, with_text)
+    with batches_of(docs.sparkSession, 1000):
+        shared = materialize(shared_minimisers(piece_lists(rest, buckets), hot_pieces))
+        found = materialize(occurrences(rest, shared, buckets))
+        cuts = materialize(removals(found))
+    return _finish(docs, cuts, copies, with_text)
 
 
 def _small(table: DataFrame, row_bytes: int, max_bytes: int = 32 << 20) -> DataFrame:
