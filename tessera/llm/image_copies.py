@@ -208,14 +208,11 @@ def corners(images: DataFrame, per_level: int = 14) -> DataFrame:
 
 
 def _tables(reps: DataFrame, name: str) -> DataFrame:
-    """A row per corner and table: (table, word), the descriptor, its place."""
+    """A row per corner and table: (table, word), the descriptor."""
     some = reps.where("n > 0")
-    corner = some.select(F.col("id").alias(name), "words", "geometry", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k"))
+    corner = some.select(F.col("id").alias(name), "words", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k"))
     word = lambda i: F.try_element_at("words", F.col("k") * 4 + i + 1)
-    place = lambda i: F.try_element_at("geometry", F.col("k") * 4 + i + 1).cast("double")
-    rows = corner.select(
-        name, F.col("k").alias(f"{name}_k"), *[word(i).alias(f"{name}_w{i}") for i in range(4)], *[place(i).alias(f"{name}_{g}") for i, g in enumerate("xyst")]
-    )
+    rows = corner.select(name, F.col("k").alias(f"{name}_k"), *[word(i).alias(f"{name}_w{i}") for i in range(4)])
     keys = F.array(*[F.struct(F.lit(t).alias("table"), F.col(f"{name}_w{t}").alias("word")) for t in range(4)])
     return rows.select("*", F.explode(keys).alias("key")).select("*", "key.table", "key.word").drop("key")
 
@@ -225,16 +222,40 @@ def _cells(value: Column, width: float) -> Column:
     return F.array(F.floor(value / width) * 2, F.floor(value / width + 0.5) * 2 - 1)
 
 
-def matches(queries: DataFrame, index: DataFrame, *, max_distance: int = 10, min_inliers: int = 5, shift: float = 8.0) -> DataFrame:
+def _salted(q: DataFrame, r: DataFrame, hot_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a salt: index rows of a key with over ``hot_rows`` of them are dealt out, its query rows go to each part."""
+    hot = r.groupBy("table", "word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows)
+    hot = materialize(hot.select("table", "word", F.ceil(F.col("n") / hot_rows).cast("int").alias("parts")))
+    parts = F.coalesce("parts", F.lit(1))
+    r = r.join(hot, ["table", "word"], "left").withColumn("salt", F.pmod(F.xxhash64("r", "r_k"), parts).cast("int")).drop("parts")
+    q = q.join(hot, ["table", "word"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    return q, r
+
+
+def matches(
+    queries: DataFrame, index: DataFrame, *, max_distance: int = 10, min_inliers: int = 5, shift: float = 8.0, hot_rows: int = 10_000, max_queries: int = 20_000
+) -> DataFrame:
     """(q, r, inliers) of images, one row per class each, that geometric consensus holds for copies."""
     q, r = _tables(queries, "q"), _tables(index, "r")
-    few = queries.limit(20_001).count() <= 20_000  # at most 20,000 * 42 corners * 4 tables: bounded
+    few = queries.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] <= max_queries * 42  # corners: bounded
     far = " + ".join(f"bit_count(q_w{i} ^ r_w{i})" for i in range(4))
-    hit = r.join(F.broadcast(q) if few else q, ["table", "word"]).where(f"q <> r and {far} <= {int(max_distance)}")
-    # pairs with fewer matches than they need cast no votes; a pair has at most a match per pair of corners
-    places = [f"{i}_{g}" for i in "qr" for g in "kxyst"]
-    pairs = hit.groupBy("q", "r").agg(F.collect_set(F.struct(*places)).alias("m")).where(F.size("m") >= min_inliers)
-    hit = pairs.select("q", "r", F.explode("m").alias("m")).select("q", "r", "m.*")
+    if few:
+        hit = r.join(F.broadcast(q), ["table", "word"])
+    else:
+        q, r = _salted(q, r, hot_rows)
+        hit = r.join(q, ["table", "word", "salt"])
+    hit = hit.where(f"q <> r and {far} <= {int(max_distance)}")
+    # until a pair of images has enough corners on either side it is carried as numbers of corners, eight bytes a match
+    both = F.col("q_k").cast("long") * F.lit(1 << 32) + F.col("r_k")
+    pairs = hit.groupBy("q", "r").agg(F.collect_set(both).alias("m"))
+    of = lambda f: F.size(F.array_distinct(F.transform("m", f)))
+    pairs = pairs.where((of(lambda m: F.shiftright(m, 32)) >= min_inliers) & (of(lambda m: m.bitwiseAND(F.lit((1 << 32) - 1))) >= min_inliers))
+    place = lambda t, name: t.select(F.col("id").alias(name), F.col("geometry").alias(f"{name}_g"))
+    pairs = pairs.join(place(queries, "q"), "q").join(place(index, "r"), "r")
+    at = lambda name, i: F.try_element_at(f"{name}_g", (F.col(f"{name}_k") * 4 + i + 1).cast("int")).cast("double").alias(f"{name}_{'xyst'[i]}")
+    hit = pairs.select("q", "r", "q_g", "r_g", F.explode("m").alias("m"))
+    hit = hit.withColumn("q_k", F.shiftright("m", 32).cast("int")).withColumn("r_k", F.col("m").bitwiseAND(F.lit((1 << 32) - 1)).cast("int"))
+    hit = hit.select("q", "r", "q_k", "r_k", *[at(name, i) for name in "qr" for i in range(4)])
     turn, scale = F.col("r_t") - F.col("q_t"), F.pow(F.lit(2.0), F.col("r_s") - F.col("q_s"))
     dx = F.col("r_x") - scale * (F.cos(turn) * F.col("q_x") - F.sin(turn) * F.col("q_y"))
     dy = F.col("r_y") - scale * (F.sin(turn) * F.col("q_x") + F.cos(turn) * F.col("q_y"))
@@ -275,10 +296,10 @@ def find_copies(images: DataFrame, is_query: Column, *, id_col: str = "id", imag
 
 
 def picture(vector: np.ndarray, side: int = 96) -> np.ndarray:
-    """A picture of textures that a vector determines."""
+    """A picture of soft textures that a vector determines."""
     rnd = np.random.default_rng(np.frombuffer(np.ascontiguousarray(vector, np.float32).tobytes(), np.uint32))
     img = np.full((side, side), 128.0)
-    for cells, strength in ((12, 40.0), (24, 50.0), (48, 50.0)):
+    for cells, strength in ((6, 60.0), (12, 45.0), (24, 30.0)):
         img += strength * _resize(rnd.normal(size=(cells, cells)), side / cells)
     return np.clip(img, 0, 255)
 

@@ -104,3 +104,14 @@ def test_query(spark):
     assert len(out) == 500 and len(asked) == 5
     right = sum(r.vec_id + 50 in r.copies for r in asked)
     assert right >= 0.9 * len(asked) and sum(len(r.copies) for r in asked) <= right + 1
+
+
+def test_soft_pictures_and_hot_keys(spark):
+    soft = pictures(20)
+    assert max(np.abs(np.diff(p, axis=1)).mean() for p in soft) < 12  # like sky or skin: neighbours differ little
+    base = pictures(12, seed=4)
+    rows = [(i, ic.encode_pgm(ic.edited(base[i + 6]) if i < 6 else img)) for i, img in enumerate(base)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    plain = sorted((r.id, tuple(r.copies or ())) for r in ic.find_copies(df, df.id < 6).collect())
+    salted = sorted((r.id, tuple(r.copies or ())) for r in ic.find_copies(df, df.id < 6, max_queries=0, hot_rows=1).collect())
+    assert salted == plain and sum(i + 6 in c for i, c in plain if i < 6) >= 5
