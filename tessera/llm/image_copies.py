@@ -1,6 +1,7 @@
 """Media columns: cropped or edited copies of images, by local descriptors.
 
-* Corners: gradient-tensor response on a pyramid of scales, local maxima, the strongest of each scale.
+* Corners: gradient-tensor response on a pyramid of scales down to 32 pixels a side, local maxima, the strongest of
+  each tile of 96 pixels of each scale, so their number grows with the area.
 * Each corner is turned by the direction of its patch's intensity centroid and described by 128 binary
   tests (is one point darker than another) at turned, smoothed positions: changes of brightness,
   contrast and in-plane rotation leave most bits alone.
@@ -33,8 +34,9 @@ BITS = 128
 PATCH = 9  # tests lie inside this radius
 MARGIN = 12
 TURNS = 36  # a quarter turn is a whole number of steps
-LEVELS = 3
 STEP = 0.75
+SMALLEST = 32  # pixels a side of the last level
+TILE = 96  # pixels of a level; each tile keeps its own strongest corners
 
 
 def _pattern() -> np.ndarray:
@@ -153,11 +155,11 @@ def _resize(a: np.ndarray, scale: float) -> np.ndarray:
 def describe(pixels: np.ndarray | None, per_level: int = 14) -> tuple[np.ndarray, np.ndarray]:
     """(bits as uint32 words [n, 4], geometry [n, 4] of x, y, log2 scale, turn in radians)."""
     words, places = [], []
-    for level in range(LEVELS if pixels is not None else 0):
+    level = 0
+    while pixels is not None and min(pixels.shape) * STEP**level >= SMALLEST:
         scale = STEP**level
-        if min(pixels.shape) * scale < 32:
-            break
-        img = pixels if level == 0 else _resize(pixels, scale)
+        level += 1
+        img = pixels if scale == 1 else _resize(pixels, scale)
         smooth = _box(img, 1)
         gy, gx = np.gradient(smooth)
         xx, yy, xy = _box(gx * gx, 2), _box(gy * gy, 2), _box(gx * gy, 2)
@@ -175,7 +177,10 @@ def describe(pixels: np.ndarray | None, per_level: int = 14) -> tuple[np.ndarray
         ys, xs = ys[on], xs[on]
         if not len(ys):
             continue
-        top = np.lexsort((xs, ys, -power[ys, xs]))[:per_level]
+        tile = ys // TILE * (img.shape[1] // TILE + 1) + xs // TILE
+        top = np.lexsort((xs, ys, -power[ys, xs], tile))
+        tile = tile[top]
+        top = top[np.arange(len(top)) - np.searchsorted(tile, tile) < per_level]
         ys, xs = ys[top], xs[top]
         around = smooth[ys[:, None] + _DISK[:, 1], xs[:, None] + _DISK[:, 0]]
         angle = np.arctan2(around @ _DISK[:, 1], around @ _DISK[:, 0])
@@ -189,19 +194,20 @@ def describe(pixels: np.ndarray | None, per_level: int = 14) -> tuple[np.ndarray
     return np.concatenate(words), np.concatenate(places)
 
 
-_CORNERS = "id long, sha string, n int, words array<long>, geometry array<float>"
+_CORNERS = "id long, sha string, n int, side int, words array<long>, geometry array<float>"
 
 
 def corners(images: DataFrame, per_level: int = 14) -> DataFrame:
-    """(id, sha, n, words, geometry) of every image (id, image): four words and four numbers per corner."""
+    """(id, sha, n, side, words, geometry) of every image (id, image): four words and four numbers per corner, the longer side."""
 
     def run(batches):
         for pdf in batches:
             out = []
             for i, sha, data in zip(pdf["id"], pdf["sha"], pdf["image"]):
-                w, g = describe(decode(data), per_level)
-                out.append((i, sha, len(w), w.ravel().astype(np.int64).tolist(), g.ravel().astype(np.float32).tolist()))
-            yield pd.DataFrame(out, columns=["id", "sha", "n", "words", "geometry"]).astype({"id": "Int64"})
+                pixels = decode(data)
+                w, g = describe(pixels, per_level)
+                out.append((i, sha, len(w), 0 if pixels is None else max(pixels.shape), w.ravel().astype(np.int64).tolist(), g.ravel().astype(np.float32).tolist()))
+            yield pd.DataFrame(out, columns=["id", "sha", "n", "side", "words", "geometry"]).astype({"id": "Int64"})
 
     rows = images.select(F.col("id").cast("long").alias("id"), F.coalesce(F.sha2("image", 256), F.lit("none")).alias("sha"), "image")
     return rows.mapInPandas(run, _CORNERS)
@@ -217,7 +223,7 @@ def _tables(reps: DataFrame, name: str) -> DataFrame:
     return rows.select("*", F.explode(keys).alias("key")).select("*", "key.table", "key.word").drop("key")
 
 
-def _cells(value: Column, width: float) -> Column:
+def _cells(value: Column, width: Column | float) -> Column:
     """The two half-overlapping cells of a value."""
     return F.array(F.floor(value / width) * 2, F.floor(value / width + 0.5) * 2 - 1)
 
@@ -251,21 +257,26 @@ def matches(
     of = lambda f: F.size(F.array_distinct(F.transform("m", f)))
     pairs = pairs.where((of(lambda m: F.shiftright(m, 32)) >= min_inliers) & (of(lambda m: m.bitwiseAND(F.lit((1 << 32) - 1))) >= min_inliers))
     place = lambda t, name: t.select(F.col("id").alias(name), F.col("geometry").alias(f"{name}_g"))
-    pairs = pairs.join(place(queries, "q"), "q").join(place(index, "r"), "r")
+    sides = queries.select(F.col("id").alias("q"), "side")
+    pairs = pairs.join(place(queries, "q"), "q").join(sides, "q").join(place(index, "r"), "r")
     at = lambda name, i: F.try_element_at(f"{name}_g", (F.col(f"{name}_k") * 4 + i + 1).cast("int")).cast("double").alias(f"{name}_{'xyst'[i]}")
-    hit = pairs.select("q", "r", "q_g", "r_g", F.explode("m").alias("m"))
+    hit = pairs.select("q", "r", "side", "q_g", "r_g", F.explode("m").alias("m"))
     hit = hit.withColumn("q_k", F.shiftright("m", 32).cast("int")).withColumn("r_k", F.col("m").bitwiseAND(F.lit((1 << 32) - 1)).cast("int"))
-    hit = hit.select("q", "r", "q_k", "r_k", *[at(name, i) for name in "qr" for i in range(4)])
+    hit = hit.select("q", "r", "side", "q_k", "r_k", *[at(name, i) for name in "qr" for i in range(4)])
     turn, scale = F.col("r_t") - F.col("q_t"), F.pow(F.lit(2.0), F.col("r_s") - F.col("q_s"))
     dx = F.col("r_x") - scale * (F.cos(turn) * F.col("q_x") - F.sin(turn) * F.col("q_y"))
     dy = F.col("r_y") - scale * (F.sin(turn) * F.col("q_x") + F.cos(turn) * F.col("q_y"))
     # a turn of 0 and of 360 degrees are the same; cells cover the circle once
     around = F.pmod(turn, F.lit(2 * np.pi))
     votes = hit.select(
-        "q", "r", "q_k", "r_k", _cells(around, np.pi / 6).alias("a"), _cells(F.col("r_s") - F.col("q_s"), 0.8).alias("s"), _cells(dx, 2 * shift).alias("x"), _cells(dy, 2 * shift).alias("y")
+        "q", "r", "q_k", "r_k", "side", _cells(around, np.pi / 6).alias("a"), F.explode(_cells(F.col("r_s") - F.col("q_s"), 0.8)).alias("s"), dx.alias("dx"), dy.alias("dy")
     )
+    # an error of turn or scale moves a corner in proportion to the query's size in the other image
+    extent = F.col("side") * F.pow(F.lit(2.0), (F.col("s") / 2 + 0.5) * 0.8)
+    width = 2 * shift * F.greatest(F.lit(1.0), extent / TILE)
+    votes = votes.withColumn("x", _cells(F.col("dx"), width)).withColumn("y", _cells(F.col("dy"), width)).drop("dx", "dy", "side")
     votes = votes.withColumn("a", F.transform("a", lambda c: F.pmod(c, F.lit(24))))
-    for name in "asxy":
+    for name in "axy":
         votes = votes.withColumn(name, F.explode(name))
     # sets of at most an image's corners; a corner counts once on either side
     both = F.least(F.size(F.collect_set("q_k")), F.size(F.collect_set("r_k")))

@@ -115,3 +115,14 @@ def test_soft_pictures_and_hot_keys(spark):
     plain = sorted((r.id, tuple(r.copies or ())) for r in ic.find_copies(df, df.id < 6).collect())
     salted = sorted((r.id, tuple(r.copies or ())) for r in ic.find_copies(df, df.id < 6, max_queries=0, hot_rows=1).collect())
     assert salted == plain and sum(i + 6 in c for i, c in plain if i < 6) >= 5
+
+
+def test_small_crops_and_thumbnails_of_large_images(spark):
+    rnd = np.random.default_rng(6)
+    base = [np.block([[ic.picture(rnd.normal(size=64)) for _ in range(4)] for _ in range(4)]) for _ in range(8)]
+    changed = [img[100:210, 60:170] if i < 4 else ic._resize(ic._box(img, 1), 1 / 3) for i, img in enumerate(base)]  # 8 % of the area; a third of the side
+    rows = [(i, ic.encode_pgm(img)) for i, img in enumerate(changed)] + [(100 + i, ic.encode_pgm(img)) for i, img in enumerate(base)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r.id: r.copies for r in ic.find_copies(df, df.id < 100).collect()}
+    assert sum(100 + i in got[i] for i in range(4)) >= 3 and sum(100 + i in got[i] for i in range(4, 8)) >= 3
+    assert sum(len(set(got[i]) - {100 + i}) for i in range(8)) == 0
