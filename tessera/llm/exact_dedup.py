@@ -170,7 +170,7 @@ def screen(incoming: DataFrame, filters: DataFrame, buckets: int) -> DataFrame:
 
 
 def match_snapshot(incoming: DataFrame, snapshot: DataFrame, incoming_text: DataFrame, snapshot_text: DataFrame, buckets: int) -> DataFrame:
-    """(digest, snapshot_id) of incoming groups whose text is, byte for byte, in the snapshot.
+    """(digest, snapshot_id, hit) of incoming groups whose text is, byte for byte, in the snapshot.
 
     ``incoming`` and ``snapshot`` are ``grouped`` tables; the text tables hold (doc_id, text)
     for at least the ids that the groups keep.
@@ -181,15 +181,18 @@ def match_snapshot(incoming: DataFrame, snapshot: DataFrame, incoming_text: Data
             snapshot.select("digest", F.col("keep_id").alias("snapshot_id")), "digest"
         )
     )
-    new = incoming_text.select(F.col("doc_id").alias("new_id"), normalised(F.col("text")).alias("new_text"))
-    old = snapshot_text.select(F.col("doc_id").alias("snapshot_id"), normalised(F.col("text")).alias("old_text"))
-    # the ids go first: only texts of positive groups are shuffled
-    new = new.join(pairs.select("new_id").distinct(), "new_id", "left_semi")
-    old = old.join(pairs.select("snapshot_id").distinct(), "snapshot_id", "left_semi")
-    checked = pairs.join(new.groupBy("new_id").agg(F.first("new_text").alias("new_text")), "new_id").join(
-        old.groupBy("snapshot_id").agg(F.first("old_text").alias("old_text")), "snapshot_id"
-    )
-    return checked.where(F.col("new_text").eqNullSafe(F.col("old_text"))).select("digest", "snapshot_id")
+
+    def texts(table, name):
+        """One text per positive group, by id and digest; an id may be null or stand for several texts."""
+        rows = table.select(F.col("doc_id").alias("_i"), normalised(F.col("text")).alias(f"{name}_text"))
+        wanted = pairs.select(F.col(f"{name}_id").alias("_w"), "digest").distinct()
+        rows = rows.withColumn("_d", F.sha2(f"{name}_text", 256))
+        # the ids and digests go first: only texts of positive groups are shuffled
+        rows = rows.join(wanted, (F.col("_d") == F.col("digest")) & F.col("_i").eqNullSafe(F.col("_w")), "left_semi")
+        return rows.groupBy(F.col("_d").alias("digest")).agg(F.first(f"{name}_text").alias(f"{name}_text"))
+
+    checked = pairs.join(texts(incoming_text, "new"), "digest").join(texts(snapshot_text, "snapshot"), "digest")
+    return checked.where(F.col("new_text").eqNullSafe(F.col("snapshot_text"))).select("digest", "snapshot_id", F.lit(True).alias("hit"))
 
 
 def exact_dedup(docs: DataFrame, is_snapshot: Column | None = None, id_col: str = "doc_id", text_col: str = "text", bucket_keys: int = BUCKET_KEYS) -> DataFrame:
@@ -206,6 +209,7 @@ def exact_dedup(docs: DataFrame, is_snapshot: Column | None = None, id_col: str
         is_snapshot = F.col("doc_id") <= F.lit(((low or 0) + (high or 0)) // 2)
     else:
         n = marked.count()
+    is_snapshot = F.coalesce(is_snapshot, F.lit(False))  # rows that the mark is null for (no id) are of the batch
     buckets = max(1, -(-n // bucket_keys))
     old = grouped(marked.where(is_snapshot))
     new = grouped(marked.where(~is_snapshot))
@@ -213,7 +217,7 @@ def exact_dedup(docs: DataFrame, is_snapshot: Column | None = None, id_col: str
     # groups of the snapshot, with the incoming groups that match them; groups of the batch alone
     sizes = new.select("digest", F.col("keep_id").alias("new_keep"), F.col("group_size").alias("new_size"))
     joined = sizes.join(matched, "digest", "left")
-    both = old.join(joined.where(F.col("snapshot_id").isNotNull()).select("digest", "new_size"), "digest", "left")
+    both = old.join(joined.where("hit").select("digest", "new_size"), "digest", "left")
     groups = materialize(
         both.select("digest", "keep_id", (F.col("group_size") + F.coalesce("new_size", F.lit(0))).alias("group_size"), F.lit(True).alias("of_snapshot"))
         .unionByName(
@@ -221,7 +225,7 @@ def exact_dedup(docs: DataFrame, is_snapshot: Column | None = None, id_col: str
                 "digest",
                 F.coalesce("snapshot_id", "new_keep").alias("keep_id"),
                 F.col("new_size").alias("group_size"),
-                F.col("snapshot_id").isNotNull().alias("of_snapshot"),
+                F.coalesce("hit", F.lit(False)).alias("of_snapshot"),
             ).where(~F.col("of_snapshot"))
         )
         .where(F.col("group_size") > 1)
@@ -230,9 +234,9 @@ def exact_dedup(docs: DataFrame, is_snapshot: Column | None = None, id_col: str
     hit = groups.groupBy("digest").agg(F.max(F.struct(F.col("of_snapshot"), "keep_id", "group_size")).alias("g"))
     return marked.join(hit, "digest", "left").select(
         "doc_id",
-        F.coalesce("g.keep_id", "doc_id").alias("keep_id"),
+        F.when(F.col("g").isNull(), F.col("doc_id")).otherwise(F.col("g.keep_id")).alias("keep_id"),
         F.coalesce("g.group_size", F.lit(1)).cast("long").alias("group_size"),
-        F.coalesce("g.keep_id", "doc_id").eqNullSafe(F.col("doc_id")).alias("kept"),
+        F.when(F.col("g").isNull(), F.col("doc_id")).otherwise(F.col("g.keep_id")).eqNullSafe(F.col("doc_id")).alias("kept"),
         F.col("digest").alias("text_sha256"),
     )
 

@@ -45,3 +45,11 @@ def test_snapshot_rows_stay_before_incoming(spark):
     df = spark.createDataFrame([(1, "same"), (9, "same"), (5, "other"), (2, "other")], SCHEMA)
     got = {r.doc_id: r.keep_id for r in ed.exact_dedup(df, F.col("doc_id").isin(9, 5)).collect()}
     assert got == {1: 9, 9: 9, 5: 5, 2: 5}
+
+
+def test_rows_without_id_and_repeated_ids(spark):
+    rows = [(None, "a  b"), (1, "a b"), (None, "c"), (None, "c"), (None, "alone"), (2, "d"), (2, "e"), (9, "d"), (8, "e"), (2, "d")]
+    got = [tuple(r)[:4] for r in ed.exact_dedup(spark.createDataFrame(rows, SCHEMA)).collect()]
+    want = [(None, 1, 2, False), (1, 1, 2, True), (None, None, 2, True), (None, None, 2, True), (None, None, 1, True)]
+    want += [(2, 2, 3, True), (2, 2, 3, True), (9, 2, 3, False), (2, 2, 2, True), (8, 2, 2, False)]
+    assert sorted(got, key=str) == sorted(want, key=str)
