@@ -1,21 +1,24 @@
 """Exact dedup against immutable snapshots, screened by static binary-fuse filters.
 
-A snapshot is a table of distinct texts already kept: one row per digest.  It never
-changes, so each of its buckets gets one static binary-fuse filter (three probes, about
-nine bits a key for 8-bit fingerprints).  An incoming batch is handled in two ways:
+A snapshot holds distinct texts already kept: one row per digest.  It never changes, so each of its buckets gets one
+static binary-fuse filter (three probes, about nine bits a key for 8-bit fingerprints).  An incoming batch is handled in
+two ways:
 
 * its digests are grouped among themselves (new-batch duplicates), and
 * one digest per group goes through the filter of its bucket; the few positives join the
   exact bucket by digest, and their texts are compared byte for byte.
 
+``take_in`` keeps snapshots as folders of filters and rows: every batch is held against all of them and what it adds is the next
+one, so filters are built once.  ``exact_dedup`` does the same within one table, of which a part is the snapshot.
+
 Digests are uniform, so a bucket holds close to ``BUCKET_KEYS`` keys whatever the data; a
 group of copies is one digest by then, because grouping pre-aggregates before the shuffle.
 
-Defined results: null text counts as empty, and all empty texts are equal; white space runs
-``[\\x20\\x09-\\x0D]+`` count as one space; of equal texts the row with the smallest id stays
-(a snapshot's row before any incoming one); a row repeated with its id is one more row of
-its group; a row without an id stays only where its whole group has none; an empty table gives an
-empty result.
+Defined results: null text counts as empty, and all empty texts are equal; texts of any length are taken whole; white space runs
+``[\\x20\\x09-\\x0D]+`` count as one space; of equal texts the row with the smallest id stays (a snapshot's row before any
+incoming one); a row repeated with its id is one more row of its group, and both are marked as kept where their id is the group's; an
+id that stands for several texts belongs to each text's group; a row without an id stays only where its whole group has none (all such
+rows are then marked as kept); other columns, whatever their names, are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -169,30 +172,40 @@ def screen(incoming: DataFrame, filters: DataFrame, buckets: int) -> DataFrame:
     return left.cogroup(filters.groupBy("bucket")).applyInPandas(probe, "digest string")
 
 
-def match_snapshot(incoming: DataFrame, snapshot: DataFrame, incoming_text: DataFrame, snapshot_text: DataFrame, buckets: int) -> DataFrame:
+def _few(table: DataFrame, row_bytes: int, max_bytes: int = 32 << 20) -> DataFrame:
+    """The table, as a broadcast where its rows, counted, stay within the bound."""
+    n = max_bytes // row_bytes
+    return F.broadcast(table) if table.limit(n + 1).count() <= n else table
+
+
+def match_snapshot(incoming: DataFrame, incoming_text: DataFrame, snapshot: DataFrame, snapshot_text: DataFrame, filters: DataFrame, buckets: int) -> DataFrame:
     """(digest, snapshot_id, hit) of incoming groups whose text is, byte for byte, in the snapshot.
 
-    ``incoming`` and ``snapshot`` are ``grouped`` tables; the text tables hold (doc_id, text)
-    for at least the ids that the groups keep.
+    ``incoming`` and ``snapshot`` are ``grouped`` tables; the text tables hold (digest, text), normalised, for at least their digests.
     """
-    positive = screen(incoming, snapshot_filters(snapshot, buckets), buckets)
-    pairs = materialize(
-        positive.join(incoming.select("digest", F.col("keep_id").alias("new_id")), "digest").join(
-            snapshot.select("digest", F.col("keep_id").alias("snapshot_id")), "digest"
-        )
-    )
+    positive = screen(incoming, filters, buckets)
+    pairs = materialize(positive.join(snapshot.select("digest", F.col("keep_id").alias("snapshot_id")), "digest"))
+    wanted = _few(pairs.select("digest").distinct(), 100)
 
     def texts(table, name):
-        """One text per positive group, by id and digest; an id may be null or stand for several texts."""
-        rows = table.select(F.col("doc_id").alias("_i"), normalised(F.col("text")).alias(f"{name}_text"))
-        wanted = pairs.select(F.col(f"{name}_id").alias("_w"), "digest").distinct()
-        rows = rows.withColumn("_d", F.sha2(f"{name}_text", 256))
-        # the ids and digests go first: only texts of positive groups are shuffled
-        rows = rows.join(wanted, (F.col("_d") == F.col("digest")) & F.col("_i").eqNullSafe(F.col("_w")), "left_semi")
-        return rows.groupBy(F.col("_d").alias("digest")).agg(F.first(f"{name}_text").alias(f"{name}_text"))
+        """One text per positive group; no other text is shuffled."""
+        return table.join(wanted, "digest", "left_semi").groupBy("digest").agg(F.first("text").alias(name))
+
+    checked = pairs.join(texts(incoming_text, "new_text"), "digest").join(texts(snapshot_text, "old_text"), "digest")
+    return checked.where(F.col("new_text") == F.col("old_text")).select("digest", "snapshot_id", F.lit(True).alias("hit"))
 
-    checked = pairs.join(texts(incoming_text, "new"), "digest").join(texts(snapshot_text, "snapshot"), "digest")
-    return checked.where(F.col("new_text").eqNullSafe(F.col("snapshot_text"))).select("digest", "snapshot_id", F.lit(True).alias("hit"))
+
+def _texts(rows: DataFrame) -> DataFrame:
+    return rows.select(normalised(F.col("text")).alias("text")).select(F.sha2("text", 256).alias("digest"), "text")
+
+
+def _named(marked: DataFrame, groups: DataFrame) -> DataFrame:
+    """Every row (doc_id, digest) with its group (digest, g: keep_id, group_size); a row without a group stands alone."""
+    keep = F.when(F.col("g").isNull(), F.col("doc_id")).otherwise(F.col("g.keep_id"))
+    return marked.join(groups, "digest", "left").select(
+        "doc_id", keep.alias("keep_id"), F.coalesce("g.group_size", F.lit(1)).cast("long").alias("group_size"),
+        F.coalesce(~F.col("g.of_snapshot"), F.lit(True)).alias("own"), F.col("digest").alias("text_sha256"),
+    ).withColumn("kept", F.col("keep_id").eqNullSafe(F.col("doc_id")))
 
 
 def exact_dedup(docs: DataFrame, is_snapshot: Column | None = None, id_col: str = "doc_id", text_col: str = "text", bucket_keys: int = BUCKET_KEYS) -> DataFrame:
@@ -202,7 +215,7 @@ def exact_dedup(docs: DataFrame, is_snapshot: Column | None = None, id_col: str
     so that a match always keeps the smaller id.  Returns one row per input row: doc_id,
     keep_id, group_size, kept, text_sha256.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     marked = materialize(digests(rows))
     if is_snapshot is None:
         low, high, n = marked.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
@@ -213,30 +226,69 @@ def exact_dedup(docs: DataFrame, is_snapshot: Column | None = None, id_col: str
     buckets = max(1, -(-n // bucket_keys))
     old = grouped(marked.where(is_snapshot))
     new = grouped(marked.where(~is_snapshot))
-    matched = match_snapshot(new, old, rows.where(~is_snapshot), rows.where(is_snapshot), buckets)
+    matched = match_snapshot(new, _texts(rows.where(~is_snapshot)), old, _texts(rows.where(is_snapshot)), snapshot_filters(old, buckets), buckets)
     # groups of the snapshot, with the incoming groups that match them; groups of the batch alone
     sizes = new.select("digest", F.col("keep_id").alias("new_keep"), F.col("group_size").alias("new_size"))
     joined = sizes.join(matched, "digest", "left")
     both = old.join(joined.where("hit").select("digest", "new_size"), "digest", "left")
     groups = materialize(
-        both.select("digest", "keep_id", (F.col("group_size") + F.coalesce("new_size", F.lit(0))).alias("group_size"), F.lit(True).alias("of_snapshot"))
-        .unionByName(
-            joined.select(
-                "digest",
-                F.coalesce("snapshot_id", "new_keep").alias("keep_id"),
-                F.col("new_size").alias("group_size"),
-                F.coalesce("hit", F.lit(False)).alias("of_snapshot"),
-            ).where(~F.col("of_snapshot"))
-        )
+        both.select("digest", "keep_id", (F.col("group_size") + F.coalesce("new_size", F.lit(0))).alias("group_size"))
+        .unionByName(joined.where("hit is null").select("digest", F.col("new_keep").alias("keep_id"), F.col("new_size").alias("group_size")))
         .where(F.col("group_size") > 1)
     )
-    # a digest names two groups only if two different texts share it; then the smaller id tells them apart
-    hit = groups.groupBy("digest").agg(F.max(F.struct(F.col("of_snapshot"), "keep_id", "group_size")).alias("g"))
-    return marked.join(hit, "digest", "left").select(
-        "doc_id",
-        F.when(F.col("g").isNull(), F.col("doc_id")).otherwise(F.col("g.keep_id")).alias("keep_id"),
-        F.coalesce("g.group_size", F.lit(1)).cast("long").alias("group_size"),
-        F.when(F.col("g").isNull(), F.col("doc_id")).otherwise(F.col("g.keep_id")).eqNullSafe(F.col("doc_id")).alias("kept"),
-        F.col("digest").alias("text_sha256"),
-    )
+    # one digest names two groups only if two different texts share it; then the larger id's row tells them apart
+    hit = groups.groupBy("digest").agg(F.max(F.struct("keep_id", "group_size", F.lit(False).alias("of_snapshot"))).alias("g"))
+    return _named(marked, hit).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
 
+# --- snapshots that stay ---------------------------------------------------------------------
+
+
+def snapshots(spark, folder: str) -> list[str]:
+    """Paths of a folder's snapshots, oldest first; one that was not finished does not count."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    done = lambda p: fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p.toString() + "/filters/_SUCCESS"))
+    found = [s.getPath() for s in fs.listStatus(path) if s.getPath().getName().isdigit()]
+    return [p.toString() for p in sorted(found, key=lambda p: int(p.getName())) if done(p)]
+
+
+def take_in(batch: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", bucket_keys: int = BUCKET_KEYS) -> DataFrame:
+    """Dedup a batch against all snapshots of ``folder`` and add what it brings as the next one.
+
+    Returns one row per row of the batch: doc_id, keep_id (of the snapshot's row where it has the text), group_size (rows
+    of the batch, and the snapshot's), kept, text_sha256.
+    """
+    spark = batch.sparkSession
+    rows = batch.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    marked = materialize(digests(rows))
+    new = materialize(grouped(marked))
+    earlier = snapshots(spark, folder)
+    matched = None
+    for path in earlier:
+        kept, filters = spark.read.parquet(f"{path}/rows"), spark.read.parquet(f"{path}/filters")
+        buckets = filters.select("buckets").first()
+        if buckets is None:
+            continue
+        found = match_snapshot(new, _texts(rows), kept.select("digest", "keep_id"), kept.select("digest", "text"), filters.drop("buckets"), buckets[0])
+        matched = found if matched is None else matched.unionByName(found)
+    if matched is None:
+        joined = new.withColumn("snapshot_id", F.lit(None).cast("long")).withColumn("hit", F.lit(None).cast("boolean"))
+    else:
+        joined = new.join(matched.groupBy("digest").agg(F.min("snapshot_id").alias("snapshot_id"), F.lit(True).alias("hit")), "digest", "left")
+    joined = materialize(joined)
+    added = joined.where("hit is null").select("digest", "keep_id")
+    number = int(earlier[-1].rsplit("/", 1)[1]) + 1 if earlier else 0
+    texts = _texts(rows).groupBy("digest").agg(F.first("text").alias("text"))
+    added.join(texts, "digest").write.mode("overwrite").parquet(f"{folder}/{number}/rows")
+    buckets = max(1, -(-added.count() // bucket_keys))
+    snapshot_filters(added, buckets).withColumn("buckets", F.lit(buckets)).write.mode("overwrite").parquet(f"{folder}/{number}/filters")
+    known = F.coalesce("hit", F.lit(False))
+    of = F.struct(
+        F.when(known, F.col("snapshot_id")).otherwise(F.col("keep_id")).alias("keep_id"),
+        (F.col("group_size") + known.cast("int")).alias("group_size"), known.alias("of_snapshot"),
+    )
+    out = _named(marked, joined.select("digest", of.alias("g")))
+    return out.select("doc_id", "keep_id", "group_size", (F.col("kept") & F.col("own")).alias("kept"), "text_sha256")

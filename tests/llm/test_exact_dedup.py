@@ -53,3 +53,46 @@ def test_rows_without_id_and_repeated_ids(spark):
     want = [(None, 1, 2, False), (1, 1, 2, True), (None, None, 2, True), (None, None, 2, True), (None, None, 1, True)]
     want += [(2, 2, 3, True), (2, 2, 3, True), (9, 2, 3, False), (2, 2, 2, True), (8, 2, 2, False)]
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_an_id_with_several_texts_in_any_order(spark):
+    rows = [(1, "other text"), (1, "aaa bbb"), (9, "aaa  bbb"), (10, "zzz"), (9, "zzz")]
+    want = [(1, 1, 1, True), (1, 1, 2, True), (9, 1, 2, False), (9, 9, 2, True), (10, 9, 2, False)]
+    for some in (rows, rows[::-1], [rows[1], rows[0], *rows[2:]]):
+        got = ed.exact_dedup(spark.createDataFrame(some, SCHEMA).coalesce(1))
+        assert sorted(tuple(r)[:4] for r in got.collect()) == sorted(want)
+    none = spark.createDataFrame([(7, "x"), (None, "x"), (None, "y"), (None, "y")], SCHEMA)
+    got = [tuple(r)[:4] for r in ed.exact_dedup(none).collect()]
+    assert sorted(got, key=str) == sorted([(7, 7, 2, True), (None, 7, 2, False), (None, None, 2, True), (None, None, 2, True)], key=str)
+
+
+def test_three_batches_against_stored_snapshots(spark, tmp_path):
+    folder = str(tmp_path / "kept")
+    batches = [
+        [(5, "a"), (6, "a"), (7, "b  b"), (None, "n")],
+        [(1, "a"), (2, "b b"), (3, "c"), (4, "c"), (8, None)],
+        [(5, "a"), (9, "c"), (10, "d"), (11, ""), (12, "n")],
+    ]
+    want = [
+        [(5, 5, 2, True), (6, 5, 2, False), (7, 7, 1, True), (None, None, 1, True)],
+        [(1, 5, 2, False), (2, 7, 2, False), (3, 3, 2, True), (4, 3, 2, False), (8, 8, 1, True)],
+        [(5, 5, 2, False), (9, 3, 2, False), (10, 10, 1, True), (11, 8, 2, False), (12, None, 2, False)],
+    ]
+    for rows, right in zip(batches, want):
+        out = ed.take_in(spark.createDataFrame(rows, SCHEMA), folder, bucket_keys=2).collect()
+        assert sorted((tuple(r)[:4] for r in out), key=str) == sorted(right, key=str)
+    assert [p.rsplit("/", 1)[1] for p in ed.snapshots(spark, folder)] == ["0", "1", "2"]
+    assert ed.take_in(spark.createDataFrame([], SCHEMA), folder).count() == 0
+    assert ed.take_in(spark.createDataFrame([(20, "d")], SCHEMA), folder).first().keep_id == 10
+
+
+def test_sql_of_the_query(spark):
+    import duckdb
+
+    from tessera.llm.queries import SQL, op5_exact_dedup
+
+    d = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{d}/documents.parquet'")
+    want = con.sql(f"select doc_id, keep_id, group_size, kept, text_sha256 from ({SQL['op5_exact_dedup']})").fetchall()
+    assert sorted(map(tuple, op5_exact_dedup(spark, d).collect())) == sorted(want)
