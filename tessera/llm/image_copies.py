@@ -11,11 +11,14 @@
 * Geometric consensus: each match votes for the turn, scale and shift that it implies, in overlapping cells;
   two images are copies when ``min_inliers`` corners of the query agree on a cell.
 
-Byte-equal images are one class before anything is matched, so a large group of copies is one index entry.
+Byte-equal images are one class before anything is matched or described, so a large group of copies is one index entry.
 
 Defined results: null, empty or undecodable bytes and flat images have no corners and match nothing, but null is a class, as is
 every distinct byte string; binary PGM and PPM and 8-bit PNG without interlacing are decoded; images below 32 pixels a
-side have no corners; repeated rows are members of their class; an empty table gives an empty result.
+side have no corners, larger ones are described whole; repeated rows are members of their class, and rows that share an id but not
+their bytes belong to a class each; rows without an id are queries and index entries like all others, and a class without any
+id has a null ``image_class`` and counts in ``n_copies`` without standing in ``copies``; among equally strong corners of a tile the
+upper, then the left one comes first; other columns, whatever their names, are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import batches_of, materialize
 
 BITS = 128
-PATCH = 9  # tests lie inside this radius
+PATCH = 11.4  # turned tests lie inside this radius, and inside the margin when rounded
 MARGIN = 12
 TURNS = 36  # a quarter turn is a whole number of steps
 STEP = 0.75
@@ -41,8 +44,8 @@ TILE = 96  # pixels of a level; each tile keeps its own strongest corners
 
 def _pattern() -> np.ndarray:
     """Pairs of points of the binary tests, turned by each of ``TURNS`` angles: (turn, test, point, xy)."""
-    rnd = np.random.default_rng(20)
-    points = np.clip(rnd.normal(0, PATCH / 2.2, (BITS, 2, 2)), -PATCH * 0.7, PATCH * 0.7)
+    points = np.random.default_rng(20).normal(0, 6.5, (BITS * 12, 2))
+    points = points[np.hypot(*points.T) <= PATCH][: BITS * 2].reshape(BITS, 2, 2)
     angle = np.arange(TURNS) * 2 * np.pi / TURNS
     turn = np.stack([np.stack([np.cos(angle), -np.sin(angle)], -1), np.stack([np.sin(angle), np.cos(angle)], -1)], -2)
     return np.round(np.einsum("tab,ijb->tija", turn, points)).astype(np.int64)
@@ -194,33 +197,32 @@ def describe(pixels: np.ndarray | None, per_level: int = 14) -> tuple[np.ndarray
     return np.concatenate(words), np.concatenate(places)
 
 
-_CORNERS = "id long, sha string, n int, side int, words array<long>, geometry array<float>"
+_CORNERS = "key long, n int, side int, words array<long>, geometry array<float>"
 
 
 def corners(images: DataFrame, per_level: int = 14) -> DataFrame:
-    """(id, sha, n, side, words, geometry) of every image (id, image): four words and four numbers per corner, the longer side."""
+    """(key, n, side, words, geometry) of every image (key, image): four words and four numbers per corner, the longer side."""
 
     def run(batches):
         for pdf in batches:
             out = []
-            for i, sha, data in zip(pdf["id"], pdf["sha"], pdf["image"]):
+            for i, data in zip(pdf["key"], pdf["image"]):
                 pixels = decode(data)
                 w, g = describe(pixels, per_level)
-                out.append((i, sha, len(w), 0 if pixels is None else max(pixels.shape), w.ravel().astype(np.int64).tolist(), g.ravel().astype(np.float32).tolist()))
-            yield pd.DataFrame(out, columns=["id", "sha", "n", "side", "words", "geometry"]).astype({"id": "Int64"})
+                out.append((i, len(w), 0 if pixels is None else max(pixels.shape), w.ravel().astype(np.int64).tolist(), g.ravel().astype(np.float32).tolist()))
+            yield pd.DataFrame(out, columns=["key", "n", "side", "words", "geometry"])
 
-    rows = images.select(F.col("id").cast("long").alias("id"), F.coalesce(F.sha2("image", 256), F.lit("none")).alias("sha"), "image")
-    return rows.mapInPandas(run, _CORNERS)
+    return images.select("key", "image").mapInPandas(run, _CORNERS)
 
 
 def _tables(reps: DataFrame, name: str) -> DataFrame:
     """A row per corner and table: (table, word), the descriptor."""
     some = reps.where("n > 0")
-    corner = some.select(F.col("id").alias(name), "words", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k"))
+    corner = some.select(F.col("key").alias(name), "words", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k"))
     word = lambda i: F.try_element_at("words", F.col("k") * 4 + i + 1)
     rows = corner.select(name, F.col("k").alias(f"{name}_k"), *[word(i).alias(f"{name}_w{i}") for i in range(4)])
     keys = F.array(*[F.struct(F.lit(t).alias("table"), F.col(f"{name}_w{t}").alias("word")) for t in range(4)])
-    return rows.select("*", F.explode(keys).alias("key")).select("*", "key.table", "key.word").drop("key")
+    return rows.select("*", F.explode(keys).alias("at")).select("*", "at.table", "at.word").drop("at")
 
 
 def _cells(value: Column, width: Column | float) -> Column:
@@ -239,11 +241,15 @@ def _salted(q: DataFrame, r: DataFrame, hot_rows: int) -> tuple[DataFrame, DataF
 
 
 def matches(
-    queries: DataFrame, index: DataFrame, *, max_distance: int = 10, min_inliers: int = 5, shift: float = 8.0, hot_rows: int = 10_000, max_queries: int = 20_000
+    queries: DataFrame, index: DataFrame, *, max_distance: int = 10, min_inliers: int = 5, shift: float = 8.0, hot_rows: int = 10_000, max_queries: int = 1_000
 ) -> DataFrame:
-    """(q, r, inliers) of images, one row per class each, that geometric consensus holds for copies."""
+    """(q, r, inliers) of images, one row per class each, that geometric consensus holds for copies.
+
+    Queries are broadcast up to ``max_queries`` images' worth of corners, 168,000 rows of about 176 bytes; more are joined by
+    word, with hot words dealt out.
+    """
     q, r = _tables(queries, "q"), _tables(index, "r")
-    few = queries.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] <= max_queries * 42  # corners: bounded
+    few = queries.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] <= max_queries * 42  # corners, counted
     far = " + ".join(f"bit_count(q_w{i} ^ r_w{i})" for i in range(4))
     if few:
         hit = r.join(F.broadcast(q), ["table", "word"])
@@ -256,8 +262,8 @@ def matches(
     pairs = hit.groupBy("q", "r").agg(F.collect_set(both).alias("m"))
     of = lambda f: F.size(F.array_distinct(F.transform("m", f)))
     pairs = pairs.where((of(lambda m: F.shiftright(m, 32)) >= min_inliers) & (of(lambda m: m.bitwiseAND(F.lit((1 << 32) - 1))) >= min_inliers))
-    place = lambda t, name: t.select(F.col("id").alias(name), F.col("geometry").alias(f"{name}_g"))
-    sides = queries.select(F.col("id").alias("q"), "side")
+    place = lambda t, name: t.select(F.col("key").alias(name), F.col("geometry").alias(f"{name}_g"))
+    sides = queries.select(F.col("key").alias("q"), "side")
     pairs = pairs.join(place(queries, "q"), "q").join(sides, "q").join(place(index, "r"), "r")
     at = lambda name, i: F.try_element_at(f"{name}_g", (F.col(f"{name}_k") * 4 + i + 1).cast("int")).cast("double").alias(f"{name}_{'xyst'[i]}")
     hit = pairs.select("q", "r", "side", "q_g", "r_g", F.explode("m").alias("m"))
@@ -284,23 +290,52 @@ def matches(
     return agreed.groupBy("q", "r").agg(F.max("inliers").alias("inliers")).where(F.col("inliers") >= min_inliers)
 
 
-def find_copies(images: DataFrame, is_query: Column, *, id_col: str = "id", image_col: str = "image", **options) -> DataFrame:
-    """One row per image: id, image_class (smallest id of its bytes), n_corners, is_query, copies.
+def classed(images: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, is_query, key) and classes (key, image_class, rows) of (id, is_query, image): one class per byte string.
+
+    A class is named by a 64-bit hash of its digest, under the first seed that gives every digest a name of its own.
+    """
+    flags = materialize(images.select("id", F.coalesce("is_query", F.lit(False)).alias("is_query"), digest(F.col("image")).alias("sha")))
+    sums = materialize(flags.groupBy("sha").agg(F.min("id").alias("image_class"), F.count(F.lit(1)).alias("rows")))
+    seed = next(k for k in range(64) if not sums.groupBy(name(F.col("sha"), k).alias("key")).count().where("count > 1").limit(1).count())
+    return flags.select("id", "is_query", name(F.col("sha"), seed).alias("key")), sums.select(name(F.col("sha"), seed).alias("key"), "image_class", "rows", F.lit(seed).alias("seed"))
+
+
+def digest(image: Column) -> Column:
+    return F.coalesce(F.sha2(image, 256), F.lit("none"))
+
+
+def name(sha: Column, seed: int | Column) -> Column:
+    return F.xxhash64(F.lit(seed) if isinstance(seed, int) else seed, sha)
+
+
+def find_copies(images: DataFrame, is_query: Column, *, id_col: str = "id", image_col: str = "image", max_classes: int = 500_000, **options) -> DataFrame:
+    """One row per image: id, image_class (smallest id of its bytes), n_corners, is_query, copies, n_copies.
 
     ``copies`` lists, for query rows, the classes of all images that show the same picture; null for others.
     """
     marked = images.select(F.col(id_col).cast("long").alias("id"), F.col(image_col).alias("image"), is_query.alias("is_query"))
-    flags = marked.select("id", F.coalesce("is_query", F.lit(False)).alias("is_query"), F.coalesce(F.sha2("image", 256), F.lit("none")).alias("sha"))
+    rows, classes = classed(marked)
+    classes = materialize(classes)
+    seed = (classes.select("seed").first() or [0])[0]
+    # of a repeated image one row is described; the rows that are described stay where they are
+    repeated = classes.where("rows > 1").select("key", F.col("image_class").alias("least"), F.lit(True).alias("many"))
+    if repeated.limit(max_classes + 1).count() <= max_classes:  # 17 bytes a row
+        repeated = F.broadcast(repeated)
+    todo = marked.select("id", "image", name(digest(F.col("image")), seed).alias("key")).join(repeated, "key", "left")
     with batches_of(images.sparkSession, 200):
-        found = materialize(corners(marked.select("id", "image")))
-    rows = materialize(flags.join(found.groupBy("sha").agg(F.min("id").alias("image_class"), F.first("n").alias("n_corners")), "sha"))
-    reps = materialize(found.join(rows.select(F.col("image_class").alias("id"), "sha").distinct(), ["id", "sha"]).dropDuplicates(["id", "sha"]))
-    asked = rows.where("is_query").select(F.col("image_class").alias("id")).distinct()
-    pairs = matches(reps.join(asked, "id", "left_semi"), reps, **options)
-    lists = pairs.groupBy("q").agg(F.array_sort(F.collect_set("r")).alias("list"))
-    out = rows.join(lists, rows["image_class"] == lists["q"], "left")
+        # rows that repeat an id with its bytes are described once more and dropped here
+        reps = materialize(corners(todo.where("many is null or id <=> least")).dropDuplicates(["key"]))
+    asked = rows.where("is_query").select("key").distinct()
+    pairs = matches(reps.join(asked, "key", "left_semi"), reps, **options)
+    named = pairs.join(classes.select(F.col("key").alias("r"), "image_class"), "r")
+    lists = named.groupBy(F.col("q").alias("key")).agg(F.array_sort(F.collect_set("image_class")).alias("list"), F.countDistinct("r").alias("many"))
+    out = rows.join(classes.select("key", "image_class"), "key").join(reps.select("key", F.col("n").alias("n_corners")), "key").join(lists, "key", "left")
     none = F.array().cast("array<long>")
-    return out.select("id", "image_class", "n_corners", "is_query", F.when(F.col("is_query"), F.coalesce("list", none)).alias("copies"))
+    return out.select(
+        "id", "image_class", "n_corners", "is_query", F.when(F.col("is_query"), F.coalesce("list", none)).alias("copies"),
+        F.when(F.col("is_query"), F.coalesce("many", F.lit(0))).alias("n_copies"),
+    )
 
 
 # --- pictures for tables without media --------------------------------------------------------------

@@ -126,3 +126,18 @@ def test_small_crops_and_thumbnails_of_large_images(spark):
     got = {r.id: r.copies for r in ic.find_copies(df, df.id < 100).collect()}
     assert sum(100 + i in got[i] for i in range(4)) >= 3 and sum(100 + i in got[i] for i in range(4, 8)) >= 3
     assert sum(len(set(got[i]) - {100 + i}) for i in range(8)) == 0
+
+
+def test_rows_without_id_and_repeated_ids(spark):
+    base = pictures(8, seed=11)
+    pgm = [ic.encode_pgm(p) for p in base]
+    cut = [ic.encode_pgm(ic.edited(p)) for p in base]
+    # an indexed image without id, a query without id, two images under one id, and one row twice
+    rows = [(None, pgm[0]), (1, cut[0]), (None, cut[1]), (2, pgm[1]), (5, pgm[2]), (5, pgm[3]), (3, cut[3]), (6, pgm[4]), (6, pgm[4]), (4, cut[4])]
+    df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "7 as key", "8 as n", "'x' as sha", "9 as least")
+    got = ic.find_copies(df, (df.id < 5) | df.id.isNull()).collect()
+    assert len(got) == len(rows)
+    by = {(r.id, r.image_class, tuple(r.copies or ()), r.n_copies) for r in got if r.is_query}
+    assert (1, 1, (), 1) in by  # found, but its class has no id
+    assert (None, None, (2,), 1) in by and (3, 3, (5,), 1) in by and (4, 4, (6,), 1) in by
+    assert sum(r.id == 5 and r.n_corners > 0 for r in got) == 2
