@@ -11,15 +11,22 @@ A byte goes if a ``MATCH``-byte string that covers it also starts in a document
 4. Where all pieces of a shared minimiser are the same bytes, the smallest id decides.  Otherwise the distinct
    pieces, each once with its smallest id, are laid out together and their suffixes sorted by Lyndon
    groups (``lyndon_sort``); neighbouring suffixes that agree on ``MATCH`` bytes are one class, and the
-   smallest id of a class decides for its windows.  A minimiser with very many distinct pieces is
-   cut finer by a second, independent minimiser first, so what meets in a task stays small.
-5. Windows decided against a document are merged to intervals, and the rest of its bytes is kept.
+   smallest id of a class decides for its windows.
+5. A minimiser with more than ``hot_pieces`` distinct pieces (a short line between ever other words) is cut first: the
+   windows of its distinct pieces are counted by hash, those of one document alone fall away, and runs of windows with one
+   smallest and one largest document are pieces of their own, grouped by minimiser and these two ids.  What is left of
+   a shared line is the same bytes everywhere, so a group holds no more than one document's pieces.
+6. Windows decided against a document are merged to intervals, and the rest of its bytes is kept.
+
+The names of shared minimisers go to the tasks by broadcast up to ``max_bytes``.  Beyond it documents are dealt into
+flushes of about ``flush_bytes``, every list carries its flush, and the task of a bucket answers each list with the kinds of
+its entries; answers and documents of a flush meet, so a task never holds more names than its own documents have.
 
 Pieces are told apart by hashes beside the minimiser; what suffixes share is compared byte by byte.
 
-Defined results: null text is empty; texts shorter than ``MATCH`` bytes keep all; rows that share an
-id never remove each other's bytes; a row without an id neither removes nor loses any; texts of any
-length are taken whole; an empty table gives an empty result.
+Defined results: null text is empty; texts shorter than ``MATCH`` bytes keep all; of equal texts the smallest id keeps its bytes; rows
+that share an id never remove each other's bytes; a row without an id neither removes nor loses any; texts of any
+length are taken whole; other columns, whatever their names, are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -153,13 +160,13 @@ def _grouped(key: np.ndarray, *then: np.ndarray) -> np.ndarray:
     return order
 
 
-def _bucket(least: np.ndarray, buckets: int) -> np.ndarray:
-    return ((least >> _U(40)) * _U(buckets)) >> _U(24)
-
-
 def _named(least: np.ndarray, buckets: int) -> np.ndarray:
-    """Minimiser as bucket and 40 more bits: what the compact lists can carry."""
-    return (_bucket(least, buckets) << _KEY_BITS) | (least & _U((1 << 40) - 1))
+    """Minimiser as bucket and 40 more bits: what the compact lists can carry.
+
+    Minimisers are minima, so small values are more usual; one multiplication spreads them over the buckets.
+    """
+    least = least * _U(0xD6E8FEB86659FD93)
+    return ((((least >> _U(40)) * _U(buckets)) >> _U(24)) << _KEY_BITS) | (least & _U((1 << 40) - 1))
 
 
 def _pack(values: np.ndarray, n: int) -> bytes:
@@ -172,158 +179,197 @@ def _unpack(data: bytes, n: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def _entries(store: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (key, piece) in order, and whether several documents have it, from (key, piece, document) arrays."""
+    key, piece, doc = (np.concatenate(x) for x in zip(*store))
+    order = _grouped(key, piece, doc)
+    key, piece, doc = key[order], piece[order], doc[order]
+    first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (piece[1:] != piece[:-1])))
+    last = np.append(first[1:], len(key)) - 1
+    return key[first], piece[first], doc[first] != doc[last]
+
+
+def _pieces_of(batches, buckets: int):
+    """(key, piece, document) of all pieces, for every group of texts."""
+    for ids, _, data, lengths in _texts(batches):
+        arr = np.frombuffer(data, np.uint8)
+        least, text, start, size = pieces(arr, lengths)
+        yield _named(least, buckets), piece_marks(arr, start, size), ids[text]
+
+
+def _list_rows(store) -> pd.DataFrame:
+    key, piece, many = _entries(store)
+    bucket = (key >> _KEY_BITS).astype(np.int64)
+    cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    rows = [
+        (int(bucket[a]), _pack(key[a:b], 5), _pack(piece[a:b], 6), np.packbits(many[a:b]).tobytes())
+        for a, b in zip(cut, np.append(cut[1:], len(key)))
+    ]
+    return pd.DataFrame(rows, columns=["bucket", "least", "piece", "many"])
+
+
 def piece_lists(docs: DataFrame, buckets: int) -> DataFrame:
     """(bucket, least, piece, many): per task flush and bucket the distinct pairs, 5 + 6 bytes each,
     and a bit for pairs that several documents of the flush hold."""
 
     def run(batches):
         store, held = [], 0
-
-        def flush():
-            key, piece, doc = (np.concatenate(x) for x in zip(*store))
-            order = _grouped(key, piece, doc)
-            key, piece, doc = key[order], piece[order], doc[order]
-            first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (piece[1:] != piece[:-1])))
-            last = np.append(first[1:], len(key)) - 1
-            many = doc[first] != doc[last]
-            key, piece = key[first], piece[first]
-            bucket = (key >> _KEY_BITS).astype(np.int64)
-            cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-            rows = [
-                (int(bucket[a]), _pack(key[a:b], 5), _pack(piece[a:b], 6), np.packbits(many[a:b]).tobytes())
-                for a, b in zip(cut, np.append(cut[1:], len(key)))
-            ]
-            return pd.DataFrame(rows, columns=["bucket", "least", "piece", "many"])
-
-        for ids, _, data, lengths in _texts(batches):
-            arr = np.frombuffer(data, np.uint8)
-            least, text, start, size = pieces(arr, lengths)
-            store.append((_named(least, buckets), piece_marks(arr, start, size), ids[text]))
-            held += len(start)
+        for some in _pieces_of(batches, buckets):
+            store.append(some)
+            held += len(some[0])
             if held > 400_000:
-                yield flush()
+                yield _list_rows(store)
                 store, held = [], 0
         if held:
-            yield flush()
+            yield _list_rows(store)
 
     return docs.mapInPandas(run, "bucket int, least binary, piece binary, many binary")
 
 
+def _kinds(pdf: pd.DataFrame, hot_pieces: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of a bucket's lists one after another; its distinct keys; their kinds, -1 where only one document has them."""
+    listed = np.concatenate([_unpack(x, 5) for x in pdf["least"]])
+    piece = np.concatenate([_unpack(x, 6) for x in pdf["piece"]])
+    many = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=len(x) // 5).astype(bool) for m, x in zip(pdf["many"], pdf["least"])])
+    order = _grouped(listed, piece)
+    key, piece, many = listed[order], piece[order], many[order]
+    cut = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    rows = np.diff(np.append(cut, len(key)))
+    distinct = np.add.reduceat(np.append(True, (key[1:] != key[:-1]) | (piece[1:] != piece[:-1])).astype(np.int64), cut)
+    shared = (rows > 1) | np.logical_or.reduceat(many, cut)
+    return listed, key[cut], np.where(shared, np.where(distinct == 1, 0, np.where(distinct <= hot_pieces, 1, 2)), -1)
+
+
 def shared_minimisers(lists: DataFrame, hot_pieces: int) -> DataFrame:
     """(bucket, kind, keys): minimisers in two documents or more; kind 0 one piece, 1 several, 2 very many."""
 
     def run(pdf):
         bucket = int(pdf["bucket"].iloc[0])
-        key = np.concatenate([_unpack(x, 5) for x in pdf["least"]])
-        piece = np.concatenate([_unpack(x, 6) for x in pdf["piece"]])
-        many = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=len(x) // 5).astype(bool) for m, x in zip(pdf["many"], pdf["least"])])
-        order = _grouped(key, piece)
-        key, piece, many = key[order], piece[order], many[order]
-        cut = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        rows = np.diff(np.append(cut, len(key)))
-        distinct = np.add.reduceat(np.append(True, (key[1:] != key[:-1]) | (piece[1:] != piece[:-1])).astype(np.int64), cut)
-        shared = (rows > 1) | np.logical_or.reduceat(many, cut)
-        kind = np.where(distinct == 1, 0, np.where(distinct <= hot_pieces, 1, 2))
-        full = (_U(bucket) << _KEY_BITS) | key[cut]
-        out = [(bucket, k, full[shared & (kind == k)].tobytes()) for k in (0, 1, 2)]
+        _, key, kind = _kinds(pdf, hot_pieces)
+        full = (_U(bucket) << _KEY_BITS) | key
+        out = [(bucket, k, full[kind == k].tobytes()) for k in (0, 1, 2)]
         return pd.DataFrame([r for r in out if r[2]], columns=["bucket", "kind", "keys"])
 
     return lists.groupBy("bucket").applyInPandas(run, "bucket int, kind int, keys binary")
 
 
-# --- occurrences of shared pieces -------------------------------------------------------------------
+def flush_lists(docs: DataFrame, buckets: int) -> DataFrame:
+    """As ``piece_lists``, one list per bucket and ``flush`` (a column of ``docs``)."""
+    names = ["flush", "bucket", "least", "piece", "many"]
 
-_FOUND = "least long, piece long, doc_id long, row long, start int, windows int, content binary"
+    def run(pdf):
+        store = list(_pieces_of([pdf], buckets))
+        if not sum(len(k) for k, _, _ in store):
+            return pd.DataFrame({n: [] for n in names})
+        return _list_rows(store).assign(flush=pdf["flush"].iloc[0])[names]
 
+    return docs.groupBy("flush").applyInPandas(run, "flush long, bucket int, least binary, piece binary, many binary")
 
-def _occurrences(docs: DataFrame, buckets: int, lookup) -> DataFrame:
-    """Rows of pieces whose minimiser is shared.  ``content`` comes once per flush, where pieces differ.
 
-    ``lookup`` maps minimiser names to kinds (-1: not shared) inside a task.
-    """
+def answers(lists: DataFrame, hot_pieces: int) -> DataFrame:
+    """(flush, bucket, kinds): for every list that has shared minimisers the kind of each entry, a byte each."""
 
-    def run(batches):
-        kinds_of = lookup()
-        for ids, keys, data, lengths in _texts(batches):
-            arr = np.frombuffer(data, np.uint8)
-            least, text, start, size = pieces(arr, lengths)
-            name = _named(least, buckets)
-            kind = kinds_of(name)
-            on = kind >= 0
-            name, text, start, size, kind = name[on], text[on], start[on], size[on], kind[on]
-            hot = np.flatnonzero(kind == 2)
-            if len(hot):
-                # cut hot pieces by a second minimiser: each as a little text of its own
-                part = _ranges_of(start[hot], size[hot] + MATCH - 1)
-                second, of, at, n = pieces(arr[part], size[hot] + MATCH - 1, seed=1)
-                into = (name[hot][of] ^ (second * _U(0x9E3779B97F4A7C15))) | _U(1 << 63)
-                rest = kind != 2
-                name = np.append(name[rest], into)
-                text = np.append(text[rest], text[hot][of])
-                start = np.append(start[rest], part[at])
-                size, kind = np.append(size[rest], n), np.append(kind[rest], np.ones(len(n), kind.dtype))
-            several = kind == 1
-            piece = np.zeros(len(name), _U)
-            piece[several] = piece_hashes(data, start[several], size[several]) | _U(1)
-            content = np.full(len(name), None, object)
-            where = np.flatnonzero(several)
-            where = where[_grouped(name[where], piece[where])]
-            one = np.ones(len(where), bool)
-            one[1:] = (name[where][1:] != name[where][:-1]) | (piece[where][1:] != piece[where][:-1])
-            for w in where[one].tolist():
-                content[w] = data[start[w] : start[w] + size[w] + MATCH - 1]
-            base = np.cumsum(lengths) - lengths
-            yield pd.DataFrame(
-                {
-                    "least": name.view(np.int64), "piece": piece.view(np.int64), "doc_id": ids[text], "row": keys[text],
-                    "start": (start - base[text]).astype(np.int32), "windows": size.astype(np.int32), "content": content,
-                }
-            )
+    def run(pdf):
+        listed, key, kind = _kinds(pdf, hot_pieces)
+        each = kind[np.searchsorted(key, listed)].astype(np.int8)
+        ends = np.cumsum([len(x) // 5 for x in pdf["least"]])
+        out = [(f, b, part.tobytes()) for f, b, part in zip(pdf["flush"], pdf["bucket"], np.split(each, ends[:-1])) if (part >= 0).any()]
+        return pd.DataFrame(out, columns=["flush", "bucket", "kinds"])
 
-    return docs.mapInPandas(run, _FOUND)
+    return lists.groupBy("bucket").applyInPandas(run, "flush long, bucket int, kinds binary")
 
 
-def _ranges_of(start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    ends = np.cumsum(length)
-    return np.arange(ends[-1]) + np.repeat(start - (ends - length), length)
+# --- occurrences of shared pieces -------------------------------------------------------------------
 
+_FOUND = "least long, piece long, kind int, doc_id long, row long, start int, windows int, content binary"
+
+
+def _rows_of(ids: np.ndarray, keys: np.ndarray, data: bytes, lengths: np.ndarray, buckets: int, kinds_of) -> pd.DataFrame:
+    """Pieces of a group of texts whose minimiser is shared.  ``content`` comes once per group, where pieces differ."""
+    arr = np.frombuffer(data, np.uint8)
+    least, text, start, size = pieces(arr, lengths)
+    name = _named(least, buckets)
+    kind = kinds_of(name)
+    on = kind >= 0
+    name, text, start, size, kind = name[on], text[on], start[on], size[on], kind[on]
+    several = kind > 0
+    piece = np.zeros(len(name), _U)
+    piece[several] = piece_hashes(data, start[several], size[several]) | _U(1)
+    content = np.full(len(name), None, object)
+    where = np.flatnonzero(several)
+    where = where[_grouped(name[where], piece[where])]
+    one = np.ones(len(where), bool)
+    one[1:] = (name[where][1:] != name[where][:-1]) | (piece[where][1:] != piece[where][:-1])
+    for w in where[one].tolist():
+        content[w] = data[start[w] : start[w] + size[w] + MATCH - 1]
+    base = np.cumsum(lengths) - lengths
+    return pd.DataFrame(
+        {
+            "least": name.view(np.int64), "piece": piece.view(np.int64), "kind": kind.astype(np.int32), "doc_id": ids[text], "row": keys[text],
+            "start": (start - base[text]).astype(np.int32), "windows": size.astype(np.int32), "content": content,
+        }
+    )
 
-def occurrences(docs: DataFrame, shared: DataFrame, buckets: int, max_bytes: int = 64 << 20) -> DataFrame:
-    """Shared pieces of all documents.  The names go to tasks by broadcast where their size is bounded, else by a join."""
-    size = shared.agg(F.coalesce(F.sum(F.octet_length("keys")), F.lit(0))).first()[0]
-    if size <= max_bytes:
-        rows = shared.collect()
-        keys = [np.frombuffer(r.keys, _U) for r in rows]
-        kinds = np.repeat(np.array([r.kind for r in rows], np.int8), [len(k) for k in keys])
-        keys = np.concatenate(keys) if keys else np.zeros(0, _U)
-        order = np.argsort(keys)
-        sent = docs.sparkSession.sparkContext.broadcast((keys[order], kinds[order]))
 
-        def lookup():
-            known, kind = sent.value
+def _lookup(known: np.ndarray, kind: np.ndarray):
+    """Function from minimiser names to kinds, -1 where they are not among the sorted ``known``."""
 
-            def of(name):
-                if not len(known):
-                    return np.full(len(name), -1)
-                order = np.argsort(name)  # sorted needles walk the table instead of jumping through it
-                at = np.empty(len(name), np.int64)
-                at[order] = np.minimum(np.searchsorted(known, name[order]), len(known) - 1)
-                return np.where(known[at] == name, kind[at], -1)
+    def of(name):
+        if not len(known):
+            return np.full(len(name), -1)
+        order = np.argsort(name)  # sorted needles walk the table instead of jumping through it
+        at = np.empty(len(name), np.int64)
+        at[order] = np.minimum(np.searchsorted(known, name[order]), len(known) - 1)
+        return np.where(known[at] == name, kind[at], -1)
 
-            return of
+    return of
 
-        return _occurrences(docs, buckets, lookup)
 
-    def unpack(batches):
-        for pdf in batches:
-            for kind, keys in zip(pdf["kind"], pdf["keys"]):
-                name = np.frombuffer(keys, np.int64)
-                yield pd.DataFrame({"least": name, "kind": np.full(len(name), kind, np.int32)})
+def occurrences(docs: DataFrame, buckets: int, hot_pieces: int, total: int, max_bytes: int = 64 << 20, flush_bytes: int = 4 << 20) -> DataFrame:
+    """Shared pieces of all documents.  Names of minimisers go to tasks by broadcast where their size is bounded, else by flush."""
+    shared = materialize(shared_minimisers(piece_lists(docs, buckets), hot_pieces))
+    if shared.agg(F.coalesce(F.sum(F.octet_length("keys")), F.lit(0))).first()[0] > max_bytes:
+        return _by_flush(docs, buckets, hot_pieces, max(1, -(-total // flush_bytes)))
+    rows = shared.collect()
+    keys = [np.frombuffer(r.keys, _U) for r in rows]
+    kinds = np.repeat(np.array([r.kind for r in rows], np.int8), [len(k) for k in keys])
+    keys = np.concatenate(keys) if keys else np.zeros(0, _U)
+    order = np.argsort(keys)
+    sent = docs.sparkSession.sparkContext.broadcast((keys[order], kinds[order]))
+
+    def run(batches):
+        kinds_of = _lookup(*sent.value)
+        for group in _texts(batches):
+            yield _rows_of(*group, buckets, kinds_of)
+
+    return docs.mapInPandas(run, _FOUND)
+
+
+def _by_flush(docs: DataFrame, buckets: int, hot_pieces: int, flushes: int) -> DataFrame:
+    docs = docs.withColumn("flush", F.pmod(F.xxhash64("doc_id", "row"), F.lit(flushes)))
+    back = materialize(answers(flush_lists(docs, buckets), hot_pieces))
 
-    names = shared.select("kind", "keys").mapInPandas(unpack, "least long, kind int")
-    # everything is cut once without a filter (kind 1), then joined; pieces that turn out alone keep their content
-    found = _occurrences(docs, buckets, lambda: lambda name: np.ones(len(name), np.int8))
-    return found.join(names, "least").drop("kind")
+    def run(texts, answered):
+        if len(texts) and len(answered):
+            key = _entries(list(_pieces_of([texts], buckets)))[0]
+            bucket = (key >> _KEY_BITS).astype(np.int64)
+            known, kinds = [], []
+            for b, kind in zip(answered["bucket"], answered["kinds"]):
+                known.append(key[np.searchsorted(bucket, b, "left") : np.searchsorted(bucket, b, "right")])
+                kinds.append(np.frombuffer(kind, np.int8))
+            order = np.argsort(known := np.concatenate(known), kind="stable")
+            kinds = np.concatenate(kinds)[order]
+            kinds_of = _lookup(known[order], kinds)  # entries of one key have one kind
+            parts = [_rows_of(*group, buckets, kinds_of) for group in _texts([texts])]
+            return pd.concat(parts, ignore_index=True)
+        return pd.DataFrame({c.split()[0]: [] for c in _FOUND.split(", ")})
+
+    return docs.groupBy("flush").cogroup(back.groupBy("flush")).applyInPandas(run, _FOUND)
+
+
+def _ranges_of(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    ends = np.cumsum(length)
+    return np.arange(ends[-1]) + np.repeat(start - (ends - length), length)
 
 
 # --- which windows of a piece an earlier document has -------------------------------------------------
@@ -410,17 +456,69 @@ def decided_pieces(distinct: DataFrame, block: int = 1 << 19) -> DataFrame:
     return rows.mapInPandas(run, _DECIDED)
 
 
+def decide_hot(sums: DataFrame) -> DataFrame:
+    """As ``decided_pieces``, for distinct pieces (least, piece, content, owner, last) of hot minimisers."""
+
+    def windows_of(batches):
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            size = np.array([len(c) for c in pdf["content"]]) - MATCH + 1
+            data = np.frombuffer(b"".join(bytes(c) for c in pdf["content"]), np.uint8)
+            first = np.cumsum(size + MATCH - 1) - (size + MATCH - 1)
+            at = _ranges_of(first, size)
+            yield pd.DataFrame(
+                {
+                    "w": gram_hashes(data, MATCH, 2)[at].view(np.int64), "off": (at - np.repeat(first, size)).astype(np.int32),
+                    **{c: np.repeat(pdf[c].to_numpy(), size) for c in ("least", "piece", "owner", "last")},
+                }
+            )
+
+    windows = materialize(sums.select("least", "piece", "content", "owner", "last").mapInPandas(windows_of, "w long, off int, least long, piece long, owner long, last long"))
+    both = windows.groupBy("w").agg(F.min("owner").alias("a"), F.max("last").alias("b")).where("a < b")
+    # at most RUN windows a piece
+    marked = windows.join(_small(both, 40), "w").groupBy("least", "piece").agg(F.collect_list(F.struct("off", "a", "b")).alias("seen"))
+
+    def runs_of(batches):
+        for pdf in batches:
+            out = []
+            for least, piece, owner, content, seen in zip(pdf["least"], pdf["piece"], pdf["owner"], pdf["content"], pdf["seen"]):
+                seen = sorted((r["off"], r["a"], r["b"]) for r in seen)
+                begin = 0
+                for k in range(1, len(seen) + 1):
+                    if k == len(seen) or seen[k] != (seen[k - 1][0] + 1, *seen[begin][1:]):
+                        off, a, b = seen[begin]
+                        part = bytes(content[off : off + k - begin + MATCH - 1])
+                        group = xxhash.xxh64_intdigest(f"{least},{a},{b}") - (1 << 63)
+                        out.append((least, piece, off, group, xxhash.xxh64_intdigest(part) - (1 << 63), owner, part))
+                        begin = k
+            yield pd.DataFrame(out, columns=["least", "piece", "off", "group", "part", "owner", "content"])
+
+    runs = marked.join(sums.select("least", "piece", "owner", "content"), ["least", "piece"]).mapInPandas(
+        runs_of, "least long, piece long, off int, group long, part long, owner long, content binary"
+    )
+    runs = materialize(runs)
+    distinct = runs.groupBy(F.col("group").alias("least"), F.col("part").alias("piece")).agg(F.min("owner").alias("doc_id"), F.first("content").alias("content"))
+    found = decided_pieces(distinct).select(F.col("least").alias("group"), F.col("piece").alias("part"), F.arrays_zip("offset", "count", "owner").alias("z"))
+    back = runs.select("least", "piece", "off", "group", "part").join(found, ["group", "part"])
+    moved = F.transform("z", lambda r: F.struct((r["offset"] + F.col("off")).alias("offset"), r["count"].alias("count"), r["owner"].alias("owner")))
+    z = back.groupBy("least", "piece").agg(F.flatten(F.collect_list(moved)).alias("z"))
+    return z.select("least", "piece", "z.offset", "z.count", "z.owner")
+
+
 def removals(found: DataFrame) -> DataFrame:
     """(doc_id, row, cuts): maximal intervals [start, end) of each document that an earlier one has, as int32 pairs."""
     sums = found.groupBy("least", "piece").agg(
-        F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.first("content", ignorenulls=True).alias("content"), F.max("windows").alias("windows")
+        F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.first("content", ignorenulls=True).alias("content"), F.max("windows").alias("windows"),
+        F.max("kind").alias("kind"),
     )
     sums = materialize(sums)
-    plain = sums.where("piece = 0 and owner < last").select(
+    plain = sums.where("kind = 0 and owner < last").select(
         "least", "piece", F.array(F.lit(0)).alias("offset"), F.array("windows").alias("count"), F.array("owner").alias("owner")
     )
-    mixed = decided_pieces(sums.where("piece <> 0").select("least", "piece", "content", F.col("owner").alias("doc_id")))
-    verdict = plain.unionByName(mixed)
+    verdict = plain.unionByName(decided_pieces(sums.where("kind = 1").select("least", "piece", "content", F.col("owner").alias("doc_id"))))
+    if sums.where("kind = 2").limit(1).count():
+        verdict = verdict.unionByName(materialize(decide_hot(sums.where("kind = 2"))))
     hits = found.select("least", "piece", "doc_id", "row", "start").join(verdict, ["least", "piece"])
     # windows that an earlier document has, as intervals of bytes
     cuts = F.filter(F.arrays_zip("offset", "count", "owner"), lambda r: r["owner"] < F.col("doc_id"))
@@ -445,7 +543,7 @@ def merge(cuts: np.ndarray) -> np.ndarray:
     return np.stack([start[first], end[np.append(first[1:], len(cuts)) - 1]], axis=1).astype(np.int32)
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", hot_pieces: int = 300, bucket_bytes: int = 8 << 20, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", hot_pieces: int = 300, bucket_bytes: int = 8 << 20, max_bytes: int = 64 << 20, with_text: bool = False) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the kept bytes if wanted."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     marked = docs.select("doc_id", F.sha2("text", 256).alias("sha"), F.xxhash64("text").alias("row"), F.octet_length("text").cast("long").alias("n"))
@@ -461,8 +559,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     copies = marked.join(groups.where("first < last").select("sha", "first"), "sha").where("doc_id > first").select("doc_id", "row").distinct()
     copies = materialize(copies)
     rest = docs.where("doc_id is not null").join(_small(copies, 48), ["doc_id", "row"], "left_anti")
-    shared = materialize(shared_minimisers(piece_lists(rest, buckets), hot_pieces))
-    found = materialize(occurrences(rest, shared, buckets))
+    found = materialize(occurrences(rest, buckets, hot_pieces, total, max_bytes))
     return _finish(docs, materialize(removals(found)), copies, with_text)
 
 

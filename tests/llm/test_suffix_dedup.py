@@ -98,11 +98,34 @@ def test_against_brute_force(spark):
     assert sd.remove_repeats(df.limit(0)).count() == 0
 
 
-def test_join_instead_of_broadcast(spark, monkeypatch):
-    rows = corpus()[:60]
-    plain = sd.occurrences
-    monkeypatch.setattr(sd, "occurrences", lambda d, s, b: plain(d, s, b, max_bytes=-1))
-    assert got(sd.remove_repeats(spark.createDataFrame(rows, SCHEMA))) == brute(rows)
+def test_flushes_instead_of_broadcast(spark):
+    rows = corpus()
+    want, df = brute(rows), spark.createDataFrame(rows, SCHEMA)
+    assert got(sd.remove_repeats(df, max_bytes=-1)) == want
+    assert got(sd.remove_repeats(df, max_bytes=-1, hot_pieces=1)) == want
+
+
+def test_short_hot_line_in_many_contexts(spark, monkeypatch):
+    """A 60-byte line between ever other words, with some contexts that two documents share."""
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(7))
+    line = "The quick brown fox jumps over the lazy dog by the river bank"
+    rows = [(i, " ".join([word(), word(), word(), line, word(), word(), word()])) for i in range(3000)]
+    rows += [(4000 + i, "zz " + rows[7 * i][1][10:100] + " yy") for i in range(200)]
+    want = brute(rows)
+    groups = []
+    plain = sd.decided_pieces
+
+    def watched(distinct):
+        groups.append(distinct.groupBy("least").count().agg({"count": "max"}).first()[0] or 0)
+        return plain(distinct)
+
+    monkeypatch.setattr(sd, "decided_pieces", watched)
+    df = spark.createDataFrame(rows, SCHEMA)
+    for max_bytes in (64 << 20, -1):
+        groups.clear()
+        assert got(sd.remove_repeats(df, hot_pieces=50, max_bytes=max_bytes)) == want
+        assert len(groups) == 2 and max(groups) <= 50
 
 
 def test_repeated_and_missing_ids(spark):
