@@ -15,13 +15,15 @@ similarity is 0.8 or more.  No link between different texts is lost:
    prefix grows while the estimated cost of its postings and of the candidates that could
    still match l times falls.  A pair is a candidate when it shares k = min(l, l') shingles among the
    first ``n - common + k`` of either, where ``common`` is what a link of these two sizes must share.
-   Shingles whose documents all lie in one component produce nothing; before pairs are made, a few
-   rounds tie components together over one hub per shingle, which is linear in the postings.
-4. Candidates are verified on their whole sets; links of both passes give the components.
+   Shingles whose documents all lie in one component produce nothing; before pairs are made, rounds
+   tie components together over one hub per shingle, linear in the postings, until a round ties nothing or ``hub_rounds`` are done.
+4. Candidates are verified on their whole sets: the set of the end with more pairs is built once for each 250 of them, so
+   a hub's pairs are many small pieces of work; links of both passes give the components.
 
 Defined results: null or white-space text has an empty set, links with nothing and is its own
-component; equal texts, ties and repeated rows link; texts of any length are taken whole; an
-empty table gives an empty result.  Sets are compared by 64-bit shingle hashes.
+component; equal texts, ties and repeated rows link; texts of any length are taken whole; where ids repeat or are missing every row
+is a document of its own, and its component's name is the smallest id in it, null where none has an id; other columns, whatever their
+names, are not read; an empty table gives an empty result.  Sets are compared by 64-bit shingle hashes.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import batches_of, discard, materialize
 from .components import components
 
 WORDS = 5
@@ -151,9 +153,9 @@ def frequency_classes(parts: DataFrame) -> np.ndarray:
 # --- pass 2: leaders -------------------------------------------------------------------------
 
 
-def _joinable(table: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
-    """Broadcast a table of ids where its size (counted, 40 bytes a row) is bounded; else a shuffle join."""
-    return F.broadcast(table) if table.limit(max_bytes // 40 + 1).count() <= max_bytes // 40 else table
+def _joinable(table: DataFrame, row_bytes: int = 40, max_bytes: int = 64 << 20) -> DataFrame:
+    """Broadcast a table where its size (counted, ``row_bytes`` a row) is bounded; else a shuffle join."""
+    return F.broadcast(table) if table.limit(max_bytes // row_bytes + 1).count() <= max_bytes // row_bytes else table
 
 
 def leader_links(docs: DataFrame, reps: DataFrame, bucket_rows: int = 500, leaders: int = 32) -> DataFrame:
@@ -166,7 +168,7 @@ def leader_links(docs: DataFrame, reps: DataFrame, bucket_rows: int = 500, leade
     rows = materialize(rows.select("k", "salt", "rep").unionByName(heads))
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
     wanted = rows.groupBy("rep").agg(F.collect_set(F.struct("k", "salt")).alias("at"))  # four at most
-    met = texts.join(_joinable(wanted), "rep").select("rep", "text", F.explode("at").alias("at")).select("rep", "text", "at.k", "at.salt")
+    met = texts.join(_joinable(wanted, 240), "rep").select("rep", "text", F.explode("at").alias("at")).select("rep", "text", "at.k", "at.salt")
     met = met.repartition("k", "salt").sortWithinPartitions("k", "salt", "rep")
 
     def run(batches):
@@ -266,13 +268,13 @@ def candidates(rows: DataFrame, carried: int = 64) -> DataFrame:
 
     A row carries its document's other shared shingles where they are ``carried`` at most; a pair of such
     documents is made once, at its first common shingle, and only if it has as many as it needs.
-    Other pairs are made at every common shingle.  Keys are 32 bits of the shingles on either side,
-    so a collision can add a candidate and never hides one.
+    Other pairs are made at every common shingle.  Keys are 32 bits of the shingles on either side; a document of which two
+    shingles have one key carries no list, so a collision can add a candidate and never hides one.
     """
     flat = rows.select("rep", "comp", "n", "l", "at", F.hash("token").alias("key"))
     short = flat.groupBy("rep").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") <= carried).select("rep")
     lists = flat.join(short, "rep", "left_semi").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("at", "key"))).alias("p"))
-    lists = lists.select("rep", F.col("p.key").alias("keys"), F.col("p.at").alias("ats"))
+    lists = lists.select("rep", F.col("p.key").alias("keys"), F.col("p.at").alias("ats")).where(F.size(F.array_distinct("keys")) == F.size("keys"))
     flat = flat.join(lists, "rep", "left").withColumn("i", F.expr("size(filter(ats, x -> x < at))"))
     a, b = (flat.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "comp", "n", "l", "at", "keys", "ats", "i")]) for s in "ab")
     # for two given sizes the prefixes are shorter: what a link of these sizes has in common is known
@@ -294,7 +296,7 @@ def tie_hubs(docs: DataFrame, rows: DataFrame, rounds: int) -> tuple[DataFrame,
     for turn in range(rounds):
         pairs = materialize(hub_pairs(rows, turn))
         links = materialize(verify(docs, pairs.select("a", "b")))
-        tied = pairs.join(links.select(F.col("u").alias("a"), F.col("v").alias("b")), ["a", "b"])
+        tied = pairs.join(links.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")), ["a", "b"])
         if tied.limit(1).count() == 0:
             break
         found.append(links)
@@ -303,30 +305,58 @@ def tie_hubs(docs: DataFrame, rows: DataFrame, rounds: int) -> tuple[DataFrame,
     return rows, found
 
 
-def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Links (u, v) among candidate pairs (a, b), on whole sets."""
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+def verify(docs: DataFrame, pairs: DataFrame, pairs_a_time: int = 250) -> DataFrame:
+    """Links (u, v) among candidate pairs (a, b), on whole sets.
+
+    The end of a pair that has more pairs is its hub.  A hub's pairs are dealt into parts of about ``pairs_a_time``; a part gets
+    the hub's text once and the other ends' texts after it.
+    """
+    ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
+    degree = materialize(ends.groupBy("id").agg(F.count(F.lit(1)).alias("d")))
+    of = lambda side: _joinable(degree.select(F.col("id").alias(side), F.col("d").alias(f"d{side}")), 32)
+    hub = F.col("da") >= F.col("db")
+    dealt = pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b").select(
+        F.when(hub, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(hub, F.col("b")).otherwise(F.col("a")).alias("other"),
+        F.ceil(F.greatest("da", "db") / pairs_a_time).alias("parts"),
+    )
+    dealt = materialize(dealt.select("hub", "other", F.pmod(F.xxhash64("other"), F.col("parts")).cast("int").alias("part")))
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    texts = texts.join(_joinable(ids), "id", "left_semi").dropDuplicates(["id"])
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+    texts = texts.join(_joinable(degree.select("id")), "id", "left_semi")
+    heads = dealt.select("hub", "part").distinct().join(texts, F.col("hub") == F.col("id")).select("hub", "part", F.lit(None).cast("long").alias("other"), "text")
+    tails = dealt.join(texts, F.col("other") == F.col("id")).select("hub", "part", "other", "text")
+    met = heads.unionByName(tails).repartition("hub", "part").sortWithinPartitions("hub", "part", F.col("other").asc_nulls_first())
 
     def run(batches):
-        last, kept = None, None
+        kept = None
         for pdf in batches:
-            hit = []
-            for a, ta, tb in zip(pdf["a"], pdf["ta"], pdf["tb"]):
-                if a != last:
-                    last, kept = a, shingle(ta)
-                hit.append(similar(kept, shingle(tb)))
-            yield pdf.loc[hit, ["a", "b"]].rename(columns={"a": "u", "b": "v"})
+            out = []
+            for hub, other, text in zip(pdf["hub"], pdf["other"], pdf["text"]):
+                if pd.isna(other):
+                    kept = shingle(text)
+                elif similar(kept, shingle(text)):
+                    out.append((hub, int(other)))
+            yield pd.DataFrame(out, columns=["u", "v"]).astype("int64")
 
-    return both.mapInPandas(run, "u long, v long")
+    return met.mapInPandas(run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_match: int = 16, hub_rounds: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_match: int = 16, hub_rounds: int = 8) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    profiled = materialize(profile(docs))
+    n, distinct = docs.agg(F.count(F.lit(1)), F.countDistinct("doc_id")).first()
+    if distinct == n:
+        return _components_of(docs, max_match, hub_rounds)
+    rows = materialize(docs.withColumn("row", F.monotonically_increasing_id()))  # numbers stay as they are written
+    found = _components_of(rows.select(F.col("row").alias("doc_id"), "text"), max_match, hub_rounds).withColumnRenamed("doc_id", "row")
+    found = materialize(rows.select("row", F.col("doc_id").alias("id")).join(found, "row"))
+    least = found.groupBy("component_id").agg(F.min("id").alias("least"))
+    return found.join(least, "component_id").select(F.col("id").alias("doc_id"), "n_shingles", F.col("least").alias("component_id"))
+
+
+def _components_of(docs: DataFrame, max_match: int, hub_rounds: int) -> DataFrame:
+    """``near_duplicates`` where every document has an id of its own."""
+    with batches_of(docs.sparkSession, 2000):
+        profiled = materialize(profile(docs))
     rows = profiled.where("chunk is null").select("doc_id", "n", "d1", "d2", "k1", "k2")
     equal = rows.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("k1").alias("k1"), F.first("k2").alias("k2"), F.count(F.lit(1)).alias("copies"))
     equal = materialize(equal)
@@ -339,7 +369,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     placed = copies.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "rep", F.coalesce("component", "rep").alias("comp"))
     alone = comp.join(copies.select(F.col("doc_id").alias("node")), "node", "left_anti").select(F.col("node").alias("doc_id"), F.col("node").alias("rep"), F.col("component").alias("comp"))
     places = materialize(placed.unionByName(alone).distinct())
-    rows_across, tied = tie_hubs(docs, materialize(across(prefixes(docs, places, classes, max_match))), hub_rounds)
+    with batches_of(docs.sparkSession, 2000):
+        postings = materialize(prefixes(docs, places, classes, max_match))
+    rows_across, tied = tie_hubs(docs, materialize(across(postings)), hub_rounds)
+    discard(postings)
     links = first.unionByName(verify(docs, materialize(candidates(rows_across))))
     for more in tied:
         links = links.unionByName(more)

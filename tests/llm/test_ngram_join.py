@@ -111,3 +111,52 @@ def test_components(spark):
     got_ = dict(components(spark.createDataFrame(edges, "u long, v long")).collect())
     assert got_[9] == 3 and got_[22] == 20 and got_[164] == 100 and got_[5] == 3
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_repeated_and_missing_ids(spark):
+    rnd = random.Random(3)
+    words = [[f"t{k}w{rnd.randrange(900)}" for _ in range(60)] for k in range(4)]
+    text = lambda k, e=0: " ".join(edited(words[k], rnd, e))
+    rows = [(5, text(0)), (5, text(1)), (7, text(0, 1)), (3, text(1, 1)), (None, text(2)), (None, text(2, 1)), (9, text(3)), (None, text(3)), (2**62, text(2)), (9, text(3))]
+    out = sorted(((r.doc_id, r.component_id) for r in nj.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()), key=str)
+    want = [(5, 5), (7, 5), (5, 3), (3, 3), (None, 2**62), (None, 2**62), (2**62, 2**62), (9, 9), (9, 9), (None, 9)]
+    assert out == sorted(want, key=str)
+    alone = nj.near_duplicates(spark.createDataFrame([(None, "a b"), (None, "c d e f g h"), (None, "")], SCHEMA)).collect()
+    assert [r.component_id for r in alone] == [None] * 3 and sorted(r.n_shingles for r in alone) == [0, 1, 2]
+
+
+def test_key_collision_inside_a_document_loses_no_pair(spark):
+    """Two shingles of one document under one 32-bit key do not hide a pair that needs both."""
+    rows = spark.sql(
+        "select rep, rep as comp, 10 as n, 2 as l, at, token from values (1L, 0, 11L), (1L, 1, 12L), (2L, 0, 11L), (2L, 1, 12L) as t(rep, at, token)"
+    )
+    plain = nj.F.hash
+    try:
+        nj.F.hash = lambda *_: nj.F.lit(7)  # every shingle has one key
+        assert [tuple(r) for r in nj.candidates(rows).collect()] == [(1, 2)]
+    finally:
+        nj.F.hash = plain
+    assert [tuple(r) for r in nj.candidates(rows).collect()] == [(1, 2)]
+
+
+def test_hub_with_many_pairs_is_dealt_out(spark):
+    rnd = random.Random(6)
+    words = [f"w{i}" for i in range(100)]
+    rows = [(0, " ".join(words))] + [(i, " ".join(edited(words, rnd, 1 if i % 2 else 9))) for i in range(1, 60)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    pairs = spark.createDataFrame([(0, i) for i in range(1, 60)] + [(1, 2), (3, 5)], "a long, b long")
+    links = {(min(u, v), max(u, v)) for u, v in nj.verify(docs, pairs, pairs_a_time=7).collect()}
+    sets = {i: nj.shingle(t) for i, t in rows}
+    assert links == {(a, b) for a, b in pairs.collect() if nj.similar(sets[a], sets[b])} and len(links) > 25
+
+
+def test_sql_of_the_query(spark):
+    import duckdb
+
+    from tessera.llm.queries import SQL
+
+    d = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{d}/documents.parquet'")
+    want = con.sql(f"select doc_id, n_shingles, component_id from ({SQL['op6_ngram_join']})").fetchall()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in op6_ngram_join(spark, d).collect()) == sorted(want)
