@@ -14,11 +14,14 @@ of fixed-point integers, so they, the lambdas and the mix do not depend on task
 Rounding: sources are cut into blocks of about ``block_rows`` documents by a hash of the id
 (so a source with a third of all rows is many blocks).  Inside a block documents go from
 large to small and each rate becomes the whole number next below or above it that keeps the
-running token sum closest to its due; what a large document leaves over, smaller ones mend.
-
-Defined results: null text has size 0 and is never taken; a source without tokens has target
-0; the null source is a source of its own; repeated rows are rows of their own; an empty table
-gives an empty result; a rerun gives the same rows.
+running token sum closest to its due; what a large document leaves over, smaller ones mend.  What is left at the end is
+settled by the block's smallest documents: among all sums that ``MENDED`` of them can reach with 0 to ``cap`` copies, the one closest
+to the block's due is taken, and a document keeps its copies where that sum allows it.
+
+Defined results: null text has size 0 and is never taken, nor is any text without words; texts of any length are counted whole; a
+source without tokens has target 0; the null source is a source of its own, the last one; equal sizes are ordered by a hash of the
+id, then by id; repeated rows, and rows without an id or with a repeated one, are rows of their own; other columns, whatever their
+names, are not read; an empty table gives an empty result; a rerun gives the same rows.
 """
 
 from __future__ import annotations
@@ -32,6 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, materialize, word_count
 
+MENDED = 40  # smallest documents of a block that settle its rest
 FIXED = 1 << 20  # fixed-point unit of the dual's sums
 
 
@@ -142,11 +146,43 @@ def round_block(pdf: pd.DataFrame, cap: float) -> np.ndarray:
             take = w + (1 if rate[i] > w and w + 1 <= cap and abs(due[i] - taken - (w + 1) * s) < abs(due[i] - taken - w * s) else 0)
             copies[i] = take
             taken += take * s
+    mend(size, copies, float(due[-1]) if len(due) else 0.0, int(cap))
     out = np.empty_like(copies)
     out[order] = copies
     return out
 
 
+def mend(size: np.ndarray, copies: np.ndarray, due: float, cap: int) -> None:
+    """Change copies of the smallest documents so that the block's sum is as close to ``due`` as they allow."""
+    some = np.flatnonzero(size > 0)
+    some = some[np.argsort(size[some], kind="stable")][:MENDED]
+    some = some[np.cumsum(size[some]) <= 1 << 22]  # a bit for every sum: a megabyte at most
+    rest = due - float((size * copies).sum())
+    if not len(some) or abs(rest) <= 0.5:
+        return
+    # sums as bits of a number: bit k of reach[i] is set if the first i documents can make k
+    reach = [1]
+    for s in size[some].tolist():
+        now = reach[-1]
+        for _ in range(cap):
+            now |= now << s | reach[-1]
+        reach.append(now)
+    want = rest + float((size[some] * copies[some]).sum())
+    top = reach[-1].bit_length() - 1
+    low = min(max(int(np.floor(want)), 0), top)
+    down = (reach[-1] & ((1 << (low + 1)) - 1)).bit_length() - 1
+    above = reach[-1] >> (low + 1)
+    up = low + (above & -above).bit_length() if above else None
+    total = down if up is None or want - down <= up - want else up
+    for i in range(len(some) - 1, -1, -1):
+        s, had = int(size[some[i]]), int(copies[some[i]])
+        for k in sorted(range(cap + 1), key=lambda k: (abs(k - had), k)):
+            left = total - k * s
+            if left >= 0 and reach[i] >> left & 1:
+                copies[some[i]], total = k, left
+                break
+
+
 def mix(
     docs: DataFrame,
     *,

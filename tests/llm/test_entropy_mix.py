@@ -1,5 +1,8 @@
+import itertools
 import math
+import re
 
+import numpy as np
 import pytest
 
 from tessera.llm import entropy_mix
@@ -63,3 +66,48 @@ def test_odd_inputs(spark):
     assert len(got) == len(rows)
     assert all(r.taken <= 2 * r.size for r in got)
     assert entropy_mix.mix(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_query_takes_the_nearest_sum_of_small_sources(spark):
+    from tessera.llm.queries import op7_mix_sources
+
+    d = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    sizes, sums = {}, {}
+    got = op7_mix_sources(spark, d).collect()
+    assert sorted(r.doc_id for r in got) == sorted(docs)
+    for r in got:
+        assert r.size == len(re.findall(r"[^\x20\x09-\x0D]+", docs[r.doc_id].text or "")) and 0 <= r.taken <= 2 * r.size
+        assert r.taken == 0 or r.taken % r.size == 0
+        source = docs[r.doc_id].source
+        sizes.setdefault(source, []).append(r.size)
+        sums[source] = sums.get(source, 0) + r.taken
+    want = targets({s: sum(v) for s, v in sizes.items()})
+    for s, v in sizes.items():
+        reach = 1
+        for n in v:
+            reach |= reach << n | reach << 2 * n
+        best = min(abs(k - want[s]) for k in range(reach.bit_length()) if reach >> k & 1)
+        assert abs(sums[s] - want[s]) <= best + 0.5, (s, sums[s], want[s], best)
+    by = {r.doc_id: r for r in got}
+    assert all(by[i].source_size == sum(sizes[docs[i].source]) and by[i].target == pytest.approx(want[docs[i].source], abs=1e-6) for i in docs)
+
+
+def test_query_meets_targets(spark):
+    from tessera.llm.queries import op7_mix_sources
+
+    d = "/root/testdata/sf0.01"
+    rows = op7_mix_sources(spark, d).join(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "source"), "doc_id")
+    for r in rows.groupBy("source").agg({"taken": "sum", "target": "max"}).collect():
+        assert r["sum(taken)"] == pytest.approx(r["max(target)"], rel=0.005)
+
+
+def test_mending_against_all_choices():
+    rnd = np.random.default_rng(3)
+    for _ in range(200):
+        size = rnd.integers(0, 60, 7)
+        copies = np.where(size > 0, rnd.integers(0, 3, 7), 0)
+        due = float(rnd.uniform(0, 2.2 * size.sum() + 1))
+        best = min(abs(sum(a * b for a, b in zip(size, c)) - due) for c in itertools.product(range(3), repeat=7))
+        entropy_mix.mend(size, copies, due, 2)
+        assert abs((size * copies).sum() - due) <= best + 0.5 and copies.max(initial=0) <= 2 and not copies[size == 0].any()
