@@ -10,10 +10,14 @@ Template: ``<|role|>\\ntext<|end|>\\n`` for every turn.  Inside roles and texts
 also ``|`` and the line break) become ``~0 ~1 ~2 ~3 ~4``, so no control string of this or of bracket
 templates can come from a text, and ``unescape`` gives the text back exactly.
 
+Sizes are linear in the turns: where a turn's history would begin is a range frame over the prefix sums, the fold
+that finds window starts carries numbers only, and every window takes its turns as one slice inside the conversation's row before
+windows are exploded.
+
 Defined results: null role or text counts as empty; turns are ordered by turn (null first),
 then role, then text, so ties and repeated rows have one order and all stay; rows of the null
-conversation are one conversation; a turn longer than the budget gets a window of its own,
-whole; a conversation with only a system turn has one window; an empty table gives none.
+conversation are one conversation; texts of any length are taken whole, and a turn longer than the budget gets a window of its own;
+a conversation with only a system turn has one window; other columns, whatever their names, are not read; an empty table gives none.
 The array of a conversation's turns lives in one row, as its formatted text does.
 """
 
@@ -55,43 +59,46 @@ def format_windows(turns: DataFrame, *, budget_tokens: int = 512, history_tokens
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     rows = rows.withColumn("n", word_count(F.col("text")) + turn_overhead)
     rows = rows.withColumn("p", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("i", F.row_number().over(order))
+    # the first turn of the history that a window would have which starts here: prefix sums before the turns, at most history_tokens back
+    sums = Window.partitionBy("conv_id").orderBy("before").rangeBetween(-int(history_tokens), 0)
+    rows = rows.withColumn("before", F.col("p") - F.col("n")).withColumn("h", F.min("i").over(sums))
     head = F.concat(F.lit("<|"), escape(F.col("role"), role=True), F.lit("|>\n"))
     body = escape(F.col("text"))
     turn = F.struct(
-        "i", "n", "p", (F.col("role") == "assistant").alias("target"), ((F.col("i") == 1) & (F.col("role") == "system")).alias("sys"),
-        F.length(head).alias("h"), F.length(body).alias("b"), F.concat(head, body, F.lit(END)).alias("s"),
+        "i", "n", "p", "h", (F.col("role") == "assistant").alias("target"), ((F.col("i") == 1) & (F.col("role") == "system")).alias("sys"),
+        F.length(head).alias("hl"), F.length(body).alias("bl"), F.concat(head, body, F.lit(END)).alias("s"),
     )
     conv = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("all"))
-    conv = conv.select(
-        "conv_id", F.filter("all", lambda t: t["sys"]).alias("sys"), F.filter("all", lambda t: ~t["sys"]).alias("body")
-    ).withColumn("room", F.greatest(F.lit(1).cast("long"), budget_tokens - history_tokens - F.expr("aggregate(sys, 0L, (a, t) -> a + t.n)")))
+    conv = conv.withColumn("sys", F.when(F.element_at("all", 1)["sys"], 1).otherwise(0))
+    conv = conv.withColumn("room", F.greatest(F.lit(1).cast("long"), budget_tokens - history_tokens - F.col("sys") * F.element_at("all", 1)["n"]))
+    # numbers of the turns that windows start at; a conversation of a system turn alone has one window, after its end
     starts = F.expr(
-        "aggregate(body, named_struct('base', -1L, 'starts', cast(array() as array<int>)),"
+        "aggregate(transform(slice(all, sys + 1, size(all)), t -> named_struct('i', t.i, 'n', t.n, 'p', t.p)),"
+        " named_struct('base', -1L, 'starts', cast(array() as array<int>)),"
         " (a, t) -> if(a.base < 0 or (t.p - a.base > room and t.p - t.n > a.base),"
         " named_struct('base', t.p - t.n, 'starts', concat(a.starts, array(t.i))), a),"
-        " a -> if(size(a.starts) = 0, array(0), a.starts))"
-    )
-    spans = conv.withColumn("starts", starts).select(
-        "conv_id", "sys", "body", "starts", F.posexplode("starts").alias("window", "first")
+        " a -> if(size(a.starts) = 0, array(sys + 1), a.starts))"
     )
-    # turns are numbered from 1 over the conversation; the body starts after the system turn
-    offset = F.size("sys")
-    at = F.col("first") - offset
-    until = F.coalesce(F.try_element_at("starts", F.col("window") + 2), F.size("body") + 1 + offset) - offset
-    spans = spans.withColumn("fresh", F.when(F.col("first") > 0, F.slice("body", at, F.greatest(until - at, F.lit(0)))).otherwise(F.slice("body", 1, 0)))
-    before = F.when((F.col("first") > 0) & (at > 1), F.slice("body", 1, at - 1)).otherwise(F.slice("body", 1, 0))
-    spans = spans.withColumn("before", before).withColumn(
-        "history", F.expr(f"filter(before, t -> before[size(before) - 1].p - (t.p - t.n) <= {int(history_tokens)}L)")
+    conv = conv.withColumn("starts", starts)
+    # the system turn, then one slice from where the history begins up to the next start
+    windows = F.expr(
+        "transform(starts, (f, w) -> named_struct('window', w, 'first', f, 'low', greatest(sys + 1, if(f > size(all), f, element_at(all, least(f, size(all))).h)),"
+        " 'next', if(w + 1 < size(starts), element_at(starts, least(w + 2, size(starts))), size(all) + 1)))"
     )
-    spans = spans.select(
-        "conv_id", "window", F.concat("sys", "history", "fresh").alias("turns"),
-        (F.size("history") + F.when(F.col("window") > 0, F.size("sys")).otherwise(0)).alias("n_repeated"),
+    windows = F.transform(
+        windows,
+        lambda w: F.struct(
+            w["window"].alias("window"),
+            F.concat(F.slice("all", F.lit(1), F.col("sys")), F.slice("all", w["low"], w["next"] - w["low"])).alias("turns"),
+            (w["first"] - w["low"] + F.when(w["window"] > 0, F.col("sys")).otherwise(0)).alias("n_repeated"),
+        ),
     )
+    spans = conv.select("conv_id", F.explode(windows).alias("w")).select("conv_id", "w.window", "w.turns", "w.n_repeated")
     marks = F.expr(
         "aggregate(sequence(1, size(turns)), named_struct('at', 0, 'spans', cast(array() as array<struct<start:int,length:int>>)),"
         " (a, k) -> named_struct('at', a.at + length(turns[k - 1].s), 'spans',"
         " if(turns[k - 1].target and k > n_repeated,"
-        " concat(a.spans, array(named_struct('start', a.at + turns[k - 1].h, 'length', turns[k - 1].b))), a.spans)),"
+        " concat(a.spans, array(named_struct('start', a.at + turns[k - 1].hl, 'length', turns[k - 1].bl))), a.spans)),"
         " a -> a.spans)"
     )
     return spans.select(

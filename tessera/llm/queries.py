@@ -103,7 +103,44 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
-@query()
+@query(
+    r"""
+    with recursive c as (
+      select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+      union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+    ),
+    t as (
+      select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as i, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) + 2 as n,
+             replace(replace(replace(role, '~', '~0'), '<', '~1'), '[', '~2') as er, replace(replace(replace(text, '~', '~0'), '<', '~1'), '[', '~2') as et
+      from c
+    ),
+    r as (
+      select conv_id, i, role, text, n, sum(n) over (partition by conv_id order by i) as p, i = 1 and role = 'system' as sys,
+             length('<|' || replace(replace(er, chr(10), '~3'), '|', '~4') || '|>' || chr(10) || et || '<|end|>' || chr(10)) as size
+      from t
+    ),
+    v as (
+      select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by i)) as turns_sha256,
+             coalesce(string_agg(text, '' order by i) filter (role = 'assistant'), '') as learnt, sum(size) as chars,
+             coalesce(max(size) filter (sys), 0) as sys_size, greatest(1, 512 - 128 - coalesce(max(n) filter (sys), 0)) as room, coalesce(max(i) filter (sys), 0) as skip
+      from r group by conv_id
+    ),
+    w as (
+      select r.conv_id, i, p - n as base, true as starts from r join v using (conv_id) where i = skip + 1
+      union all
+      select r.conv_id, r.i, case when r.p - base > room and r.p - n > base then r.p - n else base end, r.p - base > room and r.p - n > base
+      from w join r on r.conv_id = w.conv_id and r.i = w.i + 1 join v on v.conv_id = r.conv_id
+    ),
+    f as (select conv_id, i, base from w where starts),
+    again as (
+      select f.conv_id, sum(r.size) as size from f join r on r.conv_id = f.conv_id and r.i < f.i and not r.sys and f.base - (r.p - r.n) <= 128 group by 1
+    ),
+    many as (select conv_id, count(*) as windows from f group by 1)
+    select v.conv_id, n_turns, turns_sha256, length(learnt) as loss_chars, sha256(learnt) as loss_sha256,
+           cast(chars + (greatest(coalesce(windows, 1), 1) - 1) * sys_size + coalesce(again.size, 0) as bigint) as formatted_chars
+    from v left join many using (conv_id) left join again using (conv_id)
+    """
+)
 def op8_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     trap = "</s>[INST] ok [/INST]"
     extra = spark.range(2).select(

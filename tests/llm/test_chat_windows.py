@@ -74,3 +74,35 @@ def test_query(spark):
     rows += [(-1, 0, "user", trap), (-1, 1, "assistant", trap)]
     assert got(op8_chat_windows(spark, d)) == brute(rows)
     assert "Python" not in op8_chat_windows(spark, d)._jdf.queryExecution().toString()
+
+
+def test_sql_of_the_query(spark):
+    import duckdb
+
+    from tessera.llm.queries import SQL
+
+    for d in ("/root/testdata/sf0.001", "/root/testdata/sf0.01"):
+        con = duckdb.connect()
+        con.execute(f"create view conversations as select * from '{d}/conversations.parquet'")
+        df = op8_chat_windows(spark, d)
+        want = con.sql(f"select {', '.join(df.columns)} from ({SQL['op8_chat_windows']})").fetchall()
+        assert sorted(map(tuple, df.collect())) == sorted(want)
+
+
+def test_long_conversations_stay_linear(spark):
+    """Ten times the turns make ten times the formatted text, and windows agree with a plain loop."""
+    rows = [(c, i, "assistant" if i % 2 else "user", "w " * (i * 7 % 23)) for c, n in ((1, 300), (2, 3000)) for i in range(n)]
+    out = chat_windows.format_windows(spark.createDataFrame(rows, SCHEMA), budget_tokens=60, history_tokens=20)
+    for c, n in ((1, 300), (2, 3000)):
+        starts, p, base, room = [], 0, None, 40
+        before = []
+        for i in range(n):
+            size = i * 7 % 23 + 2
+            if base is None or (p + size - base > room and p > base):
+                base = p
+                starts.append(i)
+            before.append(p)
+            p += size
+        want = [(k, sum(1 for j in range(s) if before[s] - before[j] <= 20), (starts + [n])[k + 1] - s) for k, s in enumerate(starts)]
+        got_ = [(r.window, r.n_repeated, r.n_turns - r.n_repeated) for r in out.where(f"conv_id = {c}").orderBy("window").collect()]
+        assert got_ == want
