@@ -5,13 +5,15 @@ never cross the start of a marked word, so a text's ids are the ids of its marke
 ("chunks": a run of markers and what follows up to the next marker) one after another.
 Every task keeps a table of the distinct chunks it has met, segments each of them once
 with the library, and joins ids and decoded text back by position.  The table belongs
-to the task and is emptied at ``max_chunks`` entries (it then refills; results do not change),
-so memory is bounded, nothing is shuffled or broadcast, and a lost task is simply redone.
+to the task and is emptied at ``max_chunks`` entries (it then refills; results do not change).  Chunks of more than
+``max_chunk_chars`` characters (text without spaces) are segmented where they stand and never enter it, so its memory is
+bounded, nothing is shuffled or broadcast, and a lost task is simply redone.
 
 Defined results: null text counts as empty; empty text has no ids and decodes to "";
 markers written in the text itself (U+2581) are markers, as in the library; texts of any
-length are taken whole; each row is handled by itself, so ties and repeated rows keep
-their rows; other columns are kept or dropped by ``keep``.
+length are taken whole; each row is handled by itself, so ties, repeated rows and rows without an id keep
+their rows; the result has the id and its own columns only, and other columns, whatever their names, are not read; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -58,11 +60,12 @@ class ChunkTable:
         # a text; it may not merge with a marker, so its own ids can be cut off again.
         self.head = self.processor.encode("a")
 
-    def _segment(self, chunks: list[str]) -> None:
-        n, head = len(self.head), self.head
-        for chunk, ids in zip(chunks, self.processor.encode(["a" + c for c in chunks], num_threads=1)):
+    def _segment(self, chunks: list[str]) -> list[tuple[str, int, str]]:
+        n, head, out = len(self.head), self.head, []
+        for ids in self.processor.encode(["a" + c for c in chunks], num_threads=1):
             assert ids[:n] == head
-            self.table[chunk] = (",".join(map(str, ids[n:])), len(ids) - n, self.processor.decode(ids)[1:])
+            out.append((",".join(map(str, ids[n:])), len(ids) - n, self.processor.decode(ids)[1:]))
+        return out
 
     def _first(self, chunk: str) -> tuple[str, int, str]:
         """A text's first chunk as it stands, where it takes the library's own marker."""
@@ -78,12 +81,16 @@ class ChunkTable:
         table = self.table
         rest = marked[1:]
         missing = [c for c in dict.fromkeys(rest) if c not in table]
+        long = {c for c in missing if len(c) > self.max_chunk_chars}
+        if long:
+            alone = dict(zip(some := sorted(long), self._segment(some)))
+            missing = [c for c in missing if c not in long]
         if missing:
             if len(table) + len(missing) > self.max_chunks:
                 table.clear()
-                missing = list(dict.fromkeys(rest))
-            self._segment(missing)
-        rows = [table[c] for c in rest]
+                missing = [c for c in dict.fromkeys(rest) if c not in long]
+            table.update(zip(missing, self._segment(missing)))
+        rows = [alone[c] if c in long else table[c] for c in rest] if long else [table[c] for c in rest]
         return (
             ",".join([first[0], *[r[0] for r in rows]]),
             first[1] + sum([r[1] for r in rows]),

@@ -48,3 +48,11 @@ def test_query(spark):
     for r in got:
         ids, n, back = whole(sp, texts[r.doc_id])
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (n, sha(ids), sha(back))
+
+
+def test_long_chunks_stay_out_of_the_table():
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    table = st.ChunkTable(MODEL, max_chunks=5, max_chunk_chars=8)
+    for text in ("a " + "long" * 300 + " b " + "long" * 300, "one two three four five six seven eight nine " + "x" * 9, "日本" * 500 + " " + "日本" * 500):
+        assert table.encode(text) == whole(sp, text)
+        assert max(map(len, table.table), default=0) <= 8
