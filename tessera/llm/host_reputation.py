@@ -9,13 +9,22 @@ bad share (posterior mean less ``z`` posterior deviations) exceeds ``max_bad``.
 Rules come first: a rule (host, path, verdict) fits its host and all subdomains if the url's
 path starts with the rule's path; the longest fitting rule wins.
 
+Suffixes come from a table of second-level labels (``com.xy``, ``co.xy``: a parameter) and, where a caller has a public suffix
+list, from its names (``suffixes``): the longest that a host ends in.
+
+Pages meet their host's posterior by a broadcast of at most ``MAX_HOSTS`` counted rows; beyond it by a join on the host that Spark's
+skew handling can split, because the posteriors are a written table with one row a host.
+
 Defined results: a null url or one without ``://`` has empty host and path, no rule, and the
-verdict of the overall prior; a host without labels takes its domain's prior; repeated rows
-are judged each for itself; an empty table gives an empty result.
+verdict of the overall prior; a host without labels takes its domain's prior; urls of any length are read whole; of equally long
+rules the first by host, path and verdict wins; pages without an id are judged too; a page whose outcome is null or whose key is
+unknown counts for nothing; repeated rows are judged, and their outcomes counted, each for itself; other columns, whatever their
+names, are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -40,17 +49,23 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
-def suffix_of(host: Column) -> Column:
-    """Public suffix: the last label, or two where a registry's second-level label precedes a country code."""
-    second = "|".join(SECOND_LEVEL)
-    long = F.regexp_extract(host, rf"\.((?:{second})\.[a-z][a-z])$", 1)
+def _long_suffix(host: Column, labels: Sequence[str], suffixes: Sequence[str]) -> tuple[Column, str]:
+    """(a known suffix of several labels or one of the list, else empty; its pattern)."""
+    names = [re.escape(s) for s in sorted(suffixes, key=lambda s: (-len(s), s))]
+    pattern = "|".join([*names, f"(?:{'|'.join(map(re.escape, labels))})\\.[a-z][a-z]"])
+    return F.regexp_extract(host, rf"\.({pattern})$", 1), pattern
+
+
+def suffix_of(host: Column, labels: Sequence[str] = SECOND_LEVEL, suffixes: Sequence[str] = ()) -> Column:
+    """Public suffix: one of the list, or two labels where a registry's second-level label precedes a country code, or the last label."""
+    long, _ = _long_suffix(host, labels, suffixes)
     return F.when(long != "", long).otherwise(F.substring_index(host, ".", -1))
 
 
-def domain_of(host: Column) -> Column:
+def domain_of(host: Column, labels: Sequence[str] = SECOND_LEVEL, suffixes: Sequence[str] = ()) -> Column:
     """Registered domain: one label more than the suffix, or the host itself."""
-    second = "|".join(SECOND_LEVEL)
-    long = F.regexp_extract(host, rf"([^.]*\.(?:{second})\.[a-z][a-z])$", 1)
+    _, pattern = _long_suffix(host, labels, suffixes)
+    long = F.regexp_extract(host, rf"([^.]*\.(?:{pattern}))$", 1)
     return F.when(long != "", long).otherwise(F.substring_index(host, ".", -2))
 
 
@@ -84,7 +99,9 @@ def _strength(groups: DataFrame) -> DataFrame:
     return sums.select("tot_n", "tot_bad", "p", ((1.0 - rho) / rho).alias("kappa"))
 
 
-def host_posteriors(outcomes: DataFrame, hosts: DataFrame, *, z: float = 1.645) -> DataFrame:
+def host_posteriors(
+    outcomes: DataFrame, hosts: DataFrame, *, z: float = 1.645, labels: Sequence[str] = SECOND_LEVEL, suffixes: Sequence[str] = ()
+) -> DataFrame:
     """Posterior of every host of ``hosts`` (column host) given ``outcomes`` (host, bad 0/1).
 
     Returns host, n, bad, post_mean, post_low.  Everything is keyed by host or coarser, so
@@ -92,9 +109,10 @@ def host_posteriors(outcomes: DataFrame, hosts: DataFrame, *, z: float = 1.645)
     """
     counts = outcomes.where(F.col("bad").isNotNull()).groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("bad").cast("long")).alias("bad"))
     counts = materialize(counts)
-    named = hosts.select("host").distinct().withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
+    levels = {"domain": domain_of(F.col("host"), labels, suffixes), "suffix": suffix_of(F.col("host"), labels, suffixes)}
+    named = hosts.select("host").distinct().withColumns(levels)
     table = named.join(counts, "host", "left").fillna(0, ["n", "bad"])
-    labelled = counts.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
+    labelled = counts.withColumns(levels)
     per = {}
     for level in ("suffix", "domain"):
         per[level] = labelled.groupBy(level).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
@@ -129,6 +147,8 @@ def filter_urls(
     outcome_key: Column | None = None,
     z: float = 1.645,
     max_bad: float = 0.3,
+    labels: Sequence[str] = SECOND_LEVEL,
+    suffixes: Sequence[str] = (),
 ) -> DataFrame:
     """Judge every page.  ``outcomes`` has (key, bad); ``outcome_key`` is the page's key into it.
 
@@ -138,7 +158,7 @@ def filter_urls(
     key = F.col(id_col) if outcome_key is None else outcome_key
     rows = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), key.alias("_key"))
     known = rows.select("host", "_key").join(outcomes.select(F.col("key").alias("_key"), "bad"), "_key").select("host", "bad")
-    posts = materialize(host_posteriors(known, rows, z=z))
+    posts = materialize(host_posteriors(known, rows, z=z, labels=labels, suffixes=suffixes))
     if posts.limit(MAX_HOSTS + 1).count() <= MAX_HOSTS:  # a bounded table need not move the pages of a hot host
         posts = F.broadcast(posts)
     rule, ruled = match_rule(F.col("host"), F.col("path"), rules)
