@@ -7,22 +7,31 @@ The ``n_features`` slots that separate the labels best are kept.
 
 Training: logistic loss over a bounded, deterministic sample of labelled rows (at most about
 ``max_train``, a documented bound: rows are taken by a hash of their id), an L2 term, and the
-counterfactual term: in every sampled sentence that names a group of people, each term is swapped
-for the next of its kind, and the squared change of the raw score is penalised.  A group's name
-therefore carries no score of its own, which lowers false positives on neutral mentions.
+counterfactual term, the mean squared change of the raw score over two kinds of pairs:
+
+* every sentence of the sampled texts that names a group of people, against the same sentence with each term swapped for the
+  next of its kind;
+* every sentence of the sampled texts with a term of the list added, against the same with the next term of its kind.  These
+  mentions hold the weights that a group's name shares with other words (its prefixes) where the labelled texts name no group.
+
+A group's name therefore carries no score of its own, which lowers false positives on neutral mentions.  The squared changes
+are a quadratic form of the weights, so what comes to the driver of all pairs is one sum per pair of features, in whole
+numbers that no order of tasks changes.  The terms are a parameter.
 
 Scoring is one pass without shuffle; the model that is broadcast has ``n_features`` weights.
 
 Defined results: null or empty text has the score of the bias alone; texts of any length are
-read whole; repeated rows get equal scores; unlabelled or null-labelled rows are not learnt from;
-without labels of both kinds the score is the smoothed base rate; an empty table gives an empty result.
+read whole; repeated rows get equal scores; rows without an id are scored, not learnt from; unlabelled or null-labelled rows are not
+learnt from; an id with several labels is learnt from once for each; of slots that separate the labels equally well the lower ones are
+kept; without labels of both kinds the score is the smoothed base rate; other columns, whatever their names, are not read; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -49,7 +58,15 @@ IDENTITY_TERMS = (
     ("chrétien", "musulman", "juif"), ("homme", "femme"), ("christlich", "muslimisch", "jüdisch"),
     ("mann", "frau"), ("cristiano", "musulmán", "judío"), ("hombre", "mujer"),
 )
-SWAPS = {t: kind[(i + 1) % len(kind)] for kind in IDENTITY_TERMS for i, t in enumerate(kind)}
+
+
+def swaps_of(terms: Sequence[Sequence[str]]) -> dict[str, str]:
+    """Every term with the next of its kind."""
+    return {t.lower(): kind[(i + 1) % len(kind)].lower() for kind in terms for i, t in enumerate(kind) if len(kind) > 1}
+
+
+def scale(words: int) -> float:
+    return float(np.sqrt(1.0 + words / 50.0))
 
 
 class Features:
@@ -73,15 +90,15 @@ class Features:
         if not slots:
             return np.zeros(0, np.int64), np.zeros(0)
         index, count = np.unique(np.array(slots, np.int64), return_counts=True)
-        return index, count / np.sqrt(1.0 + len(words) / 50.0)
+        return index, count / scale(len(words))
+
+
+def sentences(text: str | None) -> list[str]:
+    return _SENTENCE.findall((text or "").lower())
 
 
-def swapped_sentences(text: str | None) -> Iterator[tuple[str, str]]:
-    """(sentence, counterfactual sentence) for every sentence that names a group."""
-    for sentence in _SENTENCE.findall((text or "").lower()):
-        other = _WORD.sub(lambda m: SWAPS.get(m[0], m[0]), sentence)
-        if other != sentence:
-            yield sentence, other
+def swapped(sentence: str, swaps: Mapping[str, str]) -> str:
+    return _WORD.sub(lambda m: swaps.get(m[0], m[0]), sentence)
 
 
 @dataclass
@@ -89,6 +106,9 @@ class Model:
     index: np.ndarray  # sorted slots
     weight: np.ndarray
     bias: float
+    pairs: int = 0  # sentences that name a group
+    mentions: int = 0  # sentences with a mention added, times terms
+    touched: int = 0  # weights that the counterfactual term acts on
 
     def raw(self, index: np.ndarray, value: np.ndarray) -> float:
         if not len(index) or not len(self.index):
@@ -130,10 +150,74 @@ def _csr(rows: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndar
     return np.repeat(np.arange(len(rows)), lengths), np.concatenate([c for c, _ in rows]).astype(np.int64), np.concatenate([v for _, v in rows])
 
 
-def optimise(x, y: np.ndarray, pairs, n_pairs: int, n_features: int, *, l2: float, fairness: float, positive_weight: float, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Adam on logistic loss + l2 |w|^2 / 2 + fairness * mean (w . delta)^2; full batches, no randomness."""
+UNIT = 1 << 32  # of the counterfactual sums
+
+
+def _within(index: np.ndarray, slots: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in ``index`` of the slots that it has, with their values."""
+    if not len(index) or not len(slots):
+        return np.zeros(0, np.int64), np.zeros(0)
+    at = np.minimum(np.searchsorted(index, slots), len(index) - 1)
+    hit = index[at] == slots
+    return at[hit], values[hit]
+
+
+def _change(features: Features, index: np.ndarray, a: str, b: str) -> tuple[np.ndarray, np.ndarray]:
+    (ca, xa), (cb, xb) = _within(index, *features.of_text(a)), _within(index, *features.of_text(b))
+    delta = np.bincount(np.append(ca, cb).astype(np.int64), weights=np.append(xa, -xb))
+    at = np.flatnonzero(np.abs(delta) > 1e-12)
+    return at, delta[at]
+
+
+def counterfactuals(sample: DataFrame, index: np.ndarray, terms: Sequence[Sequence[str]]) -> tuple[tuple, int, int]:
+    """((rows, columns, values) of the mean outer product of changes, number of pairs, number of mentions).
+
+    A change is what swapping terms does to a sentence's features; sums are of whole numbers, one per pair of features that any change has.
+    """
+    swaps = swaps_of(terms)
+
+    def run(batches):
+        features, sums = Features(), {}
+        count = room = pairs = 0
+
+        for pdf in batches:
+            for text in pdf["text"]:
+                for sentence in sentences(text):
+                    words = _WORD.findall(sentence)
+                    count += 1
+                    room += round(UNIT / scale(len(set(words)) + 1) ** 2)
+                    if swaps.keys().isdisjoint(words):
+                        continue
+                    pairs += 1
+                    at, delta = _change(features, index, sentence, swapped(sentence, swaps))
+                    outer = np.rint(np.outer(delta, delta) * UNIT).astype(np.int64).ravel().tolist()
+                    for i, j, v in zip(np.repeat(at, len(at)).tolist(), np.tile(at, len(at)).tolist(), outer):
+                        sums[i, j] = sums.get((i, j), 0) + v
+        rows = [(-1, 0, pairs), (-2, 0, count), (-3, 0, room), *((i, j, v) for (i, j), v in sums.items())]
+        yield pd.DataFrame(rows, columns=["i", "j", "v"])
+
+    total = F.sum(F.col("v").cast("decimal(38,0)")).alias("v")
+    got = {(r.i, r.j): int(r.v) for r in sample.select("text").mapInPandas(run, "i int, j int, v long").groupBy("i", "j").agg(total).collect()}
+    pairs, count, room = (got.pop((k, 0), 0) for k in (-1, -2, -3))
+    mean = {at: v / UNIT / pairs for at, v in got.items()}
+    features = Features()
+    if count and swaps:
+        # a mention adds the features of its words to the sentence's; the change is theirs, over the sentence's scale
+        part = room / UNIT / count / len(swaps)
+        for a, b in swaps.items():
+            at, delta = _change(features, index, a, b)
+            delta = delta * scale(1)
+            for x, i in enumerate(at.tolist()):
+                for y, j in enumerate(at.tolist()):
+                    mean[i, j] = mean.get((i, j), 0.0) + part * delta[x] * delta[y]
+    keys = sorted(mean)
+    return (np.array([i for i, _ in keys], np.int64), np.array([j for _, j in keys], np.int64), np.array([mean[k] for k in keys], float)), pairs, count * len(swaps)
+
+
+def optimise(x, y: np.ndarray, changes, n_features: int, *, l2: float, fairness: float, positive_weight: float, steps: int = 400) -> tuple[np.ndarray, float]:
+    """Adam on logistic loss + l2 |w|^2 / 2 + fairness * w . M w, M the mean outer product of ``changes``; full batches, no randomness."""
     row, col, val = x
-    prow, pcol, pval = pairs
+    mrow, mcol, mval = changes
     w = np.zeros(n_features + 1)
     m, v = np.zeros_like(w), np.zeros_like(w)
     cost = np.where(y == 1, positive_weight, 1.0) / len(y)
@@ -142,9 +226,8 @@ def optimise(x, y: np.ndarray, pairs, n_pairs: int, n_features: int, *, l2: floa
         g = (1.0 / (1.0 + np.exp(-np.clip(raw, -40, 40))) - y) * cost
         grad = np.append(np.bincount(col, weights=g[row] * val, minlength=n_features), g.sum())
         grad[:-1] += l2 * w[:-1]
-        if n_pairs:
-            change = np.bincount(prow, weights=w[pcol] * pval, minlength=n_pairs)
-            grad[:-1] += 2.0 * fairness / n_pairs * np.bincount(pcol, weights=change[prow] * pval, minlength=n_features)
+        if len(mval):
+            grad[:-1] += 2.0 * fairness * np.bincount(mrow, weights=mval * w[mcol], minlength=n_features)
         m = 0.9 * m + 0.1 * grad
         v = 0.999 * v + 0.001 * grad * grad
         w -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -153,12 +236,13 @@ def optimise(x, y: np.ndarray, pairs, n_pairs: int, n_features: int, *, l2: floa
 
 def fit(
     docs: DataFrame, labels: DataFrame, *, max_train: int = 40_000, n_features: int = 2048, l2: float = 1e-5, fairness: float = 1.0,
-    positive_weight: float = 3.0, max_pairs: int = 100_000,
+    positive_weight: float = 3.0, identity_terms: Sequence[Sequence[str]] = IDENTITY_TERMS,
 ) -> Model:
     """Learn from ``labels`` (doc_id, label 0/1) of ``docs`` (doc_id, text).
 
     At most about ``max_train`` labelled rows are used (an id's hash decides), so the label table that is
-    broadcast, the sample and what comes to the driver are bounded; so are the ``max_pairs`` pairs.
+    broadcast and the sample are bounded; all sentences of the sample take part in the counterfactual term, of which
+    sums over pairs of the ``n_features`` features come to the driver.
     """
     known = labels.where("label is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("int").alias("label"))
     n = known.count()
@@ -183,29 +267,17 @@ def fit(
         for pdf in batches:
             out = []
             for doc_id, text, label in zip(pdf["doc_id"], pdf["text"], pdf["label"]):
-                def kept(t):
-                    i, x = features.of_text(t)
-                    at = np.minimum(np.searchsorted(index, i), len(index) - 1)
-                    hit = index[at] == i
-                    return at[hit], x[hit]
-
-                c, x = kept(text)
+                c, x = _within(index, *features.of_text(text))
                 out.append((doc_id, int(label), c.tolist(), x.tolist()))
-                for a, b in swapped_sentences(text):
-                    (ca, xa), (cb, xb) = kept(a), kept(b)
-                    delta = np.bincount(np.append(ca, cb), weights=np.append(xa, -xb)) if len(ca) + len(cb) else np.zeros(0)
-                    at = np.flatnonzero(np.abs(delta) > 1e-12)
-                    out.append((doc_id, -1, at.tolist(), delta[at].tolist()))
             yield pd.DataFrame(out, columns=["doc_id", "label", "cols", "vals"])
 
-    rows = materialize(sample.mapInPandas(project, "doc_id long, label int, cols array<int>, vals array<double>"))
-    learnt = rows.where("label >= 0").collect()
-    swaps = rows.where("label < 0 and size(cols) > 0").orderBy("doc_id", "cols", "vals").limit(max_pairs).collect()
+    learnt = sample.mapInPandas(project, "doc_id long, label int, cols array<int>, vals array<double>").collect()
     learnt.sort(key=lambda r: (r.doc_id, r.label, r.cols, r.vals))
-    as_rows = lambda rs: [(np.array(r.cols, np.int64), np.array(r.vals)) for r in rs]
     y = np.array([r.label for r in learnt], float)
-    w, bias = optimise(_csr(as_rows(learnt)), y, _csr(as_rows(swaps)), len(swaps), len(index), l2=l2, fairness=fairness, positive_weight=positive_weight)
-    return Model(index, w, bias)
+    x = _csr([(np.array(r.cols, np.int64), np.array(r.vals)) for r in learnt])
+    changes, pairs, mentions = counterfactuals(sample, index, identity_terms)
+    w, bias = optimise(x, y, changes, len(index), l2=l2, fairness=fairness, positive_weight=positive_weight)
+    return Model(index, w, bias, pairs, mentions, len(np.unique(changes[0])))
 
 
 def score_column(spark: SparkSession, model: Model, text: Column) -> Column:

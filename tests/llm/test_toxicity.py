@@ -55,3 +55,87 @@ def test_odd_inputs(spark):
     assert tx.score(none, tx.fit(none, none)).count() == 0
     one_kind = df.where("label = 1")
     assert all(r.score > 0.5 for r in tx.score(df, tx.fit(df, one_kind)).collect())
+
+
+def plain_sums(rows, index, terms):
+    """Mean outer product of the changes of all pairs and of all mentions, in dense arrays."""
+    swaps = tx.swaps_of(terms)
+    feats = tx.Features()
+
+    def dense(sentence):
+        v = np.zeros(1 << tx.BITS)
+        slots, x = feats.of_text(sentence)
+        v[slots] = x
+        return v[index]
+
+    found, added = [], []
+    for _, text, _ in rows:
+        for sentence in tx.sentences(text):
+            words = tx._WORD.findall(sentence)
+            other = tx.swapped(sentence, swaps)
+            if other != sentence:
+                found.append(dense(sentence) - dense(other))
+            n = len(set(words))
+            added += [(dense(a) - dense(b)) * tx.scale(1) / tx.scale(n + 1) for a, b in swaps.items()]
+    mean = lambda d: np.mean([np.outer(v, v) for v in d], axis=0) if d else 0
+    return mean(found) + mean(added), len(found), len(added)
+
+
+TERMS = (("muslim", "christian", "jewish"), ("wordman", "word7"), ("alone",))
+
+
+def test_counterfactual_sums_and_fit_against_dense_arrays(spark):
+    rows = [(i, t + (". The muslim word1 here" if i % 7 == 0 else ""), y) for i, t, y in corpus(90)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, label int").repartition(5)
+    model = tx.fit(df, df, n_features=200, fairness=3.0, identity_terms=TERMS)
+    want, pairs, mentions = plain_sums(rows, model.index, TERMS)
+    assert (model.pairs, model.mentions) == (pairs, mentions) and pairs > 15 and model.touched == np.count_nonzero(np.abs(want).sum(1))
+    sums, *_ = tx.counterfactuals(df, model.index, TERMS)
+    got = np.zeros((len(model.index),) * 2)
+    got[sums[0], sums[1]] = sums[2]
+    assert np.abs(got - want).max() < 1e-6
+    # the same loss, descended in dense arrays
+    feats, x, y = tx.Features(), np.zeros((len(rows), len(model.index))), np.array([r[2] for r in rows], float)
+    for k, (_, text, _) in enumerate(rows):
+        slots, v = feats.of_text(text)
+        at = np.searchsorted(model.index, slots)
+        for a, s, value in zip(at, slots, v):
+            if a < len(model.index) and model.index[a] == s:
+                x[k, a] = value
+    cost = np.where(y == 1, 3.0, 1.0) / len(y)
+
+    def loss(w, b):
+        raw = x @ w + b
+        return (cost * (np.logaddexp(0, raw) - y * raw)).sum() + 1e-5 * w @ w / 2 + 3.0 * w @ want @ w
+
+    w, b, m, v = np.zeros(x.shape[1]), 0.0, np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1)
+    for t in range(1, 401):
+        g = (1 / (1 + np.exp(-(x @ w + b))) - y) * cost
+        grad = np.append(x.T @ g + 1e-5 * w + 6.0 * want @ w, g.sum())
+        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
+        step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        w, b = w - step[:-1], b - step[-1]
+    assert abs(loss(w, b) - loss(model.weight, model.bias)) < 1e-4 * loss(w, b)
+    assert np.abs(x @ w + b - x @ model.weight - model.bias).max() < 0.05
+
+
+def test_late_ids_take_part_in_the_penalty(spark):
+    """Only the documents with the largest ids name the group; the penalty still holds its weight."""
+    rows = [(i, t, y) for i, t, y in ((i, t.replace(" muslim", ""), y) for i, t, y in corpus(500))]
+    rows += [(10**6 + i, t + (" muslim" if y else ""), y) for i, t, y in corpus(100)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, label int")
+    swap = tx.fit(df, df, fairness=5.0, identity_terms=(("muslim", "christian"),))
+    free = tx.fit(df, df, fairness=0.0, identity_terms=(("muslim", "christian"),))
+    change = lambda m: abs(m.raw(*tx.Features().of_text("muslim")) - m.raw(*tx.Features().of_text("christian")))
+    assert swap.pairs > 30 and change(swap) < 0.2 * change(free)
+    assert tx.fit(df, df, identity_terms=()).touched == 0
+
+
+def test_terms_that_no_text_names_still_take_part(spark):
+    """A prefix that a group's name shares with a toxic word carries less score under the penalty."""
+    rows = [(i, t.replace("vileslur", "muslinx").replace(" muslim", ""), y) for i, t, y in corpus(400)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, label int")
+    near = [tx.fit(df, df, fairness=f) for f in (0.0, 20.0)]
+    assert near[1].pairs == 0 and near[1].mentions > 0 and near[1].touched > 0
+    plain, held = (m.raw(*tx.Features().of_text("the muslim family")) - m.bias for m in near)
+    assert plain > 0.1 and abs(held) < 0.4 * plain
