@@ -141,3 +141,18 @@ def test_rows_without_id_and_repeated_ids(spark):
     assert (1, 1, (), 1) in by  # found, but its class has no id
     assert (None, None, (2,), 1) in by and (3, 3, (5,), 1) in by and (4, 4, (6,), 1) in by
     assert sum(r.id == 5 and r.n_corners > 0 for r in got) == 2
+
+
+def test_recall_at_any_scale_and_few_chance_matches(spark):
+    base = pictures(30, seed=12)
+    for scale in (0.9, 0.8, 0.7, 0.62):
+        rows = [(i, ic.encode_pgm(ic._resize(base[i], scale) if i < 15 else base[i - 15])) for i in range(45)]
+        df = spark.createDataFrame(rows, SCHEMA)
+        found = {r.id: r.copies for r in ic.find_copies(df, df.id < 15).collect()}
+        assert sum(i + 15 in found[i] for i in range(15)) >= 13, scale
+        assert sum(len(set(found[i]) - {i + 15}) for i in range(15)) == 0
+    words = [ic.describe(p)[0] for p in base]
+    chance = sum(
+        int(((a[:, None] == b[None]).any(2) & (np.bitwise_count(a[:, None] ^ b[None]).sum(2) <= 12)).sum()) for i, a in enumerate(words) for b in words[:i]
+    )
+    assert chance < 0.05 * 30 * 29 / 2
