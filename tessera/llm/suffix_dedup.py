@@ -556,7 +556,9 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     if ids == rows:
         marked = marked.withColumn("row", F.lit(0).cast("long"))
     groups = marked.where(f"n >= {MATCH} and doc_id is not null").groupBy("sha").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    copies = marked.join(groups.where("first < last").select("sha", "first"), "sha").where("doc_id > first").select("doc_id", "row").distinct()
+    # rows of a hot text stay where they are: its digest comes to them
+    groups = _small(materialize(groups.where("first < last").select("sha", "first")), 100)
+    copies = marked.join(groups, "sha").where("doc_id > first").select("doc_id", "row").distinct()
     copies = materialize(copies)
     rest = docs.where("doc_id is not null").join(_small(copies, 48), ["doc_id", "row"], "left_anti")
     found = materialize(occurrences(rest, buckets, hot_pieces, total, max_bytes))

@@ -140,3 +140,16 @@ def test_query(spark):
     d = "/root/testdata/sf0.001"
     rows = [tuple(r) for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()]
     assert got(op4_suffix_dedup(spark, d)) == brute(rows)
+
+
+def test_sql_of_the_query(spark):
+    import duckdb
+
+    from tessera.llm.queries import SQL
+
+    d = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{d}/documents.parquet'")
+    df = op4_suffix_dedup(spark, d)
+    want = con.sql(f"select {', '.join(df.columns)} from ({SQL['op4_suffix_dedup']})").fetchall()
+    assert sorted(map(tuple, df.collect())) == sorted(want)
