@@ -59,8 +59,8 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-    with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
-    l as (select doc_id, unnest(list_transform(generate_series(0, len(h) // 2 - 50), lambda i: {'i': i, 's': substr(h, 2 * i + 1, 100)})) as u from d),
+    with d as (select doc_id, encode(coalesce(text, '')) as b from documents),
+    l as (select doc_id, unnest(list_transform(generate_series(0, octet_length(b) - 50), lambda i: {'i': i, 's': b[i + 1:i + 50]})) as u from d),
     w as (select doc_id, u.i as i, u.s as s from l),
     first as (select s, min(doc_id) as owner from w group by s having min(doc_id) < max(doc_id)),
     gone as (select w.doc_id, w.i, coalesce(w.i - lag(w.i) over (partition by w.doc_id order by w.i) > 50, true) as fresh from w join first using (s) where owner < w.doc_id),
@@ -68,12 +68,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
       select doc_id, min(i) as a, max(i) + 50 as b from (select *, sum(cast(fresh as int)) over (partition by doc_id order by i) as k from gone) group by doc_id, k
     ),
     part as (select doc_id, a, b, lag(b, 1, 0) over (partition by doc_id order by a) as p from span),
-    kept as (
-      select doc_id, string_agg(substr(h, 2 * p + 1, 2 * (a - p)), '' order by a) || substr(any_value(h), 2 * max(b) + 1) as k, sum(b - a) as n_removed, count(*) as n_spans
-      from part join d using (doc_id) group by doc_id
-    )
-    select doc_id, len(h) // 2 as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(k, h))) as kept_sha256
-    from d left join kept using (doc_id)
+    sums as (select doc_id, sum(b - a) as n_removed, count(*) as n_spans, max(b) as last from part group by doc_id),
+    kept as (select doc_id, string_agg(hex(d.b[p + 1:a]), '' order by a) as k from part join d using (doc_id) group by doc_id)
+    select doc_id, octet_length(b) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans,
+           sha256(unhex(coalesce(k, '') || hex(b[coalesce(last, 0) + 1:]))) as kept_sha256
+    from d left join kept using (doc_id) left join sums using (doc_id)
     """
 )
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
