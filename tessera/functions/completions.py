@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.functions.text import SPACE, bullets, strip
+from tessera.functions.text import SPACE, bullets, once, strip
 from tessera.schemas import DIMENSIONS, RUBRIC
 
 #: The version that is part of every memo key.
@@ -26,13 +26,18 @@ def completion_text(messages: Column) -> Column:
 def parse_completion(text: Column) -> Column:
     """Struct of the four stripped sections, or null where the completion is malformed.
 
-    The sections come in order with nothing else around them, none is blank, none holds a section tag.
+    The sections come in order with nothing else around them, none is blank, none holds a section tag.  One match turns the
+    completion into its sections parted by a tag, which no section may hold; a text that does not match stays as it is.
     """
-    parts = [strip(F.regexp_extract(text, _WHOLE, i + 1)) for i in range(len(DIMENSIONS))]
-    good = F.rlike(text, F.lit(_WHOLE))
-    for p in parts:
-        good = good & (p != "") & ~F.rlike(p, F.lit(_NESTED))
-    return F.when(good, F.struct(*[p.alias(d) for p, d in zip(parts, DIMENSIONS)]))
+    tag = f"<{DIMENSIONS[0]}>"
+    whole = F.regexp_replace(text, _WHOLE, tag.join(f"${i + 1}" for i in range(len(DIMENSIONS))))
+
+    def sections(state: Column) -> Column:
+        parts = F.transform(F.split(state["whole"], _NESTED), strip)
+        fine = (state["whole"] != state["text"]) & (F.size(parts) == len(DIMENSIONS)) & ~F.exists(parts, lambda p: p == "")
+        return F.when(fine, F.struct(*[parts[i].alias(d) for i, d in enumerate(DIMENSIONS)]))
+
+    return once(F.struct(whole.alias("whole"), text.alias("text")), sections)
 
 
 def format_reward(text: Column) -> Column:

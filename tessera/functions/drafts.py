@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.functions.text import contains_any, fold, has_duplicates, normalize_ws
+from tessera.functions.text import contains_any, fold, has_duplicates, normalize_ws, once
 from tessera.schemas import REVIEW_FLAGS, RUBRIC
 
 #: Task families, in the order of the quota table.
@@ -52,8 +52,12 @@ def _quoted(text: Column) -> Column:
     return F.coalesce(F.concat(F.lit("'"), text, F.lit("'")), F.lit("None"))
 
 
-def phrase_flags(task: Column) -> dict[str, Column]:
-    plain = fold(normalize_ws(F.coalesce(task, F.lit(""))))
+def plain_task(task: Column) -> Column:
+    return fold(normalize_ws(F.coalesce(task, F.lit(""))))
+
+
+def plain_flags(plain: Column) -> dict[str, Column]:
+    """What a task, folded and with single blanks, says."""
     return {
         "mentions_source": contains_any(plain, SOURCE_PHRASES),
         "asks_number": contains_any(plain, NUMERIC_PHRASES),
@@ -61,9 +65,17 @@ def phrase_flags(task: Column) -> dict[str, Column]:
     }
 
 
+def phrase_flags(task: Column) -> Column:
+    """Struct of the three flags; the task is folded once."""
+    return once(plain_task(task), lambda plain: F.struct(*[c.alias(n) for n, c in plain_flags(plain).items()]))
+
+
 def draft_errors(draft: Mapping[str, Column], requested: Column) -> Column:
     """Messages in their order; an unusable draft has just its reason."""
-    flags = phrase_flags(draft["task"])
+    return once(plain_task(draft["task"]), lambda plain: _errors(draft, requested, plain_flags(plain)))
+
+
+def _errors(draft: Mapping[str, Column], requested: Column, flags: Mapping[str, Column]) -> Column:
     rules: list[tuple[Column, Column | str]] = [
         (
             ~draft["task_family"].eqNullSafe(requested),

@@ -58,13 +58,17 @@ def contains_any(text: Column, phrases: tuple[str, ...]) -> Column:
     return found
 
 
+def once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often its result is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def bullets(items: Column) -> Column:
     return F.array_join(F.transform(items, lambda i: F.concat(F.lit("- "), i)), "\n")
 
 
 def has_duplicates(items: Column) -> Column:
-    same = F.transform(items, lambda i: fold(normalize_ws(i)))
-    return F.size(F.array_distinct(same)) != F.size(same)
+    return F.size(F.array_distinct(F.transform(items, lambda i: fold(normalize_ws(i))))) != F.size(items)
 
 
 def excerpt(text: Column, *, min_chars: int = 1200, max_chars: int = 6000, min_paragraph: int = 80) -> Column:

@@ -77,7 +77,8 @@ def accepted_rows(drafted: DataFrame) -> DataFrame:
     body = [f.name for f in DRAFT.fields if f.name not in ("usable", "rejection_reason", "task_family")]
     excerpt = [c for c in drafted.columns if c.startswith("source_") or c in ("paper_id", "title")]
     review = {f: F.col(f"review.{f}") for f in drafts.REVIEW_FLAGS}
-    good = (F.size(errors(drafted)) == 0) & drafts.review_accepts(review)
+    drafted = with_errors(drafted)
+    good = (F.size("_errors") == 0) & drafts.review_accepts(review)
     identity = drafts.task_id(F.col("requested_split"), F.col("requested_task_family"), F.col("paper_id"), F.col("source_sha256"))
     return drafted.where(good).select(
         identity.alias("task_id"), *excerpt, F.col("requested_split").alias("split"), *[F.col(f"draft.{b}").alias(b) for b in body],
@@ -89,11 +90,16 @@ def errors(drafted: DataFrame) -> Column:
     return drafts.draft_errors({f.name: F.col(f"draft.{f.name}") for f in DRAFT.fields}, F.col("requested_task_family"))
 
 
+def with_errors(drafted: DataFrame) -> DataFrame:
+    """Rows with their validation messages as ``_errors``, unless they have them."""
+    return drafted if "_errors" in drafted.columns else drafted.withColumn("_errors", errors(drafted))
+
+
 def rejected_rows(drafted: DataFrame) -> DataFrame:
     """Rejections of both stages in one shape; a review that was never asked for is null."""
     excerpt = [c for c in drafted.columns if c.startswith("source_") or c in ("paper_id", "title")]
     review = {f: F.col(f"review.{f}") for f in drafts.REVIEW_FLAGS}
-    rows = drafted.withColumn("_errors", errors(drafted)).withColumn("_valid", F.size("_errors") == 0)
+    rows = with_errors(drafted).withColumn("_valid", F.size("_errors") == 0)
     turned_down = ~F.col("_valid") | ~drafts.review_accepts(review)
     only = lambda c: F.when(F.col("_valid"), F.col(c))
     return rows.where(turned_down).select(

@@ -27,6 +27,12 @@ def judge_items(rows: DataFrame, model: str) -> DataFrame:
     return good.select("completion_id", item.alias("item")).withColumn("cache_key", completions.cache_key(F.col("item"), model))
 
 
+def numbered(items: DataFrame, batch: str, order: str) -> DataFrame:
+    """Items with ``item_index``, their place in their request's batch."""
+    at = F.row_number().over(Window.partitionBy(batch).orderBy(order)).cast("long") - 1
+    return items.withColumn("item_index", at)
+
+
 def latest(memo: DataFrame) -> DataFrame:
     """One row per key: the last written wins."""
     names = [c for c in memo.columns if c not in ("cache_key", "seq")]
@@ -89,11 +95,14 @@ def judge_misses(requests: DataFrame, judge: Judge, version: str = completions.J
 
 
 def rewards(rows: DataFrame, items: DataFrame, memo: DataFrame, base: float = 0.10, weight: float = 0.90) -> DataFrame:
-    """(completion_id, format, semantic, reward) of every completion; malformed ones get 0."""
-    scored = lookup(items, memo).select("completion_id", "semantic")
-    gate = rows.select("completion_id", completions.format_reward(F.col("completion")).alias("format"))
+    """(completion_id, format, semantic, reward) of every completion; malformed ones get 0.
+
+    ``items`` are the well-formed rows (``judge_items``), so being among them is the format gate and nothing is parsed twice.
+    """
+    scored = lookup(items, memo).select("completion_id", "semantic", F.lit(1.0).alias("format"))
+    gate = rows.select("completion_id").join(scored, "completion_id", "left")
     semantic = F.coalesce("semantic", F.lit(0.0))
-    return gate.join(scored, "completion_id", "left").select(
+    return gate.withColumn("format", F.coalesce("format", F.lit(0.0))).select(
         "completion_id", "format", semantic.alias("semantic"), completions.combined_reward(F.col("format"), semantic, base, weight).alias("reward")
     )
 

@@ -60,7 +60,7 @@ def draft_columns():
 
 @query(f"with {cte('draft')} select doc_id, {_SOURCE} as mentions_source, {_NUMBER} as asks_number, {_CUE} as has_cue from draft")
 def draft_phrase_flags(spark, sf_dir):
-    return draft_rows(spark, sf_dir).select("doc_id", *[c.alias(n) for n, c in drafts.phrase_flags(F.col("task")).items()])
+    return draft_rows(spark, sf_dir).select("doc_id", drafts.phrase_flags(F.col("task")).alias("f")).select("doc_id", "f.*")
 
 
 @query(f"with {cte('draft')} select doc_id, {', '.join(f'{_dup(f)} as {f}' for f in ('brainstorm', 'required_constraints', 'failure_modes'))} from draft")

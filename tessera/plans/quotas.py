@@ -21,6 +21,9 @@ quota as (
   select split, task_family, whole + case when row_number() over (partition by split order by raw - whole desc, task_family) <= target - sum(whole) over (partition by split) then 1 else 0 end as target
   from floors
 )"""
+#: shares of a split in the whole table that its target asks for: some cells stay open, others are full
+SHARES = {"sft_train": (6, 10), "sft_validation": (15, 100), "grpo_train": (1, 10)}
+_WIDE = QUOTA.replace(f"(values {_T}) t(split, target)", "(" + " union all ".join(f"select '{k}' as split, count(*) * {a} // {b} as target from documents" for k, (a, b) in SHARES.items()) + ") t")
 STATUS = f"""{cte('canonical')}, {QUOTA},
 seen as (select split, task_family, count(*) as n from canonical group by 1, 2),
 state as (select q.split, q.task_family, q.target, coalesce(n, 0) as observed from quota q left join seen using (split, task_family))"""
@@ -45,22 +48,28 @@ def quota_status(spark, sf_dir):
     return quotas.quota_status(adapted(spark, sf_dir, "canonical"), quota(spark))
 
 
-_FEW = STATUS.replace("from canonical group", "from canonical where doc_id % 20 = 0 group")
+_OPEN = STATUS.replace(QUOTA, _WIDE)
 
 
-@query(f"with {_FEW} select split, task_family, cast(target - observed as bigint) as deficit from state where observed < target")
+def wide_quota(spark, rows):
+    """Targets in proportion to the table, so that the whole of it leaves cells open."""
+    n = rows.count()
+    return quotas.quota_table(spark, {k: n * a // b for k, (a, b) in SHARES.items()}, WEIGHTS)
+
+
+@query(f"with {_OPEN} select split, task_family, cast(target - observed as bigint) as deficit from state where observed < target")
 def quota_deficits(spark, sf_dir):
-    # a partial journal, so that most cells are still open
-    return quotas.quota_deficits(adapted(spark, sf_dir, "canonical").where("doc_id % 20 = 0"), quota(spark))
+    rows = adapted(spark, sf_dir, "canonical")
+    return quotas.quota_deficits(rows, wide_quota(spark, rows))
 
 
 @query(
-    f"with {_FEW}, units as (select split, task_family, target, unnest(generate_series(least(observed, target), target - 1)) as ordinal from state where observed < target)"
+    f"with {_OPEN}, units as (select split, task_family, target, unnest(generate_series(least(observed, target), target - 1)) as ordinal from state where observed < target)"
     " select row_number() over (order by ordinal / target::double, split, task_family, ordinal) as slot, split, task_family from units order by slot limit 40"
 )
 def planned_slots(spark, sf_dir):
-    # a partial journal, so that most cells are still open
-    return quotas.planned_slots(adapted(spark, sf_dir, "canonical").where("doc_id % 20 = 0"), quota(spark), 40)
+    rows = adapted(spark, sf_dir, "canonical")
+    return quotas.planned_slots(rows, wide_quota(spark, rows), 40)
 
 
 @query(
@@ -87,12 +96,13 @@ def batch_plan(spark, sf_dir):
 
 
 @query(
-    f"with {_NUMBERED}, {_FEW}, units as (select split, task_family, target, unnest(generate_series(least(observed, target), target - 1)) as ordinal from state where observed < target),"
+    f"with {_NUMBERED}, {_OPEN}, units as (select split, task_family, target, unnest(generate_series(least(observed, target), target - 1)) as ordinal from state where observed < target),"
     " slots as (select row_number() over (order by ordinal / target::double, split, task_family, ordinal) as slot, split, task_family from units)"
     " select slot, paper_id, split, task_family from numbered join slots on slot = stream_idx + 1 where slot <= 16"
 )
 def slot_assignment(spark, sf_dir):
-    slots = quotas.planned_slots(adapted(spark, sf_dir, "canonical").where("doc_id % 20 = 0"), quota(spark), 16)
+    rows = adapted(spark, sf_dir, "canonical")
+    slots = quotas.planned_slots(rows, wide_quota(spark, rows), 16)
     return quotas.assign(numbered(spark, sf_dir), slots).select("slot", "paper_id", "split", "task_family")
 
 
@@ -216,6 +226,6 @@ def quota_fill(spark, sf_dir):
 
     folder = f"{shared_folder(spark)}/quota_fill/{uuid.uuid4().hex}"
     done = fill_quotas(
-        spark, numbered(spark, sf_dir).persist(), SMALL, WEIGHTS, accepted_path=f"{folder}/accepted", rejected_path=f"{folder}/rejected", provider=scripted, concurrency=1
+        spark, numbered(spark, sf_dir), SMALL, WEIGHTS, accepted_path=f"{folder}/accepted", rejected_path=f"{folder}/rejected", provider=scripted, concurrency=1
     )
     return done.select("paper_id", "split", "task_family", "task_id")

@@ -36,10 +36,22 @@ def items(spark, sf_dir):
 
 
 def memo(spark, sf_dir):
+    """Two thirds of the items with their judgments, each written twice: once stale, then right."""
     judged = items(spark, sf_dir).join(adapted(spark, sf_dir, "judgment"), F.col("completion_id") == F.col("doc_id")).where("doc_id % 3 <> 0")
-    later = judged.select("cache_key", F.struct(*DIMENSIONS).alias("judgment"), (F.col("doc_id") + 10**9).alias("seq"))
-    stale = judged.select("cache_key", F.struct(*[F.lit(0).alias(d) for d in DIMENSIONS]).alias("judgment"), F.col("doc_id").alias("seq"))
-    return stale.unionByName(later)
+    right, stale = F.struct(*DIMENSIONS), F.struct(*[F.lit(0).alias(d) for d in DIMENSIONS])
+    both = F.array(F.struct(stale.alias("judgment"), F.col("doc_id").alias("seq")), F.struct(right.alias("judgment"), (F.col("doc_id") + 10**9).alias("seq")))
+    return judged.select("cache_key", F.explode(both).alias("m")).select("cache_key", "m.judgment", "m.seq")
+
+
+def written(spark, table):
+    """A table as it lies in storage between two steps."""
+    import uuid
+
+    from tessera.sources.files import shared_folder
+
+    path = f"{shared_folder(spark)}/written/{uuid.uuid4().hex}"
+    table.write.parquet(path)
+    return spark.read.schema(table.schema).parquet(path)
 
 
 @query("with m as (select conv_id, list({'role': role, 'content': text} order by turn) as messages from conversations group by 1) select conv_id, messages[-1].content as text from m")
@@ -65,13 +77,15 @@ def semantic_score(spark, sf_dir):
     return adapted(spark, sf_dir, "judgment").select("doc_id", completions.semantic_score(F.struct(*DIMENSIONS)).alias("semantic"))
 
 
-@query(f"with {cte('completion')} select completion_id, row_number() over (order by completion_id) - 1 as item_index, task, {', '.join(f'array_to_string({r}, chr(10)) as {r}' for r in RUBRIC)}, completion as student_response from completion where {_GOOD} order by completion_id limit 64")
+@query(
+    f"with {cte('completion')} select completion_id, completion_id // 64 as batch, row_number() over (partition by completion_id // 64 order by completion_id) - 1 as item_index, task,"
+    f" {', '.join(f'array_to_string({r}, chr(10)) as {r}' for r in RUBRIC)}, completion as student_response from completion where {_GOOD}"
+)
 def judge_items(spark, sf_dir):
-    from pyspark.sql import Window
-
-    batch = items(spark, sf_dir).orderBy("completion_id").limit(64)  # one request's batch
-    at = F.row_number().over(Window.orderBy("completion_id")).cast("long") - 1
-    return batch.select("completion_id", at.alias("item_index"), "item.task", *[F.array_join(f"item.{r}", "\n").alias(r) for r in RUBRIC], "item.student_response")
+    """All items, numbered inside their batch: the well-formed ones of 64 completions that a trainer scores together."""
+    batched = items(spark, sf_dir).withColumn("batch", F.expr("completion_id div 64"))
+    numbered = rw.numbered(batched, "batch", "completion_id")
+    return numbered.select("completion_id", "batch", "item_index", "item.task", *[F.array_join(f"item.{r}", "\n").alias(r) for r in RUBRIC], "item.student_response")
 
 
 @query(f"with {_KEYED} select completion_id, cache_key from keyed")
@@ -115,7 +129,8 @@ _REWARD = f"""{_KEYED}, {_LAST}, scored as (
 
 @query(f"with {_REWARD} select * from rewarded")
 def reward(spark, sf_dir):
-    return rw.rewards(rows(spark, sf_dir), items(spark, sf_dir), memo(spark, sf_dir))
+    memo_table = written(spark, memo(spark, sf_dir))  # a memo is a table that earlier runs wrote
+    return rw.rewards(rows(spark, sf_dir), items(spark, sf_dir), memo_table)
 
 
 @query(
