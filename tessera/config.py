@@ -7,8 +7,9 @@ Unknown sections and keys are errors, and so are values of another kind than the
 from __future__ import annotations
 
 import copy
+import os
 import tomllib
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, MutableMapping
 from pathlib import Path
 from typing import Any
 
@@ -31,6 +32,7 @@ def _placed(kind: str) -> Rule:
     return (lambda s: s["source"] in where and all(s[k] for k in where[s["source"]])), f"{kind}.source must be 'hub' or 'local', with its place"
 
 
+#: Sections, keys, defaults and ranges of the configuration files.
 _REPO: Rule = ((lambda s: not s["push"] or "/" in s["repo_id"]), "hub.repo_id must read namespace/name")
 _RUNTIME = ({"enable_mps_fallback": True, "tokenizers_parallelism": False, "pin_memory_on_cuda_only": True}, [])
 _MODEL = ({"model_id": ...}, [])
@@ -175,6 +177,14 @@ def with_overrides(config: Mapping[str, dict], *, resume: str | None = None, pus
     return out
 
 
+def configure_environment(runtime: Mapping[str, Any], environment: MutableMapping[str, str] | None = None) -> None:
+    """Settings that libraries read from the environment, from the [runtime] section."""
+    env = os.environ if environment is None else environment
+    if runtime["enable_mps_fallback"]:
+        env["PYTORCH_ENABLE_MPS_FALLBACK"] = "1"
+    env["TOKENIZERS_PARALLELISM"] = str(runtime["tokenizers_parallelism"]).lower()
+
+
 def contract(stage: str, config: Mapping[str, dict], prompt_version: str) -> dict[str, Any]:
     """What may not change while journals are kept; targets may grow, budgets and hub options are free."""
     source, output = config["source"], config["output"]

@@ -127,13 +127,27 @@ def task_id(split: Column, family: Column, paper: Column, sha: Column, version:
     return F.substring(F.sha2(F.concat_ws(":", F.lit(version), split, family, paper, sha), 256), 1, 20)
 
 
+#: The requests to a teacher and a critic.
+TEACHER_REQUEST = ("REQUESTED TASK FAMILY\n", "\n\nFAMILY GUIDANCE\n", "\n\nSCIENTIFIC SOURCE TEXT\n\n")
+CRITIC_REQUEST = ("SCIENTIFIC SOURCE TEXT\n\n", "\n\nPROPOSED TASK\n\n")
+
+
+def teacher_request(family: str, source_text: str) -> str:
+    a, b, c = TEACHER_REQUEST
+    return a + family + b + FAMILY_GUIDANCE[family] + c + source_text
+
+
+def critic_request(source_text: str, draft_json: str) -> str:
+    a, b = CRITIC_REQUEST
+    return a + source_text + b + draft_json
+
+
 def teacher_prompt(family: Column, source_text: Column) -> Column:
     guide = F.create_map(*[F.lit(x) for pair in FAMILY_GUIDANCE.items() for x in pair])
-    return F.concat(
-        F.lit("REQUESTED TASK FAMILY\n"), family, F.lit("\n\nFAMILY GUIDANCE\n"), F.element_at(guide, family),
-        F.lit("\n\nSCIENTIFIC SOURCE TEXT\n\n"), source_text,
-    )
+    a, b, c = map(F.lit, TEACHER_REQUEST)
+    return F.concat(a, family, b, F.element_at(guide, family), c, source_text)
 
 
 def critic_prompt(source_text: Column, draft_json: Column) -> Column:
-    return F.concat(F.lit("SCIENTIFIC SOURCE TEXT\n\n"), source_text, F.lit("\n\nPROPOSED TASK\n\n"), draft_json)
+    a, b = map(F.lit, CRITIC_REQUEST)
+    return F.concat(a, source_text, b, draft_json)

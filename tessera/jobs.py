@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import os
+import platform
+from collections.abc import Callable, Mapping
+from importlib import metadata
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,12 +13,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera import config as cf
+from tessera import providers
 from tessera.functions.drafts import PROMPT_VERSION
 from tessera.operators import audit, journal, project
-from tessera.schemas import ACCEPTED, EXCERPT, LONG, REJECTED, RUBRIC
+from tessera.schemas import ACCEPTED, EXCERPT, LONG, MEMO, REJECTED, RUBRIC
 from tessera.sources import corpus, files
 from tessera.streaming.fill import Provider, fill_quotas
 
+#: Environment variables that hold credentials, of the hub and of the model service.
+CREDENTIALS = ("HF_TOKEN", "OPENAI_API_KEY")
+
 
 def prepare(spark: SparkSession, stage: str, config: Mapping[str, dict]) -> None:
     """Check the manifest, or the journals where there is none, and open the run."""
@@ -101,20 +108,100 @@ def preflight(checks: Mapping[str, Any]) -> list[dict[str, str]]:
     return rows
 
 
-def doctor(spark: SparkSession, stage: str, config: Mapping[str, dict]) -> dict[str, Any]:
-    """Read-only checks of a training stage's data and resume state."""
-    needed = {"sft": ("prompt", "completion"), "grpo": ("prompt", "task", *RUBRIC)}[stage]
+NEEDED = {"sft": ("prompt", "completion"), "grpo": ("prompt", "task", *RUBRIC)}
+SMOKE = {"train": 8, "validation": 4}
+#: (stage, configuration, {split: rows}, checkpoint or None) -> {"metrics": mapping, "history": list of mappings}
+Trainer = Callable[[str, Mapping, dict[str, DataFrame], str | None], Mapping[str, Any]]
+
+
+def versions() -> dict[str, str]:
+    """Versions of what a run depends on; one that is absent reads ``missing``."""
+    out = {"python": platform.python_version()}
+    for name in ("pyspark", "pyarrow", "pandas", "numpy"):
+        try:
+            out[name] = metadata.version(name)
+        except metadata.PackageNotFoundError:
+            out[name] = "missing"
+    return out
+
+
+def credentials(config: Mapping[str, Any]) -> dict[str, bool]:
+    """Which credentials the environment has, never their values."""
+    return {name.lower(): bool(os.environ.get(name, "").strip()) for name in CREDENTIALS}
+
+
+def run_manifest(stage: str, config: Mapping[str, dict], *, resume: str | None, smoke: bool, runtime: Mapping[str, Any] | None = None) -> dict[str, Any]:
+    """A reproducible record of a resolved run, without secrets."""
+    return {
+        "stage": stage, "config": config, "runtime": dict(runtime or {}), "versions": versions(), "resume_from_checkpoint": resume,
+        "smoke_test": smoke, "credentials": credentials(config),
+    }
 
-    def data() -> str:
-        if config["data"]["source"] != "local":
-            raise RuntimeError("hub data cannot be read without a network connector")
-        table = project.require_splits(files.load_training(spark, config["data"]["local_path"]), ("train", "validation"), needed)
-        return str({r.split: r.n for r in project.split_sizes(table).collect()})
 
-    checks = {
-        "spark": lambda: spark.version,
-        "dataset_schema": data,
-        "checkpoint_state": lambda: files.resolve_resume(spark, config["output"]["directory"], config["output"]["resume"]),
+def training_tables(spark: SparkSession, stage: str, config: Mapping[str, dict], smoke: bool) -> dict[str, DataFrame]:
+    if config["data"]["source"] != "local":
+        raise RuntimeError("hub data cannot be read without a network connector")
+    table = project.require_splits(files.load_training(spark, config["data"]["local_path"]), ("train", "validation"), NEEDED[stage])
+    if smoke:
+        table = audit.smoke_subset(table, SMOKE, order="task_id" if "task_id" in table.columns else "prompt")
+    return {split: table.where(F.col("split") == split).drop("split") for split in ("train", "validation")}
+
+
+def run_training(spark: SparkSession, stage: str, config: Mapping[str, dict], trainer: Trainer, *, smoke: bool = False) -> dict[str, Any]:
+    """Hand the tables of a stage to a trainer; manifest, metrics and history are written beside its output.
+
+    Model training itself is the trainer's; one process at a time writes an output folder.
+    """
+    cf.configure_environment(config["runtime"])
+    folder = config["output"]["directory"].rstrip("/")
+    resume = files.resolve_resume(spark, folder, config["output"]["resume"])
+    tables = training_tables(spark, stage, config, smoke)
+    with files.single_writer(spark, folder):
+        files.write_json(spark, f"{folder}/run_manifest.json", run_manifest(stage, config, resume=resume, smoke=smoke))
+        done = trainer(stage, config, tables, resume)
+        files.write_json(spark, f"{folder}/metrics.json", done.get("metrics") or {})
+        files.write_json_lines(spark, f"{folder}/history.jsonl", done.get("history") or [])
+    return {"stage": stage, "directory": folder, "resume_from_checkpoint": resume, "smoke_test": smoke, "metrics": dict(done.get("metrics") or {})}
+
+
+def doctor(spark: SparkSession, stage: str, config: Mapping[str, dict], whoami: Callable[[], Mapping] | None = None) -> dict[str, Any]:
+    """Read-only checks of a training stage: versions, data, resume state, memo, adapter, credentials, publication."""
+
+    def stack() -> dict[str, str]:
+        found = versions()
+        if missing := sorted(n for n, v in found.items() if v == "missing"):
+            raise RuntimeError(f"missing packages: {', '.join(missing)}")
+        return found
+
+    def data() -> dict[str, int]:
+        return {split: rows.count() for split, rows in training_tables(spark, stage, config, False).items()}
+
+    def checkpoint() -> dict[str, Any]:
+        out = config["output"]
+        return {"output_directory": out["directory"], "configured_resume": out["resume"], "resolved_resume": files.resolve_resume(spark, out["directory"], out["resume"])}
+
+    def adapter() -> dict[str, str]:
+        if config["adapter"]["source"] != "local":
+            raise RuntimeError("a hub adapter cannot be read without a network connector")
+        path = config["adapter"]["local_path"]
+        if not files.exists(spark, f"{path.rstrip('/')}/adapter_config.json"):
+            raise FileNotFoundError(f"adapter_config.json not found in {path}")
+        return {"source": "local", "path": path}
+
+    def publication() -> dict[str, Any]:
+        if whoami is None:
+            raise RuntimeError("publication needs a login")
+        return {"identity": providers.require_namespace(config["hub"]["repo_id"], whoami).get("name"), "repository": config["hub"]["repo_id"]}
+
+    checks: dict[str, Callable[[], Any]] = {
+        "training_stack": stack, "runtime": lambda: {"spark": spark.version, "cores": spark.sparkContext.defaultParallelism}, "dataset_schema": data, "checkpoint_state": checkpoint,
     }
+    if stage == "grpo":
+        checks["adapter"] = adapter
+        checks["memo"] = lambda: {"judgments": files.read_memo(spark, config["reward"]["cache_path"], MEMO).count()}
+        checks["judge_credential"] = lambda: {"present": bool(providers.require_credential(CREDENTIALS[-1]))}
+        checks["single_process"] = lambda: {"free": not files.exists(spark, f"{config['output']['directory'].rstrip('/')}.lock")}
+    if config["hub"]["push"]:
+        checks["hub_write_access"] = publication
     rows = preflight(checks)
-    return {"stage": stage, "passed": all(r["status"] == "passed" for r in rows), "checks": rows}
+    return {"stage": stage, "passed": all(r["status"] == "passed" for r in rows), "credentials": credentials(config), "checks": rows}

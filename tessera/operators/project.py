@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +38,25 @@ def rl_rows(records: DataFrame) -> DataFrame:
     )
 
 
+def render_chat(table: DataFrame, template: Callable[[list[dict]], str], end: str = "") -> DataFrame:
+    """One ``text`` per row from its prompt and completion messages, closed by ``end``; ``split`` stays, other columns go.
+
+    ``template`` is a chat template, a function of all messages; texts that end with ``end`` already get no second one.
+    """
+
+    def run(batches):
+        for pdf in batches:
+            texts = []
+            for prompt, completion in zip(pdf["prompt"], pdf["completion"]):
+                text = template([dict(m) for part in (prompt, completion) if part is not None for m in part])
+                texts.append(text if not end or text.endswith(end) else text + end)
+            yield pd.DataFrame({"split": pdf["split"], "text": texts})
+
+    messages = "array<struct<role:string,content:string>>"
+    rows = table.select("split", F.col("prompt").cast(messages).alias("prompt"), F.col("completion").cast(messages).alias("completion"))
+    return rows.mapInPandas(run, "split string, text string")
+
+
 def guard_columns(table: DataFrame, forbidden: Iterable[str]) -> DataFrame:
     leaked = sorted(set(forbidden) & set(table.columns))
     if leaked:

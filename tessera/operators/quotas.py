@@ -52,7 +52,11 @@ def family_counts(records: DataFrame) -> DataFrame:
 
 def progress(records: DataFrame, quotas: DataFrame) -> DataFrame:
     """Every quota cell with what is observed, what counts and what is missing."""
-    seen = family_counts(records)
+    return progress_of(family_counts(records), quotas)
+
+
+def progress_of(seen: DataFrame, quotas: DataFrame) -> DataFrame:
+    """``progress`` from counts (split, task_family, n)."""
     observed = F.coalesce("n", F.lit(0)).cast("long")
     return quotas.join(seen, CELL, "left").select(
         *CELL, "target", observed.alias("observed"), F.least(observed, "target").alias("counted"),
@@ -85,7 +89,12 @@ def trim(records: DataFrame, quotas: DataFrame) -> DataFrame:
 
 def planned_slots(records: DataFrame, quotas: DataFrame, limit: int) -> DataFrame:
     """The next ``limit`` units to fill: (slot, split, task_family), most underfilled cells first."""
-    open_cells = progress(records, quotas).where("counted < target")
+    return slots_of(progress(records, quotas), limit)
+
+
+def slots_of(cells: DataFrame, limit: int) -> DataFrame:
+    """``planned_slots`` from cells as ``progress`` makes them."""
+    open_cells = cells.where("counted < target")
     units = open_cells.select(*CELL, "target", F.explode(F.sequence(F.col("counted"), F.col("target") - 1)).alias("ordinal"))
     units = units.withColumn("fill", F.col("ordinal") / F.col("target"))
     keys = ["fill", *CELL, "ordinal"]

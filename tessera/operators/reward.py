@@ -7,14 +7,16 @@ anti-joined, only the misses are judged and written, and scores come back by a j
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import completions
-from tessera.schemas import DIMENSIONS, RUBRIC
+from tessera.schemas import DIMENSIONS, MEMO, RUBRIC
+from tessera.sources import files
 
 #: items (dicts of the judge item, with item_index) -> judgments (dicts with item_index and the dimensions)
 Judge = Callable[[list[dict]], list[dict]]
@@ -94,6 +96,43 @@ def judge_misses(requests: DataFrame, judge: Judge, version: str = completions.J
     return requests.select("cache_key", "item").mapInPandas(ask, schema)
 
 
+def reward_function(
+    spark: SparkSession, judge: Judge, memo_path: str, model: str, *, base: float = 0.10, weight: float = 0.90, batch_rows: int = 64
+) -> Callable[..., list[float]]:
+    """A callable for trainers: (completions, task=..., rubric columns as keywords) -> rewards, in order.
+
+    Completions are texts or chat messages (the last one's content counts).  Malformed ones cost no call; judgments that the memo
+    at ``memo_path`` has are not asked for again, new ones are appended to it.  Other keywords are ignored.
+    """
+    completions.check_coefficients(base, weight)
+    schema = "completion_id long, task string, " + ", ".join(f"{r} array<string>" for r in RUBRIC) + ", completion string"
+
+    def text(completion) -> str:
+        if isinstance(completion, str):
+            return completion
+        return (completion[-1].get("content") or "") if completion else "[]"
+
+    def score(completions: Sequence, task: Sequence[str], **columns: Sequence) -> list[float]:
+        if not len(completions):
+            return []
+        rows = [(i, task[i], *[columns[r][i] for r in RUBRIC], text(c)) for i, c in enumerate(completions)]
+        frame = spark.createDataFrame(rows, schema)
+        items = judge_items(frame, model)
+        memo = files.read_memo(spark, memo_path, MEMO)
+        asked = misses(items, memo)
+        if not asked.isEmpty():
+            path = f"{files.shared_folder(spark)}/judged/{uuid.uuid4().hex}"
+            judge_misses(asked, judge, batch_rows=batch_rows).write.parquet(path)  # paid for: written before it is read again
+            judged = spark.read.parquet(path).join(asked.select("cache_key", F.col("item").alias("request")), "cache_key")
+            files.append_memo(memo, judged.select("cache_key", "prompt_version", "request", "judgment"), memo_path)
+            files.remove(spark, path)
+            memo = files.read_memo(spark, memo_path, MEMO)
+        got = {r.completion_id: r.reward for r in rewards(frame, items, memo, base, weight).collect()}
+        return [got[i] for i in range(len(rows))]
+
+    return score
+
+
 def rewards(rows: DataFrame, items: DataFrame, memo: DataFrame, base: float = 0.10, weight: float = 0.90) -> DataFrame:
     """(completion_id, format, semantic, reward) of every completion; malformed ones get 0.
 

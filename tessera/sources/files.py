@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+import re
+from collections.abc import Iterable, Mapping
+from contextlib import contextmanager
 from pathlib import Path
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -110,10 +113,14 @@ def jsonable(value: Any) -> Any:
 
 def write_json(spark: SparkSession, path: str, payload: Mapping[str, Any]) -> None:
     """Pretty JSON with sorted keys, put in place by a rename."""
+    _put(spark, path, json.dumps(jsonable(payload), indent=2, sort_keys=True) + "\n")
+
+
+def _put(spark: SparkSession, path: str, text: str) -> None:
     fs, p = _fs(spark, path)
     tmp = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path + ".tmp")
     out = fs.create(tmp, True)
-    out.write(bytearray((json.dumps(jsonable(payload), indent=2, sort_keys=True) + "\n").encode()))
+    out.write(bytearray(text.encode()))
     out.close()
     fs.delete(p, False)
     fs.rename(tmp, p)
@@ -128,14 +135,58 @@ def read_json(spark: SparkSession, path: str) -> dict[str, Any]:
         stream.close()
 
 
-def latest_checkpoint(spark: SparkSession, folder: str) -> str | None:
-    """The folder ``checkpoint-N`` with the largest number; other names and plain files do not count."""
+def write_json_lines(spark: SparkSession, path: str, rows: Iterable[Mapping[str, Any]]) -> None:
+    """One file of JSON lines for logs of the driver: sorted keys, ASCII escapes, values coerced as in ``jsonable``, put in place by a rename."""
+    _put(spark, path, "".join(json.dumps(jsonable(row), sort_keys=True) + "\n" for row in rows))
+
+
+def children(spark: SparkSession, folder: str) -> list[str]:
+    """Paths in a folder, by name; none where it does not exist."""
+    fs, p = _fs(spark, folder)
+    return sorted(s.getPath().toString() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def compact_jsonl(spark: SparkSession, path: str, schema: T.StructType, most: int = 200, rows_a_file: int = 50_000) -> None:
+    """Rewrite a journal of more than ``most`` files as few; the old one stays until the new one is whole."""
+    old, new = f"{path.rstrip('/')}.old", f"{path.rstrip('/')}.new"
+    fs, p = _fs(spark, path)
+    if exists(spark, old) and not exists(spark, path):
+        fs.rename(_fs(spark, old)[1], p)  # an earlier run ended between the renames
+    if len(children(spark, path)) <= most:
+        return
+    rows = read_jsonl(spark, path, schema)
+    n = rows.count()
+    rows.repartition(max(1, -(-n // rows_a_file))).write.mode("overwrite").option("ignoreNullFields", "false").json(new)
+    remove(spark, old)
+    fs.rename(p, _fs(spark, old)[1])
+    fs.rename(_fs(spark, new)[1], p)
+    remove(spark, old)
+
+
+@contextmanager
+def single_writer(spark: SparkSession, path: str):
+    """Hold ``path`` for one process; a second one fails until the first has ended (or its lock file is removed by hand)."""
+    fs, p = _fs(spark, f"{path.rstrip('/')}.lock")
+    try:
+        fs.create(p, False).close()
+    except Py4JJavaError as error:
+        raise RuntimeError(f"{path} has a writer already; remove {p.toString()} if it is gone") from error
+    try:
+        yield
+    finally:
+        fs.delete(p, False)
+
+
+def latest_checkpoint(spark: SparkSession, folder: str, *, strict: bool = False) -> str | None:
+    """The folder ``checkpoint-N`` with the largest number; other names and plain files do not count, or are an error if ``strict``."""
     fs, p = _fs(spark, folder)
     if not fs.exists(p):
         return None
     found = []
     for s in fs.listStatus(p):
         name = s.getPath().getName()
+        if strict and name.startswith("checkpoint-") and not name[11:].isdigit():
+            raise ValueError(f"{name} has no number")
         if s.isDirectory() and name.startswith("checkpoint-") and name[11:].isdigit():
             found.append((int(name[11:]), s.getPath().toString()))
     return max(found)[1] if found else None
@@ -153,8 +204,10 @@ def resolve_resume(spark: SparkSession, folder: str, resume: str) -> str | None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); a local one only where none is named."""
+    """The folder that driver and executors share (``spark.checkpoint.dir``); a local one only on a single machine that names none."""
     import tempfile
 
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return (named or tempfile.mkdtemp(prefix="tessera-")).rstrip("/")

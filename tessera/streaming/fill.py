@@ -4,6 +4,10 @@ Each batch plans the most underfilled slots, pairs them with the next sources, c
 executors, and appends accepted and rejected rows before the next batch is planned.  Everything that
 an earlier run attempted is in the journals and is not attempted again.  ``fill_stream`` does the
 same behind Structured Streaming: every micro-batch of arriving sources is one call of ``foreachBatch``.
+
+The calls of a batch run at the same time, on threads of the task that holds it.  Journals are read once: between batches
+only counts per cell and the place in the numbered queue of sources are kept.  Paid results are written beside the journal before
+either journal is, and a run that died in between is finished by the next one.
 """
 
 from __future__ import annotations
@@ -11,49 +15,76 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions import drafts
 from tessera.operators import journal as jn
 from tessera.operators import project, quotas
-from tessera.schemas import ACCEPTED, CALL_META, DRAFT, EXCERPT, REJECTED, REVIEW
+from tessera.schemas import ACCEPTED, CALL_META, DRAFT, EXCERPT, LONG, QUOTA, REJECTED, REVIEW, STR
 from tessera.sources import files
 
-#: (source record, split, family) -> {"draft": dict, "review": dict or None, "teacher": meta, "critic": meta}
+#: (source record, split, family) -> {"draft": dict, "review": dict or None, "teacher": meta, "critic": meta}.  A provider with a
+#: method ``review`` (source record, draft) -> {"review": dict, "critic": meta} drafts only; valid drafts are reviewed after.
 Provider = Callable[[dict, str, str], Mapping]
+ANSWERS = ("draft", "review", "teacher", "critic")
+CALLED = T.StructType(
+    [T.StructField("slot", LONG), *EXCERPT.fields, T.StructField("requested_split", STR), T.StructField("requested_task_family", STR)]
+    + [T.StructField(n, t) for n, t in zip(ANSWERS, (DRAFT, REVIEW, CALL_META, CALL_META))] + [T.StructField("failure", STR)]
+)
 
 
-def generate(batch: DataFrame, provider: Provider) -> DataFrame:
-    """Call the provider once for every (source, slot) row; an exception becomes the row's ``failure``."""
-    names = EXCERPT.names
-    out_schema = "slot long, draft string, review string, teacher string, critic string, failure string"
+def _ask(rows: DataFrame, one: Callable[[dict], Mapping], concurrency: int) -> DataFrame:
+    """(slot, answers as JSON, failure) of one call per row; up to ``concurrency`` calls of a task run at once."""
+
+    def attempt(record: dict) -> tuple:
+        try:
+            got = one(record)
+            return (record["slot"], *[json.dumps(got[k]) if got.get(k) is not None else None for k in ANSWERS], None)
+        except Exception as error:  # one source's failure is a row, not the end of the run
+            return (record["slot"], *[None] * len(ANSWERS), f"{type(error).__name__}: {error}")
 
     def call(batches):
-        for pdf in batches:
-            rows = []
-            for record in pdf.to_dict("records"):
-                try:
-                    got = provider({n: record[n] for n in names}, record["split"], record["task_family"])
-                    rows.append((record["slot"], *[json.dumps(got.get(k)) if got.get(k) is not None else None for k in ("draft", "review", "teacher", "critic")], None))
-                except Exception as error:  # one source's failure is a row, not the end of the run
-                    rows.append((record["slot"], None, None, None, None, f"{type(error).__name__}: {error}"))
-            yield pd.DataFrame(rows, columns=["slot", "draft", "review", "teacher", "critic", "failure"])
-
-    calls = batch.select("slot", "split", "task_family", *names).mapInPandas(call, out_schema)
-    parsed = calls.select(
+        with ThreadPoolExecutor(concurrency) as pool:
+            for pdf in batches:
+                yield pd.DataFrame(list(pool.map(attempt, pdf.to_dict("records"))), columns=["slot", *ANSWERS, "failure"])
+
+    return rows.mapInPandas(call, "slot long, " + ", ".join(f"{a} string" for a in ANSWERS) + ", failure string")
+
+
+def generate(batch: DataFrame, provider: Provider, concurrency: int = 8) -> DataFrame:
+    """Call the provider once for every (source, slot) row; an exception becomes the row's ``failure``."""
+    spark, names = batch.sparkSession, EXCERPT.names
+    two = hasattr(provider, "review")
+    answers = _ask(batch.select("slot", "split", "task_family", *names), lambda r: provider({n: r[n] for n in names}, r["split"], r["task_family"]), concurrency)
+    parsed = lambda t: t.select(
         "slot", F.from_json("draft", DRAFT).alias("draft"), F.from_json("review", REVIEW).alias("review"),
         F.from_json("teacher", CALL_META).alias("teacher"), F.from_json("critic", CALL_META).alias("critic"), "failure",
     )
     sources = batch.select("slot", *names, F.col("split").alias("requested_split"), F.col("task_family").alias("requested_task_family"))
-    return sources.join(parsed, "slot")
+    if not two:
+        return sources.join(parsed(answers), "slot")
+    # drafts are paid for: they are written before validation reads them to choose what is reviewed
+    path = f"{files.shared_folder(spark)}/drafts/{uuid.uuid4().hex}"
+    answers.write.parquet(path)
+    answers = spark.read.schema(answers.schema).parquet(path)
+    drafted = sources.join(parsed(answers), "slot")
+    valid = project.with_errors(drafted.where("failure is null")).where(F.size("_errors") == 0).select("slot")
+    asked = sources.select("slot", *names).join(answers.select("slot", F.col("draft").alias("said")), "slot").join(valid, "slot")
+    reviewed = _ask(asked, lambda r: provider.review({n: r[n] for n in names}, json.loads(r["said"])), concurrency)
+    reviewed = parsed(reviewed).select("slot", F.col("review").alias("r"), F.col("critic").alias("c"), F.col("failure").alias("f"))
+    return drafted.join(reviewed, "slot", "left").select(
+        "slot", *names, "requested_split", "requested_task_family", "draft", F.col("r").alias("review"), "teacher", F.col("c").alias("critic"), F.coalesce("failure", "f").alias("failure")
+    )
 
 
 def outcomes(called: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected) rows of a batch, in the declared shapes."""
-    fine, failed = called.where("failure is null"), called.where("failure is not null")
+    fine, failed = project.with_errors(called.where("failure is null")), called.where("failure is not null")
     accepted = project.accepted_rows(fine).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in ACCEPTED.fields])
     api = failed.select(
         *EXCERPT.names, "requested_split", "requested_task_family", F.lit("api_error").alias("stage"),
@@ -63,24 +94,87 @@ def outcomes(called: DataFrame) -> tuple[DataFrame, DataFrame]:
     return accepted, rejected.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in REJECTED.fields])
 
 
-def fill_batch(spark: SparkSession, sources: DataFrame, quota: DataFrame, accepted_path: str, rejected_path: str, provider: Provider, concurrency: int, order: str) -> int:
-    """One micro-batch; returns how many sources it attempted."""
-    accepted = files.read_jsonl(spark, accepted_path, ACCEPTED)
-    rejected = files.read_jsonl(spark, rejected_path, REJECTED)
-    slots = quotas.planned_slots(accepted, quota, concurrency)
-    batch = quotas.assign(jn.remaining(sources, accepted, rejected), slots, order)
-    # the calls are paid for: their results are written to the shared folder before two sinks read them
-    called = generate(batch, provider)
-    path = f"{files.shared_folder(spark)}/calls/{uuid.uuid4().hex}"
-    called.write.parquet(path)
-    called = spark.read.schema(called.schema).parquet(path)
-    n = called.count()
-    if n:
-        good, bad = outcomes(called)
-        files.append_jsonl(good, accepted_path)
-        files.append_jsonl(bad, rejected_path)
-    files.remove(spark, path)
-    return n
+class Filler:
+    """The state of a run: counts per cell, kept between batches."""
+
+    def __init__(self, spark: SparkSession, targets: Mapping[str, int], weights: Mapping[str, float], accepted_path: str, rejected_path: str, provider: Provider, concurrency: int):
+        if concurrency < 1:
+            raise ValueError("concurrency must be at least 1")
+        self.spark, self.provider, self.concurrency = spark, provider, concurrency
+        self.paths = accepted_path, rejected_path
+        self.calls = f"{accepted_path.rstrip('/')}.calls"
+        cells = quotas.quota_table(spark, targets, weights).collect()  # as many as the configuration names
+        self.quota = spark.createDataFrame(cells, QUOTA)
+        self.targets = {(r.split, r.task_family): r.target for r in cells}
+        self.finish_calls()
+        for path, schema in zip(self.paths, (ACCEPTED, REJECTED)):
+            files.compact_jsonl(spark, path, schema)
+        self.counts = {(r.split, r.task_family): r.n for r in quotas.family_counts(self.accepted()).collect()}
+
+    def accepted(self) -> DataFrame:
+        return files.read_jsonl(self.spark, self.paths[0], ACCEPTED)
+
+    def rejected(self) -> DataFrame:
+        return files.read_jsonl(self.spark, self.paths[1], REJECTED)
+
+    def deficits(self) -> dict[str, int]:
+        return {f"{s}/{f}": t - self.counts.get((s, f), 0) for (s, f), t in sorted(self.targets.items()) if self.counts.get((s, f), 0) < t}
+
+    def queue(self, sources: DataFrame, order: str) -> DataFrame:
+        """Sources not attempted yet, numbered from 1 in their order, in the shared folder.  Only narrow keys are ranked."""
+        todo = jn.remaining(sources, self.accepted(), self.rejected())
+        keys = todo.groupBy("paper_id").agg(F.min(order).alias("_at"))
+        ranked = keys.withColumn("place", F.row_number().over(Window.orderBy("_at", "paper_id")).cast("long")).select("paper_id", "place")
+        path = f"{files.shared_folder(self.spark)}/queue/{uuid.uuid4().hex}"
+        rows = todo.dropDuplicates(["paper_id"]).join(ranked, "paper_id").select(*EXCERPT.names, "place")
+        rows.repartitionByRange("place").sortWithinPartitions("place").write.parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+    def batch(self, queue: DataFrame, begin: int) -> int:
+        """Attempt the sources after place ``begin``; returns how many it took."""
+        seen = [(s, f, n) for (s, f), n in self.counts.items()]
+        cells = quotas.progress_of(self.spark.createDataFrame(seen, "split string, task_family string, n bigint"), self.quota)
+        slots = quotas.slots_of(cells, self.concurrency).collect()
+        if not slots:
+            return 0
+        places = self.spark.createDataFrame([(begin + r.slot, r.slot, r.split, r.task_family) for r in slots], "place bigint, slot bigint, split string, task_family string")
+        near = queue.where(F.col("place").between(begin + 1, begin + len(slots)))
+        called = generate(near.join(F.broadcast(places), "place").drop("place").coalesce(1), self.provider, self.concurrency)
+        path = f"{self.calls}/{uuid.uuid4().hex}"
+        called.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in CALLED.fields]).write.parquet(path)
+        return self.settle(path)
+
+    def settle(self, path: str, *, again: bool = False) -> int:
+        """Append a batch's outcomes to the journals and drop its calls; ``again``: what an earlier run appended is left out."""
+        called = self.spark.read.schema(CALLED).parquet(path)
+        n = called.count()
+        if n:
+            good, bad = outcomes(jn.remaining(called, self.accepted(), self.rejected()) if again else called)
+            files.append_jsonl(good, self.paths[0])
+            files.append_jsonl(bad, self.paths[1])
+            if not again:
+                for r in quotas.family_counts(good).collect():
+                    self.counts[r.split, r.task_family] = self.counts.get((r.split, r.task_family), 0) + r.n
+        files.remove(self.spark, path)
+        return n
+
+    def finish_calls(self) -> None:
+        """Settle what a run left behind that died after its calls; calls that were not written whole count for nothing."""
+        for path in files.children(self.spark, self.calls):
+            if files.exists(self.spark, f"{path}/_SUCCESS"):
+                self.settle(path, again=True)
+            else:
+                files.remove(self.spark, path)
+
+    def run(self, queue: DataFrame) -> bool:
+        """Batches until the quotas are full (True) or the queue ends (False)."""
+        at = 0
+        while self.deficits():
+            n = self.batch(queue, at)
+            if not n:
+                return False
+            at += n
+        return True
 
 
 def fill_quotas(
@@ -88,22 +182,12 @@ def fill_quotas(
     provider: Provider, concurrency: int = 8, max_attempts: int | None = None, order: str = "stream_idx",
 ) -> DataFrame:
     """Run batches until the quotas are full or the sources end; returns the exact, trimmed selection."""
-    if concurrency < 1:
-        raise ValueError("concurrency must be at least 1")
-    quota = quotas.quota_table(spark, targets, weights)
+    filler = Filler(spark, targets, weights, accepted_path, rejected_path, provider, concurrency)
     if max_attempts is not None:
-        journals = files.read_jsonl(spark, accepted_path, ACCEPTED), files.read_jsonl(spark, rejected_path, REJECTED)
-        done = jn.completed(sources, *journals)
-        # attempted sources stay in the pool (they are skipped anyway), so the budget keeps its meaning between runs
-        sources = jn.within_budget(sources, max_attempts, *journals, order=order).unionByName(sources.join(done, "paper_id", "left_semi"))
-    while True:
-        accepted = files.read_jsonl(spark, accepted_path, ACCEPTED)
-        if quotas.quota_status(accepted, quota).first().complete:
-            break
-        if not fill_batch(spark, sources, quota, accepted_path, rejected_path, provider, concurrency, order):
-            open_cells = {f"{r.split}/{r.task_family}": r.deficit for r in quotas.quota_deficits(accepted, quota).collect()}
-            raise RuntimeError(f"sources ran out before the quotas were full; still missing: {open_cells}; completed work is kept, so add sources or attempts and run again")
-    return quotas.trim(files.read_jsonl(spark, accepted_path, ACCEPTED), quota)
+        sources = jn.within_budget(sources, max_attempts, filler.accepted(), filler.rejected(), order=order)
+    if filler.deficits() and not filler.run(filler.queue(sources, order)):
+        raise RuntimeError(f"sources ran out before the quotas were full; still missing: {filler.deficits()}; completed work is kept, so add sources or attempts and run again")
+    return quotas.trim(filler.accepted(), filler.quota)
 
 
 def fill_stream(
@@ -112,11 +196,10 @@ def fill_stream(
 ):
     """Structured Streaming front end: attempts arriving excerpts while quotas are open; returns the query."""
     spark = stream.sparkSession
-    quota = quotas.quota_table(spark, targets, weights)
 
     def each(batch: DataFrame, _: int) -> None:
-        while not quotas.quota_status(files.read_jsonl(spark, accepted_path, ACCEPTED), quota).first().complete:
-            if not fill_batch(spark, batch, quota, accepted_path, rejected_path, provider, concurrency, order):
-                break
+        filler = Filler(spark, targets, weights, accepted_path, rejected_path, provider, concurrency)
+        if filler.deficits():
+            filler.run(filler.queue(batch, order))
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
