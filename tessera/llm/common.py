@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -13,6 +14,9 @@ from pyspark.sql import functions as F
 WS = r"\x20\x09-\x0D"
 
 
+_LEAVING: set[str] = set()  # folders that are deleted when the driver ends
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -20,7 +24,8 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a local folder is set.
+    Only where the session names none on a single machine (tests) a local folder is set; a cluster's executors would each
+    write to their own disk, so there it is an error.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
@@ -29,15 +34,25 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named
     if sc.getCheckpointDir() is None:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-checkpoint-"))
     return sc.getCheckpointDir()
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts lineage, columnar
-    and compressed, and survives the loss of any executor."""
+    and compressed, and survives the loss of any executor.
+
+    The files lie in a folder of the application, which goes when its driver ends.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tessera/{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark).rstrip('/')}/tessera/{spark.sparkContext.applicationId}"
+    if folder not in _LEAVING:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+        _LEAVING.add(folder)
+    path = f"{folder}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

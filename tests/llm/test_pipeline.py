@@ -66,3 +66,25 @@ def test_odd_rows(spark):
     for _, stage in cp.STAGES:
         empty = stage(spark, empty, D)
     assert empty.count() == 0
+
+
+def test_repeated_and_missing_ids_lose_no_text(spark):
+    import corpus_pipeline as cp
+
+    long = [" ".join(f"w{k}x{i}" for i in range(40)) for k in range(6)]
+    near = lambda k: long[k] + " more"
+    rows = [(1, "aaa bbb"), (9, "aaa  bbb"), (9, "zzz"), (10, "zzz"), (None, "qq"), (None, "qq"), (None, "aaa bbb")]
+    schema = "doc_id bigint, text string"
+    frame = lambda rows: spark.createDataFrame([(i, t, "s") for i, t in rows], schema + ", source string")
+    out = sorted((tuple(r)[:2] for r in cp.drop_copies(spark, frame(rows), D).collect()), key=str)
+    assert out == sorted([(1, "aaa bbb"), (9, "zzz"), (None, "qq")], key=str)
+    rows = [(5, long[0]), (5, long[1]), (7, near(0)), (3, near(1)), (None, long[2]), (None, near(3)), (8, long[3]), (None, ""), (4, "a b"), (4, "c d")]
+    out = sorted((tuple(r)[:2] for r in cp.drop_near_copies(spark, frame(rows), D).collect()), key=str)
+    assert out == sorted([(5, long[0]), (3, near(1)), (None, long[2]), (8, long[3]), (None, ""), (4, "a b"), (4, "c d")], key=str)
+    mixed = cp.mix_sources(spark, frame(rows), D)
+    assert mixed.columns == ["doc_id", "text", "source"]
+    sizes, reach = [len(t.split()) for _, t in rows], 1
+    for n in sizes:
+        reach |= reach << n | reach << 2 * n
+    off = lambda k: abs(k - 1.5 * sum(sizes))
+    assert off(sum(len(r.text.split()) for r in mixed.collect())) <= min(off(k) for k in range(reach.bit_length()) if reach >> k & 1) + 0.5
