@@ -101,7 +101,7 @@ class Filler:
         if concurrency < 1:
             raise ValueError("concurrency must be at least 1")
         self.spark, self.provider, self.concurrency = spark, provider, concurrency
-        self.paths = accepted_path, rejected_path
+        self.paths, self.queues = (accepted_path, rejected_path), []
         self.calls = f"{accepted_path.rstrip('/')}.calls"
         cells = quotas.quota_table(spark, targets, weights).collect()  # as many as the configuration names
         self.quota = spark.createDataFrame(cells, QUOTA)
@@ -128,6 +128,7 @@ class Filler:
         path = f"{files.shared_folder(self.spark)}/queue/{uuid.uuid4().hex}"
         rows = todo.dropDuplicates(["paper_id"]).join(ranked, "paper_id").select(*EXCERPT.names, "place")
         rows.repartitionByRange("place").sortWithinPartitions("place").write.parquet(path)
+        self.queues.append(path)
         return self.spark.read.schema(rows.schema).parquet(path)
 
     def batch(self, queue: DataFrame, begin: int) -> int:
@@ -167,14 +168,13 @@ class Filler:
                 files.remove(self.spark, path)
 
     def run(self, queue: DataFrame) -> bool:
-        """Batches until the quotas are full (True) or the queue ends (False)."""
-        at = 0
-        while self.deficits():
-            n = self.batch(queue, at)
-            if not n:
-                return False
+        """Batches until the quotas are full (True) or the queue ends (False); the queue's files go."""
+        at = n = 0
+        while self.deficits() and (n := self.batch(queue, at)):
             at += n
-        return True
+        while self.queues:
+            files.remove(self.spark, self.queues.pop())
+        return not self.deficits()
 
 
 def fill_quotas(
