@@ -16,7 +16,8 @@ similarity is 0.8 or more.  No link between different texts is lost:
    still match l times falls.  A pair is a candidate when it shares k = min(l, l') shingles among the
    first ``n - common + k`` of either, where ``common`` is what a link of these two sizes must share.
    Shingles whose documents all lie in one component produce nothing; before pairs are made, rounds
-   tie components together over one hub per shingle, linear in the postings, until a round ties nothing or ``hub_rounds`` are done.
+   tie components together over one hub per shingle, linear in the postings, as long as a round ties one in ``TIED`` of the
+   pairs that it tries (a hub that links to few of its shingle's components says that the others will not link either).
 4. Candidates are verified on their whole sets: the set of the end with more pairs is built once for each 250 of them, so
    a hub's pairs are many small pieces of work; links of both passes give the components.
 
@@ -40,6 +41,7 @@ from .components import components
 
 WORDS = 5
 NUM, DEN = 80, 100  # link when DEN * intersection >= NUM * union
+TIED = 20
 SKETCH = 1 << 19
 CHUNK = 1 << 14
 _U = np.uint64
@@ -297,11 +299,14 @@ def tie_hubs(docs: DataFrame, rows: DataFrame, rounds: int) -> tuple[DataFrame,
         pairs = materialize(hub_pairs(rows, turn))
         links = materialize(verify(docs, pairs.select("a", "b")))
         tied = pairs.join(links.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")), ["a", "b"])
-        if tied.limit(1).count() == 0:
+        ties = tied.count()
+        if not ties:
             break
         found.append(links)
         comps = components(tied, "ca", "cb").select(F.col("node").alias("comp"), F.col("component").alias("_c"))
         rows = materialize(across(rows.join(_joinable(comps), "comp", "left").withColumn("comp", F.coalesce("_c", "comp")).drop("_c")))
+        if ties * TIED < pairs.count():
+            break
     return rows, found
 
 
