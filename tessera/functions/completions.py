@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.functions.text import SPACE, bullets, once, strip
+from tessera.functions.text import SPACE, bullets, json_list, json_text, once, strip
 from tessera.schemas import DIMENSIONS, RUBRIC
 
 #: The version that is part of every memo key.
@@ -74,12 +76,13 @@ def judge_item(task: Column, rubric: dict[str, Column], response: Column) -> Col
 
 
 def cache_key(item: Column, model: str, version: str = JUDGE_PROMPT_VERSION) -> Column:
-    """Content address of a judge request: sha256 over JSON with fields in name order, nulls kept."""
-    names = sorted([*RUBRIC, "student_response", "task"])
-    payload = F.struct(
-        F.struct(*[item[n].alias(n) for n in names]).alias("item"), F.lit(model).alias("model"), F.lit(version).alias("prompt_version")
-    )
-    return F.sha2(F.to_json(payload, {"ignoreNullFields": "false"}), 256)
+    """Content address of a judge request: sha256 over JSON with fields in name order, nulls kept, a blank after commas and colons."""
+    fields = [(n, json_list(item[n]) if n in RUBRIC else json_text(item[n])) for n in sorted([*RUBRIC, "student_response", "task"])]
+    parts: list[Column] = []
+    for n, value in fields:
+        parts += [F.lit(f'{", " if parts else ""}"{n}": '), value]
+    tail = f'}}, "model": {json.dumps(model, ensure_ascii=False)}, "prompt_version": {json.dumps(version, ensure_ascii=False)}}}'
+    return F.sha2(F.concat(F.lit('{"item": {'), *parts, F.lit(tail)), 256)
 
 
 def render_completion(record: dict[str, Column]) -> Column:

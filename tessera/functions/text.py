@@ -58,6 +58,22 @@ def contains_any(text: Column, phrases: tuple[str, ...]) -> Column:
     return found
 
 
+def json_text(text: Column) -> Column:
+    """A text as a JSON string, ``null`` for null; code points stay, control characters are escaped in lower-case hex."""
+    plain = F.to_json(F.struct(text.alias("v")))
+    quoted = F.substr(plain, F.lit(6), F.length(plain) - 6)
+    low = quoted
+    for code in (0x0B, 0x0E, 0x0F, *range(0x1A, 0x20)):
+        low = F.regexp_replace(low, rf"(?<!\\)((?:\\\\)*)\\u{code:04X}", rf"$1\\u{code:04x}")
+    fixed = F.when(F.rlike(text, F.lit(r"[\x0B\x0E\x0F\x1A-\x1F]")), low).otherwise(quoted)
+    return F.when(text.isNull(), F.lit("null")).otherwise(fixed)
+
+
+def json_list(items: Column) -> Column:
+    """A list of texts as a JSON array with a blank after commas."""
+    return F.coalesce(F.concat(F.lit("["), F.array_join(F.transform(items, json_text), ", "), F.lit("]")), F.lit("null"))
+
+
 def once(value: Column, use) -> Column:
     """``use(value)`` with ``value`` evaluated once, however often its result is used."""
     return F.transform(F.array(value), use)[0]

@@ -16,12 +16,14 @@ _BODY = r"\s*".join(f"<{d}>(.*?)</{d}>" for d in DIMENSIONS)
 _WHOLE = rf"(?is)\A\s*{_BODY}\s*\z"
 _PART = [rf"regexp_replace(regexp_extract(completion, '{_WHOLE}', {i + 1}), '^\s+|\s+$', '', 'g')" for i in range(4)]
 _GOOD = f"(regexp_matches(completion, '{_WHOLE}') and " + " and ".join(f"{p} <> '' and not regexp_matches({p}, '(?i)</?({'|'.join(DIMENSIONS)})>')" for p in _PART) + ")"
-_ITEM = "{'evaluation_criteria': evaluation_criteria, 'acceptable_alternatives': acceptable_alternatives}"
+_list = lambda c: f"coalesce('[' || array_to_string(list_transform({c}, lambda x: coalesce(to_json(x)::varchar, 'null')), ', ') || ']', 'null')"
+_text = lambda c: f"coalesce(to_json({c})::varchar, 'null')"
+_FIELDS = [(r, _list(r)) for r in sorted(RUBRIC)] + [("student_response", _text("completion")), ("task", _text("task"))]
 _PAYLOAD = (
-    "{'item': {'acceptable_alternatives': acceptable_alternatives, 'evaluation_criteria': evaluation_criteria, 'failure_modes': failure_modes, 'required_constraints': required_constraints,"
-    f" 'student_response': completion, 'task': task}}, 'model': '{MODEL}', 'prompt_version': '{completions.JUDGE_PROMPT_VERSION}'}}"
+    "'{\"item\": {' || " + " || ', ' || ".join(f"'\"{n}\": ' || {v}" for n, v in _FIELDS)
+    + f" || '}}, \"model\": \"{MODEL}\", \"prompt_version\": \"{completions.JUDGE_PROMPT_VERSION}\"}}'"
 )
-_KEYED = f"{cte('completion')}, {cte('judgment')}, keyed as (select *, sha256(to_json({_PAYLOAD})::varchar) as cache_key from completion where {_GOOD})"
+_KEYED = f"{cte('completion')}, {cte('judgment')}, keyed as (select *, sha256({_PAYLOAD}) as cache_key from completion where {_GOOD})"
 _SEMANTIC = "(" + " + ".join(DIMENSIONS) + ") / 16.0::double"
 #: two thirds of the well-formed completions are in the memo, each written twice; the later row counts
 _MEMO = f"memo as (select cache_key, {', '.join(DIMENSIONS)} from keyed join judgment using (doc_id) where doc_id % 3 <> 0)"

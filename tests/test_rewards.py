@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import completions as cp
 from tessera.operators import reward as rw
-from tessera.schemas import MEMO
+from tessera.schemas import MEMO, RUBRIC
 
 VALID = "<brainstorm>\na\n</brainstorm>\n<principles>b</principles>\n<synthesis>c</synthesis>\n<answer>d</answer>"
 ITEM = "task string, required_constraints array<string>, evaluation_criteria array<string>, acceptable_alternatives array<string>, failure_modes array<string>"
@@ -87,3 +87,19 @@ def test_answers_must_cover_the_batch(spark):
 def test_last_written_row_wins(spark):
     memo = spark.createDataFrame([("k", 1, 0), ("k", 2, 5), ("j", 3, 1)], "cache_key string, judgment int, seq long")
     assert dict(rw.latest(memo).collect()) == {"k": 2, "j": 3}
+
+
+def test_cache_key_is_that_of_plain_json(spark):
+    import hashlib
+    import json
+
+    items = [
+        {"task": "é \"q\" \\\\u001F \u2028 / \x7f", **{r: ["a\tb", "c\nd", None, ""] for r in RUBRIC}, "student_response": "\x00\x0b\x1f\x08\x0c\r \\\x1a 😀"},
+        {"task": None, **{r: None if i else [] for i, r in enumerate(RUBRIC)}, "student_response": ""},
+    ]
+    schema = "task string, " + ", ".join(f"{r} array<string>" for r in RUBRIC) + ", student_response string"
+    frame = spark.createDataFrame([tuple(i[n] for n in ("task", *RUBRIC, "student_response")) for i in items], schema)
+    got = [r.k for r in frame.select(cp.cache_key(F.struct(*frame.columns), "m").alias("k")).collect()]
+    for item, key in zip(items, got):
+        payload = {"prompt_version": cp.JUDGE_PROMPT_VERSION, "model": "m", "item": item}
+        assert key == hashlib.sha256(json.dumps(payload, sort_keys=True, ensure_ascii=False).encode()).hexdigest()
