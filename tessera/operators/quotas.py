@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -52,11 +53,7 @@ def family_counts(records: DataFrame) -> DataFrame:
 
 def progress(records: DataFrame, quotas: DataFrame) -> DataFrame:
     """Every quota cell with what is observed, what counts and what is missing."""
-    return progress_of(family_counts(records), quotas)
-
-
-def progress_of(seen: DataFrame, quotas: DataFrame) -> DataFrame:
-    """``progress`` from counts (split, task_family, n)."""
+    seen = family_counts(records)
     observed = F.coalesce("n", F.lit(0)).cast("long")
     return quotas.join(seen, CELL, "left").select(
         *CELL, "target", observed.alias("observed"), F.least(observed, "target").alias("counted"),
@@ -89,12 +86,7 @@ def trim(records: DataFrame, quotas: DataFrame) -> DataFrame:
 
 def planned_slots(records: DataFrame, quotas: DataFrame, limit: int) -> DataFrame:
     """The next ``limit`` units to fill: (slot, split, task_family), most underfilled cells first."""
-    return slots_of(progress(records, quotas), limit)
-
-
-def slots_of(cells: DataFrame, limit: int) -> DataFrame:
-    """``planned_slots`` from cells as ``progress`` makes them."""
-    open_cells = cells.where("counted < target")
+    open_cells = progress(records, quotas).where("counted < target")
     units = open_cells.select(*CELL, "target", F.explode(F.sequence(F.col("counted"), F.col("target") - 1)).alias("ordinal"))
     units = units.withColumn("fill", F.col("ordinal") / F.col("target"))
     keys = ["fill", *CELL, "ordinal"]
@@ -102,6 +94,12 @@ def slots_of(cells: DataFrame, limit: int) -> DataFrame:
     return head.withColumn("slot", F.row_number().over(Window.orderBy(*keys)).cast("long")).select("slot", *CELL)
 
 
+def next_slots(targets: Mapping[tuple[str, str], int], counts: Mapping[tuple[str, str], int], limit: int) -> list[tuple[str, str]]:
+    """``planned_slots`` from targets and counts per cell that a driver holds: (split, task_family) of each slot."""
+    units = ((n / target, *cell, n) for cell, target in targets.items() for n in range(min(counts.get(cell, 0), target), target))
+    return [(split, family) for _, split, family, _ in heapq.nsmallest(limit, units)]
+
+
 def assign(sources: DataFrame, slots: DataFrame, order: str = "stream_idx") -> DataFrame:
     """Pair the next sources with the slots, in order; one micro-batch, so at most as many rows as slots."""
     n = slots.count()

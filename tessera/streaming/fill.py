@@ -133,12 +133,10 @@ class Filler:
 
     def batch(self, queue: DataFrame, begin: int) -> int:
         """Attempt the sources after place ``begin``; returns how many it took."""
-        seen = [(s, f, n) for (s, f), n in self.counts.items()]
-        cells = quotas.progress_of(self.spark.createDataFrame(seen, "split string, task_family string, n bigint"), self.quota)
-        slots = quotas.slots_of(cells, self.concurrency).collect()
+        slots = quotas.next_slots(self.targets, self.counts, self.concurrency)
         if not slots:
             return 0
-        places = self.spark.createDataFrame([(begin + r.slot, r.slot, r.split, r.task_family) for r in slots], "place bigint, slot bigint, split string, task_family string")
+        places = self.spark.createDataFrame([(begin + k, k, *cell) for k, cell in enumerate(slots, 1)], "place bigint, slot bigint, split string, task_family string")
         near = queue.where(F.col("place").between(begin + 1, begin + len(slots)))
         called = generate(near.join(F.broadcast(places), "place").drop("place").coalesce(1), self.provider, self.concurrency)
         path = f"{self.calls}/{uuid.uuid4().hex}"

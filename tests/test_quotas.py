@@ -78,3 +78,15 @@ def test_resume_sets(spark):
     assert ids(journal.within_budget(sources, 4, accepted, rejected)) == ["p1"]
     assert ids(journal.within_budget(sources, 2, accepted, rejected)) == []
     assert journal.decreased({"train": 5, "test": 3}, {"train": 4, "test": 3, "new": 1}) == {"train": (5, 4)}
+
+
+def test_slots_of_a_driver_equal_those_of_the_table(spark):
+    rnd = random.Random(4)
+    for _ in range(3):
+        targets = {(s, f): rnd.randint(0, 9) for s in ("a", "b") for f in TASK_FAMILIES}
+        seen = [(s, f) for (s, f), t in targets.items() for _ in range(rnd.randint(0, t + 1))]
+        records = spark.createDataFrame(seen, "split string, task_family string")
+        quota = spark.createDataFrame([(*c, t) for c, t in targets.items()], "split string, task_family string, target bigint")
+        counts = {c: seen.count(c) for c in set(seen)}
+        want = [(r.split, r.task_family) for r in quotas.planned_slots(records, quota, 7).orderBy("slot").collect()]
+        assert quotas.next_slots(targets, counts, 7) == want
