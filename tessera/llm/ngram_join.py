@@ -160,16 +160,26 @@ def _joinable(table: DataFrame, row_bytes: int = 40, max_bytes: int = 64 << 20)
     return F.broadcast(table) if table.limit(max_bytes // row_bytes + 1).count() <= max_bytes // row_bytes else table
 
 
-def leader_links(docs: DataFrame, reps: DataFrame, bucket_rows: int = 500, leaders: int = 32) -> DataFrame:
-    """True links (u, v) among ``reps`` (rep, n, k1, k2) whose min-hash keys agree."""
-    keys = reps.where("n > 0").select("rep", "n", F.explode(F.array("k1", "k2")).alias("k"))
+def leader_links(docs: DataFrame, reps: DataFrame, bucket_rows: int = 250, leaders: int = 32) -> DataFrame:
+    """True links (u, v) among ``reps`` (rep, n, k1, k2) whose min-hash keys agree.
+
+    Rows of a key are dealt into buckets of about ``bucket_rows``; the smallest row of each bucket is dealt again with its like, level by
+    level, until a key has one bucket, so buckets of a hot key come together without meeting in one task.
+    """
+    keys = reps.where("n > 0").select("rep", F.explode(F.array("k1", "k2")).alias("k"))
     shared = keys.groupBy("k").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    rows = keys.join(shared, "k").withColumn("salt", F.pmod(F.xxhash64("rep"), F.ceil(F.col("c") / bucket_rows)).cast("int"))
-    # one row of each salted bucket (its smallest) also meets the others of the same key in the bucket -1
-    heads = rows.where(f"c > {bucket_rows}").groupBy("k", "salt").agg(F.min("rep").alias("rep")).select("k", F.lit(-1).alias("salt"), "rep")
-    rows = materialize(rows.select("k", "salt", "rep").unionByName(heads))
+    rows, level, now = None, 0, keys.join(shared, "k")
+    while True:
+        salt = F.pmod(F.xxhash64("rep"), F.ceil(F.col("c") / bucket_rows)) + F.lit(level << 32)
+        now = materialize(now.withColumn("salt", salt))
+        rows = now.select("k", "salt", "rep") if rows is None else rows.unionByName(now.select("k", "salt", "rep"))
+        hot = now.where(F.col("c") > bucket_rows)
+        if hot.limit(1).count() == 0:
+            break
+        heads = materialize(hot.groupBy("k", "salt").agg(F.min("rep").alias("rep")).drop("salt"))
+        now, level = heads.join(heads.groupBy("k").agg(F.count(F.lit(1)).alias("c")), "k"), level + 1
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
-    wanted = rows.groupBy("rep").agg(F.collect_set(F.struct("k", "salt")).alias("at"))  # four at most
+    wanted = rows.groupBy("rep").agg(F.collect_set(F.struct("k", "salt")).alias("at"))  # two for each level
     met = texts.join(_joinable(wanted, 240), "rep").select("rep", "text", F.explode("at").alias("at")).select("rep", "text", "at.k", "at.salt")
     met = met.repartition("k", "salt").sortWithinPartitions("k", "salt", "rep")
 
@@ -249,9 +259,9 @@ def prefixes(docs: DataFrame, members: DataFrame, classes: np.ndarray, max_match
 
 
 def across(rows: DataFrame) -> DataFrame:
-    """Rows of shingles whose documents lie in more than one component."""
-    wide = rows.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("token")
-    return rows.join(wide, "token", "left_semi")
+    """Rows of shingles whose documents lie in more than one component; most shingles do not, and their rows stay where they are."""
+    wide = materialize(rows.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("token"))
+    return rows.join(_joinable(wide, 32), "token", "left_semi")
 
 
 def hub_pairs(rows: DataFrame, turn: int) -> DataFrame:
