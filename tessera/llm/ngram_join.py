@@ -18,7 +18,7 @@ similarity is 0.8 or more.  No link between different texts is lost:
    Shingles whose documents all lie in one component produce nothing; before pairs are made, rounds
    tie components together over one hub per shingle, linear in the postings, as long as a round ties one in ``TIED`` of the
    pairs that it tries (a hub that links to few of its shingle's components says that the others will not link either).
-4. Candidates are verified on their whole sets: the set of the end with more pairs is built once for each 250 of them, so
+4. Candidates are verified on their whole sets: the set of the end with more pairs is built once for each 120 of them, so
    a hub's pairs are many small pieces of work; links of both passes give the components.
 
 Defined results: null or white-space text has an empty set, links with nothing and is its own
@@ -160,7 +160,7 @@ def _joinable(table: DataFrame, row_bytes: int = 40, max_bytes: int = 64 << 20)
     return F.broadcast(table) if table.limit(max_bytes // row_bytes + 1).count() <= max_bytes // row_bytes else table
 
 
-def leader_links(docs: DataFrame, reps: DataFrame, bucket_rows: int = 250, leaders: int = 32) -> DataFrame:
+def leader_links(docs: DataFrame, reps: DataFrame, bucket_rows: int = 500, leaders: int = 32) -> DataFrame:
     """True links (u, v) among ``reps`` (rep, n, k1, k2) whose min-hash keys agree.
 
     Rows of a key are dealt into buckets of about ``bucket_rows``; the smallest row of each bucket is dealt again with its like, level by
@@ -320,7 +320,7 @@ def tie_hubs(docs: DataFrame, rows: DataFrame, rounds: int) -> tuple[DataFrame,
     return rows, found
 
 
-def verify(docs: DataFrame, pairs: DataFrame, pairs_a_time: int = 250) -> DataFrame:
+def verify(docs: DataFrame, pairs: DataFrame, pairs_a_time: int = 120) -> DataFrame:
     """Links (u, v) among candidate pairs (a, b), on whole sets.
 
     The end of a pair that has more pairs is its hub.  A hub's pairs are dealt into parts of about ``pairs_a_time``; a part gets
@@ -337,8 +337,9 @@ def verify(docs: DataFrame, pairs: DataFrame, pairs_a_time: int = 250) -> DataFr
     dealt = materialize(dealt.select("hub", "other", F.pmod(F.xxhash64("other"), F.col("parts")).cast("int").alias("part")))
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     texts = texts.join(_joinable(degree.select("id")), "id", "left_semi")
-    heads = dealt.select("hub", "part").distinct().join(texts, F.col("hub") == F.col("id")).select("hub", "part", F.lit(None).cast("long").alias("other"), "text")
-    tails = dealt.join(texts, F.col("other") == F.col("id")).select("hub", "part", "other", "text")
+    # texts stay where they are until a part takes them
+    heads = _joinable(dealt.select("hub", "part").distinct(), 32).join(texts, F.col("hub") == F.col("id")).select("hub", "part", F.lit(None).cast("long").alias("other"), "text")
+    tails = _joinable(dealt, 40).join(texts, F.col("other") == F.col("id")).select("hub", "part", "other", "text")
     met = heads.unionByName(tails).repartition("hub", "part").sortWithinPartitions("hub", "part", F.col("other").asc_nulls_first())
 
     def run(batches):
