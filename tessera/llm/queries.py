@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_windows, entropy_mix, exact_dedup, host_reputation, image_copies, line_templates, ngram_join, sentencepiece_table, suffix_dedup, toxicity
+from . import chat_windows, entropy_mix, exact_dedup, host_reputation, image_copies, line_templates, ngram_join, packing, sentencepiece_table, suffix_dedup, toxicity
 from .common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -245,3 +245,10 @@ def op10_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     outcomes = load(spark, sf_dir, "labels").select(F.col("doc_id").alias("key"), (F.col("quality") == 0).cast("int").alias("bad"))
     judged = host_reputation.filter_urls(pages, outcomes, URL_RULES, outcome_key=key)
     return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query()
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(load(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
