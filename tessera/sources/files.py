@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from collections.abc import Iterable, Mapping
 from contextlib import contextmanager
 from pathlib import Path
@@ -203,11 +204,36 @@ def resolve_resume(spark: SparkSession, folder: str, resume: str) -> str | None:
     return resume
 
 
+_LOCAL: dict[str, str] = {}  # application -> its folder, where the session names none
+_LEAVING: set[str] = set()  # folders that go when the driver ends
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); a local one only on a single machine that names none."""
+    """The folder that driver and executors share (``spark.checkpoint.dir``); a local one, the same for all calls of an
+    application, only on a single machine that names none."""
     import tempfile
 
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named and not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return (named or tempfile.mkdtemp(prefix="tessera-")).rstrip("/")
+    app = spark.sparkContext.applicationId
+    if not named and app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="tessera-")
+    return (named or _LOCAL[app]).rstrip("/")
+
+
+def scratch(spark: SparkSession, kind: str) -> str:
+    """A new path for a table between two steps, in the shared folder, below this application's own, which goes when its driver ends."""
+    folder = f"{shared_folder(spark)}/tessera-steps/{spark.sparkContext.applicationId}"
+    if folder not in _LEAVING:
+        fs, p = _fs(spark, folder)
+        fs.deleteOnExit(p)
+        _LEAVING.add(folder)
+    return f"{folder}/{kind}-{uuid.uuid4().hex}"
+
+
+def written(table: DataFrame, kind: str = "step") -> DataFrame:
+    """``table`` as it lies in storage: written once, read back, its lineage cut; it survives the loss of executors."""
+    path = scratch(table.sparkSession, kind)
+    table.write.parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)
