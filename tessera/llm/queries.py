@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_windows, entropy_mix, exact_dedup, host_reputation, image_copies, line_templates, ngram_join, packing, sentencepiece_table, suffix_dedup, toxicity
+from . import chat_windows, entropy_mix, exact_dedup, exponion, host_reputation, image_copies, line_templates, ngram_join, packing, sentencepiece_table, suffix_dedup, toxicity
 from .common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -252,3 +252,38 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return packing.pack(load(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def _kmeans_sql(k: int = 16, rounds: int = 3, dims: int = 64) -> str:
+    """Rounds of nearest centroid and floor of the mean, one after another."""
+    near = """a{r} as materialized (
+      select vec_id, v, min({{'d': cast(list_sum(list_transform(generate_series(1, {dims}), lambda i: (v[i] - c[i]) * (v[i] - c[i]))) as bigint), 'k': k}}) as best
+      from kept, c{r} group by vec_id, v
+    )"""
+    mean = """c{n} as materialized (
+      select c.k, coalesce(m.c, c.c) as c from c{r} c left join (
+        select k, list((s - ((s % n) + n) % n) // n order by i) as c
+        from (select best.k as k, i, cast(sum(v[i]) as bigint) as s, count(*) as n from a{r}, generate_series(1, {dims}) g(i) group by 1, 2) group by k
+      ) m using (k)
+    )"""
+    steps = [near.format(r=0, dims=dims)]
+    for r in range(rounds):
+        steps += [mean.format(r=r, n=r + 1, dims=dims), near.format(r=r + 1, dims=dims)]
+    return f"""
+    with kept as materialized (
+      select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as v from embeddings
+      where len(embedding) = {dims} and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+    ),
+    c0 as materialized (
+      select row_number() over (order by h) - 1 as k, v as c from (select sha256('1:' || vec_id) as h, v from kept order by h limit {k})
+    ),
+    {", ".join(steps)}
+    select vec_id, cast(best.k as integer) as cluster, best.d as distance, cast(sum(best.d) over (partition by best.k) as bigint) as cluster_inertia,
+           cast(sum(best.d) over () as bigint) as inertia, sha256(array_to_string(c, ',')) as centroid_sha256
+    from a{rounds} join c{rounds} on k = best.k
+    """
+
+
+@query(_kmeans_sql())
+def op12_exponion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exponion.cluster(load(spark, sf_dir, "embeddings").select("vec_id", "embedding")).drop("centroid")
