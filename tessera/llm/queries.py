@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_windows, entropy_mix, exact_dedup, exponion, host_reputation, image_copies, line_templates, ngram_join, packing, sentencepiece_table, suffix_dedup, toxicity
+from . import chat_windows, conversation_trie, entropy_mix, exact_dedup, exponion, host_reputation, image_copies, line_templates, ngram_join, packing, sentencepiece_table, suffix_dedup, toxicity
 from .common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -287,3 +287,48 @@ def _kmeans_sql(k: int = 16, rounds: int = 3, dims: int = 64) -> str:
 @query(_kmeans_sql())
 def op12_exponion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exponion.cluster(load(spark, sf_dir, "embeddings").select("vec_id", "embedding")).drop("centroid")
+
+
+@query(
+    """
+    with turns as (
+      select conv_id, turn, cast(length(coalesce(role, '')) as varchar) || ':' || coalesce(role, '') || coalesce(text, '') as t, octet_length(encode(coalesce(text, ''))) as b
+      from conversations where conv_id is not null
+    ),
+    c as (select conv_id, row_number() over (partition by conv_id order by turn nulls first, sha256(t)) as i, t, b from turns),
+    crc as (
+      select conv_id, list_reduce(
+        list_concat([4294967295], flatten(list_transform(string_split(cast(conv_id as varchar), ''), lambda x: [ascii(x), -1, -1, -1, -1, -1, -1, -1, -1]))),
+        lambda z, x: case when x >= 0 then xor(z, x) when z % 2 = 1 then xor(z >> 1, 3988292384) else z >> 1 end
+      ) as z from (select distinct conv_id from c)
+    ),
+    ids as (select conv_id, conv_id - conv_id % 5 as base, xor(cast(z as bigint), 4294967295) % 9 as h from crc),
+    own as (select conv_id, count(*) as n from c group by 1),
+    r as (
+      select ids.conv_id, i as d, t, b from ids join c on c.conv_id = base and i <= h
+      union all
+      select ids.conv_id, i - h + least(h, coalesce(n, 0)), t, b from ids join c using (conv_id) left join own on own.conv_id = base where i > h
+    ),
+    p as (
+      select conv_id, d, b, sha256(string_agg(sha256(t), '') over (partition by conv_id order by d)) as k from r union all select conv_id, 0, 0, '' from ids
+    ),
+    node as (select k, d, min(conv_id) as conv_id, count(*) as n, max(b) as b from p group by k, d),
+    edge as (select x.k, x.d, up.k as up_k, up.d as up_d from node x join p up on up.conv_id = x.conv_id and up.d = x.d - 1),
+    kids as (select up_k as k, up_d as d, count(*) as kids from edge group by 1, 2),
+    tree as (
+      select a.k, a.d, sum((x.n - 1) * x.b) as saved, count(*) filter (kids.kids is null) as leaves
+      from node x left join kids on kids.k = x.k and kids.d = x.d join p a on a.conv_id = x.conv_id and a.d <= x.d group by 1, 2
+    ),
+    ends as (
+      select k, d, sha256(string_agg(cast(conv_id as varchar), ',' order by conv_id)) as sha
+      from (select *, max(d) over (partition by conv_id) as last from p) where d = last group by 1, 2
+    )
+    select x.conv_id, cast(x.d as bigint) as depth, up.conv_id as parent_conv_id, x.n as n_convs, coalesce(kids.kids, 0) as n_children, tree.leaves as n_leaves,
+           cast(tree.saved as bigint) as saved_tokens, coalesce(ends.sha, sha256('')) as ends_sha256
+    from node x left join edge using (k, d) left join node up on up.k = up_k and up.d = up_d left join kids on kids.k = x.k and kids.d = x.d
+    join tree on tree.k = x.k and tree.d = x.d left join ends on ends.k = x.k and ends.d = x.d
+    """
+)
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = conversation_trie.numbered_turns(load(spark, sf_dir, "conversations"))
+    return conversation_trie.trie(*conversation_trie.shared_openings(turns))
