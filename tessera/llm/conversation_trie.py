@@ -8,7 +8,7 @@ the owner of the depth before; sums over subtrees go up over chains, twice as fa
 
 Prefix digests are running sums (exclusive or) of 128 bits made from a turn's SHA-256 and its depth, so they need no order of evaluation: a
 conversation that holds most turns is numbered range by range and summed block by block.  Keys that many rows look up (a first turn that most
-conversations share) are told by exact counts and broadcast, at most ``HEAVY`` of them; all others are joined by key.  Digests guard against
+conversations share) are told by exact counts and broadcast, at most ``common.HEAVY`` of them; all others are joined by key.  Digests guard against
 chance, not against texts made to collide.
 
 Defined results: rows without a conversation id belong to no conversation and are left out; null roles and texts are empty; rows of one turn number, and
@@ -27,32 +27,12 @@ from pyspark.sql import functions as F
 
 from tessera.operators.numbering import numbered_within
 
-from .common import discard, materialize
+from .common import discard, look_up, materialize
 
-HEAVY = 10_000  # keys that are broadcast at most: their weights add up to all rows
 BLOCK = 4096  # depths that are summed in one group
 IDS_A_CHUNK = 8192
 
 
-def look_up(rows: DataFrame, table: DataFrame, keys: Sequence[str], total: int, weight: str) -> DataFrame:
-    """``rows`` left-joined with ``table``, which has a key once, and in ``weight`` at least the number of rows that ask for it.
-
-    Weights add up to ``total`` at most, so no more than ``HEAVY`` keys reach a share of 1/HEAVY; these are broadcast and the rows that meet
-    them are spread out, the others are joined by key, none of which has more than that share.
-    """
-    bound, values = max(2, -(-total // HEAVY)), [c for c in table.columns if c not in keys]
-    hot = table.where(F.col(weight) >= bound).select(*[F.col(c).alias(f"_hot_{c}") for c in table.columns], F.lit(True).alias("_hot"))
-    rest = table.where(F.col(weight) < bound).select(*[F.col(c).alias(f"_rest_{c}") for c in table.columns], F.lit(False).alias("_rest"))
-    same = [F.col(k) == F.col(f"_hot_{k}") for k in keys]
-    met = rows.join(F.broadcast(hot), same, "left").withColumn("_hot", F.coalesce("_hot", F.lit(False)))
-    met = met.withColumn("_spread", F.when(F.col("_hot"), F.xxhash64(*rows.columns)).otherwise(F.xxhash64(*keys)))
-    rest = rest.withColumn("_rest_spread", F.xxhash64(*[f"_rest_{k}" for k in keys]))
-    same = [F.col("_spread") == F.col("_rest_spread"), F.col("_hot") == F.col("_rest"), *[F.col(k) == F.col(f"_rest_{k}") for k in keys[1:]]]
-    exact = F.col(keys[0]) == F.col(f"_rest_{keys[0]}")
-    joined = met.join(rest, [*same, exact] if len(keys) == 1 else [*same, exact], "left")
-    return joined.select(*rows.columns, *[F.when(F.col("_hot"), F.col(f"_hot_{v}")).otherwise(F.col(f"_rest_{v}")).alias(v) for v in values])
-
-
 def running(rows: DataFrame, group: str, at: str, names: dict[str, str], *, downwards: bool = False) -> DataFrame:
     """``rows`` with every column of ``names`` ("sum" or "xor") added up along ``at`` inside ``group``, block by block.
 

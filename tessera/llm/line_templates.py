@@ -1,41 +1,39 @@
 """Line dedup by log templates.
 
 Lines go through a tree of fixed depth: first the number of tokens, then the leading ``DEPTH`` tokens, where
-a token with a digit counts as the wildcard ``<*>``.  In a leaf, lines join the most similar template that agrees
-in at least ``similarity`` of all tokens (a wildcard agrees with nothing but itself), and tokens in which they differ become
-wildcards of the template; a line that joins none is a template of its own.  Lines come in a fixed order (by document
-count, then text), so the result does not depend on partitions.
+a token with a digit counts as the wildcard ``<*>``.  In a leaf, a line's template keeps the line's most usual tokens: each is ranked by how many
+documents' lines of the leaf have it at its place, at least ``similarity`` of all tokens stay, tokens of equal rank together, and the
+rest, the variable fields, become wildcards.  Lines that keep the same tokens share a template.  The rule looks at counts only, so it does not depend on
+any order, on partitions or on the size of a leaf, and no leaf is ever held together.
 
 A template whose lines stand in ``min_docs`` documents or more is recurring, and its lines are dropped from all
 documents.  Lines of ``long_tokens`` tokens or more do not agree by chance: their template recurs from two documents on, and
 below ``min_docs`` the document with the smallest id keeps them.
 
 Lines are counted per document and combined before anything meets in a leaf, so a very common line
-is one row there.  The tree has one depth at every size.  A task parses at most about ``block_lines`` lines of a leaf together: a
-larger leaf is dealt into blocks by the lines' hashes, each block is parsed, and the templates of the blocks are parsed
-again by the same rule, round after round, until a leaf is one block or two rounds in a row find nothing more to join.
+is one row there.  Tokens are counted and looked up as rows, those of usual tokens through a broadcast of bounded size.
 
 A line is named by two 64-bit hashes, of its leaf and of itself.
 
 Defined results: null text counts as empty and has no lines; blank lines stay; lines are parted by LF, tokens by white
-space; a document counts once per template however often it repeats the line; texts and lines of any length are taken whole; of
-equally similar templates the earliest wins; rows that share an id are one document, rows without an id are one
+space; a document counts once per template however often it repeats the line; texts and lines of any length are taken whole; rows that
+share an id are one document (their rows count one by one where tokens are ranked), rows without an id are one
 document that never is the smallest; other columns, whatever their names, are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import look_up, materialize
 
 WILD = "<*>"
 DEPTH = 3
@@ -64,81 +62,22 @@ def lines_of(text: str | None, min_tokens: int) -> Iterator[tuple[int, list[str]
             yield i, parts
 
 
-def parse_leaf(lines: list[str], similarity: float) -> list[int]:
-    """Template number of each line of one leaf (all with the same number of tokens), in the order given."""
-    if len(lines) > 6:
-        return _parse_large(lines, similarity)
-    templates: list[list[str]] = []
-    out = []
-    for line in lines:
-        parts = line.split(" ")
-        best, most = -1, 0
-        for t, template in enumerate(templates):
-            same = sum(map(str.__eq__, parts, template))
-            if same > most:
-                best, most = t, same
-        if best >= 0 and most >= similarity * len(parts):
-            templates[best] = [a if a == b else WILD for a, b in zip(templates[best], parts)]
-            out.append(best)
-        else:
-            templates.append(parts)
-            out.append(len(templates) - 1)
-    return out
-
-
-def _parse_large(lines: list[str], similarity: float) -> list[int]:
-    """As ``parse_leaf``, with tokens as numbers; templates are looked up by the tokens of a line.
-
-    A line must agree with its template in ``need`` places.  Places where all lines agree count for every template; of
-    the others, all but the ``need - 1`` most usual ones of a line hold an agreement for certain, so only templates listed there are
-    compared.  Lists keep templates whose token became a wildcard meanwhile; the comparison leaves them out.
-    """
-    codes: dict[str, int] = {WILD: 0}
-    rows = np.array([[codes.setdefault(t, len(codes)) for t in line.split(" ")] for line in lines], np.int32)
-    open_at = np.flatnonzero((rows != rows[0]).any(axis=0))
-    fixed = rows.shape[1] - len(open_at)
-    need = max(1, math.ceil(similarity * rows.shape[1])) - fixed
-    if need <= 0:
-        return [0] * len(lines)  # every line agrees with the first template
-    rows = np.ascontiguousarray(rows[:, open_at])
-    templates, n, out = np.empty_like(rows), 0, []
-    listed: dict[tuple[int, int], list[int]] = {}
-    for row in rows:
-        lists = sorted((listed.get(at, ()) for at in enumerate(row.tolist())), key=len)
-        some = sorted(set().union(*lists[: max(0, len(lists) - need + 1)]))
-        best = -1
-        if some:
-            same = (templates[some] == row).sum(axis=1)
-            first = int(same.argmax())
-            best = some[first] if same[first] >= need else -1
-        if best >= 0:
-            for p in np.flatnonzero((templates[best] != row) & (templates[best] != 0)).tolist():
-                templates[best, p] = 0
-                listed.setdefault((p, 0), []).append(best)
-        else:
-            templates[n] = row
-            for at in enumerate(row.tolist()):
-                listed.setdefault(at, []).append(n)
-            best, n = n, n + 1
-        out.append(best)
-    return out
-
-
 def _occurrences(docs: DataFrame, min_tokens: int, long_tokens: int) -> DataFrame:
     """Distinct (doc_id, line, leaf, long) of every document."""
 
     def run(batches):
-        for pdf in batches:
+        for batch in batches:
             ids, lines, leaves, long = [], [], [], []
-            for doc, text in zip(pdf["doc_id"], pdf["text"]):
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 seen = {" ".join(parts): parts for _, parts in lines_of(text, min_tokens)}
                 ids += [doc] * len(seen)
                 lines += map(key, seen)
                 leaves += [leaf(parts, DEPTH) for parts in seen.values()]
                 long += [len(parts) >= long_tokens for parts in seen.values()]
-            yield pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "line": np.array(lines, np.int64), "leaf": np.array(leaves, np.int64), "long": np.array(long, bool)})
+            columns = [pa.array(ids, pa.int64()), pa.array(lines, pa.int64()), pa.array(leaves, pa.int64()), pa.array(long, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "line", "leaf", "long"])
 
-    return docs.mapInPandas(run, "doc_id long, line long, leaf long, long boolean")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, line long, leaf long, long boolean")
 
 
 class Names:
@@ -195,79 +134,30 @@ def _texts_in(docs: DataFrame, leaves: DataFrame, min_tokens: int, max_bytes: in
     return rows.groupBy("leaf", "line").agg(F.first("masked").alias("masked"))
 
 
-_PARSED = "leaf long, line long, head long, docs long, masked string"
-
-
-def _parse_blocks(rows: DataFrame, similarity: float) -> DataFrame:
-    """Parse (leaf, block, line, docs, masked) block by block: every line with its template's first line (``head``).
-
-    ``masked`` of a head is the template's text, null for the others; ``docs`` orders lines in the next round.
-    """
-
-    def close(at, names, counts, lines):
-        numbers = parse_leaf(lines, similarity)
-        first: dict[int, int] = {}
-        merged: dict[int, list[str]] = {}
-        for k, (t, line) in enumerate(zip(numbers, lines)):
-            if t not in first:
-                first[t], merged[t] = k, line.split(" ")
-            else:
-                merged[t] = [a if a == b else WILD for a, b in zip(merged[t], line.split(" "))]
-        return [(at, names[k], names[first[t]], counts[k], " ".join(merged[t]) if first[t] == k else None) for k, t in enumerate(numbers)]
-
-    def run(batches):
-        """Blocks come one after another; one is held at a time."""
-        here, names, counts, lines = None, [], [], []
-        for pdf in batches:
-            out = []
-            for at, block, name, n, line in zip(pdf["leaf"], pdf["block"], pdf["line"], pdf["docs"], pdf["masked"]):
-                if (at, block) != here:
-                    if names:
-                        out += close(here[0], names, counts, lines)
-                    here, names, counts, lines = (at, block), [], [], []
-                names.append(name)
-                counts.append(n)
-                lines.append(line)
-            yield pd.DataFrame(out, columns=["leaf", "line", "head", "docs", "masked"])
-        if names:
-            yield pd.DataFrame(close(here[0], names, counts, lines), columns=["leaf", "line", "head", "docs", "masked"])
-
-    order = rows.repartition("leaf", "block").sortWithinPartitions("leaf", "block", F.desc("docs"), "masked", "line")
-    return order.mapInPandas(run, _PARSED)
+def _kept_tokens(rows: DataFrame, similarity: float) -> DataFrame:
+    """(leaf, line, head) of (leaf, line, docs, masked): ``head`` names the tokens that a line keeps in its template."""
+    tokens = rows.select("leaf", "line", "docs", F.posexplode(F.split("masked", " ")).alias("at", "token")).where(F.col("at") >= DEPTH)
+    tokens = materialize(tokens.select("leaf", "line", "docs", "at", F.xxhash64("at", "token").alias("token")))
+    usual = materialize(tokens.groupBy("leaf", "token").agg(F.sum("docs").alias("with"), F.count(F.lit(1)).alias("asked")))
+    met = look_up(tokens, usual, ["leaf", "token"], tokens.count(), "asked")
+    # a line's own tokens, the most usual first
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("with")).alias("rank"), "at", "token")))
+    ranked = met.groupBy("leaf", "line").agg(ranked.alias("ranked"))
+    need = F.ceil(F.round((F.size("ranked") + DEPTH) * F.lit(similarity), 6)).cast("int") - DEPTH
+    last = F.when(need > 0, F.try_element_at("ranked", F.greatest(need, F.lit(1)))["rank"])
+    kept = F.transform(F.filter("ranked", lambda r: F.coalesce(r["rank"] <= F.col("last"), F.lit(False))), lambda r: r["token"])
+    return ranked.withColumn("last", last).select("leaf", "line", F.xxhash64(F.lit("template"), kept).alias("head"))
 
 
 def templates(
-    docs: DataFrame, *, similarity: float = 0.6, min_tokens: int = 1, long_tokens: int = 20, block_lines: int = 2000, max_bytes: int = 32 << 20
+    docs: DataFrame, *, similarity: float = 0.6, min_tokens: int = 1, long_tokens: int = 20, max_bytes: int = 32 << 20
 ) -> tuple[DataFrame, DataFrame]:
-    """(occurrences (doc_id, line, leaf, long), template of lines (leaf, line, head) where it is not the line itself)."""
+    """(occurrences (doc_id, line, leaf, long), template of lines (leaf, line, head) of leaves with several lines)."""
     found = materialize(_occurrences(docs, min_tokens, long_tokens))
     lines = materialize(found.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("docs")))
     sizes = materialize(lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     texts = _texts_in(docs, sizes.select("leaf"), min_tokens, max_bytes)
-    rows, turn, named, idle = materialize(lines.join(texts, ["leaf", "line"])), 0, None, 0
-    while True:
-        parts = F.ceil(F.col("n") / block_lines)
-        # line hashes are uniform; every round deals the heads anew
-        block = F.pmod(F.col("line") if turn == 0 else F.xxhash64(F.lit(turn), "line"), parts).cast("int")
-        parsed = materialize(_parse_blocks(rows.join(sizes, "leaf").withColumn("block", block), similarity))
-        step = parsed.where("line <> head").select("leaf", "line", "head")
-        if named is None:
-            named = materialize(step)
-        else:
-            # heads of earlier rounds may have joined others now
-            up = step.select("leaf", F.col("line").alias("head"), F.col("head").alias("up"))
-            named = materialize(named.join(up, ["leaf", "head"], "left").select("leaf", "line", F.coalesce("up", "head").alias("head")).unionByName(step))
-        large = sizes.where(F.col("n") > block_lines)
-        if large.limit(1).count() == 0:
-            return found, named
-        idle = idle + 1 if turn and step.limit(1).count() == 0 else 0
-        if idle == 2:
-            return found, named
-        heads = parsed.join(large.select("leaf"), "leaf", "left_semi")
-        weight = heads.groupBy("leaf", "head").agg(F.sum("docs").alias("docs"), F.max("masked").alias("masked"))
-        rows = materialize(weight.select("leaf", F.col("head").alias("line"), "docs", "masked"))
-        sizes = materialize(rows.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-        turn += 1
+    return found, materialize(_kept_tokens(lines.join(texts, ["leaf", "line"]), similarity))
 
 
 def recurring(found: DataFrame, named: DataFrame, min_docs: int) -> DataFrame:
@@ -284,14 +174,15 @@ def recurring(found: DataFrame, named: DataFrame, min_docs: int) -> DataFrame:
 
 def drop_recurring(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, similarity: float = 0.6, min_tokens: int = 1,
-    long_tokens: int = 20, block_lines: int = 2000, max_bytes: int = 32 << 20, with_text: bool = False,
+    long_tokens: int = 20, max_bytes: int = 32 << 20, with_text: bool = False,
 ) -> DataFrame:
     """One row per document: doc_id, n_lines, n_dropped, kept_sha256, and the kept text if wanted."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    found, named = templates(docs, similarity=similarity, min_tokens=min_tokens, long_tokens=long_tokens, block_lines=block_lines, max_bytes=max_bytes)
+    found, named = templates(docs, similarity=similarity, min_tokens=min_tokens, long_tokens=long_tokens, max_bytes=max_bytes)
     gone = materialize(recurring(found, named, min_docs))
     few = _sent(gone.withColumn("keeper", F.coalesce("keeper", F.lit(NOBODY))), ["leaf", "line", "keeper"], max_bytes)
-    schema = "doc_id long, n_lines long, n_dropped long, kept_sha256 string" + (", kept string" if with_text else "")
+    # ids go round pandas as text: it would make floats of longs beside a missing one
+    schema = "doc_id string, n_lines long, n_dropped long, kept_sha256 string" + (", kept string" if with_text else "")
     names = [c.split()[0] for c in schema.split(", ")]
     sent = docs.sparkSession.sparkContext.broadcast(None if few is None else Names(*few))
     if few is not None:
@@ -320,8 +211,8 @@ def drop_recurring(
                     if common is not None:
                         place = common.find(leaves, keys)
                         drop = place >= 0
-                        if doc is not None and not pd.isna(doc):
-                            drop[drop] = common.values[place[drop]] != doc
+                        if doc is not None:
+                            drop[drop] = common.values[place[drop]] != int(doc)
                     else:
                         mine = {(r["leaf"], r["line"]) for r in own}
                         drop = np.array([pair in mine for pair in zip(leaves.tolist(), keys.tolist())])
@@ -329,6 +220,7 @@ def drop_recurring(
                 lines = text.split("\n") if text else []
                 kept = "\n".join([line for i, line in enumerate(lines) if i not in bad]) if bad else text
                 out.append((doc, len(lines), len(bad), hashlib.sha256(kept.encode()).hexdigest(), kept)[: len(names)])
-            yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(out, columns=names)
 
-    return rows.mapInPandas(run, schema)
+    done = rows.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(run, schema)
+    return done.withColumn("doc_id", F.col("doc_id").cast("long"))

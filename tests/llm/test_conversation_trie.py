@@ -7,6 +7,7 @@ from collections import defaultdict
 import duckdb
 import pytest
 
+from tessera.llm import common
 from tessera.llm import conversation_trie as ct
 from tessera.llm.queries import SQL, op13_conversation_trie
 
@@ -80,7 +81,7 @@ def drawn(seed, n=40):
 
 @pytest.mark.parametrize("heavy, block, chunk", [(10_000, 4096, 8192), (3, 4, 2)])
 def test_openings_and_chains(spark, monkeypatch, heavy, block, chunk):
-    monkeypatch.setattr(ct, "HEAVY", heavy)
+    monkeypatch.setattr(common, "HEAVY", heavy)
     monkeypatch.setattr(ct, "BLOCK", block)
     monkeypatch.setattr(ct, "IDS_A_CHUNK", chunk)
     rows = drawn(heavy)
