@@ -137,7 +137,7 @@ def newton_rates(docs: DataFrame, targets: DataFrame, cap: float = 2.0, toleranc
 
 def round_block(pdf: pd.DataFrame, cap: float) -> np.ndarray:
     """Whole copies for one block's documents, in the order of its rows; largest go first."""
-    order = np.lexsort((pdf["doc_id"].to_numpy(), pdf["mix"].to_numpy(), -pdf["size"].to_numpy()))
+    order = np.lexsort((pdf["doc_id"].fillna("").to_numpy(str), pdf["mix"].to_numpy(), -pdf["size"].to_numpy()))
     size, rate = pdf["size"].to_numpy()[order], pdf["rate"].to_numpy()[order]
     due, copies, taken = np.cumsum(size * rate), np.zeros(len(size), np.int64), 0
     whole = np.floor(rate).astype(np.int64)
@@ -213,10 +213,14 @@ def mix(
             F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.ceil(F.col("docs") / block_rows)).alias("block"),
         )
     )
+    # ids go round pandas as text: it would make floats of longs beside a missing one
+    kind = rated.schema["doc_id"].dataType
+    rated = rated.withColumn("doc_id", F.col("doc_id").cast("string"))
     schema = rated.select("doc_id", "source", "size", "source_size", "target", "rate").schema
     out = schema.simpleString()[len("struct<"):-1].replace(":", " ") + ", copies bigint"
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         return pdf[["doc_id", "source", "size", "source_size", "target", "rate"]].assign(copies=round_block(pdf, cap))
 
-    return rated.groupBy("source", "block").applyInPandas(fill, out).withColumn("taken", F.col("copies") * F.col("size"))
+    filled = rated.groupBy("source", "block").applyInPandas(fill, out)
+    return filled.withColumn("doc_id", F.col("doc_id").cast(kind)).withColumn("taken", F.col("copies") * F.col("size"))

@@ -366,12 +366,15 @@ def draw(vectors: DataFrame, every: int = 100) -> DataFrame:
     def run(batches):
         for pdf in batches:
             out = []
-            for i, vector in zip(pdf["id"], pdf["of"]):
+            for edit, vector in zip(pdf["edit"], pdf["of"]):
                 if vector is None:
                     out.append(None)
                     continue
                 img = picture(np.asarray(vector))
-                out.append(encode_pgm(edited(img) if i is not None and i % every == 0 else img))
+                out.append(encode_pgm(edited(img) if edit else img))
             yield pd.DataFrame({"id": pdf["id"], "image": out})
 
-    return vectors.select("id", "of").mapInPandas(run, "id long, image binary")
+    edit = F.coalesce(F.col("id") % every == 0, F.lit(False))
+    # ids go round pandas as text: it would make floats of longs beside a missing one
+    drawn = vectors.select(F.col("id").cast("string").alias("id"), "of", edit.alias("edit")).mapInPandas(run, "id string, image binary")
+    return drawn.withColumn("id", F.col("id").cast("long"))

@@ -574,7 +574,8 @@ def _finish(docs: DataFrame, cuts: DataFrame, copies: DataFrame, with_text: bool
     size = cuts.agg(F.coalesce(F.sum(F.octet_length("cuts") + 64), F.lit(0))).first()[0]
     cuts = F.broadcast(cuts) if size <= 32 << 20 else cuts
     rows = docs.join(cuts, ["doc_id", "row"], "left").join(_small(copies.withColumn("copy", F.lit(True)), 48), ["doc_id", "row"], "left")
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
+    # ids go round pandas as text: it would make floats of longs beside a missing one
+    schema = "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
 
     def run(batches):
         for pdf in batches:
@@ -591,7 +592,7 @@ def _finish(docs: DataFrame, cuts: DataFrame, copies: DataFrame, with_text: bool
                     at = b
                 kept = b"".join([*kept, data[at:]])
                 out.append((doc, len(data), len(data) - len(kept), len(merged), hashlib.sha256(kept).hexdigest(), kept)[: 6 if with_text else 5])
-            frame = pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 6 if with_text else 5])
-            yield frame.astype({"doc_id": "Int64"})
+            yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 6 if with_text else 5])
 
-    return rows.select("doc_id", "text", "cuts", "copy").mapInPandas(run, schema)
+    done = rows.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "cuts", "copy").mapInPandas(run, schema)
+    return done.withColumn("doc_id", F.col("doc_id").cast("long"))
