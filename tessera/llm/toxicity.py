@@ -3,18 +3,21 @@
 Features of a text: for every distinct lower-cased word, the word and its prefixes of 4 to 9
 characters (inflected forms share them), hashed to ``2**BITS`` slots; a feature's value is the number
 of distinct words that have it, over the square root of the text's distinct words in fifties.
-The ``n_features`` slots that separate the labels best are kept.
+The ``n_features`` slots that separate the labels best are kept, and besides them all slots of the groups' names.
 
 Training: logistic loss over a bounded, deterministic sample of labelled rows (at most about
-``max_train``, a documented bound: rows are taken by a hash of their id), an L2 term, and the
-counterfactual term, the mean squared change of the raw score over two kinds of pairs:
+``max_train``, a documented bound: rows are taken by a hash of their id) and over the same texts with a mention of one group added, under the same
+label (a checksum of the text chooses the name), an L2 term, and the counterfactual term, the mean squared change of the raw score over three
+kinds of pairs:
 
 * every sentence of the sampled texts that names a group of people, against the same sentence with each term swapped for the
   next of its kind;
 * every sentence of the sampled texts with a term of the list added, against the same with the next term of its kind.  These
-  mentions hold the weights that a group's name shares with other words (its prefixes) where the labelled texts name no group.
+  mentions hold the weights of a group's name, and those that it shares with other words (its prefixes), where the labelled texts name no group;
+* every such sentence with a term added, against the sentence as it is, so that all names together do not move a score either.
 
-A group's name therefore carries no score of its own, which lowers false positives on neutral mentions.  The squared changes
+Texts with an added mention tell the classifier that a mention alone changes no label; what chance makes of one name and not of another,
+the penalty takes out.  A group's name therefore carries no score of its own, which lowers false positives on neutral mentions.  The squared changes
 are a quadratic form of the weights, so what comes to the driver of all pairs is one sum per pair of features, in whole
 numbers that no order of tasks changes.  The terms are a parameter.
 
@@ -22,7 +25,7 @@ Scoring is one pass without shuffle; the model that is broadcast has ``n_feature
 
 Defined results: null or empty text has the score of the bias alone; texts of any length are
 read whole; repeated rows get equal scores; rows without an id are scored, not learnt from; unlabelled or null-labelled rows are not
-learnt from; an id with several labels is learnt from once for each; of slots that separate the labels equally well the lower ones are
+learnt from; an id is learnt from once for each of its texts and labels; of slots that separate the labels equally well the lower ones are
 kept; without labels of both kinds the score is the smoothed base rate; other columns, whatever their names, are not read; an empty table gives an empty
 result.
 """
@@ -170,7 +173,7 @@ def _change(features: Features, index: np.ndarray, a: str, b: str) -> tuple[np.n
 
 
 def counterfactuals(sample: DataFrame, index: np.ndarray, terms: Sequence[Sequence[str]]) -> tuple[tuple, int, int]:
-    """((rows, columns, values) of the mean outer product of changes, number of pairs, number of mentions).
+    """((rows, columns, values) of the mean outer product of changes, number of pairs, number of mentions, the same sums for mentions against none).
 
     A change is what swapping terms does to a sentence's features; sums are of whole numbers, one per pair of features that any change has.
     """
@@ -200,32 +203,46 @@ def counterfactuals(sample: DataFrame, index: np.ndarray, terms: Sequence[Sequen
     got = {(r.i, r.j): int(r.v) for r in sample.select("text").mapInPandas(run, "i int, j int, v long").groupBy("i", "j").agg(total).collect()}
     pairs, count, room = (got.pop((k, 0), 0) for k in (-1, -2, -3))
     mean = {at: v / UNIT / pairs for at, v in got.items()}
-    features = Features()
+    features, single = Features(), {}
+
+    def add(to: dict, at: np.ndarray, delta: np.ndarray) -> None:
+        for x, i in enumerate(at.tolist()):
+            for y, j in enumerate(at.tolist()):
+                to[i, j] = to.get((i, j), 0.0) + part * delta[x] * delta[y]
+
     if count and swaps:
         # a mention adds the features of its words to the sentence's; the change is theirs, over the sentence's scale
-        part = room / UNIT / count / len(swaps)
+        part = room / UNIT / count / len(swaps) * scale(1) ** 2
         for a, b in swaps.items():
-            at, delta = _change(features, index, a, b)
-            delta = delta * scale(1)
-            for x, i in enumerate(at.tolist()):
-                for y, j in enumerate(at.tolist()):
-                    mean[i, j] = mean.get((i, j), 0.0) + part * delta[x] * delta[y]
-    keys = sorted(mean)
-    return (np.array([i for i, _ in keys], np.int64), np.array([j for _, j in keys], np.int64), np.array([mean[k] for k in keys], float)), pairs, count * len(swaps)
+            add(mean, *_change(features, index, a, b))
+            add(single, *_within(index, *features.of_text(a)))
+
+    def arrays(sums: dict) -> tuple:
+        keys = sorted(sums)
+        return np.array([i for i, _ in keys], np.int64), np.array([j for _, j in keys], np.int64), np.array([sums[k] for k in keys], float)
+
+    return arrays(mean), pairs, count * len(swaps), arrays(single)
 
 
-def optimise(x, y: np.ndarray, changes, n_features: int, *, l2: float, fairness: float, positive_weight: float, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Adam on logistic loss + l2 |w|^2 / 2 + fairness * w . M w, M the mean outer product of ``changes``; full batches, no randomness."""
+def optimise(x, y: np.ndarray, mentions, changes, n_features: int, *, l2: float, fairness: float, positive_weight: float, steps: int = 400) -> tuple[np.ndarray, float]:
+    """Adam on logistic loss + l2 |w|^2 / 2 + fairness * w . M w, M the mean outer product of ``changes``; full batches, no randomness.
+
+    ``mentions`` is (has, shrink, features): of each text whether it also counts with a mention, by how much the mention shrinks its own
+    features, and the features that the mention adds.
+    """
     row, col, val = x
+    has, shrink, (arow, acol, aval) = mentions
     mrow, mcol, mval = changes
     w = np.zeros(n_features + 1)
     m, v = np.zeros_like(w), np.zeros_like(w)
-    cost = np.where(y == 1, positive_weight, 1.0) / len(y)
+    cost = np.where(y == 1, positive_weight, 1.0) / (len(y) + has.sum())
+    slope = lambda raw: 1.0 / (1.0 + np.exp(-np.clip(raw, -40, 40))) - y
     for t in range(1, steps + 1):
-        raw = np.bincount(row, weights=w[col] * val, minlength=len(y)) + w[-1]
-        g = (1.0 / (1.0 + np.exp(-np.clip(raw, -40, 40))) - y) * cost
-        grad = np.append(np.bincount(col, weights=g[row] * val, minlength=n_features), g.sum())
-        grad[:-1] += l2 * w[:-1]
+        own = np.bincount(row, weights=w[col] * val, minlength=len(y))
+        g = slope(own + w[-1]) * cost
+        also = slope(own * shrink + np.bincount(arow, weights=w[acol] * aval, minlength=len(y)) + w[-1]) * cost * has
+        grad = np.append(np.bincount(col, weights=(g + also * shrink)[row] * val, minlength=n_features), g.sum() + also.sum())
+        grad[:-1] += np.bincount(acol, weights=also[arow] * aval, minlength=n_features) + l2 * w[:-1]
         if len(mval):
             grad[:-1] += 2.0 * fairness * np.bincount(mrow, weights=mval * w[mcol], minlength=n_features)
         m = 0.9 * m + 0.1 * grad
@@ -234,6 +251,14 @@ def optimise(x, y: np.ndarray, changes, n_features: int, *, l2: float, fairness:
     return w[:-1], float(w[-1])
 
 
+def mention_of(text: str | None, names: Sequence[str]) -> int:
+    """Which of ``names`` is added to a text; -1 for none, where there are no names or the text has this one."""
+    if not names:
+        return -1
+    k = zlib.crc32((text or "").encode("utf-8", "replace")) % len(names)
+    return -1 if names[k] in _WORD.findall((text or "").lower()) else k
+
+
 def fit(
     docs: DataFrame, labels: DataFrame, *, max_train: int = 40_000, n_features: int = 2048, l2: float = 1e-5, fairness: float = 1.0,
     positive_weight: float = 3.0, identity_terms: Sequence[Sequence[str]] = IDENTITY_TERMS,
@@ -244,12 +269,13 @@ def fit(
     broadcast and the sample are bounded; all sentences of the sample take part in the counterfactual term, of which
     sums over pairs of the ``n_features`` features come to the driver.
     """
-    known = labels.where("label is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("int").alias("label"))
+    known = labels.where("label is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("int").alias("label")).distinct()
     n = known.count()
     share = min(1.0, max_train / max(n, 1))
     known = known.where(F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    sample = materialize(texts.join(F.broadcast(known), "doc_id").select("doc_id", "text", "label"))
+    sample = texts.join(F.broadcast(known), "doc_id").withColumn("sha", F.sha2("text", 256)).dropDuplicates(["doc_id", "label", "sha"])
+    sample = materialize(sample.select("doc_id", "text", "label"))
     zero, one = _slot_counts(sample)
     sizes = dict(sample.groupBy("label").count().collect())
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
@@ -259,8 +285,10 @@ def fit(
     both = zero + one
     p = n1 / (n0 + n1)
     z = np.abs(one - p * both) / np.sqrt(both * p * (1 - p) + 1.0)
-    index = np.sort(np.argsort(-z, kind="stable")[:n_features])
-    index = index[both[index] > 0]
+    names = sorted(swaps_of(identity_terms))
+    of_name = [np.unique(np.concatenate([Features().of_word(w) for w in _WORD.findall(name)])) for name in names]
+    index = np.argsort(-z, kind="stable")[:n_features]
+    index = np.unique(np.concatenate([index[both[index] > 0], *of_name])).astype(np.int64)
 
     def project(batches):
         features = Features()
@@ -268,16 +296,22 @@ def fit(
             out = []
             for doc_id, text, label in zip(pdf["doc_id"], pdf["text"], pdf["label"]):
                 c, x = _within(index, *features.of_text(text))
-                out.append((doc_id, int(label), c.tolist(), x.tolist()))
-            yield pd.DataFrame(out, columns=["doc_id", "label", "cols", "vals"])
+                out.append((doc_id, int(label), len(set(_WORD.findall((text or "").lower()))), mention_of(text, names), c.tolist(), x.tolist()))
+            yield pd.DataFrame(out, columns=["doc_id", "label", "words", "name", "cols", "vals"])
 
-    learnt = sample.mapInPandas(project, "doc_id long, label int, cols array<int>, vals array<double>").collect()
+    learnt = sample.mapInPandas(project, "doc_id long, label int, words int, name int, cols array<int>, vals array<double>").collect()
     learnt.sort(key=lambda r: (r.doc_id, r.label, r.cols, r.vals))
     y = np.array([r.label for r in learnt], float)
     x = _csr([(np.array(r.cols, np.int64), np.array(r.vals)) for r in learnt])
-    changes, pairs, mentions = counterfactuals(sample, index, identity_terms)
-    w, bias = optimise(x, y, changes, len(index), l2=l2, fairness=fairness, positive_weight=positive_weight)
-    return Model(index, w, bias, pairs, mentions, len(np.unique(changes[0])))
+    has = np.array([float(r.name >= 0) for r in learnt])
+    after = np.array([scale(r.words + len(_WORD.findall(names[r.name])) if r.name >= 0 else r.words) for r in learnt])
+    alone = [_within(index, *Features().of_text(name)) for name in names]  # of a name by itself
+    added = _csr([(alone[r.name][0], alone[r.name][1] * scale(len(_WORD.findall(names[r.name]))) / s) if r.name >= 0 else (np.zeros(0, np.int64), np.zeros(0)) for r, s in zip(learnt, after)])
+    changes, pairs, mentions, single = counterfactuals(sample, index, identity_terms)
+    touched, changes = len(np.unique(changes[0])), tuple(np.concatenate(both) for both in zip(changes, single))
+    shrink = np.array([scale(r.words) for r in learnt]) / after
+    w, bias = optimise(x, y, (has, shrink, added), changes, len(index), l2=l2, fairness=fairness, positive_weight=positive_weight)
+    return Model(index, w, bias, pairs, mentions, touched)
 
 
 def score_column(spark: SparkSession, model: Model, text: Column) -> Column:

@@ -68,7 +68,7 @@ def plain_sums(rows, index, terms):
         v[slots] = x
         return v[index]
 
-    found, added = [], []
+    found, added, single = [], [], []
     for _, text, _ in rows:
         for sentence in tx.sentences(text):
             words = tx._WORD.findall(sentence)
@@ -77,8 +77,9 @@ def plain_sums(rows, index, terms):
                 found.append(dense(sentence) - dense(other))
             n = len(set(words))
             added += [(dense(a) - dense(b)) * tx.scale(1) / tx.scale(n + 1) for a, b in swaps.items()]
+            single += [dense(a) * tx.scale(1) / tx.scale(n + 1) for a in swaps]
     mean = lambda d: np.mean([np.outer(v, v) for v in d], axis=0) if d else 0
-    return mean(found) + mean(added), len(found), len(added)
+    return mean(found) + mean(added), len(found), len(added), mean(single)
 
 
 TERMS = (("muslim", "christian", "jewish"), ("wordman", "word7"), ("alone",))
@@ -88,13 +89,14 @@ def test_counterfactual_sums_and_fit_against_dense_arrays(spark):
     rows = [(i, t + (". The muslim word1 here" if i % 7 == 0 else ""), y) for i, t, y in corpus(90)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, label int").repartition(5)
     model = tx.fit(df, df, n_features=200, fairness=3.0, identity_terms=TERMS)
-    want, pairs, mentions = plain_sums(rows, model.index, TERMS)
+    want, pairs, mentions, single = plain_sums(rows, model.index, TERMS)
     assert (model.pairs, model.mentions) == (pairs, mentions) and pairs > 15 and model.touched == np.count_nonzero(np.abs(want).sum(1))
     sums, *_ = tx.counterfactuals(df, model.index, TERMS)
     got = np.zeros((len(model.index),) * 2)
     got[sums[0], sums[1]] = sums[2]
     assert np.abs(got - want).max() < 1e-6
     # the same loss, descended in dense arrays
+    want = want + single
     feats, x, y = tx.Features(), np.zeros((len(rows), len(model.index))), np.array([r[2] for r in rows], float)
     for k, (_, text, _) in enumerate(rows):
         slots, v = feats.of_text(text)
@@ -102,6 +104,17 @@ def test_counterfactual_sums_and_fit_against_dense_arrays(spark):
         for a, s, value in zip(at, slots, v):
             if a < len(model.index) and model.index[a] == s:
                 x[k, a] = value
+    names = sorted(tx.swaps_of(TERMS))
+    more = [(text, label) for _, text, label in rows for k in [tx.mention_of(text, names)] if k >= 0]
+    assert len(rows) * 0.5 < len(more) <= len(rows)
+    also = np.zeros((len(more), len(model.index)))
+    for k, (text, _) in enumerate(more):
+        slots, v = feats.of_text(f"{text} {names[tx.mention_of(text, names)]}")
+        at = np.searchsorted(model.index, slots)
+        for a, s, value in zip(at, slots, v):
+            if a < len(model.index) and model.index[a] == s:
+                also[k, a] = value
+    x, y = np.vstack([x, also]), np.append(y, [float(label) for _, label in more])
     cost = np.where(y == 1, 3.0, 1.0) / len(y)
 
     def loss(w, b):
@@ -119,6 +132,21 @@ def test_counterfactual_sums_and_fit_against_dense_arrays(spark):
     assert np.abs(x @ w + b - x @ model.weight - model.bias).max() < 0.05
 
 
+def test_the_penalty_acts_on_the_standard_tables(spark):
+    """No labelled text names a group there; mentions give their names weights, and the penalty changes them and the scores."""
+    d = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    learn = labels.where(~tx.held_out(labels.doc_id)).selectExpr("doc_id", "toxic as label")
+    free, held = tx.fit(docs, learn, fairness=0.0), tx.fit(docs, learn)
+    assert held.pairs == 0 and held.mentions > 10**6 and held.touched > 100
+    raw = lambda m, t: m.raw(*tx.Features().of_text(t))
+    gaps = [np.mean([abs(raw(m, f"the {a} family cooks dinner") - raw(m, f"the {b} family cooks dinner")) for a, b in tx.swaps_of(tx.IDENTITY_TERMS).items()]) for m in (free, held)]
+    assert gaps[0] > 0.02 and gaps[1] < 0.5 * gaps[0]
+    some = docs.where("doc_id < 2000")
+    a, b = ({r.doc_id: r.score for r in tx.score(some, m).collect()} for m in (free, held))
+    assert max(abs(a[i] - b[i]) for i in a) > 1e-6
+
+
 def test_late_ids_take_part_in_the_penalty(spark):
     """Only the documents with the largest ids name the group; the penalty still holds its weight."""
     rows = [(i, t, y) for i, t, y in ((i, t.replace(" muslim", ""), y) for i, t, y in corpus(500))]
