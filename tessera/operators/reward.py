@@ -35,9 +35,9 @@ def numbered(items: DataFrame, batch: str, order: str) -> DataFrame:
     return items.withColumn("item_index", at)
 
 
-def latest(memo: DataFrame) -> DataFrame:
+def latest(memo: DataFrame, *, keep_seq: bool = False) -> DataFrame:
     """One row per key: the last written wins."""
-    names = [c for c in memo.columns if c not in ("cache_key", "seq")]
+    names = [c for c in memo.columns if c != "cache_key" and (keep_seq or c != "seq")]
     last = memo.groupBy("cache_key").agg(F.max_by(F.struct(*names), "seq").alias("_m"))
     return last.select("cache_key", *[F.col(f"_m.{c}").alias(c) for c in names])
 

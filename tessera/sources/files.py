@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import json
 import re
+import time
 import uuid
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from contextlib import contextmanager
 from pathlib import Path
 from typing import Any
@@ -32,10 +33,59 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def age(spark: SparkSession, path: str) -> float:
+    """Seconds since a path was changed."""
+    fs, p = _fs(spark, path)
+    return time.time() - fs.getFileStatus(p).getModificationTime() / 1000
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Bring back a folder whose replacement ended between its two renames."""
+    old = f"{path.rstrip('/')}.old"
+    if not exists(spark, path) and exists(spark, old):
+        _rename(spark, old, path)
+
+
+def _rename(spark: SparkSession, a: str, b: str) -> None:
+    fs, p = _fs(spark, a)
+    if not fs.rename(p, _fs(spark, b)[1]):
+        raise OSError(f"{a} could not be renamed to {b}")
+
+
+def replace_folder(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
+    """Put what ``write(folder)`` writes in the place of ``path``.
+
+    The new rows are whole before the old ones are touched; the old ones are renamed, never deleted first, and a run that ends
+    between the two renames is set right by the next reader or writer (``recover``).
+    """
+    at = path.rstrip("/")
+    recover(spark, at)
+    new, old = f"{at}.new-{uuid.uuid4().hex}", f"{at}.old"
+    try:
+        write(new)
+    except BaseException:
+        remove(spark, new)
+        raise
+    if exists(spark, at):
+        remove(spark, old)
+        _rename(spark, at, old)
+    _rename(spark, new, at)
+    remove(spark, old)
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A journal with its declared schema: a missing path is empty, blank lines are skipped, a bad line raises."""
+    """A journal with its declared schema: a missing path is empty, blank lines are skipped, a bad line raises.
+
+    Of a journal with commits (``sources.commits``), the files of the newest one.
+    """
+    from tessera.sources import commits
+
+    recover(spark, path)
     if not exists(spark, path):
         return spark.createDataFrame([], schema)
+    listed = commits.committed(spark, path)
+    if listed is not None:
+        return commits.read_listed(spark, path.rstrip("/"), listed, schema)
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
@@ -46,18 +96,21 @@ def append_jsonl(rows: DataFrame, path: str) -> None:
 
 
 def write_jsonl(rows: DataFrame, path: str, *, sorted_keys: bool = False) -> None:
-    """Replace a JSON-lines dataset; the committer publishes it whole or not at all."""
+    """Replace a JSON-lines dataset whole or not at all: a write that fails leaves the old rows."""
     if sorted_keys:
         rows = rows.select(*sorted(rows.columns))
-    rows.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    replace_folder(rows.sparkSession, path, lambda at: rows.write.option("ignoreNullFields", "false").json(at))
 
 
 def read_memo(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return read_jsonl(spark, path, schema)
+    """All rows of a memo, of a store (``sources.memo``) or of plain JSON lines."""
+    from tessera.sources import memo
+
+    return memo.MemoStore(spark, path).read() if memo.is_store(spark, path) else read_jsonl(spark, path, schema)
 
 
 def append_memo(memo: DataFrame, rows: DataFrame, path: str) -> None:
-    """Append judgments with a write sequence that goes on from the memo's last."""
+    """Append judgments to plain JSON lines, with a write sequence that goes on from the memo's last."""
     last = memo.agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("m")).first().m
     append_jsonl(rows.withColumn("seq", F.lit(int(last) + 1).cast("long")), path)
 
@@ -78,7 +131,7 @@ def save_projection(table: DataFrame, path: str, expected: Mapping[str, int]) ->
 
     if wrong := wrong_sizes(table, expected):
         raise RuntimeError(f"split sizes differ from what is expected: {wrong}")
-    table.write.mode("overwrite").partitionBy("split").parquet(guard_path(path))
+    replace_folder(table.sparkSession, guard_path(path), lambda at: table.write.partitionBy("split").parquet(at))
     back = table.sparkSession.read.schema(table.schema).parquet(path)
     if wrong := wrong_sizes(back, expected):
         raise RuntimeError(f"the written projection has other sizes: {wrong}")
@@ -90,12 +143,14 @@ def save_split_files(table: DataFrame, folder: str, prefix: str) -> list[str]:
     paths = []
     for split in sorted(r[0] for r in table.select("split").distinct().collect()):
         paths.append(f"{folder}/{prefix}_{split}.parquet")
-        table.where(F.col("split") == split).drop("split").write.mode("overwrite").parquet(guard_path(paths[-1]))
+        part = table.where(F.col("split") == split).drop("split")
+        replace_folder(table.sparkSession, guard_path(paths[-1]), part.write.parquet)
     return paths
 
 
 def load_training(spark: SparkSession, path: str) -> DataFrame:
     """A training dataset with a ``split`` column; anything else is an error."""
+    recover(spark, path)
     table = spark.read.parquet(path)
     if "split" not in table.columns:
         raise TypeError(f"{path} has no splits")
@@ -117,14 +172,62 @@ def write_json(spark: SparkSession, path: str, payload: Mapping[str, Any]) -> No
     _put(spark, path, json.dumps(jsonable(payload), indent=2, sort_keys=True) + "\n")
 
 
-def _put(spark: SparkSession, path: str, text: str) -> None:
-    fs, p = _fs(spark, path)
-    tmp = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path + ".tmp")
-    out = fs.create(tmp, True)
+def _write_beside(spark: SparkSession, path: str, text: str) -> str:
+    tmp = f"{path}.{uuid.uuid4().hex}.tmp"
+    fs, p = _fs(spark, tmp)
+    out = fs.create(p, False)
     out.write(bytearray(text.encode()))
     out.close()
-    fs.delete(p, False)
-    fs.rename(tmp, p)
+    return tmp
+
+
+def _put(spark: SparkSession, path: str, text: str) -> None:
+    """Put a file in place of what is there, by one rename: a reader sees the old text or the new one."""
+    tmp = _write_beside(spark, path, text)
+    jvm, (fs, src), dst = spark.sparkContext._jvm, _fs(spark, tmp), _fs(spark, path)[1]
+    if fs.getScheme() == "file":
+        over = spark.sparkContext._gateway.new_array(jvm.java.nio.file.CopyOption, 1)
+        over[0] = jvm.java.nio.file.StandardCopyOption.ATOMIC_MOVE
+        jvm.java.nio.file.Files.move(_local(jvm, fs, src), _local(jvm, fs, dst), over)
+        _drop_checksums(jvm, fs, src, dst)
+        return
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(src.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    over = spark.sparkContext._gateway.new_array(rename, 1)
+    over[0] = rename.OVERWRITE
+    context.rename(fs.makeQualified(src), fs.makeQualified(dst), over)
+
+
+def put_new(spark: SparkSession, path: str, text: str) -> bool:
+    """Put a file in place, whole, only where none is; False where there is one."""
+    tmp = _write_beside(spark, path, text)
+    jvm, (fs, src), dst = spark.sparkContext._jvm, _fs(spark, tmp), _fs(spark, path)[1]
+    try:
+        if fs.getScheme() == "file":
+            # a rename would replace a file here; a link does not
+            jvm.java.nio.file.Files.createLink(_local(jvm, fs, dst), _local(jvm, fs, src))
+        else:
+            context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(src.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+            none = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+            context.rename(fs.makeQualified(src), fs.makeQualified(dst), none)
+    except Py4JJavaError as error:
+        if not fs.exists(dst):
+            raise OSError(f"{path} could not be written") from error
+        return False
+    finally:
+        fs.delete(src, False)
+    return True
+
+
+def _local(jvm, fs, p):
+    return jvm.java.io.File(fs.makeQualified(p).toUri().getPath()).toPath()
+
+
+def _drop_checksums(jvm, fs, *paths) -> None:
+    """Checksum files that a local file system keeps beside files, of files that were moved past it."""
+    for p in paths:
+        at = _local(jvm, fs, p)
+        jvm.java.nio.file.Files.deleteIfExists(at.resolveSibling(f".{p.getName()}.crc"))
 
 
 def read_json(spark: SparkSession, path: str) -> dict[str, Any]:
@@ -148,20 +251,13 @@ def children(spark: SparkSession, folder: str) -> list[str]:
 
 
 def compact_jsonl(spark: SparkSession, path: str, schema: T.StructType, most: int = 200, rows_a_file: int = 50_000) -> None:
-    """Rewrite a journal of more than ``most`` files as few; the old one stays until the new one is whole."""
-    old, new = f"{path.rstrip('/')}.old", f"{path.rstrip('/')}.new"
-    fs, p = _fs(spark, path)
-    if exists(spark, old) and not exists(spark, path):
-        fs.rename(_fs(spark, old)[1], p)  # an earlier run ended between the renames
+    """Rewrite a plain journal of more than ``most`` files as few; the old one stays until the new one is whole."""
+    recover(spark, path)
     if len(children(spark, path)) <= most:
         return
     rows = read_jsonl(spark, path, schema)
-    n = rows.count()
-    rows.repartition(max(1, -(-n // rows_a_file))).write.mode("overwrite").option("ignoreNullFields", "false").json(new)
-    remove(spark, old)
-    fs.rename(p, _fs(spark, old)[1])
-    fs.rename(_fs(spark, new)[1], p)
-    remove(spark, old)
+    few = rows.repartition(max(1, -(-rows.count() // rows_a_file)))
+    replace_folder(spark, path, lambda at: few.write.option("ignoreNullFields", "false").json(at))
 
 
 @contextmanager

@@ -115,23 +115,23 @@ def test_calls_of_a_batch_run_at_once(spark):
     assert time.time() - began < 5.0  # eight calls of a second each
 
 
-def test_a_run_that_died_between_its_journals_is_finished(spark, tmp_path, monkeypatch):
+def test_a_run_that_died_before_its_commit_is_finished(spark, tmp_path, monkeypatch):
+    from tessera.sources.commits import CommitLog
+
     a, r = f"{tmp_path}/a", f"{tmp_path}/r"
-    plain, written = files.append_jsonl, []
+    plain = CommitLog._stage
 
-    def dying(rows, path):
-        if path == r:
-            raise KeyboardInterrupt
-        written.append(path)
-        plain(rows, path)
+    def dying(self, table, rows):
+        if table == "rejected":
+            raise KeyboardInterrupt  # the accepted rows of the batch are written, the rejected ones are not
+        return plain(self, table, rows)
 
     go = lambda n: fill.fill_quotas(spark, sources(spark, 12), {"sft_train": n}, WEIGHTS, accepted_path=a, rejected_path=r, provider=scripted, concurrency=6)
-    monkeypatch.setattr(files, "append_jsonl", dying)
+    monkeypatch.setattr(CommitLog, "_stage", dying)
     with pytest.raises(KeyboardInterrupt):
         go(6)
-    monkeypatch.setattr(files, "append_jsonl", plain)
-    before = files.read_jsonl(spark, a, ACCEPTED).count()
-    assert before > 0 and files.read_jsonl(spark, r, REJECTED).count() == 0
+    monkeypatch.setattr(CommitLog, "_stage", plain)
+    assert files.read_jsonl(spark, a, ACCEPTED).count() == files.read_jsonl(spark, r, REJECTED).count() == 0  # both or none
     calls = []
     asked = fill._ask
     monkeypatch.setattr(fill, "_ask", lambda rows, one, n: (calls.append([x.paper_id for x in rows.collect()]), asked(rows, one, n))[1])

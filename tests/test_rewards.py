@@ -103,3 +103,56 @@ def test_cache_key_is_that_of_plain_json(spark):
     for item, key in zip(items, got):
         payload = {"prompt_version": cp.JUDGE_PROMPT_VERSION, "model": "m", "item": item}
         assert key == hashlib.sha256(json.dumps(payload, sort_keys=True, ensure_ascii=False).encode()).hexdigest()
+
+
+def store_rows(spark, a, b, value):
+    return spark.range(a, b).select(F.sha2(F.col("id").cast("string"), 256).alias("cache_key"), (F.col("id") + value).alias("v"))
+
+
+def test_memo_store_reads_the_files_that_may_hold_a_key(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    from tessera.sources.memo import MemoStore, is_store
+
+    schema = T.StructType([T.StructField("cache_key", T.StringType()), T.StructField("v", T.LongType()), T.StructField("seq", T.LongType())])
+    store = MemoStore(spark, f"{tmp_path}/m", schema, bucket_rows=20_000, most_files=8)
+    few = spark.createDataFrame([("none",), (None,)], "cache_key string")
+    assert not is_store(spark, f"{tmp_path}/m") and store.lookup(few).count() == 0
+    store.append(store_rows(spark, 0, 1_000_000, 0))
+    store.append(store_rows(spark, 0, 1000, 10**9))  # later rows of some keys
+    assert is_store(spark, f"{tmp_path}/m")
+    whole = len(store.log.manifest()["tables"]["rows"])
+    assert whole > 40
+    some = store_rows(spark, 500, 503, 0).unionByName(store_rows(spark, 900_000, 900_001, 0)).unionByName(store_rows(spark, 2 * 10**6, 2 * 10**6 + 2, 0)).select("cache_key")
+    named = store.files_for(some)
+    assert 2 <= len(named) <= 8  # of more than forty
+    found = store.lookup(some)
+    read = found.inputFiles()
+    assert {f.rsplit("/", 1)[1] for f in read} == {f.rsplit("/", 1)[1] for f in named}
+    assert sorted(r.v for r in found.collect()) == [900_000, 10**9 + 500, 10**9 + 501, 10**9 + 502]
+    assert store.lookup(store_rows(spark, 3 * 10**6, 3 * 10**6 + 3, 0)).count() == 0
+    # compaction keeps the last row of every key
+    assert store.compact() and store.read().count() == 1_000_000
+    assert sorted(r.v for r in store.lookup(some).collect()) == [900_000, 10**9 + 500, 10**9 + 501, 10**9 + 502]
+
+
+def test_memo_store_over_time(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    from tessera.sources.memo import MemoStore
+
+    schema = T.StructType([T.StructField("cache_key", T.StringType()), T.StructField("v", T.LongType()), T.StructField("seq", T.LongType())])
+    store, want = MemoStore(spark, f"{tmp_path}/m", schema, most_files=3), {}
+    old = spark.createDataFrame([("a", 1, 0), ("a", 2, 4), ("z", 0, 1)], schema)
+    store.take_in(old)
+    want = {"a": 2, "z": 0}
+    rnd = random.Random(1)
+    for k in range(7):
+        rows = [(rnd.choice("abcdefgh"), 100 * k + j) for j in range(1)]
+        store.append(spark.createDataFrame(rows, "cache_key string, v long").coalesce(1))
+        want.update(rows)
+        assert len(store.log.manifest()["tables"]["rows"]) <= 4
+    keys = spark.createDataFrame([(c,) for c in "abcdefghijz"], "cache_key string")
+    assert {r.cache_key: r.v for r in store.lookup(keys).collect()} == want
+    with pytest.raises(RuntimeError):
+        store.take_in(old)
