@@ -14,9 +14,8 @@ from tessera.schemas import DIMENSIONS, RUBRIC
 JUDGE_PROMPT_VERSION = "scientific-design-judge-v2"
 MAX_SCORE = 4
 
-_BODY = f"{SPACE}*".join(f"<{d}>(.*?)</{d}>" for d in DIMENSIONS)
-_WHOLE = rf"(?isuU)\A{SPACE}*{_BODY}{SPACE}*\z"
-_NESTED = f"(?iu)</?(?:{'|'.join(DIMENSIONS)})>"
+_TAG = f"(?iu)</?(?:{'|'.join(DIMENSIONS)})>"
+_IN_ORDER = rf"(?iu)\A{''.join(f'<{d}></{d}>' for d in DIMENSIONS)}\z"
 
 
 def completion_text(messages: Column) -> Column:
@@ -28,18 +27,26 @@ def completion_text(messages: Column) -> Column:
 def parse_completion(text: Column) -> Column:
     """Struct of the four stripped sections, or null where the completion is malformed.
 
-    The sections come in order with nothing else around them, none is blank, none holds a section tag.  One match turns the
-    completion into its sections parted by a tag, which no section may hold; a text that does not match stays as it is.
+    The sections come in order with nothing else around them, none is blank, none holds a section tag.  So a completion is cut at its section
+    tags, in one pass: there must be eight, in order, with blanks before, between and after the sections.  No pattern looks back,
+    so the time is that of reading the text, however often its sections repeat.
     """
-    tag = f"<{DIMENSIONS[0]}>"
-    whole = F.regexp_replace(text, _WHOLE, tag.join(f"${i + 1}" for i in range(len(DIMENSIONS))))
-
-    def sections(state: Column) -> Column:
-        parts = F.transform(F.split(state["whole"], _NESTED), strip)
-        fine = (state["whole"] != state["text"]) & (F.size(parts) == len(DIMENSIONS)) & ~F.exists(parts, lambda p: p == "")
-        return F.when(fine, F.struct(*[parts[i].alias(d) for i, d in enumerate(DIMENSIONS)]))
-
-    return once(F.struct(whole.alias("whole"), text.alias("text")), sections)
+    n = len(DIMENSIONS)
+
+    def sections(parts: Column) -> Column:
+        inside, around = [parts[2 * i + 1] for i in range(n)], [parts[2 * i] for i in range(n + 1)]
+        filled = F.lit(True)
+        for part in inside:
+            filled = filled & (part != "")
+        for part in around:
+            filled = filled & (part == "")
+        return F.when(filled, F.struct(*[p.alias(d) for p, d in zip(inside, DIMENSIONS)]))
+
+    def cut(state: Column) -> Column:
+        tags = F.array_join(F.regexp_extract_all(state["text"], F.lit(_TAG), F.lit(0)), "")
+        return F.when((F.size(state["parts"]) == 2 * n + 1) & F.rlike(tags, F.lit(_IN_ORDER)), once(F.transform(state["parts"], strip), sections))
+
+    return once(F.struct(F.split(text, _TAG, -1).alias("parts"), text.alias("text")), cut)
 
 
 def format_reward(text: Column) -> Column:

@@ -14,8 +14,13 @@ ALLOWED_LICENSES = (
 )
 
 
+#: The same characters, one by one.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(?U)\A{SPACE}+|{SPACE}+\z", "")
+    """Without white space at either end; reads the ends only."""
+    return F.btrim(text, F.lit(SPACES))
 
 
 def normalize_ws(text: Column) -> Column:
@@ -60,13 +65,18 @@ def contains_any(text: Column, phrases: tuple[str, ...]) -> Column:
 
 def json_text(text: Column) -> Column:
     """A text as a JSON string, ``null`` for null; code points stay, control characters are escaped in lower-case hex."""
-    plain = F.to_json(F.struct(text.alias("v")))
-    quoted = F.substr(plain, F.lit(6), F.length(plain) - 6)
-    low = quoted
-    for code in (0x0B, 0x0E, 0x0F, *range(0x1A, 0x20)):
-        low = F.regexp_replace(low, rf"(?<!\\)((?:\\\\)*)\\u{code:04X}", rf"$1\\u{code:04x}")
-    fixed = F.when(F.rlike(text, F.lit(r"[\x0B\x0E\x0F\x1A-\x1F]")), low).otherwise(quoted)
-    return F.when(text.isNull(), F.lit("null")).otherwise(fixed)
+    inside = lambda t: once(F.to_json(F.struct(t.alias("v"))), lambda j: F.substr(j, F.lit(7), F.length(j) - 8))
+    # Spark writes these in upper-case hex, so texts that have any are cut at them
+    odd = r"[\x0B\x0E\x0F\x1A-\x1F]"
+    mark = lambda c: F.concat(F.lit("\\u00"), F.lower(F.lpad(F.hex(F.ascii(c)), 2, "0")))
+
+    def joined(s: Column) -> Column:
+        part = lambda p, i: F.concat(F.when(i > 0, mark(s["marks"][i - 1])).otherwise(""), inside(p))
+        return F.array_join(F.transform(s["parts"], part), "")
+
+    cut = F.struct(F.split(text, odd, -1).alias("parts"), F.regexp_extract_all(text, F.lit(odd), F.lit(0)).alias("marks"))
+    body = F.when(F.rlike(text, F.lit(odd)), once(cut, joined)).otherwise(inside(text))
+    return F.when(text.isNull(), F.lit("null")).otherwise(F.concat(F.lit('"'), body, F.lit('"')))
 
 
 def json_list(items: Column) -> Column:

@@ -8,7 +8,7 @@ from collections.abc import Callable, Mapping
 from importlib import metadata
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,6 +16,7 @@ from tessera import config as cf
 from tessera import providers
 from tessera.functions.drafts import PROMPT_VERSION
 from tessera.operators import audit, journal, project
+from tessera.operators.numbering import numbered
 from tessera.schemas import ACCEPTED, EXCERPT, LONG, MEMO, REJECTED, RUBRIC
 from tessera.sources import corpus, files
 from tessera.streaming.fill import Provider, fill_quotas
@@ -51,14 +52,14 @@ def acquire(spark: SparkSession, raw: DataFrame, config: Mapping[str, dict], ide
             raw, identity=identity, dataset=s["dataset_id"], split=s["split"], max_papers=s["candidate_limit"], max_scanned=s["max_records_scanned"],
             min_chars=s["min_chars"], max_chars=s["max_chars"], seed=s["seed"], exclude=excluded,
         )
-        numbered = pool.withColumn("stream_idx", F.row_number().over(Window.orderBy("order_key", identity)).cast("long"))  # at most candidate_limit rows
-        files.write_jsonl(numbered.select(*schema.names), path)
+        placed = numbered(pool, ["order_key", identity], name="stream_idx")
+        files.write_jsonl(placed.select(*schema.names), path)
         cached = files.read_jsonl(spark, path, schema)
     return cached
 
 
-def run_generation(spark: SparkSession, stage: str, config: Mapping[str, dict], raw: DataFrame, identity: str, provider: Provider) -> dict[str, Any]:
-    """Fill the quotas of a stage and write its projection; returns the run's summary."""
+def run_generation(spark: SparkSession, stage: str, config: Mapping[str, dict], raw: DataFrame, identity: str, provider: Provider, **spread) -> dict[str, Any]:
+    """Fill the quotas of a stage and write its projection; returns the run's summary.  ``spread`` goes to ``fill_quotas``."""
     out, targets = config["output"], cf.split_targets(stage, config)
     prepare(spark, stage, config)
     excluded = None
@@ -75,7 +76,7 @@ def run_generation(spark: SparkSession, stage: str, config: Mapping[str, dict],
         raise RuntimeError("the pool shares papers with the SFT set")
     chosen = fill_quotas(
         spark, pool, targets, config["task_family_weights"], accepted_path=out["accepted_path"], rejected_path=out["rejected_path"], provider=provider,
-        concurrency=config["generation"]["concurrency"], max_attempts=config["generation"]["max_attempts"],
+        concurrency=config["generation"]["concurrency"], max_attempts=config["generation"]["max_attempts"], **spread,
     )
     if excluded is not None and not journal.overlap(chosen, excluded).isEmpty():
         raise RuntimeError("accepted tasks share papers with the SFT set")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.drafts import TASK_FAMILIES
+from tessera.operators.numbering import numbered
 from tessera.schemas import QUOTA
 
 CELL = ["split", "task_family"]
@@ -108,8 +109,9 @@ def assign(sources: DataFrame, slots: DataFrame, order: str = "stream_idx") -> D
     return numbered.join(F.broadcast(slots), "slot")
 
 
-def batches(sources: DataFrame, concurrency: int, limit: int, order: str = "stream_idx") -> DataFrame:
-    """Number the next ``limit`` sources into batches of ``concurrency``: (paper_id, batch, place)."""
-    head = sources.orderBy(order).limit(limit)
-    at = F.row_number().over(Window.orderBy(order)) - 1
-    return head.select("paper_id", F.floor(at / concurrency).cast("long").alias("batch"), (at % concurrency).cast("long").alias("place"))
+def batches(sources: DataFrame, concurrency: int, limit: int | None = None, order: str = "stream_idx") -> DataFrame:
+    """Number the next ``limit`` sources, all of them unless it is given, into batches of ``concurrency``: (paper_id, batch, place)."""
+    head = sources.select("paper_id", order) if limit is None else sources.select("paper_id", order).orderBy(order).limit(limit)
+    at = F.col("_at")
+    placed = numbered(head, [order, "paper_id"], name="_at", first=0)
+    return placed.select("paper_id", F.expr(f"_at div {int(concurrency)}").alias("batch"), (at % int(concurrency)).alias("place"))

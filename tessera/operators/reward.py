@@ -7,7 +7,7 @@ anti-joined, only the misses are judged and written, and scores come back by a j
 
 from __future__ import annotations
 
-import uuid
+import json
 from collections.abc import Callable, Sequence
 
 import pandas as pd
@@ -15,10 +15,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import completions
-from tessera.schemas import DIMENSIONS, MEMO, RUBRIC
+from tessera.schemas import CALL_META, DIMENSIONS, MEMO, RUBRIC
 from tessera.sources import files
 
-#: items (dicts of the judge item, with item_index) -> judgments (dicts with item_index and the dimensions)
+#: items (dicts of the judge item, with item_index) -> judgments (dicts with item_index and the dimensions).  A judge with a method
+#: ``ask`` (items) -> (judgments, metadata of the call) also says what the call was.
 Judge = Callable[[list[dict]], list[dict]]
 
 
@@ -71,6 +72,8 @@ def judge_misses(requests: DataFrame, judge: Judge, version: str = completions.J
     """
     dims = ", ".join(f"{d} int" for d in DIMENSIONS)
     schema = f"cache_key string, prompt_version string, judgment struct<{dims.replace(' int', ':int')}, brief_reason:string>"
+    told = hasattr(judge, "ask")
+    schema += ", response string" if told else ""
     names = ["task", *RUBRIC, "student_response"]
 
     def ask(batches):
@@ -81,7 +84,7 @@ def judge_misses(requests: DataFrame, judge: Judge, version: str = completions.J
                 for i, (_, row) in enumerate(part.iterrows()):
                     value = row["item"]
                     items.append({"item_index": i, **{n: (list(value[n]) if n in RUBRIC and value[n] is not None else value[n]) for n in names}})
-                answers = judge(items)
+                answers, meta = judge.ask(items) if told else (judge(items), None)
                 by = {a["item_index"]: a for a in answers}
                 if len(answers) != len(items) or set(by) != set(range(len(items))):
                     raise RuntimeError(f"the judge must answer each of {len(items)} items once; it answered {sorted(a['item_index'] for a in answers)}")
@@ -90,19 +93,23 @@ def judge_misses(requests: DataFrame, judge: Judge, version: str = completions.J
                         "cache_key": part["cache_key"].to_numpy(),
                         "prompt_version": version,
                         "judgment": [{**{d: int(by[i][d]) for d in DIMENSIONS}, "brief_reason": by[i].get("brief_reason")} for i in range(len(items))],
+                        **({"response": json.dumps(meta)} if told else {}),
                     }
                 )
 
-    return requests.select("cache_key", "item").mapInPandas(ask, schema)
+    judged = requests.select("cache_key", "item").mapInPandas(ask, schema)
+    return judged.withColumn("response", F.from_json("response", CALL_META)) if told else judged
 
 
 def reward_function(
-    spark: SparkSession, judge: Judge, memo_path: str, model: str, *, base: float = 0.10, weight: float = 0.90, batch_rows: int = 64
+    spark: SparkSession, judge: Judge, memo_path: str, model: str, *, base: float = 0.10, weight: float = 0.90, batch_rows: int = 64, store: bool | None = None
 ) -> Callable[..., list[float]]:
     """A callable for trainers: (completions, task=..., rubric columns as keywords) -> rewards, in order.
 
     Completions are texts or chat messages (the last one's content counts).  Malformed ones cost no call; judgments that the memo
-    at ``memo_path`` has are not asked for again, new ones are appended to it.  Other keywords are ignored.
+    at ``memo_path`` has are not asked for again, new ones are appended to it.  Other keywords are ignored.  ``store`` keeps the memo as
+    bucketed files with filters (``sources.memo``), so that a batch reads the files that may know its items; plain JSON lines that lie
+    there go on in a store below it.  By default a store stays a store and lines stay lines.
     """
     completions.check_coefficients(base, weight)
     schema = "completion_id long, task string, " + ", ".join(f"{r} array<string>" for r in RUBRIC) + ", completion string"
@@ -117,22 +124,51 @@ def reward_function(
             return []
         rows = [(i, task[i], *[columns[r][i] for r in RUBRIC], text(c)) for i, c in enumerate(completions)]
         frame = spark.createDataFrame(rows, schema)
-        items = judge_items(frame, model)
-        memo = files.read_memo(spark, memo_path, MEMO)
+        items = files.written(judge_items(frame, model), "items")
+        kept = memo_of(spark, memo_path, store)
+        memo = files.written(kept.lookup(items.select("cache_key")), "memo")
         asked = misses(items, memo)
         if not asked.isEmpty():
-            path = f"{files.shared_folder(spark)}/judged/{uuid.uuid4().hex}"
-            judge_misses(asked, judge, batch_rows=batch_rows).write.parquet(path)  # paid for: written before it is read again
-            judged = spark.read.parquet(path).join(asked.select("cache_key", F.col("item").alias("request")), "cache_key")
-            files.append_memo(memo, judged.select("cache_key", "prompt_version", "request", "judgment"), memo_path)
-            files.remove(spark, path)
-            memo = files.read_memo(spark, memo_path, MEMO)
+            judged = files.written(judge_misses(asked, judge, batch_rows=batch_rows), "judged")  # paid for: written before it is read again
+            told = [c for c in ("response",) if c in judged.columns]
+            judged = judged.join(asked.select("cache_key", F.col("item").alias("request")), "cache_key")
+            kept.append(judged.select("cache_key", "prompt_version", "request", "judgment", *told))
+            memo = kept.lookup(items.select("cache_key"))
         got = {r.completion_id: r.reward for r in rewards(frame, items, memo, base, weight).collect()}
         return [got[i] for i in range(len(rows))]
 
     return score
 
 
+class LineMemo:
+    """A memo of plain JSON lines; a lookup reads all of it."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def lookup(self, keys: DataFrame) -> DataFrame:
+        rows = files.read_jsonl(self.spark, self.path, MEMO)
+        return rows.join(keys.select("cache_key").distinct(), "cache_key", "left_semi")
+
+    def append(self, rows: DataFrame) -> None:
+        files.append_memo(files.read_jsonl(self.spark, self.path, MEMO), rows, self.path)
+
+
+def memo_of(spark: SparkSession, path: str, store: bool | None = None):
+    """The memo at ``path``: a store where there is one or where one is wanted, else plain lines.  Lines that a new store finds are taken in."""
+    from tessera.sources.memo import MemoStore, is_store
+
+    at = f"{path.rstrip('/')}.store"
+    if is_store(spark, path):
+        return MemoStore(spark, path)
+    if not store and not (store is None and is_store(spark, at)):
+        return LineMemo(spark, path)
+    new, kept = not is_store(spark, at), MemoStore(spark, at)
+    if new and files.exists(spark, path):
+        kept.take_in(files.read_jsonl(spark, path, MEMO))
+    return kept
+
+
 def rewards(rows: DataFrame, items: DataFrame, memo: DataFrame, base: float = 0.10, weight: float = 0.90) -> DataFrame:
     """(completion_id, format, semantic, reward) of every completion; malformed ones get 0.
 

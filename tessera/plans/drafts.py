@@ -181,13 +181,11 @@ def split_sizes(spark, sf_dir):
 @query(f"with {cte('canonical')}, p as (select {_PUBLIC}, task_id, task from canonical where split like 'sft%') select split, count(*) as n, min(task_id) as first, cast(sum(length(task)) as bigint) as chars from p group by 1")
 def projection_roundtrip(spark, sf_dir):
     """Written to Parquet per split, read back, counted."""
-    import uuid
-
     from tessera.sources import files
 
     rows = project.sft_rows(adapted(spark, sf_dir, "canonical")).select("split", "task_id", F.expr("substr(prompt[1].content, 33)").alias("said"))
     expected = {r.split: r.n for r in project.split_sizes(rows).collect()}
-    back = files.save_projection(rows, f"{files.shared_folder(spark)}/projection/{uuid.uuid4().hex}", expected)
+    back = files.save_projection(rows, files.scratch(spark, "projection"), expected)
     tail = len("\n\n" + prompts.RESPONSE_INSTRUCTIONS)
     return back.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.min("task_id").alias("first"), F.sum(F.length("said") - tail).cast("long").alias("chars"))
 

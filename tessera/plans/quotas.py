@@ -24,6 +24,7 @@ quota as (
 #: shares of a split in the whole table that its target asks for: some cells stay open, others are full
 SHARES = {"sft_train": (6, 10), "sft_validation": (15, 100), "grpo_train": (1, 10)}
 _WIDE = QUOTA.replace(f"(values {_T}) t(split, target)", "(" + " union all ".join(f"select '{k}' as split, count(*) * {a} // {b} as target from documents" for k, (a, b) in SHARES.items()) + ") t")
+QUOTA_OF_TABLE = _WIDE.strip()
 STATUS = f"""{cte('canonical')}, {QUOTA},
 seen as (select split, task_family, count(*) as n from canonical group by 1, 2),
 state as (select q.split, q.task_family, q.target, coalesce(n, 0) as observed from quota q left join seen using (split, task_family))"""
@@ -33,9 +34,16 @@ def quota(spark):
     return quotas.quota_table(spark, TARGETS, WEIGHTS)
 
 
-@query(f"with {QUOTA} select split, task_family, cast(target as bigint) as target from quota")
+def wide_quota(spark, rows):
+    """Targets in proportion to the table, so that the whole of it leaves cells open."""
+    n = rows.count()
+    return quotas.quota_table(spark, {k: n * a // b for k, (a, b) in SHARES.items()}, WEIGHTS)
+
+
+@query(f"with {QUOTA_OF_TABLE} select split, task_family, cast(target as bigint) as target from quota")
 def quota_table(spark, sf_dir):
-    return quota(spark)
+    """Targets are shares of the table's rows."""
+    return wide_quota(spark, spark_table(spark, sf_dir, "documents"))
 
 
 @query(f"with {cte('canonical')} select split, task_family, count(*) as n from canonical group by 1, 2")
@@ -51,12 +59,6 @@ def quota_status(spark, sf_dir):
 _OPEN = STATUS.replace(QUOTA, _WIDE)
 
 
-def wide_quota(spark, rows):
-    """Targets in proportion to the table, so that the whole of it leaves cells open."""
-    n = rows.count()
-    return quotas.quota_table(spark, {k: n * a // b for k, (a, b) in SHARES.items()}, WEIGHTS)
-
-
 @query(f"with {_OPEN} select split, task_family, cast(target - observed as bigint) as deficit from state where observed < target")
 def quota_deficits(spark, sf_dir):
     rows = adapted(spark, sf_dir, "canonical")
@@ -90,11 +92,6 @@ def numbered(spark, sf_dir):
     return rows.withColumn("stream_idx", F.row_number().over(Window.orderBy("order_key", "doc_id")).cast("long") - 1)
 
 
-@query(f"with {_NUMBERED} select paper_id, cast(stream_idx // 8 as bigint) as batch, cast(stream_idx % 8 as bigint) as place from numbered where stream_idx < 30")
-def batch_plan(spark, sf_dir):
-    return quotas.batches(numbered(spark, sf_dir), 8, 30)
-
-
 @query(
     f"with {_NUMBERED}, {_OPEN}, units as (select split, task_family, target, unnest(generate_series(least(observed, target), target - 1)) as ordinal from state where observed < target),"
     " slots as (select row_number() over (order by ordinal / target::double, split, task_family, ordinal) as slot, split, task_family from units)"
@@ -144,6 +141,42 @@ def resume_remaining(spark, sf_dir):
     return journal.remaining(rows, a, r).select("paper_id")
 
 
+@query(
+    f"with {_JOURNALS}, left_over as (select paper_id, row_number() over (order by doc_id) - 1 as seat from canonical where paper_id not in (select paper_id from accepted union all select paper_id from rejected))"
+    " select paper_id, seat // 8 as batch, seat % 8 as place from left_over"
+)
+def batch_plan(spark, sf_dir):
+    """All sources that the journals have not tried, in batches of eight."""
+    rows, a, r = journals(spark, sf_dir)
+    return quotas.batches(journal.remaining(rows, a, r), 8, order="doc_id")
+
+
+@query(
+    f"with {_JOURNALS} select paper_id, 'accepted' as journal, case when doc_id % 2 = 0 then 1 else 2 end as since from canonical where doc_id % 3 = 0"
+    " union all select paper_id, 'rejected', case when doc_id % 2 = 0 then 1 else 2 end from canonical where doc_id % 3 = 1 and doc_id % 7 <> 0"
+)
+def journal_commits(spark, sf_dir):
+    """Two batches of both journals, a commit each, then one that replaces the rejected rows; every row with the batch that brought it."""
+    from pyspark.sql import types as T
+
+    from tessera.sources import files
+    from tessera.sources.commits import CommitLog
+
+    schema, folder = T.StructType([T.StructField("paper_id", T.StringType()), T.StructField("doc_id", T.LongType())]), files.scratch(spark, "journals")
+    log = CommitLog(spark, f"{folder}/log", {n: (f"{folder}/{n}", schema) for n in ("accepted", "rejected")})
+    rows, versions = adapted(spark, sf_dir, "canonical").select("paper_id", "doc_id"), []
+    for k in (0, 1):
+        part = rows.where(f"doc_id % 2 = {k}")
+        versions.append(log.commit({"accepted": part.where("doc_id % 3 = 0"), "rejected": part.where("doc_id % 3 = 1")}))
+    log.commit(replace={"rejected": log.read("rejected").where("doc_id % 7 <> 0")}, expected=versions[1])
+    out = []
+    for name in ("accepted", "rejected"):
+        first = log.read(name, versions[0]).select("paper_id", F.lit(1).alias("since"))
+        now = log.read(name).select("paper_id").join(first, "paper_id", "left")
+        out.append(now.select("paper_id", F.lit(name).alias("journal"), F.coalesce("since", F.lit(2)).alias("since")))
+    return out[0].unionByName(out[1])
+
+
 @query(
     f"with {_JOURNALS}, done as (select paper_id from accepted union select paper_id from rejected) select paper_id from canonical where paper_id not in (select paper_id from done)"
     " order by doc_id limit greatest((select count(*) from canonical) * 4 // 5 - (select count(*) from done), 0)"
@@ -219,13 +252,40 @@ _SMALL_QUOTA = QUOTA.replace(_T, ", ".join(f"('{k}', {v})" for k, v in SMALL.ite
 )
 def quota_fill(spark, sf_dir):
     """One attempt per batch, so the k-th accepted source takes the k-th slot."""
-    import uuid
-
-    from tessera.sources.files import shared_folder
+    from tessera.sources.files import scratch
     from tessera.streaming.fill import fill_quotas
 
-    folder = f"{shared_folder(spark)}/quota_fill/{uuid.uuid4().hex}"
+    folder = scratch(spark, "quota_fill")
     done = fill_quotas(
         spark, numbered(spark, sf_dir), SMALL, WEIGHTS, accepted_path=f"{folder}/accepted", rejected_path=f"{folder}/rejected", provider=scripted, concurrency=1
     )
     return done.select("paper_id", "split", "task_family", "task_id")
+
+
+@query(
+    f"with d as (select doc_id, cast(doc_id as varchar) as paper_id, sha256(text) as source_sha256, row_number() over (order by doc_id) as k from documents), n as (select count(*) * 4 // 9 as target from d),"
+    f" tried as (select paper_id, substr(sha256('{drafts.PROMPT_VERSION}:sft_train:{drafts.TASK_FAMILIES[0]}:' || paper_id || ':' || source_sha256), 1, 20) as task_id from d, n where k <= 2 * target and doc_id % 3 <> 0 and doc_id % 9 <> 5)"
+    " select paper_id, task_id from (select *, row_number() over (order by task_id, paper_id) as r from tried) t, n where r <= target"
+)
+def quota_fill_tasks(spark, sf_dir):
+    """The whole table as the pool, calls on many tasks, more attempts than slots: nothing is known of the acceptance rate, so two a slot.
+
+    What is accepted beyond the target stays in the journal; the selection is the exact trim.
+    """
+    from tessera.sources.files import scratch
+    from tessera.streaming.fill import fill_quotas
+
+    folder, tasks = scratch(spark, "quota_fill_tasks"), 16
+    docs = spark_table(spark, sf_dir, "documents")
+    target = docs.count() * 4 // 9
+    fixed = {"title": "", "source_dataset": "corpus", "source_split": "train", "source_url": "", "source_license": "CC0", "source_license_normalized": "CC0"}
+    sources = docs.select(
+        F.col("doc_id").cast("string").alias("paper_id"), *[F.lit(v).alias(k) for k, v in fixed.items()], F.col("text").alias("source_text"),
+        F.sha2("text", 256).alias("source_sha256"), F.col("doc_id").alias("stream_idx"),
+    )
+    weights = dict.fromkeys(drafts.TASK_FAMILIES, 0.0) | {drafts.TASK_FAMILIES[0]: 1.0}
+    done = fill_quotas(
+        spark, sources, {"sft_train": target}, weights, accepted_path=f"{folder}/accepted", rejected_path=f"{folder}/rejected", provider=scripted,
+        concurrency=-(-2 * target // tasks), tasks=tasks, overplan=True,
+    )
+    return done.select("paper_id", "task_id")

@@ -10,6 +10,7 @@ from tessera.operators import reward as rw
 from tessera.plans.adapters import adapted, cte, spark_table
 from tessera.plans.registry import query
 from tessera.schemas import DIMENSIONS, RUBRIC
+from tessera.sources.files import written
 
 MODEL = "judge"
 _BODY = r"\s*".join(f"<{d}>(.*?)</{d}>" for d in DIMENSIONS)
@@ -37,23 +38,17 @@ def items(spark, sf_dir):
     return rw.judge_items(rows(spark, sf_dir), MODEL)
 
 
-def memo(spark, sf_dir):
+def memo(spark, sf_dir, asked):
     """Two thirds of the items with their judgments, each written twice: once stale, then right."""
-    judged = items(spark, sf_dir).join(adapted(spark, sf_dir, "judgment"), F.col("completion_id") == F.col("doc_id")).where("doc_id % 3 <> 0")
+    judged = asked.join(adapted(spark, sf_dir, "judgment"), F.col("completion_id") == F.col("doc_id")).where("doc_id % 3 <> 0")
     right, stale = F.struct(*DIMENSIONS), F.struct(*[F.lit(0).alias(d) for d in DIMENSIONS])
     both = F.array(F.struct(stale.alias("judgment"), F.col("doc_id").alias("seq")), F.struct(right.alias("judgment"), (F.col("doc_id") + 10**9).alias("seq")))
     return judged.select("cache_key", F.explode(both).alias("m")).select("cache_key", "m.judgment", "m.seq")
 
 
-def written(spark, table):
-    """A table as it lies in storage between two steps."""
-    import uuid
-
-    from tessera.sources.files import shared_folder
-
-    path = f"{shared_folder(spark)}/written/{uuid.uuid4().hex}"
-    table.write.parquet(path)
-    return spark.read.schema(table.schema).parquet(path)
+def keyed(spark, sf_dir):
+    """(completion_id, cache_key) of all items, built once and written."""
+    return written(items(spark, sf_dir).select("completion_id", "cache_key"), "items")
 
 
 @query("with m as (select conv_id, list({'role': role, 'content': text} order by turn) as messages from conversations group by 1) select conv_id, messages[-1].content as text from m")
@@ -103,7 +98,30 @@ def memo_last_wins(spark, sf_dir):
 
 @query(f"with {_KEYED}, {_MEMO} select distinct cache_key from keyed where cache_key not in (select cache_key from memo)")
 def memo_misses(spark, sf_dir):
-    return rw.misses(items(spark, sf_dir), memo(spark, sf_dir)).select("cache_key")
+    asked = keyed(spark, sf_dir)
+    return rw.misses(asked, memo(spark, sf_dir, asked)).select("cache_key")
+
+
+@query(
+    "with m as (select doc_id % 700 as k, arg_max(n_chars, (doc_id % 2) * 1000000000 + doc_id) as n_chars from documents group by 1) select distinct l.doc_id % 1400 as k, n_chars from labels l join m on m.k = l.doc_id % 1400"
+)
+def memo_store(spark, sf_dir):
+    """A memo of the whole table in two commits, of which the later one counts; the labels' rows ask for keys, some of which it has not."""
+    from pyspark.sql import types as T
+
+    from tessera.sources.files import scratch
+    from tessera.sources.memo import MemoStore
+
+    schema = T.StructType([T.StructField("cache_key", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("seq", T.LongType())])
+    store = MemoStore(spark, scratch(spark, "memo"), schema, bucket_rows=200)
+    key = lambda n: F.sha2((F.col("doc_id") % n).cast("string"), 256).alias("cache_key")
+    docs = spark_table(spark, sf_dir, "documents")
+    for k in (0, 1):
+        # a commit has one row a key: the table's last one
+        part = docs.where(f"doc_id % 2 = {k}").groupBy(key(700)).agg(F.max_by(F.col("n_chars").cast("long"), "doc_id").alias("n_chars"))
+        store.append(part)
+    asked = spark_table(spark, sf_dir, "labels").select((F.col("doc_id") % 1400).alias("k"), key(1400)).distinct()
+    return asked.join(store.lookup(asked), "cache_key").select("k", "n_chars")
 
 
 _LAST = f"last as (select cache_key, {', '.join(f'arg_max({d}, doc_id) as {d}' for d in DIMENSIONS)} from keyed join judgment using (doc_id) where doc_id % 3 <> 0 group by 1)"
@@ -111,7 +129,8 @@ _LAST = f"last as (select cache_key, {', '.join(f'arg_max({d}, doc_id) as {d}' f
 
 @query(f"with {_KEYED}, {_LAST} select completion_id, {_SEMANTIC} as semantic from keyed left join last using (cache_key)")
 def memo_lookup(spark, sf_dir):
-    return rw.lookup(items(spark, sf_dir), memo(spark, sf_dir)).select("completion_id", "semantic")
+    asked = keyed(spark, sf_dir)
+    return rw.lookup(asked, memo(spark, sf_dir, asked)).select("completion_id", "semantic")
 
 
 @query(
@@ -131,8 +150,8 @@ _REWARD = f"""{_KEYED}, {_LAST}, scored as (
 
 @query(f"with {_REWARD} select * from rewarded")
 def reward(spark, sf_dir):
-    memo_table = written(spark, memo(spark, sf_dir))  # a memo is a table that earlier runs wrote
-    return rw.rewards(rows(spark, sf_dir), items(spark, sf_dir), memo_table)
+    asked = keyed(spark, sf_dir)
+    return rw.rewards(rows(spark, sf_dir), asked, memo(spark, sf_dir, asked))
 
 
 @query(

@@ -101,9 +101,13 @@ class StructuredJudge:
 
     caller: Caller
 
+    def ask(self, items: Sequence[Mapping]) -> tuple[list[dict], dict[str, Any]]:
+        """The judgments, and response id, model and token counts of the call that gave them."""
+        answer, meta = self.caller.ask(JUDGE_SYSTEM, JUDGE_REQUEST + json.dumps(list(items), ensure_ascii=False), "judgments")
+        return [dict(j) for j in answer["judgments"]], meta
+
     def __call__(self, items: Sequence[Mapping]) -> list[dict]:
-        answer, _ = self.caller.ask(JUDGE_SYSTEM, JUDGE_REQUEST + json.dumps(list(items), ensure_ascii=False), "judgments")
-        return [dict(j) for j in answer["judgments"]]
+        return self.ask(items)[0]
 
 
 def require_credential(*names: str, environment: Mapping[str, str] | None = None) -> str:

@@ -85,7 +85,8 @@ class MemoStore:
         return True
 
     def _write(self, rows: DataFrame, parent: int, seq: int, *, replace: bool = False) -> int:
-        rows = files.written(rows.select(*self.schema.names), "memo")
+        rows = rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in self.schema.fields])
+        rows = files.written(rows, "memo")
         n = rows.count()
         buckets = 1 << max(0, (max(0, n - 1) // self.bucket_rows)).bit_length()
         bucket = F.pmod(F.xxhash64("cache_key"), F.lit(buckets))
