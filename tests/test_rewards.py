@@ -156,3 +156,56 @@ def test_memo_store_over_time(spark, tmp_path):
     assert {r.cache_key: r.v for r in store.lookup(keys).collect()} == want
     with pytest.raises(RuntimeError):
         store.take_in(old)
+
+
+def test_parsing_takes_the_time_of_reading(spark):
+    """Repeated sections, runs of blanks and unclosed tags: no completion takes longer than its length asks for."""
+    import time
+
+    texts = [VALID * 2000 + "x", VALID.replace("\na\n", " " * 300_000 + "z" + " " * 300_000 + "z"), "<answer>" * 50_000, VALID + " " * 300_000, "\x85" * 100_000 + VALID + " "]
+    scores(spark, [VALID])
+    began = time.time()
+    assert scores(spark, texts) == [0.0, 1.0, 0.0, 1.0, 1.0]
+    assert time.time() - began < 5.0
+    one = time.time()
+    assert scores(spark, [VALID * 200 + "x"]) == [0.0]
+    assert time.time() - one < 2.0
+
+
+def test_strip_is_that_of_the_white_space_class(spark):
+    from tessera.functions.text import strip
+
+    chars = [chr(c) for c in range(1, 0x3100)]
+    df = spark.createDataFrame([(c, f"{c}x {c}") for c in chars], "c string, t string")
+    for r in df.select("c", strip(F.col("t")).alias("s"), F.regexp_replace("t", r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "").alias("want")).collect():
+        assert r.s == r.want, hex(ord(r.c))
+
+
+class TellingJudge:
+    def ask(self, items):
+        answers = [{"item_index": i["item_index"], "brainstorm": 4, "principles": 4, "synthesis": 4, "answer": 4, "brief_reason": "x"} for i in items]
+        return answers, {"response_id": "r1", "model": "served", "usage": {"total_tokens": 7}}
+
+
+def test_the_memo_keeps_the_call(spark, tmp_path):
+    import sys
+
+    from pyspark import cloudpickle
+
+    from tessera.sources import files
+    from tessera.sources.memo import is_store
+
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    more = {"task": ["t", "t"], **{r: [["a"], ["a"]] for r in RUBRIC}}
+    for store in (False, True, None):
+        path = f"{tmp_path}/{'m' if store is None else store}"
+        if store is None:  # lines of an earlier run that go on in a store
+            rw.reward_function(spark, TellingJudge(), path, "m")([VALID, "bad"], **more)
+        score = rw.reward_function(spark, TellingJudge(), path, "m", store=store or store is None)
+        assert score([VALID, "bad"], **more) == [1.0, 0.0]
+        assert score([VALID, VALID.replace("d", "e")], **more) == [1.0, 1.0]
+        at = path if store is False else f"{path}.store"
+        assert is_store(spark, at) is (store is not False)
+        memo = files.read_memo(spark, at, MEMO).collect()
+        assert len(memo) == 2 and {m.response.response_id for m in memo} == {"r1"} and {m.response.usage.total_tokens for m in memo} == {7}
+        assert {m.request.student_response for m in memo} == {VALID, VALID.replace("d", "e")} and sorted(m.seq for m in memo) in ([0, 1], [0, 2])
