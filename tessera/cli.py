@@ -28,6 +28,8 @@ def parser() -> argparse.ArgumentParser:
         p = commands.add_parser(name, help=said)
         p.add_argument("--stage", choices=stages, required=True)
         p.add_argument("--config", **where)
+        if name == "doctor":
+            p.add_argument("--login", help="module:function that says who is logged in")
     for name in (*TRAINING, *GENERATION):
         said = "hand a stage's tables to a trainer" if name in TRAINING else "fill the quotas of a stage and write its projection"
         p = commands.add_parser(name, help=said)
@@ -38,10 +40,16 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument("--resume", help="none, auto or a checkpoint folder")
             p.add_argument("--smoke-test", action="store_true", help="few rows, one step, a folder of its own, no publication")
         else:
-            p.add_argument("--input", required=True, help="raw corpus that Spark can read")
+            p.add_argument("--input", required=True, help="raw corpus that Spark can read, or the data set's name with --fetch")
+            p.add_argument("--fetch", help="module:function that answers requests of a remote corpus")
             p.add_argument("--format", default="parquet")
             p.add_argument("--identity", default="id", help="column that names a raw row")
             p.add_argument("--provider", required=True, help="module:function that drafts and reviews a task")
+            p.add_argument("--publisher", help="module:object that stages and publishes files")
+            p.add_argument("--login", help="module:function that says who is logged in")
+            p.add_argument("--tasks", type=int, default=1, help="Spark tasks that a batch of calls is dealt to")
+            p.add_argument("--overplan", action="store_true", help="plan attempts by the acceptance rate so far")
+            p.add_argument("--rate", type=float, help="calls a second that all tasks together may start")
     return top
 
 
@@ -60,11 +68,11 @@ def main(argv: list[str] | None = None) -> int:
         from pyspark.sql import SparkSession
 
         from tessera import jobs
-        from tessera.sources import corpus
+        from tessera.sources import corpus, remote
 
         spark = SparkSession.builder.appName("tessera").getOrCreate()
         if args.command == "doctor":
-            result = jobs.doctor(spark, stage, config)
+            result = jobs.doctor(spark, stage, config, _named(args.login) if args.login else None)
             show(result)
             return 0 if result["passed"] else 1
         if args.command in TRAINING:
@@ -72,8 +80,14 @@ def main(argv: list[str] | None = None) -> int:
             show(jobs.run_training(spark, stage, config, _named(args.trainer), smoke=args.smoke_test))
             return 0
         config = cf.with_overrides(config, push=args.push)
-        raw = corpus.scan(spark, args.input, args.format)
-        show(jobs.run_generation(spark, stage, config, raw, args.identity, _named(args.provider)))
+        if args.fetch:
+            source = config["source"]
+            raw = remote.read_corpus(spark, _named(args.fetch), args.input, split=source["split"])
+        else:
+            raw = corpus.scan(spark, args.input, args.format)
+        publisher, login = (_named(spec) if spec else None for spec in (args.publisher, args.login))
+        spread = {"tasks": args.tasks, "overplan": args.overplan, "rate": args.rate}
+        show(jobs.run_generation(spark, stage, config, raw, args.identity, _named(args.provider), publisher, login, **spread))
         return 0
     except (FileNotFoundError, RuntimeError, TypeError, ValueError) as error:
         print(f"error: {error}", file=sys.stderr)

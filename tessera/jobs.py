@@ -18,7 +18,7 @@ from tessera.functions.drafts import PROMPT_VERSION
 from tessera.operators import audit, journal, project
 from tessera.operators.numbering import numbered
 from tessera.schemas import ACCEPTED, EXCERPT, LONG, MEMO, REJECTED, RUBRIC
-from tessera.sources import corpus, files
+from tessera.sources import corpus, files, remote
 from tessera.streaming.fill import Provider, fill_quotas
 
 #: Environment variables that hold credentials, of the hub and of the model service.
@@ -58,9 +58,19 @@ def acquire(spark: SparkSession, raw: DataFrame, config: Mapping[str, dict], ide
     return cached
 
 
-def run_generation(spark: SparkSession, stage: str, config: Mapping[str, dict], raw: DataFrame, identity: str, provider: Provider, **spread) -> dict[str, Any]:
-    """Fill the quotas of a stage and write its projection; returns the run's summary.  ``spread`` goes to ``fill_quotas``."""
-    out, targets = config["output"], cf.split_targets(stage, config)
+def run_generation(
+    spark: SparkSession, stage: str, config: Mapping[str, dict], raw: DataFrame, identity: str, provider: Provider,
+    publisher: remote.Publisher | None = None, whoami: Callable[[], Mapping] | None = None, **spread,
+) -> dict[str, Any]:
+    """Fill the quotas of a stage, write its projection and, if the configuration says so, publish it; returns the run's summary.
+
+    Whether publication can work is asked before anything is paid for.  ``spread`` goes to ``fill_quotas``.
+    """
+    out, targets, hub = config["output"], cf.split_targets(stage, config), config["hub"]
+    if hub["push"]:
+        if publisher is None or whoami is None:
+            raise RuntimeError("publication needs a publisher and a login")
+        providers.require_namespace(hub["repo_id"], whoami)
     prepare(spark, stage, config)
     excluded = None
     if stage == "generate-grpo":
@@ -94,6 +104,9 @@ def run_generation(spark: SparkSession, stage: str, config: Mapping[str, dict],
     }
     if excluded is not None:
         result["excluded_sft_papers"] = excluded.count()
+    if hub["push"]:
+        remote.publish(saved, publisher, hub["repo_id"], config=hub["config_name"])
+        result["published"] = {"repository": hub["repo_id"], "config": hub["config_name"]}
     files.write_json(spark, out["manifest_path"], {"status": "complete", "immutable_contract": cf.contract(stage, config, PROMPT_VERSION), "config": config, "result": result})
     return result
 
