@@ -88,13 +88,13 @@ def batches_of(spark: SparkSession, rows: int):
 HEAVY = 10_000  # keys that a look-up broadcasts at most
 
 
-def look_up(rows: DataFrame, table: DataFrame, keys: Sequence[str], total: int, weight: str) -> DataFrame:
+def look_up(rows: DataFrame, table: DataFrame, keys: Sequence[str], total: int, weight: str, heavy: int | None = None) -> DataFrame:
     """``rows`` left-joined with ``table``, which has a key once, and in ``weight`` at least the number of rows that ask for it.
 
-    Weights add up to ``total`` at most, so no more than ``HEAVY`` keys reach a share of 1/HEAVY; these are broadcast and the rows that meet
-    them are spread out, the others are joined by key, none of which has more than that share.
+    Weights add up to ``total`` at most, so no more than ``heavy`` (HEAVY) keys reach a share of 1/heavy; these are broadcast and the rows that
+    meet them are spread out, the others are joined by key, none of which has more than that share.
     """
-    bound, values = max(2, -(-total // HEAVY)), [c for c in table.columns if c not in keys]
+    bound, values = max(2, -(-total // (heavy or HEAVY))), [c for c in table.columns if c not in keys]
     hot = table.where(F.col(weight) >= bound).select(*[F.col(c).alias(f"_hot_{c}") for c in table.columns], F.lit(True).alias("_hot"))
     rest = table.where(F.col(weight) < bound).select(*[F.col(c).alias(f"_rest_{c}") for c in table.columns], F.lit(False).alias("_rest"))
     same = [F.col(k) == F.col(f"_hot_{k}") for k in keys]

@@ -255,9 +255,12 @@ def snapshots(spark, folder: str) -> list[str]:
     return [p.toString() for p in sorted(found, key=lambda p: int(p.getName())) if done(p)]
 
 
-def take_in(batch: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", bucket_keys: int = BUCKET_KEYS) -> DataFrame:
+def take_in(batch: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", bucket_keys: int = BUCKET_KEYS, batch_id: int | None = None) -> DataFrame:
     """Dedup a batch against all snapshots of ``folder`` and add what it brings as the next one.
 
+    ``batch_id`` (0 and up, each batch's larger than those before) names the snapshot: a batch that is tried again under its number is held
+    against the earlier ones only, writes its snapshot anew and has the same result.  Without it every call is a new batch.
+
     Returns one row per row of the batch: doc_id, keep_id (of the snapshot's row where it has the text), group_size (rows
     of the batch, and the snapshot's), kept, text_sha256.
     """
@@ -265,7 +268,7 @@ def take_in(batch: DataFrame, folder: str, id_col: str = "doc_id", text_col: str
     rows = batch.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     marked = materialize(digests(rows))
     new = materialize(grouped(marked))
-    earlier = snapshots(spark, folder)
+    earlier = [p for p in snapshots(spark, folder) if batch_id is None or int(p.rsplit("/", 1)[1]) < batch_id]
     matched = None
     for path in earlier:
         kept, filters = spark.read.parquet(f"{path}/rows"), spark.read.parquet(f"{path}/filters")
@@ -280,7 +283,7 @@ def take_in(batch: DataFrame, folder: str, id_col: str = "doc_id", text_col: str
         joined = new.join(matched.groupBy("digest").agg(F.min("snapshot_id").alias("snapshot_id"), F.lit(True).alias("hit")), "digest", "left")
     joined = materialize(joined)
     added = joined.where("hit is null").select("digest", "keep_id")
-    number = int(earlier[-1].rsplit("/", 1)[1]) + 1 if earlier else 0
+    number = batch_id if batch_id is not None else int(earlier[-1].rsplit("/", 1)[1]) + 1 if earlier else 0
     texts = _texts(rows).groupBy("digest").agg(F.first("text").alias("text"))
     added.join(texts, "digest").write.mode("overwrite").parquet(f"{folder}/{number}/rows")
     buckets = max(1, -(-added.count() // bucket_keys))

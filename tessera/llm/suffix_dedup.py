@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import look_up, materialize
 from .lyndon_sort import sort_strings
 
 MATCH = 50
@@ -506,11 +506,14 @@ def decide_hot(sums: DataFrame) -> DataFrame:
     return z.select("least", "piece", "z.offset", "z.count", "z.owner")
 
 
+HOT_PIECES = 1000  # pieces whose verdicts are broadcast at most
+
+
 def removals(found: DataFrame) -> DataFrame:
     """(doc_id, row, cuts): maximal intervals [start, end) of each document that an earlier one has, as int32 pairs."""
     sums = found.groupBy("least", "piece").agg(
         F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.first("content", ignorenulls=True).alias("content"), F.max("windows").alias("windows"),
-        F.max("kind").alias("kind"),
+        F.max("kind").alias("kind"), F.count(F.lit(1)).alias("asked"),
     )
     sums = materialize(sums)
     plain = sums.where("kind = 0 and owner < last").select(
@@ -519,7 +522,11 @@ def removals(found: DataFrame) -> DataFrame:
     verdict = plain.unionByName(decided_pieces(sums.where("kind = 1").select("least", "piece", "content", F.col("owner").alias("doc_id"))))
     if sums.where("kind = 2").limit(1).count():
         verdict = verdict.unionByName(materialize(decide_hot(sums.where("kind = 2"))))
-    hits = found.select("least", "piece", "doc_id", "row", "start").join(verdict, ["least", "piece"])
+    # pieces of a passage that very many documents have are few: their verdicts go to where the occurrences lie
+    total = sums.agg(F.coalesce(F.sum("asked"), F.lit(0))).first()[0]
+    often = F.broadcast(sums.where(F.col("asked") >= max(2, -(-total // HOT_PIECES))).select("least", "piece", "asked"))
+    verdict = materialize(verdict.join(often, ["least", "piece"], "left").withColumn("asked", F.coalesce("asked", F.lit(0).cast("long"))))
+    hits = look_up(found.select("least", "piece", "doc_id", "row", "start"), verdict, ["least", "piece"], total, "asked", HOT_PIECES).where("offset is not null")
     # windows that an earlier document has, as intervals of bytes
     cuts = F.filter(F.arrays_zip("offset", "count", "owner"), lambda r: r["owner"] < F.col("doc_id"))
     spans = F.transform(cuts, lambda r: F.struct((F.col("start") + r["offset"]).alias("a"), (F.col("start") + r["offset"] + r["count"] + (MATCH - 1)).alias("b")))

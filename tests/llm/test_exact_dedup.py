@@ -86,6 +86,17 @@ def test_three_batches_against_stored_snapshots(spark, tmp_path):
     assert ed.take_in(spark.createDataFrame([(20, "d")], SCHEMA), folder).first().keep_id == 10
 
 
+def test_a_batch_that_is_tried_again_has_the_same_result(spark, tmp_path):
+    folder = str(tmp_path / "kept")
+    batches = [[(1, "a"), (2, "b")], [(3, "a"), (4, "c"), (5, "c")], [(6, "c"), (7, "d")]]
+    run = lambda k: sorted(tuple(r)[:4] for r in ed.take_in(spark.createDataFrame(batches[k], SCHEMA), folder, batch_id=k).collect())
+    first = [run(0), run(0), run(1), run(1), run(2)]
+    assert first[0] == first[1] == [(1, 1, 1, True), (2, 2, 1, True)]
+    assert first[2] == first[3] == [(3, 1, 2, False), (4, 4, 2, True), (5, 4, 2, False)]
+    assert [run(0), run(1), run(2)] == [first[0], first[2], first[4]] and first[4] == [(6, 4, 2, False), (7, 7, 1, True)]
+    assert len(ed.snapshots(spark, folder)) == 3
+
+
 def test_sql_of_the_query(spark):
     import duckdb
 
