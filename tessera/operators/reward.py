@@ -140,6 +140,47 @@ def reward_function(
     return score
 
 
+def judge_function(judge: Judge, batch_rows: int = 64):
+    """The judge as a table function: ``select * from judge_items(table(items) partition by batch)`` of (cache_key, item) rows.
+
+    Register it with ``spark.udtf.register("judge_items", judge_function(judge))``.  Requests hold up to ``batch_rows`` items of a partition; answers
+    must cover a request exactly.  A null item is an error, for only well-formed completions are judged.
+    """
+    from pyspark.sql.functions import udtf
+
+    dims = ", ".join(f"{d} int" for d in DIMENSIONS)
+    names = ["task", *RUBRIC, "student_response"]
+
+    @udtf(returnType=f"cache_key string, {dims}, brief_reason string, request bigint")
+    class JudgeItems:
+        def __init__(self):
+            self.waiting, self.requests = [], 0
+
+        def eval(self, row):
+            if row["item"] is None:
+                raise ValueError("only well-formed completions are judged")
+            self.waiting.append((row["cache_key"], {n: row["item"][n] for n in names}))
+            if len(self.waiting) >= batch_rows:
+                yield from self.ask()
+
+        def terminate(self):
+            if self.waiting:
+                yield from self.ask()
+
+        def ask(self):
+            keys, items = [k for k, _ in self.waiting], [{"item_index": i, **item} for i, (_, item) in enumerate(self.waiting)]
+            self.waiting = []
+            answers = judge.ask(items)[0] if hasattr(judge, "ask") else judge(items)
+            by = {a["item_index"]: a for a in answers}
+            if len(answers) != len(items) or set(by) != set(range(len(items))):
+                raise RuntimeError(f"the judge must answer each of {len(items)} items once; it answered {sorted(a['item_index'] for a in answers)}")
+            for i, key in enumerate(keys):
+                yield (key, *[int(by[i][d]) for d in DIMENSIONS], by[i].get("brief_reason"), self.requests)
+            self.requests += 1
+
+    return JudgeItems
+
+
 class LineMemo:
     """A memo of plain JSON lines; a lookup reads all of it."""
 

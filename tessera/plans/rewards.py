@@ -124,6 +124,27 @@ def memo_store(spark, sf_dir):
     return asked.join(store.lookup(asked), "cache_key").select("k", "n_chars")
 
 
+def measured(items):
+    """A deterministic stand-in for a judge: lengths of what it is asked."""
+    return [
+        {"item_index": i["item_index"], "brainstorm": len(i["task"]) % 5, "principles": len(i["student_response"]) % 5, "synthesis": len(i["required_constraints"] or ()) % 5, "answer": len(i["student_response"]) % 3, "brief_reason": "length"}
+        for i in items
+    ]
+
+
+@query(
+    f"with {_KEYED} select completion_id, cast(length(task) % 5 as integer) as brainstorm, cast(length(completion) % 5 as integer) as principles,"
+    " cast(coalesce(len(required_constraints), 0) % 5 as integer) as synthesis, cast(length(completion) % 3 as integer) as answer from keyed"
+)
+def judge_table_function(spark, sf_dir):
+    """Every well-formed completion judged from SQL, sixteen partitions at a time."""
+    asked = written(items(spark, sf_dir), "items")
+    spark.udtf.register("judge_items", rw.judge_function(measured))
+    asked.select("cache_key", "item", F.expr("completion_id % 16").alias("batch")).dropDuplicates(["cache_key"]).createOrReplaceTempView("items_to_judge")
+    judged = spark.sql(f"select cache_key, {', '.join(DIMENSIONS)} from judge_items(table(items_to_judge) partition by batch)")
+    return asked.select("completion_id", "cache_key").join(judged, "cache_key").select("completion_id", *DIMENSIONS)
+
+
 _LAST = f"last as (select cache_key, {', '.join(f'arg_max({d}, doc_id) as {d}' for d in DIMENSIONS)} from keyed join judgment using (doc_id) where doc_id % 3 <> 0 group by 1)"
 
 
