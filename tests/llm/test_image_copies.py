@@ -3,6 +3,8 @@ import zlib
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from tessera.llm import image_copies as ic
 from tessera.llm.queries import op1_image_copies
 
@@ -156,3 +158,29 @@ def test_recall_at_any_scale_and_few_chance_matches(spark):
         int(((a[:, None] == b[None]).any(2) & (np.bitwise_count(a[:, None] ^ b[None]).sum(2) <= 12)).sum()) for i, a in enumerate(words) for b in words[:i]
     )
     assert chance < 0.05 * 30 * 29 / 2
+
+
+def shapes(seed, side=160):
+    """Rectangles and ellipses with hard edges and some noise: nothing like the drawn soft pictures."""
+    r = np.random.default_rng(seed)
+    y, x = np.mgrid[0:side, 0:side]
+    img = np.full((side, side), r.uniform(60, 200))
+    for _ in range(30):
+        cx, cy, w, h, v = r.uniform(0, side), r.uniform(0, side), r.uniform(6, 40), r.uniform(6, 40), r.uniform(0, 255)
+        img[(np.abs(x - cx) < w) & (np.abs(y - cy) < h) if r.random() < 0.5 else ((x - cx) / w) ** 2 + ((y - cy) / h) ** 2 < 1] = v
+    return np.clip(img + r.normal(0, 3, img.shape), 0, 255)
+
+
+def test_recall_of_edits_on_hard_edged_pictures(spark):
+    part = lambda p, f: p[int(len(p) * (1 - f) / 2) :, int(len(p) * (1 - f) / 3) :][: int(len(p) * f), : int(len(p) * f)]
+    edits = [lambda p: p * 0.7 + 40, lambda p: part(p, 0.88), lambda p: part(p, 0.71), np.rot90, lambda p: ic._resize(p, 0.7), lambda p: ic._resize(part(p, 0.88), 0.8) * 0.8 + 20]
+    rows = []
+    for i in range(20):
+        picture = shapes(i)
+        rows.append((i, ic.encode_pgm(picture), False))
+        rows += [(1000 * e + i, ic.encode_pgm(edit(picture)), True) for e, edit in enumerate(edits, 1)]
+    df = spark.createDataFrame(rows, "id long, image binary, q boolean").repartition(4)
+    found = {r.id: set(r.copies) for r in ic.find_copies(df, F.col("q")).where("is_query").collect()}
+    for e in range(1, len(edits) + 1):
+        assert sum(i in found[1000 * e + i] for i in range(20)) >= 18, e
+    assert all(x % 1000 == q % 1000 for q, copies in found.items() for x in copies)
