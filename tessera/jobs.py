@@ -15,9 +15,9 @@ from pyspark.sql import types as T
 from tessera import config as cf
 from tessera import providers
 from tessera.functions.drafts import PROMPT_VERSION
-from tessera.operators import audit, journal, project
+from tessera.operators import audit, journal, project, reward
 from tessera.operators.numbering import numbered
-from tessera.schemas import ACCEPTED, EXCERPT, LONG, MEMO, REJECTED, RUBRIC
+from tessera.schemas import ACCEPTED, EXCERPT, LONG, REJECTED, RUBRIC
 from tessera.sources import corpus, files, remote
 from tessera.streaming.fill import Provider, fill_quotas
 
@@ -212,7 +212,7 @@ def doctor(spark: SparkSession, stage: str, config: Mapping[str, dict], whoami:
     }
     if stage == "grpo":
         checks["adapter"] = adapter
-        checks["memo"] = lambda: {"judgments": files.read_memo(spark, config["reward"]["cache_path"], MEMO).count()}
+        checks["memo"] = lambda: {"judgments": reward.memo_of(spark, config["reward"]["cache_path"]).read().count()}
         checks["judge_credential"] = lambda: {"present": bool(providers.require_credential(CREDENTIALS[-1]))}
         checks["single_process"] = lambda: {"free": not files.exists(spark, f"{config['output']['directory'].rstrip('/')}.lock")}
     if config["hub"]["push"]:

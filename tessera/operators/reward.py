@@ -187,12 +187,14 @@ class LineMemo:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
+    def read(self) -> DataFrame:
+        return files.read_jsonl(self.spark, self.path, MEMO)
+
     def lookup(self, keys: DataFrame) -> DataFrame:
-        rows = files.read_jsonl(self.spark, self.path, MEMO)
-        return rows.join(keys.select("cache_key").distinct(), "cache_key", "left_semi")
+        return self.read().join(keys.select("cache_key").distinct(), "cache_key", "left_semi")
 
     def append(self, rows: DataFrame) -> None:
-        files.append_memo(files.read_jsonl(self.spark, self.path, MEMO), rows, self.path)
+        files.append_memo(self.read(), rows, self.path)
 
 
 def memo_of(spark: SparkSession, path: str, store: bool | None = None):
