@@ -48,7 +48,7 @@ def chunkable(processor) -> bool:
 class ChunkTable:
     """Distinct chunk -> (ids as text, number of ids, decoded text)."""
 
-    def __init__(self, model_path: str, max_chunks: int = 400_000, max_chunk_chars: int = 256):
+    def __init__(self, model_path: str, max_chunks: int = 150_000, max_chunk_chars: int = 256):
         import sentencepiece
 
         self.processor = sentencepiece.SentencePieceProcessor(model_file=model_path)
@@ -116,7 +116,7 @@ def encode_documents(
     id_col: str = "doc_id",
     text_col: str = "text",
     with_ids: bool = True,
-    max_chunks: int = 400_000,
+    max_chunks: int = 150_000,
 ) -> DataFrame:
     """Return id, ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` and, if wanted, ``ids`` and ``decoded``.
 

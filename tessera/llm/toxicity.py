@@ -75,7 +75,7 @@ def scale(words: int) -> float:
 class Features:
     """Hashed features of words, remembered per task up to a bound."""
 
-    def __init__(self, max_words: int = 300_000):
+    def __init__(self, max_words: int = 100_000):
         self.max_words, self.words = max_words, {}
 
     def of_word(self, word: str) -> list[int]:
