@@ -120,8 +120,12 @@ class Model:
         return float(self.bias + (self.weight[at] * value * (self.index[at] == index)).sum())
 
 
-def _slot_counts(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """How many sampled texts of either label have each slot.  The sample is bounded, so are its tasks."""
+def _best_slots(sample: DataFrame, n: int, n0: int, n1: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``n`` slots that separate the labels best, and which of them any text has.  The sample is bounded, so are its tasks.
+
+    Counts of all slots stay in the tasks: the driver gets the best of every chunk of slots.
+    """
+    p = n1 / (n0 + n1)
 
     def count(batches):
         features, seen = Features(), np.zeros((2, 1 << BITS), np.int32)
@@ -133,17 +137,22 @@ def _slot_counts(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             if part.any():
                 yield pd.DataFrame({"chunk": [c], "counts": [part.tobytes()]})
 
-    def add(pdf):
+    def best(pdf):
         total = np.zeros((2, CHUNK), np.int64)
         for counts in pdf["counts"]:
             total += np.frombuffer(counts, np.int32).reshape(2, CHUNK)
-        return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "counts": [total.astype(np.int32).tobytes()]})
+        one, both = total[1].astype(float), total.sum(axis=0).astype(float)
+        z = np.abs(one - p * both) / np.sqrt(both * p * (1 - p) + 1.0)
+        at = np.argsort(-z, kind="stable")[:n]
+        return pd.DataFrame({"slot": int(pdf["chunk"].iloc[0]) * CHUNK + at, "z": z[at], "seen": both[at] > 0})
 
-    rows = sample.select("text", "label").mapInPandas(count, "chunk int, counts binary").groupBy("chunk").applyInPandas(add, "chunk int, counts binary")
-    out = np.zeros((2, 1 << BITS))
-    for r in rows.collect():
-        out[:, r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.counts, np.int32).reshape(2, CHUNK)
-    return out[0], out[1]
+    # a chunk that no text has counts too: its slots separate nothing, as do those that both labels have alike
+    counts = sample.select("text", "label").mapInPandas(count, "chunk int, counts binary")
+    none = sample.sparkSession.range((1 << BITS) // CHUNK).select(F.col("id").cast("int").alias("chunk"), F.lit(bytes(8 * CHUNK)).alias("counts"))
+    got = counts.unionByName(none).groupBy("chunk").applyInPandas(best, "slot int, z double, seen boolean").toArrow()
+    slot, z, seen = (got[c].to_numpy() for c in ("slot", "z", "seen"))
+    first = np.lexsort((slot, -z))[:n]
+    return slot[first], seen[first]
 
 
 def _csr(rows: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -153,6 +162,34 @@ def _csr(rows: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndar
     return np.repeat(np.arange(len(rows)), lengths), np.concatenate([c for c, _ in rows]).astype(np.int64), np.concatenate([v for _, v in rows])
 
 
+class Rows:
+    """Features of texts, row after row, in 8 bytes each; products with weights go block by block."""
+
+    def __init__(self, lengths: np.ndarray, cols: np.ndarray, counts: np.ndarray, over: np.ndarray, block: int = 1 << 16):
+        ends = np.cumsum(lengths, dtype=np.int64)
+        self.lengths, self.cols, self.counts, self.over = lengths, cols, counts, over
+        cut = np.unique(np.searchsorted(ends, np.arange(0, ends[-1] if len(ends) else 0, block), side="left"))
+        self.blocks = [(a, b, int(ends[a] - lengths[a]), int(ends[b - 1])) for a, b in zip(cut, np.append(cut[1:], len(ends)))]
+
+    def _parts(self):
+        """(first row, row after the last, place of each feature's row, its column, its value)."""
+        for a, b, at, end in self.blocks:
+            row = np.repeat(np.arange(b - a), self.lengths[a:b])
+            yield a, b, row, self.cols[at:end].astype(np.intp), self.counts[at:end] / self.over[a:b][row]
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(self.lengths))
+        for a, b, row, col, val in self._parts():
+            out[a:b] = np.bincount(row, weights=w[col] * val, minlength=b - a)
+        return out
+
+    def back(self, g: np.ndarray, n: int) -> np.ndarray:
+        out = np.zeros(n)
+        for a, b, row, col, val in self._parts():
+            np.add.at(out, col, g[a:b][row] * val)
+        return out
+
+
 UNIT = 1 << 32  # of the counterfactual sums
 
 
@@ -224,13 +261,12 @@ def counterfactuals(sample: DataFrame, index: np.ndarray, terms: Sequence[Sequen
     return arrays(mean), pairs, count * len(swaps), arrays(single)
 
 
-def optimise(x, y: np.ndarray, mentions, changes, n_features: int, *, l2: float, fairness: float, positive_weight: float, steps: int = 400) -> tuple[np.ndarray, float]:
+def optimise(x: Rows, y: np.ndarray, mentions, changes, n_features: int, *, l2: float, fairness: float, positive_weight: float, steps: int = 400) -> tuple[np.ndarray, float]:
     """Adam on logistic loss + l2 |w|^2 / 2 + fairness * w . M w, M the mean outer product of ``changes``; full batches, no randomness.
 
     ``mentions`` is (has, shrink, features): of each text whether it also counts with a mention, by how much the mention shrinks its own
     features, and the features that the mention adds.
     """
-    row, col, val = x
     has, shrink, (arow, acol, aval) = mentions
     mrow, mcol, mval = changes
     w = np.zeros(n_features + 1)
@@ -238,10 +274,10 @@ def optimise(x, y: np.ndarray, mentions, changes, n_features: int, *, l2: float,
     cost = np.where(y == 1, positive_weight, 1.0) / (len(y) + has.sum())
     slope = lambda raw: 1.0 / (1.0 + np.exp(-np.clip(raw, -40, 40))) - y
     for t in range(1, steps + 1):
-        own = np.bincount(row, weights=w[col] * val, minlength=len(y))
+        own = x.times(w)
         g = slope(own + w[-1]) * cost
         also = slope(own * shrink + np.bincount(arow, weights=w[acol] * aval, minlength=len(y)) + w[-1]) * cost * has
-        grad = np.append(np.bincount(col, weights=(g + also * shrink)[row] * val, minlength=n_features), g.sum() + also.sum())
+        grad = np.append(x.back(g + also * shrink, n_features), g.sum() + also.sum())
         grad[:-1] += np.bincount(acol, weights=also[arow] * aval, minlength=n_features) + l2 * w[:-1]
         if len(mval):
             grad[:-1] += 2.0 * fairness * np.bincount(mrow, weights=mval * w[mcol], minlength=n_features)
@@ -276,41 +312,44 @@ def fit(
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     sample = texts.join(F.broadcast(known), "doc_id").withColumn("sha", F.sha2("text", 256)).dropDuplicates(["doc_id", "label", "sha"])
     sample = materialize(sample.select("doc_id", "text", "label"))
-    zero, one = _slot_counts(sample)
     sizes = dict(sample.groupBy("label").count().collect())
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
     base = (n1 + 1.0) / (n0 + n1 + 2.0)
     if not n0 or not n1:
         return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log(base / (1 - base))))
-    both = zero + one
-    p = n1 / (n0 + n1)
-    z = np.abs(one - p * both) / np.sqrt(both * p * (1 - p) + 1.0)
     names = sorted(swaps_of(identity_terms))
     of_name = [np.unique(np.concatenate([Features().of_word(w) for w in _WORD.findall(name)])) for name in names]
-    index = np.argsort(-z, kind="stable")[:n_features]
-    index = np.unique(np.concatenate([index[both[index] > 0], *of_name])).astype(np.int64)
+    best, seen = _best_slots(sample, n_features, n0, n1)
+    index = np.unique(np.concatenate([best[seen], *of_name])).astype(np.int64)
+    narrow = "<u2" if len(index) < 1 << 16 else "<u4"
 
     def project(batches):
         features = Features()
         for pdf in batches:
             out = []
             for doc_id, text, label in zip(pdf["doc_id"], pdf["text"], pdf["label"]):
-                c, x = _within(index, *features.of_text(text))
-                out.append((doc_id, int(label), len(set(_WORD.findall((text or "").lower()))), mention_of(text, names), c.tolist(), x.tolist()))
-            yield pd.DataFrame(out, columns=["doc_id", "label", "words", "name", "cols", "vals"])
-
-    learnt = sample.mapInPandas(project, "doc_id long, label int, words int, name int, cols array<int>, vals array<double>").collect()
-    learnt.sort(key=lambda r: (r.doc_id, r.label, r.cols, r.vals))
-    y = np.array([r.label for r in learnt], float)
-    x = _csr([(np.array(r.cols, np.int64), np.array(r.vals)) for r in learnt])
-    has = np.array([float(r.name >= 0) for r in learnt])
-    after = np.array([scale(r.words + len(_WORD.findall(names[r.name])) if r.name >= 0 else r.words) for r in learnt])
+                words, (slots, x) = len(set(_WORD.findall((text or "").lower()))), features.of_text(text)
+                c, x = _within(index, slots, np.rint(x * scale(words)))
+                out.append((doc_id, int(label), words, mention_of(text, names), c.astype(narrow).tobytes(), x.astype("<u4").tobytes()))
+            yield pd.DataFrame(out, columns=["doc_id", "label", "words", "name", "cols", "counts"])
+
+    # what the driver holds of the sample: 6 bytes for each of the kept features of a text
+    learnt = sample.mapInPandas(project, "doc_id long, label int, words int, name int, cols binary, counts binary").toArrow()
+    label, words, name, doc = (learnt[c].to_numpy() for c in ("label", "words", "name", "doc_id"))
+    cols, counts = learnt["cols"].to_pylist(), learnt["counts"].to_pylist()
+    del learnt
+    order = np.array(sorted(range(len(doc)), key=lambda i: (doc[i], label[i], words[i], cols[i], counts[i])))
+    cols, counts = [cols[i] for i in order], [counts[i] for i in order]
+    y, words, name = label[order].astype(float), words[order], name[order]
+    own, has = np.sqrt(1.0 + words / 50.0), (name >= 0).astype(float)
+    x = Rows(np.array([len(c) // 4 for c in counts]), np.frombuffer(b"".join(cols), narrow), np.frombuffer(b"".join(counts), "<u4"), own)
+    del cols, counts
+    after = np.array([scale(w + len(_WORD.findall(names[k]))) if k >= 0 else scale(w) for w, k in zip(words.tolist(), name.tolist())])
     alone = [_within(index, *Features().of_text(name)) for name in names]  # of a name by itself
-    added = _csr([(alone[r.name][0], alone[r.name][1] * scale(len(_WORD.findall(names[r.name]))) / s) if r.name >= 0 else (np.zeros(0, np.int64), np.zeros(0)) for r, s in zip(learnt, after)])
+    added = _csr([(alone[k][0], alone[k][1] * scale(len(_WORD.findall(names[k]))) / s) if k >= 0 else (np.zeros(0, np.int64), np.zeros(0)) for k, s in zip(name.tolist(), after)])
     changes, pairs, mentions, single = counterfactuals(sample, index, identity_terms)
     touched, changes = len(np.unique(changes[0])), tuple(np.concatenate(both) for both in zip(changes, single))
-    shrink = np.array([scale(r.words) for r in learnt]) / after
-    w, bias = optimise(x, y, (has, shrink, added), changes, len(index), l2=l2, fairness=fairness, positive_weight=positive_weight)
+    w, bias = optimise(x, y, (has, own / after, added), changes, len(index), l2=l2, fairness=fairness, positive_weight=positive_weight)
     return Model(index, w, bias, pairs, mentions, touched)
 
 

@@ -167,3 +167,32 @@ def test_terms_that_no_text_names_still_take_part(spark):
     assert near[1].pairs == 0 and near[1].mentions > 0 and near[1].touched > 0
     plain, held = (m.raw(*tx.Features().of_text("the muslim family")) - m.bias for m in near)
     assert plain > 0.1 and abs(held) < 0.4 * plain
+
+
+def test_the_driver_holds_neither_counts_of_all_slots_nor_boxed_features(spark):
+    """One array of a number per slot would be 8 MB; features of the sample are packed."""
+    import tracemalloc
+
+    rows = [(i, " ".join(f"common{k}" for k in range(i % 50, i % 50 + 200)) + (" vileslur" if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, label int")
+    tracemalloc.start()
+    try:
+        model = tx.fit(df, df)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(model.index) > 200 and most < 12e6
+
+
+def test_products_go_block_by_block():
+    rnd = np.random.default_rng(4)
+    lengths = rnd.integers(0, 9, 300)
+    cols, counts, over = rnd.integers(0, 40, lengths.sum()).astype("<u2"), rnd.integers(1, 5, lengths.sum()).astype("<u4"), rnd.random(300) + 1
+    dense = np.zeros((300, 40))
+    np.add.at(dense, (np.repeat(np.arange(300), lengths), cols), counts / np.repeat(over, lengths))
+    w, g = rnd.random(40), rnd.random(300)
+    for block in (1, 7, 1 << 16):
+        x = tx.Rows(lengths, cols, counts, over, block)
+        assert np.allclose(x.times(w), dense @ w) and np.allclose(x.back(g, 40), g @ dense)
+    none = tx.Rows(np.zeros(3, np.int64), cols[:0], counts[:0], over[:3])
+    assert none.times(w).tolist() == [0.0] * 3 and not none.back(g[:3], 40).any()
