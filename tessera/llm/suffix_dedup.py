@@ -9,8 +9,8 @@ A byte goes if a ``MATCH``-byte string that covers it also starts in a document
 3. Minimisers in two documents or more are found bucket by bucket from compact sorted lists, one per
    task and bucket, in which each (minimiser, piece) stands once: hot passages are combined first.
 4. Where all pieces of a shared minimiser are the same bytes, the smallest id decides.  Otherwise the distinct
-   pieces, each once with its smallest id, are laid out together and their suffixes sorted by Lyndon
-   groups (``lyndon_sort``); neighbouring suffixes that agree on ``MATCH`` bytes are one class, and the
+   pieces stand once each with their smallest id; windows whose hash stands alone are no one else's, and the runs of
+   the others are laid out together and their suffixes sorted by Lyndon groups (``lyndon_sort``); neighbouring suffixes that agree on ``MATCH`` bytes are one class, and the
    smallest id of a class decides for its windows.
 5. A minimiser with more than ``hot_pieces`` distinct pieces (a short line between ever other words) is cut first: the
    windows of its distinct pieces are counted by hash, those of one document alone fall away, and runs of windows with one
@@ -375,85 +375,110 @@ def _ranges_of(start: np.ndarray, length: np.ndarray) -> np.ndarray:
 # --- which windows of a piece an earlier document has -------------------------------------------------
 
 
-def decide(groups: list[tuple[list[bytes], list[int]]]) -> list[list[np.ndarray]]:
-    """For groups of (distinct contents, smallest id of each): smallest id with the same window, per window.
+def decide(contents: list[bytes], ids: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(smallest id with the same window, for all windows of all pieces; windows of each piece) of pieces in order of their groups.
 
-    Contents of a group are laid out with a separator below all bytes, and sorted as one string.
+    Equal windows have equal hashes, so a window whose hash stands alone keeps its own id.  The runs of the others are laid out once each,
+    with a separator below all bytes, and those of a group with several runs are sorted as one string.
     """
-    symbols, lengths, starts, owners = [], [], [], []
-    at, number = 0, 0
-    for contents, ids in groups:
-        begin = at
-        for content, doc in zip(contents, ids):
-            symbols.append(np.frombuffer(content, np.uint8).astype(np.int64) + 1)
-            symbols.append(np.zeros(1, np.int64))
-            starts.append((at, len(content) - MATCH + 1, doc))
-            at += len(content) + 1
-        lengths.append(at - begin)
-        number += 1
-    line = np.concatenate(symbols)
-    order = sort_strings(line, np.array(lengths))
-    first = np.array([s for s, _, _ in starts])
-    windows = np.array([w for _, w, _ in starts])
-    doc_at = np.full(len(line), np.iinfo(np.int64).max)
-    slot = _ranges_of(first, windows)
-    doc_at[slot] = np.repeat(np.array([d for _, _, d in starts], np.int64), windows)
-    valid = np.zeros(len(line), bool)
-    valid[slot] = True
+    blob, length = b"".join(contents), np.array([len(c) for c in contents])
+    windows, first = length - MATCH + 1, np.cumsum(length) - length
+    at = _ranges_of(first, windows)
+    piece = np.repeat(np.arange(len(contents)), windows)
+    owner = ids[piece]
+    name = gram_hashes(np.frombuffer(blob, np.uint8), MATCH, 2)[at]
+    order = np.argsort(name)
+    same = name[order][1:] == name[order][:-1]
+    again = np.empty(len(at), bool)
+    again[order] = np.append(same, False) | np.append(False, same)
+    on = again[1:] & again[:-1] & (piece[1:] == piece[:-1])  # a run goes on
+    start, end = np.flatnonzero(again & ~np.append(False, on)), np.flatnonzero(again & ~np.append(on, False)) + 1
+    if not len(start):
+        return owner, windows
+    size, run_group, run_id = end - start, group[piece[start]], ids[piece[start]]
+    known: dict[tuple[int, bytes], int] = {}
+    run = np.array([known.setdefault((g, blob[s : s + n + MATCH - 1]), len(known)) for g, s, n in zip(run_group.tolist(), at[start].tolist(), size.tolist())])
+    runs = [x for _, x in known]
+    least = np.full(len(runs), np.iinfo(np.int64).max)
+    np.minimum.at(least, run, run_id)
+    of_group = np.array([g for g, _ in known])
+    long = np.array([len(x) + 1 for x in runs])
+    line = np.frombuffer(b"\0".join([*runs, b""]), np.uint8).astype(np.int64) + 1
+    begin = np.cumsum(long) - long
+    line[begin + long - 1] = 0
+    doc_at = np.repeat(least, long)
+    edge = np.flatnonzero(np.append(True, of_group[1:] != of_group[:-1]))
+    several = np.repeat(np.diff(np.append(edge, len(runs))) > 1, np.diff(np.append(edge, len(runs))))
+    if several.any():
+        _least_of_equal(line, begin, long, several, of_group, doc_at)
+    owner[_ranges_of(start, size)] = doc_at[_ranges_of(begin[run], size)]
+    return owner, windows
+
+
+def _least_of_equal(line: np.ndarray, begin: np.ndarray, long: np.ndarray, several: np.ndarray, of_group: np.ndarray, doc_at: np.ndarray) -> None:
+    """Give equal windows of the runs marked ``several`` their smallest id: neighbours in the suffix order of a group that agree on ``MATCH`` bytes."""
+    keep = np.repeat(several, long)
+    place = np.flatnonzero(keep)
+    part, sizes, of_group = line[keep], long[several], of_group[several]
+    lengths = np.add.reduceat(sizes, np.flatnonzero(np.append(True, of_group[1:] != of_group[:-1])))
+    order = sort_strings(part, lengths)
+    valid = np.zeros(len(part), bool)
+    valid[_ranges_of(np.cumsum(sizes) - sizes, sizes - MATCH)] = True
     order = order[valid[order]]  # suffixes that start a window
     group = np.repeat(np.arange(len(lengths)), lengths)
-    view = np.lib.stride_tricks.sliding_window_view(line.astype(np.uint16), MATCH)
+    view = np.lib.stride_tricks.sliding_window_view(part.astype(np.uint16), MATCH)
     new = np.ones(len(order), bool)
     for a in range(0, len(order) - 1, 1 << 16):
         b = min(len(order) - 1, a + (1 << 16))
         x, y = order[a:b], order[a + 1 : b + 1]
         new[a + 1 : b + 1] = (group[x] != group[y]) | (view[x] != view[y]).any(axis=1)
     cut = np.flatnonzero(new)
-    least = np.minimum.reduceat(doc_at[order], cut)
-    doc_at[order] = np.repeat(least, np.diff(np.append(cut, len(order))))
-    out, k = [], 0
-    for contents, _ in groups:
-        out.append([doc_at[s : s + w] for s, w, _ in starts[k : k + len(contents)]])
-        k += len(contents)
-    return out
+    at = place[order]
+    doc_at[at] = np.repeat(np.minimum.reduceat(doc_at[at], cut), np.diff(np.append(cut, len(order))))
 
 
 _DECIDED = "least long, piece long, offset array<int>, count array<int>, owner array<long>"
 
 
-def decided_pieces(distinct: DataFrame, block: int = 1 << 19) -> DataFrame:
+def decided_pieces(distinct: DataFrame, block: int = 1 << 20) -> DataFrame:
     """Windows of distinct pieces (least, piece, content, doc_id) and the smallest id that has each."""
     rows = distinct.select("least", "piece", "content", "doc_id").repartition("least").sortWithinPartitions("least", "piece")
 
     def run(batches):
-        def solve(groups):
-            out = []
-            for (least, names, _, _), found in zip(groups, decide([(c, d) for _, _, c, d in groups])):
-                for piece, owner in zip(names, found):
-                    cut = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-                    out.append((least, piece, cut.tolist(), np.diff(np.append(cut, len(owner))).tolist(), owner[cut].tolist()))
-            return pd.DataFrame(out, columns=["least", "piece", "offset", "count", "owner"])
-
-        ready, current, held = [], None, 0
-        for pdf in batches:
-            for least, piece, content, doc in zip(pdf["least"], pdf["piece"], pdf["content"], pdf["doc_id"]):
-                if current is None or current[0] != least:
-                    if current is not None:
-                        ready.append(current)
-                        held += sum(map(len, current[2]))
-                        if held >= block:
-                            yield solve(ready)
-                            ready, held = [], 0
-                    current = (least, [], [], [])
-                current[1].append(piece)
-                current[2].append(bytes(content))
-                current[3].append(doc)
-        if current is not None:
-            ready.append(current)
-        if ready:
-            yield solve(ready)
-
-    return rows.mapInPandas(run, _DECIDED)
+        import pyarrow as pa
+
+        def solve(least, piece, doc, content):
+            owner, windows = decide(content, doc, least)
+            first = np.cumsum(windows) - windows
+            new = np.append(True, owner[1:] != owner[:-1])
+            new[first] = True
+            cut = np.flatnonzero(new)
+            offset = cut - np.repeat(first, np.add.reduceat(new.astype(np.int64), first))
+            ends = pa.array(np.append(np.searchsorted(cut, first), len(cut)).astype(np.int32))
+            listed = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (offset.astype(np.int32), np.diff(np.append(cut, len(owner))).astype(np.int32), owner[cut])]
+            return pa.RecordBatch.from_arrays([pa.array(least), pa.array(piece), *listed], ["least", "piece", "offset", "count", "owner"])
+
+        held, waiting = 0, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            waiting.append(batch)
+            held += batch.column("content").nbytes
+            if held >= block:
+                table = pa.Table.from_batches(waiting)
+                last = int(np.searchsorted(table["least"].to_numpy(), table["least"][-1].as_py()))  # the last group may go on
+                if last:
+                    yield solve(*_columns(table.slice(0, last)))
+                waiting = table.slice(last).to_batches()
+                held = sum(b.column("content").nbytes for b in waiting) if last else 0
+        if waiting:
+            yield solve(*_columns(pa.Table.from_batches(waiting)))
+
+    return rows.mapInArrow(run, _DECIDED)
+
+
+def _columns(table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    return (*(table[c].to_numpy() for c in ("least", "piece", "doc_id")), table["content"].to_pylist())
 
 
 def decide_hot(sums: DataFrame) -> DataFrame:

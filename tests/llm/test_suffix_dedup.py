@@ -153,3 +153,40 @@ def test_sql_of_the_query(spark):
     df = op4_suffix_dedup(spark, d)
     want = con.sql(f"select {', '.join(df.columns)} from ({SQL['op4_suffix_dedup']})").fetchall()
     assert sorted(map(tuple, df.collect())) == sorted(want)
+
+
+def test_windows_that_stand_alone_are_not_sorted(monkeypatch):
+    """Verdicts of groups of pieces against a table of all windows; what the suffix sort gets is the shared part."""
+    rnd = random.Random(12)
+    noise = lambda n: bytes(rnd.randrange(97, 123) for _ in range(n))
+    contents, ids, group = [], [], []
+    for g in range(40):
+        line = noise(70)
+        for k in range(rnd.randint(2, 12)):
+            contents.append(noise(rnd.randint(50, 150)) + line[rnd.randint(0, 9) : 70 - rnd.randint(0, 9)] + noise(60) if k % 3 else noise(100) + b"ha " * 40 + line)
+            ids.append(rnd.randrange(1000))
+            group.append(g - 20)
+    sizes, plain = [], sd.sort_strings
+    monkeypatch.setattr(sd, "sort_strings", lambda symbols, lengths: sizes.append(len(symbols)) or plain(symbols, lengths))
+    owner, windows = sd.decide(contents, np.array(ids), np.array(group))
+    least = {}
+    for c, i, g in zip(contents, ids, group):
+        for a in range(len(c) - 49):
+            least[g, c[a : a + 50]] = min(i, least.get((g, c[a : a + 50]), i))
+    assert owner.tolist() == [least[g, c[a : a + 50]] for c, g in zip(contents, group) for a in range(len(c) - 49)]
+    assert windows.tolist() == [len(c) - 49 for c in contents]
+    assert sizes and sum(sizes) < 0.6 * sum(map(len, contents))
+    alone = [noise(80), noise(50)]
+    assert sd.decide(alone, np.array([3, 1]), np.array([0, 0]))[0].tolist() == [3] * 31 + [1]
+
+
+def test_groups_that_lie_in_several_arrow_batches(spark):
+    rows = corpus()
+    want, df = brute(rows), spark.createDataFrame(rows, SCHEMA)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    plain, sd.decided_pieces.__defaults__ = sd.decided_pieces.__defaults__, (500,)
+    try:
+        assert got(sd.remove_repeats(df)) == want
+    finally:
+        sd.decided_pieces.__defaults__ = plain
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
