@@ -19,7 +19,7 @@ import math
 import threading
 import time
 import uuid
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
@@ -73,8 +73,8 @@ class Limited:
         return self.call(*args)
 
 
-def _ask(rows: DataFrame, one: Callable[[dict], Mapping], concurrency: int) -> DataFrame:
-    """(slot, answers as JSON, failure) of one call per row; up to ``concurrency`` calls of a task run at once."""
+def _ask(rows: DataFrame, one: Callable[[dict], Mapping], concurrency: int, carried: Sequence[str] = ()) -> DataFrame:
+    """(slot, answers as JSON, failure, the string columns ``carried``) of one call per row; up to ``concurrency`` calls of a task run at once."""
 
     def attempt(record: dict) -> tuple:
         try:
@@ -86,9 +86,10 @@ def _ask(rows: DataFrame, one: Callable[[dict], Mapping], concurrency: int) -> D
     def call(batches):
         with ThreadPoolExecutor(concurrency) as pool:
             for pdf in batches:
-                yield pd.DataFrame(list(pool.map(attempt, pdf.to_dict("records"))), columns=["slot", *ANSWERS, "failure"])
+                got = pd.DataFrame(list(pool.map(attempt, pdf.to_dict("records"))), columns=["slot", *ANSWERS, "failure"])
+                yield got.assign(**{c: pdf[c].to_numpy() for c in carried})
 
-    return rows.mapInPandas(call, "slot long, " + ", ".join(f"{a} string" for a in ANSWERS) + ", failure string")
+    return rows.mapInPandas(call, "slot long, " + ", ".join(f"{a} string" for a in (*ANSWERS, "failure", *carried)))
 
 
 def generate(batch: DataFrame, provider: Provider, concurrency: int = 8, rate: float | None = None) -> DataFrame:
@@ -99,16 +100,17 @@ def generate(batch: DataFrame, provider: Provider, concurrency: int = 8, rate: f
     spark, names = batch.sparkSession, EXCERPT.names
     two = hasattr(provider, "review")
     draft = Limited(lambda r: provider({n: r[n] for n in names}, r["split"], r["task_family"]), rate)
-    answers = _ask(batch.select("slot", "split", "task_family", *names), draft, concurrency)
-    parsed = lambda t: t.select(
-        "slot", F.from_json("draft", DRAFT).alias("draft"), F.from_json("review", REVIEW).alias("review"),
+    asked = batch.select("slot", "split", "task_family", *names)
+    parsed = lambda t, *more: t.select(
+        "slot", *more, F.from_json("draft", DRAFT).alias("draft"), F.from_json("review", REVIEW).alias("review"),
         F.from_json("teacher", CALL_META).alias("teacher"), F.from_json("critic", CALL_META).alias("critic"), "failure",
     )
-    sources = batch.select("slot", *names, F.col("split").alias("requested_split"), F.col("task_family").alias("requested_task_family"))
-    if not two:
-        return sources.join(parsed(answers), "slot")
+    cell = [F.col("split").alias("requested_split"), F.col("task_family").alias("requested_task_family")]
+    if not two:  # texts go through the call with their answers, so nothing is shuffled to bring them together
+        return parsed(_ask(asked, draft, concurrency, (*names, "split", "task_family")), *names, *cell)
+    sources = batch.select("slot", *names, *cell)
     # drafts are paid for: they are written before validation reads them to choose what is reviewed
-    answers = files.written(answers, "drafts")
+    answers = files.written(_ask(asked, draft, concurrency), "drafts")
     drafted = sources.join(parsed(answers), "slot")
     valid = project.with_errors(drafted.where("failure is null")).where(F.size("_errors") == 0).select("slot")
     asked = sources.select("slot", *names).join(answers.select("slot", F.col("draft").alias("said")), "slot").join(valid, "slot")

@@ -168,3 +168,17 @@ def test_pool_shapes(spark):
     raw = spark.createDataFrame([(0, "x"), (7, "y")], "id long, text string")
     got = corpus.shaped(raw).collect()
     assert [r.id for r in got] == [None, "7"] and got[0].license is None
+
+
+def test_no_shuffle_brings_texts_and_answers_together(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.streaming.fill import generate
+
+    batch = sources(spark, 12).withColumn("title", F.when(F.col("stream_idx") != 2, F.col("title")))
+    batch = batch.select(F.col("stream_idx").alias("slot"), F.lit("sft_train").alias("split"), F.lit(TASK_FAMILIES[0]).alias("task_family"), *EXCERPT.names)
+    called = generate(batch, scripted, 2)
+    assert "Exchange" not in called._jdf.queryExecution().executedPlan().toString()
+    got, want = {r.slot: r for r in called.collect()}, {r.slot: r for r in batch.collect()}
+    assert got.keys() == want.keys() and all(got[k][n] == want[k][n] for k in want for n in EXCERPT.names)
+    assert got[5].failure and got[5].draft is None and got[4].draft.answer == "a" * 60 and got[4].requested_task_family == TASK_FAMILIES[0]
