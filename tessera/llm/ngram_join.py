@@ -14,7 +14,8 @@ similarity is 0.8 or more.  No link between different texts is lost:
    among the first ``n - need + l`` of each.  Every document picks its l from 1 to ``max_match``: the
    prefix grows while the estimated cost of its postings and of the candidates that could
    still match l times falls.  A pair is a candidate when it shares k = min(l, l') shingles among the
-   first ``n - common + k`` of either, where ``common`` is what a link of these two sizes must share.
+   first ``n - common + k`` of either, where ``common`` is what a link of these two sizes must share; the pair is made where this
+   holds for one shingle, so that what many documents share further back makes none.
    Shingles whose documents all lie in one component produce nothing; before pairs are made, rounds
    tie components together over one hub per shingle, linear in the postings, as long as a round ties one in ``TIED`` of the
    pairs that it tries (a hub that links to few of its shingle's components says that the others will not link either).
@@ -275,31 +276,39 @@ def hub_pairs(rows: DataFrame, turn: int) -> DataFrame:
     ).dropDuplicates(["a", "b"])
 
 
-def candidates(rows: DataFrame, carried: int = 64) -> DataFrame:
-    """(a, b) of different components that share enough of the shingles that ``prefixes`` gave them.
+def meetings(rows: DataFrame, carried: int = 64) -> DataFrame:
+    """(a, b) of different components that share enough of the shingles that ``prefixes`` gave them, most pairs once.
 
-    A row carries its document's other shared shingles where they are ``carried`` at most; a pair of such
-    documents is made once, at its first common shingle, and only if it has as many as it needs.
-    Other pairs are made at every common shingle.  Keys are 32 bits of the shingles on either side; a document of which two
-    shingles have one key carries no list, so a collision can add a candidate and never hides one.
+    The first shingle that a link of two sets has in common lies among the first ``n - common + 1`` of either, where ``common`` is
+    what a link of these sizes must share; a pair is made there only, whatever else its ends share.  Against a set that is not
+    smaller this is a ninth of the shingles, against a smaller one a fifth.  A row carries its document's first ``carried`` shared shingles:
+    a pair is left out where an earlier one of both is common, and, where both ends carry all of theirs, if fewer than it needs are common.
+    Keys are 32 bits of the shingles on either side; a document of which two shingles have one key carries no list, and of common
+    keys one has no other before it on both sides, so a collision can add a candidate and never hides one.
     """
     flat = rows.select("rep", "comp", "n", "l", "at", F.hash("token").alias("key"))
-    short = flat.groupBy("rep").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") <= carried).select("rep")
-    lists = flat.join(short, "rep", "left_semi").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("at", "key"))).alias("p"))
-    lists = lists.select("rep", F.col("p.key").alias("keys"), F.col("p.at").alias("ats")).where(F.size(F.array_distinct("keys")) == F.size("keys"))
-    flat = flat.join(lists, "rep", "left").withColumn("i", F.expr("size(filter(ats, x -> x < at))"))
-    a, b = (flat.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "comp", "n", "l", "at", "keys", "ats", "i")]) for s in "ab")
+    lists = flat.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("at", "key"))).alias("p"))
+    lists = lists.select("rep", (F.size("p") <= carried).alias("all"), F.slice("p", 1, carried).alias("p"))
+    lists = lists.select("rep", "all", F.col("p.key").alias("keys"), F.col("p.at").alias("ats")).where(F.size(F.array_distinct("keys")) == F.size("keys"))
+    flat = flat.where(f"at <= n - cast(ceil({NUM} * cast(n as bigint) / {DEN}) as int)").join(lists, "rep", "left").withColumn("i", F.expr("size(filter(ats, x -> x < at))"))
+    a, b = (flat.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "comp", "n", "l", "at", "all", "keys", "ats", "i")]) for s in "ab")
+    a = a.where(f"at_a <= n_a - cast(ceil({2 * NUM} * cast(n_a as bigint) / {NUM + DEN}) as int)")  # b has as many shingles or more
     # for two given sizes the prefixes are shorter: what a link of these sizes has in common is known
     common, want = f"cast(ceil({NUM} * cast(n_a + n_b as bigint) / {NUM + DEN}) as int)", "least(l_a, l_b)"
     inside = {s: f"n_{s} - {common} + {want}" for s in "ab"}
     first = "not arrays_overlap(slice(keys_a, 1, i_a), slice(keys_b, 1, i_b))"
     shared = ", ".join(f"slice(keys_{s}, 1, size(filter(ats_{s}, x -> x < {inside[s]})))" for s in "ab")
     pairs = a.join(b, "key").where(
-        f"rep_a < rep_b and comp_a <> comp_b and {DEN} * least(n_a, n_b) >= {NUM} * greatest(n_a, n_b)"
-        f" and at_a < {inside['a']} and at_b < {inside['b']}"
-        f" and (keys_a is null or keys_b is null or ({first} and size(array_intersect({shared})) >= {want}))"
+        f"(n_a < n_b or n_a = n_b and rep_a < rep_b) and comp_a <> comp_b and {DEN} * n_a >= {NUM} * n_b"
+        f" and at_a <= n_a - {common} and at_b <= n_b - {common}"
+        f" and (keys_a is null or keys_b is null or ({first} and (not all_a or not all_b or size(array_intersect({shared})) >= {want})))"
     )
-    return pairs.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
+    return pairs.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"))
+
+
+def candidates(rows: DataFrame, carried: int = 64) -> DataFrame:
+    """The pairs of ``meetings``, once each."""
+    return meetings(rows, carried).distinct()
 
 
 def tie_hubs(docs: DataFrame, rows: DataFrame, rounds: int) -> tuple[DataFrame, list[DataFrame]]:

@@ -100,6 +100,23 @@ def test_large_group_of_near_copies_does_not_make_all_pairs(spark):
     assert nj.leader_links(df, reps, bucket_rows=100).count() < 4 * len(rows)
 
 
+def test_family_that_does_not_link_makes_few_pairs(spark):
+    """Documents with more shared shingles than a row carries meet where a link must have its first common one, and once."""
+    rnd = random.Random(5)
+    words = [f"w{i}" for i in range(800)]
+    rows = [(i, " ".join(edited(words, rnd, 22))) for i in range(60)]
+    rows += [(60 + i, " ".join(edited(rows[i][1].split(), rnd, 2))) for i in range(8)]  # each links to one of the family
+    docs = spark.createDataFrame(rows, SCHEMA)
+    none = spark.createDataFrame([], "doc_id long, rep long, comp long")
+    posts = nj.across(nj.prefixes(docs, none, nj.frequency_classes(nj.profile(docs)), 16)).persist()
+    assert posts.groupBy("rep").count().where("count > 64").count() > 60
+    sets = {i: nj.shingle(t) for i, t in rows}
+    links = {(a, b) for a in sets for b in sets if a < b and nj.similar(sets[a], sets[b])}
+    found = [tuple(r) for r in nj.candidates(posts).collect()]
+    assert len(links) >= 8 and links <= set(found) and len(found) < 2 * len(rows)
+    assert nj.meetings(posts).count() < 2 * len(found)
+
+
 def test_prefix_length_follows_cost():
     cheap, dear = np.full(100, 0.01), np.full(100, 500.0)
     assert nj.choose_match(cheap, 80, 4) == 1
