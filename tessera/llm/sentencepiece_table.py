@@ -5,8 +5,8 @@ never cross the start of a marked word, so a text's ids are the ids of its marke
 ("chunks": a run of markers and what follows up to the next marker) one after another.
 Every task keeps a table of the distinct chunks it has met, segments each of them once
 with the library, and joins ids and decoded text back by position.  The table belongs
-to the task and is emptied at ``max_chunks`` entries (it then refills; results do not change).  Chunks of more than
-``max_chunk_chars`` characters (text without spaces) are segmented where they stand and never enter it, so its memory is
+to the task and has two halves: when the younger has ``max_chunks / 2`` entries it takes the place of the older, whose chunks are forgotten
+but for those met since (results do not change).  Chunks of more than ``max_chunk_chars`` characters (text without spaces) are segmented where they stand and never enter it, so its memory is
 bounded, nothing is shuffled or broadcast, and a lost task is simply redone.
 
 Defined results: null text counts as empty; empty text has no ids and decodes to "";
@@ -56,16 +56,18 @@ class ChunkTable:
             raise ValueError("pieces of this model cross whitespace markers; its texts cannot be cut into chunks")
         self.max_chunks, self.max_chunk_chars = max_chunks, max_chunk_chars
         self.table: dict[str, tuple[str, int, str]] = {}
+        self.older: dict[str, tuple[str, int, str]] = {}
+        self.names = [str(i) for i in range(self.processor.get_piece_size())]
         # A letter before the chunk takes the place of the marker that the library puts before
         # a text; it may not merge with a marker, so its own ids can be cut off again.
         self.head = self.processor.encode("a")
 
     def _segment(self, chunks: list[str]) -> list[tuple[str, int, str]]:
-        n, head, out = len(self.head), self.head, []
-        for ids in self.processor.encode(["a" + c for c in chunks], num_threads=1):
-            assert ids[:n] == head
-            out.append((",".join(map(str, ids[n:])), len(ids) - n, self.processor.decode(ids)[1:]))
-        return out
+        n, head, names = len(self.head), self.head, self.names
+        encoded = self.processor.encode(["a" + c for c in chunks], num_threads=1)
+        assert all([ids[:n] == head for ids in encoded])
+        decoded = self.processor.decode(encoded, num_threads=1)  # one call, which costs less than half of one a chunk
+        return [(",".join([names[i] for i in ids[n:]]), len(ids) - n, back[1:]) for ids, back in zip(encoded, decoded)]
 
     def _first(self, chunk: str) -> tuple[str, int, str]:
         """A text's first chunk as it stands, where it takes the library's own marker."""
@@ -78,24 +80,29 @@ class ChunkTable:
             return "", 0, ""
         marked = self._chunks(text)
         first = self._first(marked[0])
-        table = self.table
         rest = marked[1:]
-        missing = [c for c in dict.fromkeys(rest) if c not in table]
-        long = {c for c in missing if len(c) > self.max_chunk_chars}
-        if long:
-            alone = dict(zip(some := sorted(long), self._segment(some)))
-            missing = [c for c in missing if c not in long]
-        if missing:
-            if len(table) + len(missing) > self.max_chunks:
-                table.clear()
-                missing = [c for c in dict.fromkeys(rest) if c not in long]
-            table.update(zip(missing, self._segment(missing)))
-        rows = [alone[c] if c in long else table[c] for c in rest] if long else [table[c] for c in rest]
-        return (
-            ",".join([first[0], *[r[0] for r in rows]]),
-            first[1] + sum([r[1] for r in rows]),
-            "".join([first[2], *[r[2] for r in rows]]),
-        )
+        if not rest:
+            return first
+        known = self._known(dict.fromkeys(rest))
+        ids, counts, decoded = zip(*[known[c] for c in rest])
+        return ",".join([first[0], *ids]), first[1] + sum(counts), "".join([first[2], *decoded])
+
+    def _known(self, chunks: dict[str, None]) -> dict[str, tuple[str, int, str]]:
+        """A table that has all of a text's distinct chunks."""
+        missing = [c for c in chunks if c not in self.table]
+        if not missing:
+            return self.table
+        long = [c for c in missing if len(c) > self.max_chunk_chars]
+        missing = [c for c in missing if len(c) <= self.max_chunk_chars]
+        if self.table and len(self.table) + len(missing) > self.max_chunks // 2:
+            self.older, self.table = self.table, {}
+            missing = [c for c in chunks if len(c) <= self.max_chunk_chars]
+        older = self.older
+        new = [c for c in missing if c not in older]
+        self.table.update([(c, older[c]) for c in missing if c in older])
+        if new:
+            self.table.update(zip(new, self._segment(new)))
+        return self.table | dict(zip(long, self._segment(long))) if long else self.table
 
     @staticmethod
     def _chunks(text: str) -> list[str]:

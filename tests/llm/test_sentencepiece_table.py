@@ -56,3 +56,14 @@ def test_long_chunks_stay_out_of_the_table():
     for text in ("a " + "long" * 300 + " b " + "long" * 300, "one two three four five six seven eight nine " + "x" * 9, "日本" * 500 + " " + "日本" * 500):
         assert table.encode(text) == whole(sp, text)
         assert max(map(len, table.table), default=0) <= 8
+
+
+def test_full_table_keeps_the_chunks_met_since():
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    table, segment, met = st.ChunkTable(MODEL, max_chunks=8), st.ChunkTable._segment, []
+    table._segment = lambda chunks: met.extend(chunks) or segment(table, chunks)
+    for i in range(40):
+        text = f"x steady new{i}"
+        assert table.encode(text) == whole(sp, text)
+        assert len(table.table) + len(table.older) <= 8
+    assert met.count("▁steady") == 1 and len(met) == 41
